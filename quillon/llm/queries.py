@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, chat, mixing, quality, secrets, sharding, token_counts, topk
+from quillon.llm import bpe, chat, jaccard, mixing, quality, secrets, sharding, token_counts, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sharding, op3_secret_scans, op4_quality_rules, op5_token_counts, op7_mixing, op8_bpe, op9_chat_formatting, op10_exact_topk)
+    f.__name__: f for f in (op1_ngram_jaccard, op2_sharding, op3_secret_scans, op4_quality_rules, op5_token_counts, op7_mixing, op8_bpe, op9_chat_formatting, op10_exact_topk)
 }
 
 ORACLE_SQL = {
