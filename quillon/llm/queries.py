@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, chat, jaccard, mixing, quality, secrets, sharding, token_counts, topk
+from quillon.llm import bpe, chat, jaccard, mixing, quality, repeats, secrets, sharding, token_counts, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard, op2_sharding, op3_secret_scans, op4_quality_rules, op5_token_counts, op7_mixing, op8_bpe, op9_chat_formatting, op10_exact_topk)
+    f.__name__: f for f in (op1_ngram_jaccard, op2_sharding, op3_secret_scans, op4_quality_rules, op5_token_counts, op6_suffix_dedup, op7_mixing, op8_bpe, op9_chat_formatting, op10_exact_topk)
 }
 
 ORACLE_SQL = {
