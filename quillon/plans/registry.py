@@ -1,4 +1,8 @@
 """All registered queries and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from quillon.plans.oracles import ORACLE_SQL
+from quillon.plans.queries import QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
