@@ -10,10 +10,11 @@ frequent by a count sketch, so linked sets share one of their first shingles.
   stand in the lists as well, for pairs across it.
 
 Texts with equal sets are one node.  In every list a chain of neighbours is
-checked first and what links is joined to components.  Then every pair of a
-list whose two sets are still in different components, and could link by sizes,
-places and bitmaps, is checked against the sets themselves.  No link between
-components is lost, and the pairs inside one are never written out.
+checked first and what links is joined to components.  Pairs of a list that are
+still in different components, and could link by sizes, places and bitmaps, put
+their components into one cluster.  In each cluster the sets outside its largest
+component scan inverted lists of all shingles, which counts overlaps exactly.
+No link between components is lost, and pairs are never written out.
 """
 
 from __future__ import annotations
@@ -221,13 +222,33 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nulls = pa.nulls(m, pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m), pa.int32()), nulls, pa.nulls(m, pa.int32()), pa.array(a), pa.array(na, pa.int32()), pa.nulls(m, pa.int32()), pa.array(b), pa.array(nb, pa.int32())], names)
     at = np.flatnonzero(inside)
+    at = at[(part[at] > 0) | _partnered(key[at], part[at], n[at], pos[at])]
     for i in range(0, len(at), 1 << 16):
         x = at[i : i + (1 << 16)]
         m = len(x)
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(m), pa.int32()), pa.array(key[x]), pa.array(part[x], pa.int32()), pa.array(sig[x]), pa.array(n[x], pa.int32()), pa.array(pos[x], pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32())], names)
 
 
+def _partnered(key: np.ndarray, part: np.ndarray, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Which members of lists have another whose size and place leave room for a link."""
+    out = np.zeros(len(key), bool)
+    edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])])) if len(key) else np.zeros(0, int)
+    size = np.diff(np.append(edge, len(key)))
+    for width in np.unique(size).tolist():
+        starts = edge[size == width]
+        step = max(1, (1 << 18) // (width * width))
+        for k in range(0, len(starts), step):
+            at = starts[k : k + step, None] + np.arange(width)
+            for i in range(0, width, 256):  # rows of long lists in portions
+                a, b = at[:, i : i + 256, None], at[:, None, :]
+                could = _could(n[a], n[b], pos[a], pos[b], key[a] >= 0) & (a != b)
+                out[at[:, i : i + 256]] = could.any(axis=2)
+    return out
+
+
 PAIRS = "a long, b long, na int, nb int"
+#: Shingles of one block of a cluster.
+CLUSTER_SHINGLES = 4_000_000
 
 
 def _filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,67 +259,131 @@ def _filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(batch.columns[:4], batch.schema.names[:4]).filter(keep)
 
 
-def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a block of a list that lie in different components and may link.
+EDGES = "u long, v long"
 
-    Blocks come sorted, so one is held at a time; blocks are bounded.
-    """
-    held: list[pa.RecordBatch] = []
-    now: tuple | None = None
-    names = [x.split()[0] for x in PAIRS.split(", ")]
-
-    def pairs() -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(held)
-        sig, n, pos, comp, own = (t.column(c).to_numpy().astype(np.int64) for c in ("sig", "n", "pos", "comp", "own"))
-        if len(sig) < 2 or (comp == comp[0]).all():
-            return
-        raw = t.column("bits").to_pylist()
-        width = np.array([len(x) // 8 for x in raw])
-        place, rows = np.zeros(len(raw), int), {}
-        for w in np.unique(width).tolist():
-            at = np.flatnonzero(width == w)
-            place[at] = np.arange(len(at))
-            rows[w] = np.frombuffer(b"".join([raw[x] for x in at]), np.uint64).reshape(len(at), w)
-        listed, across = now[0] >= 0, now[1] != now[2]
-        _, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
-        large = inverse == counts.argmax()
-        out = []
-        for i in np.flatnonzero(~large):  # the members of the largest component are met from the other side
-            j = np.flatnonzero((comp != comp[i]) & (large | (np.arange(len(sig)) > i)) & _could(n[i], n, pos[i], pos, listed))
-            if across:
-                j = j[own[j] != own[i]]
-            if not len(j):
-                continue
-            most = n[i] + n[j] - 2 * needed(n[i] + n[j])
-            mine = rows[width[i]][place[i]]
-            for w in np.unique(width[j]).tolist():
-                at = width[j] == w
-                other, one = rows[w][place[j[at]]], mine
-                while other.shape[1] > len(one):
-                    half = other.shape[1] // 2
-                    other = other[:, :half] ^ other[:, half:]
-                differ = np.bitwise_count(other ^ folded(one, other.shape[1])).sum(axis=1, dtype=np.int64)
-                out += [(sig[i], sig[x], n[i], n[x]) for x in j[at][differ <= most[at]]]
-        if out:
-            a, b, na, nb = np.array(out, np.int64).T
-            swap = a > b
-            a, b, na, nb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(na, pa.int32()), pa.array(nb, pa.int32())], names)
 
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    u, v = zip(*found, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Sorted batches cut where the first ``width`` columns change; a group may come in several pieces."""
     for batch in batches:
-        key, i, j = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2))
-        cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
-            if b == a:
-                continue
-            at = (int(key[a]), int(i[a]), int(j[a]))
-            if at != now:
-                if held:
-                    yield from pairs()
-                held, now = [], at
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield from pairs()
+        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(width)]
+        if batch.num_rows:
+            cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                yield tuple(int(k[a]) for k in keys), batch.slice(a, b - a)
+
+
+def _near(now: tuple, held: list[pa.RecordBatch]) -> list[tuple[int, int]]:
+    """Components of one block of a list that some pair may link, as the edges of a forest."""
+    t = pa.Table.from_batches(held)
+    n, pos, comp, own = (t.column(c).to_numpy().astype(np.int64) for c in ("n", "pos", "comp", "own"))
+    if (comp == comp[0]).all():
+        return []
+    raw = t.column("bits").to_pylist()
+    width = np.array([len(x) // 8 for x in raw])
+    place, rows = np.zeros(len(raw), int), {}
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        place[at] = np.arange(len(at))
+        rows[w] = np.frombuffer(b"".join([raw[x] for x in at]), np.uint64).reshape(len(at), w)
+    listed, across = now[0] >= 0, now[1] != now[2]
+    _, label, counts = np.unique(comp, return_inverse=True, return_counts=True)
+    large = label == counts.argmax()
+    label, out, index = label.copy(), [], np.arange(len(comp))
+    for i in np.flatnonzero(~large):  # the members of the largest component are met from the other side
+        mask = (label != label[i]) & (large | (index > i)) & _could(n[i], n, pos[i], pos, listed)
+        if across:
+            mask &= own != own[i]
+        j = np.flatnonzero(mask)
+        if not len(j):
+            continue
+        most = n[i] + n[j] - 2 * needed(n[i] + n[j])
+        mine = rows[width[i]][place[i]]
+        for w in np.unique(width[j]).tolist():
+            at = width[j] == w
+            other, one = rows[w][place[j[at]]], mine
+            while other.shape[1] > len(one):
+                half = other.shape[1] // 2
+                other = other[:, :half] ^ other[:, half:]
+            differ = np.bitwise_count(other ^ folded(one, other.shape[1])).sum(axis=1, dtype=np.int64)
+            for x in j[at][differ <= most[at]]:
+                if label[x] != label[i]:
+                    out.append((int(comp[i]), int(comp[x])))
+                    label[label == label[x]] = label[i]
+    return out
+
+
+def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks come sorted and are bounded, so one is held at a time."""
+    held: list[pa.RecordBatch] = []
+    now: tuple | None = None
+    for at, piece in _groups(batches, 3):
+        if at != now:
+            if held and (found := _near(now, held)):
+                yield _edges(found)
+            held, now = [], at
+        held.append(piece)
+    if held and (found := _near(now, held)):
+        yield _edges(found)
+
+
+class Block:
+    """Inverted lists of the sets in one block of a cluster."""
+
+    def __init__(self, held: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(held).combine_chunks()
+        self.comp = t.column("comp").to_numpy().astype(np.int64)
+        self.minor = t.column("minor").to_numpy(zero_copy_only=False).astype(bool)
+        keys = t.column("keys").combine_chunks()
+        self.size = keys.value_lengths().to_numpy().astype(np.int64)
+        self.flat, self.ends = keys.flatten().to_numpy(), np.concatenate([[0], np.cumsum(self.size)])
+        order = np.argsort(self.flat, kind="stable")
+        self.keys, self.owner = self.flat[order], np.repeat(np.arange(len(self.size)), self.size)[order]
+
+    def linked(self, keys: np.ndarray, comp: int) -> list[tuple[int, int]]:
+        """Other components with a set that links to the given one, by counting along the lists of all its shingles."""
+        low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        times = high - low
+        total = int(times.sum())
+        if not total:
+            return []
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(total)
+        overlap = np.bincount(self.owner[at], minlength=len(self.size))
+        hit = (7 * overlap >= 3 * (self.size + len(keys))) & (self.comp != comp)
+        return [(comp, int(c)) for c in np.unique(self.comp[hit])]
+
+
+def _clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between components of a cluster.  A block's sets come first, then sets of small components to be met with it, one after the other."""
+    held: list[pa.RecordBatch] = []
+    now, block = None, None
+
+    def inside(b: Block) -> list[tuple[int, int]]:
+        return [x for i in np.flatnonzero(b.minor) for x in b.linked(b.flat[b.ends[i] : b.ends[i + 1]], int(b.comp[i]))]
+
+    for at, piece in _groups(batches, 3):
+        if at[:2] != now:
+            if held and (found := inside(Block(held))):
+                yield _edges(found)
+            held, now, block = [], at[:2], None
+        if at[2] == 0:
+            held.append(piece)
+            continue
+        if block is None and held:
+            block = Block(held)
+            held = []
+            if found := inside(block):
+                yield _edges(found)
+        if block is not None:
+            found = [x for keys, comp in zip(piece.column(5).to_pylist(), piece.column(3).to_pylist(), strict=True) for x in block.linked(np.array(keys, np.int64), comp)]
+            if found:
+                yield _edges(found)
+    if held and (found := inside(Block(held))):
+        yield _edges(found)
 
 
 class Join:
@@ -339,23 +424,20 @@ class Join:
         both = with_a.join(self.bits.toDF("b", "bits_b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b")
         return both.mapInArrow(_filtered, PAIRS)
 
-    def verify(self, pairs: DataFrame, name: str) -> DataFrame:
-        """a and b of the pairs that link, by the sets themselves.
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """sig and keys of the sets with the wanted signatures, and of some others.
 
-        Sets are made again for one text of each signature concerned; a filter
-        of fixed size on doc_id keeps the others out, and what it lets through
-        by chance meets no pair.
+        Sets are made again for one text of each signature; a filter of fixed
+        size on doc_id keeps most others out, and a join drops the rest.
         """
-        pairs = self.scratch.save(pairs, f"{name}-pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-        reps = self.rows.join(ends, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
+        reps = self.rows.join(wanted.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
         bits = lambda h: [F.pmod(h, F.lit(WANTED_BITS)), F.pmod(F.shiftright(h, 32), F.lit(WANTED_BITS))]
         at = reps.select(F.explode(F.array(*[b + 1 for b in bits(F.xxhash64("doc_id"))])).alias("bit")).select(F.bitmap_bucket_number("bit").alias("bucket"), F.bitmap_bit_position("bit").alias("place"))
-        wanted = np.zeros(WANTED_BITS // 8, np.uint8)
+        filled = np.zeros(WANTED_BITS // 8, np.uint8)
         for r in at.groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits")).collect():  # WANTED_BITS in all
             start = (r["bucket"] - 1) * 4096
-            wanted[start : start + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-        sent, order = self.spark.sparkContext.broadcast(wanted), self.order
+            filled[start : start + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+        sent, order = self.spark.sparkContext.broadcast(filled), self.order
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
@@ -375,21 +457,47 @@ class Join:
                     yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.ListArray.from_arrays(edges, pa.array(np.concatenate(found)))], ["sig", "keys"])
 
         b1, b2 = bits(F.xxhash64("doc_id"))
-        sets = self.docs.select("text", b1.alias("b1"), b2.alias("b2")).mapInArrow(make, "sig long, keys array<long>").groupBy("sig").agg(F.first("keys").alias("keys"))
+        return self.docs.select("text", b1.alias("b1"), b2.alias("b2")).mapInArrow(make, "sig long, keys array<long>").groupBy("sig").agg(F.first("keys").alias("keys"))
+
+    def verify(self, pairs: DataFrame, name: str) -> DataFrame:
+        """a and b of the pairs that link, by the sets themselves."""
+        pairs = self.scratch.save(pairs, f"{name}-pairs")
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("sig")))
         both = pairs.join(sets.toDF("a", "keys_a"), "a").join(sets.toDF("b", "keys_b"), "b")
         overlap = F.size(F.array_intersect("keys_a", "keys_b"))
         return self.scratch.save(both.filter(7 * overlap >= 3 * (F.col("na") + F.col("nb"))).select("a", "b"), f"{name}-links")
 
-    def rest(self, comps: DataFrame) -> DataFrame:
-        """Pairs of all lists across components, as far as sizes, places and bitmaps allow a link."""
+    def near(self, comps: DataFrame) -> DataFrame:
+        """Edges between components that some pair of a list may link, as far as sizes, places and bitmaps tell; a forest for each block."""
         e = self.entries.drop("part").join(comps, F.col("sig") == F.col("node"), "left").select("key", "sig", "n", "pos", F.coalesce("comp", "sig").alias("comp"))
         open_ = e.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
         open_ = open_.select("key", F.ceil(F.col("c") / BLOCK).alias("blocks"))
         own = F.pmod(F.xxhash64("sig"), F.col("blocks"))
         e = e.join(open_, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         e = e.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig", "n", "pos", "comp", "own").join(self.bits, "sig")
-        dealt = e.select("key", "i", "j", "sig", "n", "pos", "comp", "own", "bits").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        return dealt.mapInArrow(_within, PAIRS).distinct()
+        dealt = e.select("key", "i", "j", "n", "pos", "comp", "own", "bits").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        return dealt.mapInArrow(_within, EDGES).distinct()
+
+    def rest(self, comps: DataFrame) -> DataFrame:
+        """Links between components.
+
+        Components that may be linked form clusters.  Each set of a cluster goes
+        once to a block of it, and the sets outside the cluster's largest
+        component to all its blocks; there they scan the inverted lists.
+        """
+        near = components(self.near(comps), self.scratch, "near-comps").toDF("comp", "cluster")
+        near = near.unionByName(near.select(F.col("cluster").alias("comp"), "cluster")).distinct()
+        sizes = self.rows.filter("n > 0").groupBy("sig").agg(F.first("n").alias("n")).join(comps, F.col("sig") == F.col("node"), "left")
+        members = sizes.select("sig", "n", F.coalesce("comp", "sig").alias("comp")).join(near, "comp")
+        members = self.scratch.save(members.select("sig", "n", "comp", "cluster"), "members")
+        by_comp = members.groupBy("cluster", "comp").agg(F.sum("n").alias("total"))
+        shape = by_comp.groupBy("cluster").agg(F.max_by("comp", F.struct("total", "comp")).alias("large"), F.ceil(F.sum("total") / CLUSTER_SHINGLES).alias("blocks"))
+        m = members.join(shape, "cluster").withColumn("minor", F.col("comp") != F.col("large")).join(self.sets(members), "sig")
+        home = F.pmod(F.xxhash64("sig"), F.col("blocks"))
+        others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.col("minor") & (j != home))
+        at = F.explode(F.concat(F.array(F.struct(home.alias("j"), F.lit(0).alias("probe"))), F.transform(others, lambda j: F.struct(j.alias("j"), F.lit(1).alias("probe"))))).alias("at")
+        dealt = m.select("cluster", at, "comp", "minor", "keys").select("cluster", "at.j", "at.probe", "comp", "minor", "keys")
+        return dealt.repartition("cluster", "j").sortWithinPartitions("cluster", "j", "probe").mapInArrow(_clusters, EDGES)
 
     def components(self) -> DataFrame:
         """node and comp of every signature that links to a smaller one."""
@@ -397,8 +505,7 @@ class Join:
         self.lists()
         first = self.verify(self.chained, "near")
         comps = components(first, self.scratch, "first")
-        more = self.verify(self.rest(comps), "rest")
-        stars = comps.unionByName(more.toDF("node", "comp"))
+        stars = comps.unionByName(self.rest(comps).toDF("node", "comp"))
         return components(stars, self.scratch, "all")
 
     def result(self) -> DataFrame:
