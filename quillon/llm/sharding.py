@@ -72,12 +72,12 @@ def build_map(spark: SparkSession, per_slot: DataFrame, shards: int, slots: int
 def rebalance_map(spark: SparkSession, old: DataFrame, per_slot: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
     """The next version of a map, for new slot sizes or another number of shards.
 
-    Slots of shards that are gone, and the smallest slots of each shard beyond
-    an equal share of the bytes, move to the emptiest shards; all others stay.
+    Slots of shards that are gone, and the largest slots of each shard beyond an
+    equal share of the bytes, move to the emptiest shards; all others stay.
     """
     now = old.select("version", "virtual_slot", "shard").join(F.broadcast(_all_slots(spark, per_slot, slots)), "virtual_slot")
     total = now.agg(F.sum("slot_bytes").alias("total"))
-    by_size = W.partitionBy("shard").orderBy(F.desc("slot_bytes"), "virtual_slot").rowsBetween(W.unboundedPreceding, 0)
+    by_size = W.partitionBy("shard").orderBy("slot_bytes", "virtual_slot").rowsBetween(W.unboundedPreceding, 0)
     kept = now.crossJoin(F.broadcast(total)).withColumn("run", F.sum("slot_bytes").over(by_size))
     share = F.ceil(F.col("total") / F.lit(shards))
     stays = (F.col("shard") < shards) & (F.col("run") <= share)

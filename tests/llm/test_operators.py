@@ -1,0 +1,397 @@
+"""Operators against brute force on small tables with nulls, empties, ties, repeats and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from quillon.llm import bpe, chat, components, jaccard, mixing, quality, repeats, secrets, sharding, suffixes, token_counts, topk
+from quillon.llm.common import Scratch
+from quillon.llm.shingles import shingle_sets
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, TEXT string, n_words string, slot int, sig int, gid int"
+
+
+def table(spark, rows):
+    """Documents with extra columns whose names clash with what operators add."""
+    full = [(i, t, lang, src, None if t is None else len(t), "x", "y", 1, 2, 3) for i, t, lang, src in rows]
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    df = spark.createDataFrame(full, SCHEMA)
+    return df
+
+
+@pytest.fixture(scope="module", autouse=True)
+def case(spark):
+    yield
+    spark.conf.unset("spark.sql.caseSensitive")
+
+
+def corpus(seed=1, n=120):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7))) for _ in range(400)]
+    passage = " ".join(rng.choice(words) for _ in range(80))
+    rows = [(1000, None, None, None), (1001, "", "en", "s1"), (1002, " \n\t ", "en", "s1"), (1003, "a b", "en", "s1"), (1004, "A  B", "en", "s2"), (None, "one two three four five six", "en", None)]
+    for i in range(n):
+        k = rng.choice([1, 4, 6, 20, 60, 150])
+        text = [rng.choice(words) for _ in range(k)]
+        if i % 7 == 0:
+            text[k // 2 : k // 2] = passage.split()
+        if i % 5 == 0 and i > 10:
+            text = (rows[-3][1] or "z").split()
+            for _ in range(rng.randint(0, 3)):
+                text[rng.randrange(len(text))] = rng.choice(words)
+        rows.append((i, " ".join(text) + rng.choice(["", "\n", " end."]), rng.choice(["en", "fr"]), f"s{rng.choice([1, 1, 1, 2, 3])}"))
+    return [*rows, rows[20], (5000, rows[20][1], "en", "s9")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = corpus()
+    return rows, table(spark, rows)
+
+
+def shingles(text):
+    w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def near_groups(rows):
+    sets, up = [shingles(r[1]) for r in rows], list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                up[root(i)] = root(j)
+    least = defaultdict(list)
+    for i, r in enumerate(rows):
+        least[root(i)] += [r[0]] if r[0] is not None else []
+    return [(r[0], len(sets[i]), min(least[root(i)], default=None) if sets[i] else r[0]) for i, r in enumerate(rows)]
+
+
+def test_shingles(docs):
+    rows, _ = docs
+    got = [len(s) for s in shingle_sets(pa.array([r[1] for r in rows], pa.string()))]
+    assert got == [len(shingles(r[1])) for r in rows]
+
+
+@pytest.mark.parametrize("light", [None, 40])
+def test_jaccard(docs, light, monkeypatch):
+    rows, df = docs
+    if light:
+        monkeypatch.setattr(jaccard, "boundary", lambda sizes, others: light)
+    got = jaccard.near_duplicates(df).collect()
+    key = lambda x: tuple((v is None, v) for v in x)
+    assert sorted((tuple(r) for r in got), key=key) == sorted(near_groups(rows), key=key)
+
+
+def test_jaccard_keeps_one(docs):
+    rows, df = docs
+    want = {c for i, n, c in near_groups(rows)}
+    got = [r["doc_id"] for r in jaccard.without_near_duplicates(df).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_cluster_blocks_find_all_links(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CLUSTER_SHINGLES", 300)
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    rng = random.Random(2)
+    base = [str(rng.randrange(10**6)) for _ in range(70)]
+    rows = []
+    for i in range(60):
+        t = list(base)
+        for _ in range(rng.randint(0, 4)):
+            t[rng.randrange(70)] = str(rng.random())
+        rows.append((i, " ".join(t), "en", "s"))
+    assert sorted(tuple(r) for r in jaccard.near_duplicates(table(spark, rows)).collect()) == sorted(near_groups(rows))
+
+
+@pytest.mark.parametrize("task_edges", [3, 10**6])
+def test_components(spark, task_edges):
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1060)]
+    up = {x: x for e in edges for x in e}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(edges, "u long, v long")
+    got = {r["node"]: r["comp"] for r in components.components(df, Scratch(spark, "test"), "c", task_edges).collect()}
+    assert got == {x: root(x) for x in up if root(x) != x}
+
+
+def test_sharding(spark, docs):
+    rows, df = docs
+    got = sharding.shard_documents(df).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((r[0], len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in rows)
+    places = defaultdict(list)
+    for r in got:
+        places[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in places.values()) and set(places) <= set(range(24))
+    assert {r["law"] for r in got} == {"bytes"} and {r["grown_shard"] for r in got} == {None}
+
+
+def test_rebalancing_moves_little(spark, tmp_path):
+    per = spark.range(64).select(F.col("id").cast("int").alias("virtual_slot"), (F.col("id") % 9 + 1).alias("slot_bytes"))
+    store = sharding.MapStore(spark, str(tmp_path / "map"))
+    old = store.write(sharding.build_map(spark, per, 4, 64), 1)
+    new = store.write(sharding.rebalance_map(spark, old, per, 5, 64), 2)
+    a, b = ({r["virtual_slot"]: r["shard"] for r in m.collect()} for m in (old, new))
+    sums = Counter()
+    for s, n in b.items():
+        sums[n] += s % 9 + 1
+    assert set(b.values()) == set(range(5)) and max(sums.values()) - min(sums.values()) <= 12
+    assert sum(a[s] != b[s] for s in a) <= 64 // 3
+    assert store.read(1).first()["version"] == 1 and store.read(2).first()["version"] == 2
+
+
+def test_secrets(spark):
+    texts = ['é api_KEY = "abcdef12" x', "token=abcde token: abcdef", "AKIA" + "A" * 16 + " AKIA123", "0123456789abcdef01234567 " + "f" * 23, None, "", "550e8400-e29b-41d4-a716-446655440000", "key aB3xK9pQ7zL2mN8vR4tY6wU1"]
+    out = {r["doc_id"]: r for r in secrets.scan(table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), mask=True).collect()}
+    assert [(out[i]["n_assign"], out[i]["n_access"], out[i]["n_hex"]) for i in range(7)] == [(1, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1), (0, 0, 0), (0, 0, 0), (0, 0, 0)]
+    assert out[0]["base_sha256"] == hashlib.sha256(b"assign:2:21").hexdigest() and out[0]["spans"].startswith("assign:2:21")
+    assert out[6]["n_entropy"] == 0 and out[7]["n_entropy"] == 1 and out[7]["masked"] == "key [SECRET]" and out[4]["masked"] is None
+
+
+def test_window_entropy_is_incremental():
+    rng = random.Random(1)
+    text = "".join(rng.choice("ab1Z") for _ in range(60))
+    want = [-sum(c / 20 * np.log2(c / 20) for c in Counter(text[i : i + 20]).values()) for i in range(41)]
+    assert np.allclose(list(secrets.window_bits(text, 20)), want)
+
+
+def counts(text):
+    w, seen, dup = WORD.findall(text or ""), set(), 0
+    windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    cover = {i + k for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for k in range(5)}
+    for line in (text or "").split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(cover)
+
+
+def test_quality(spark, docs):
+    rows, _ = docs
+    rows = [*rows, (7000, "a b c d e f a b c d e f g\nx y\nx y\n$$ # x", "en", "s1"), (7001, "w " * 300, None, None), (7002, "*** " + " ".join(f"w{i}***" for i in range(50)), "en", "s1")]
+    got = quality.score(table(spark, rows)).collect()
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    assert Counter((r["doc_id"], *(r[n] for n in names)) for r in got) == Counter((r[0], *counts(r[1])) for r in rows)
+    for r in got:
+        assert r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"])
+        assert not (r["kept"] and r["base_failed"])
+    verdict = {r["doc_id"]: r["kept"] for r in got}
+    assert verdict[7002] is False
+    kept = quality.keep(table(spark, rows))
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and kept.count() == sum(r["kept"] for r in got)
+
+
+def test_quantile_sketch_is_close(spark):
+    rng = random.Random(6)
+    values = [rng.lognormvariate(-2, 1) for _ in range(3000)]
+    df = spark.createDataFrame([("en", "s", *([v] * len(quality.SLACK))) for v in values], "lang string, source string, " + ", ".join(f"{r} double" for r in quality.SLACK))
+    sk = quality.sketches(df)
+    q = quality.quartiles(sk, "lang", "source").first()
+    values.sort()
+    assert abs(q["q1"] / values[749] - 1) < 0.03 and abs(q["q3"] / values[2249] - 1) < 0.03 and q["rows"] == 3000
+    halves = [quality.sketches(df.filter(c)) for c in ("symbol_ratio < 0.1", "symbol_ratio >= 0.1")]
+    both = quality.merged(halves[0].unionByName(halves[1]), "lang", "source")
+    assert sorted(map(tuple, both.collect()), key=str) == sorted(map(tuple, sk.select("lang", "source", "rule", "bin", "n").collect()), key=str)
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(bpe.default_vocabulary())
+
+
+TEXTS = ["", "Hello  WORLD, it's <|endoftext|>É é ΣΑΣ 123 don't!!!", "<|startoftext|><|ENDOFTEXT|>", "日本語テキスト123🎉 e\u0301", "a" * 3000, "x\x1cy\x85z\xa0w ab_c ²½", "'S 're ''", "\u0558\u0d50\U00010d50 İ"]
+
+
+def test_bpe_matches_the_library(spark, library, docs):
+    rows = [(i, t, "en", "s") for i, t in enumerate([*TEXTS, None])] + docs[0]
+    want = [library.encode(r[1] or "", add_special_tokens=False).ids for r in rows]
+    got = bpe.digests(table(spark, rows)).collect()
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert Counter(map(tuple, got)) == Counter((r[0], len(w), sha(" ".join(map(str, w))), sha(library.decode(w, skip_special_tokens=False))) for r, w in zip(rows, want, strict=True))
+    encoded = bpe.encode_documents(table(spark, rows))
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in encoded.collect()) == Counter((r[0], tuple(w)) for r, w in zip(rows, want, strict=True))
+    texts = Counter((r["doc_id"], r["text"]) for r in bpe.decode_documents(encoded).collect())
+    assert texts == Counter((r[0], library.decode(w, skip_special_tokens=False)) for r, w in zip(rows, want, strict=True))
+
+
+def test_bpe_on_random_words(library):
+    rng, e = random.Random(8), bpe.Encoder(bpe.default_vocabulary())
+    c = token_counts.Counter(bpe.default_vocabulary())
+    for _ in range(400):
+        text = "".join(rng.choice("thean ings'éü1.!<|\n") for _ in range(rng.randint(0, 60)))
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert e.encode(text) == ids and c.count(text) == len(ids)
+
+
+def test_every_code_point_has_the_library_classes(library):
+    e = bpe.Encoder(bpe.default_vocabulary())
+    for c in [*range(0, 0x600), *range(0x1E00, 0x2100), *range(0x20A0, 0x20C0), *range(0x3000, 0x3100, 7), *range(0x10D40, 0x10D60)]:
+        text = f"A{chr(c)}{chr(c)}1 {chr(c)}"
+        assert e.encode(text) == library.encode(text, add_special_tokens=False).ids, hex(c)
+
+
+@pytest.mark.parametrize("chunk", [7, 64])
+def test_chunk_maps_compose(library, chunk, monkeypatch):
+    monkeypatch.setattr(token_counts.Counter, "CHUNK", chunk)
+    c = token_counts.Counter(bpe.default_vocabulary())
+    text = "It's a test <|endoftext|> of chunks\n" * 9 + "unbroken" * 30
+    want = len(library.encode(text, add_special_tokens=False).ids)
+    assert c.count(text) == want
+    maps = [c.leaf(text[i : i + chunk]) for i in range(0, len(text), chunk)]
+    last = c.scan(maps)[-1]
+    assert c.whole(last.head) + last.inside + c.whole(last.tail or "") == want
+    a, b, d = maps[:3]
+    assert c.compose(c.compose(a, b), d) == c.compose(a, c.compose(b, d))
+
+
+def test_token_counts(spark, library):
+    rows = [(i, t, "en", "s") for i, t in enumerate([*TEXTS, None, "word " * 2049])]
+    got = {r["doc_id"]: tuple(r)[1:] for r in token_counts.count_tokens(table(spark, rows)).collect()}
+    for i, t, _, _ in rows:
+        n = len(library.encode(t or "", add_special_tokens=False).ids)
+        assert got[i] == (len((t or "").encode()), n, n > 2048)
+
+
+def repeats_by_force(rows, length=200):
+    data = [(r[1] or "").encode() for r in rows]
+    seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    out = []
+    for r, d in zip(rows, data, strict=True):
+        gone = bytearray(len(d))
+        for i in range(len(d) - length + 1):
+            if seen[d[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        kept = bytes(x for x, g in zip(d, gone, strict=True) if not g)
+        spans = sum(1 for i in range(len(d)) if gone[i] and (i == 0 or not gone[i - 1]))
+        out.append((r[0], len(d), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("bucket", [2048, 2])
+def test_repeats(spark, docs, bucket, monkeypatch):
+    monkeypatch.setattr(repeats, "BUCKET_RUNS", bucket)
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choice("abcdefgh éü") for _ in range(n))
+    share, period = noise(450), noise(37) * 14
+    rows = [*docs[0], (8000, noise(300) + share + noise(90), "en", "s"), (8001, noise(10) + share[:230] + noise(300), "en", "s"), (8002, period + noise(50), "en", "s"), (8003, "x" * 199, "en", "s"), (8004, "x" * 201, "en", "s"), (8005, noise(99) + share[30:229], "en", "s")]
+    rows += [(8100 + k, noise(rng.randint(0, 200)) + share[k * 9 :] + noise(20), "en", "s") for k in range(12)]
+    got = repeats.remove_repeats(table(spark, rows)).collect()
+    assert Counter(map(tuple, got)) == Counter(repeats_by_force(rows))
+
+
+def test_suffix_sort_with_difference_cover():
+    cover = suffixes.difference_cover()
+    assert {(a - b) % 32 for a in cover for b in cover} == set(range(32))
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 2, 6000, dtype=np.uint8)
+    data[1000:1400] = data[100:500]
+    data[3003:3303] = data[150:450]
+    data[5000:5600] = np.tile(data[5000:5030], 20)
+    starts = np.arange(0, 5700)
+    bucket = rng.integers(0, 2, len(starts))
+    seen = Counter((b, data[s : s + 200].tobytes()) for s, b in zip(starts, bucket, strict=True))
+    want = [seen[b, data[s : s + 200].tobytes()] > 1 for s, b in zip(starts, bucket, strict=True)]
+    assert suffixes.repeated(np.concatenate([data, np.zeros(208, np.uint8)]), starts, bucket).tolist() == want
+
+
+def test_targets_fill_up():
+    t = mixing.targets({"a": 10, "b": 100, "c": 100, None: 0})
+    assert t["a"] == 20 and t[None] == 0 and abs(sum(t.values()) - 315) < 1e-9
+    assert Fraction(t["b"]).limit_denominator(1000) == 295 * Fraction(2, 3)
+
+
+@pytest.mark.parametrize("run_rows", [4096, 4])
+def test_mixing(spark, docs, run_rows, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN_ROWS", run_rows)
+    rows, df = docs
+    got = mixing.mix(df).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((r[0], len(WORD.findall(r[1] or ""))) for r in rows)
+    total, most = sum(r["size"] for r in got), max(r["size"] for r in got)
+    assert 1.5 * total - 2 * most * 5 <= sum(r["taken"] for r in got) <= 1.5 * total
+    source = defaultdict(int)
+    for r in got:
+        source[r["source_size"], r["target"]] += r["taken"]
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+    assert all(abs(taken - target) <= 3 * most for (_, target), taken in source.items())
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(7)).collect()))
+    mixed = mixing.mixed_documents(df)
+    assert sum(len(WORD.findall(r["text"] or "")) for r in mixed.collect()) == sum(r["taken"] for r in got)
+
+
+def test_chat(spark):
+    rng = random.Random(9)
+    rows = []
+    for c in range(12):
+        for t in range(rng.randint(1, 40)):
+            role = "system" if t == 0 and c % 2 else rng.choice(["user", "assistant"])
+            rows.append((c, t, role, rng.choice([None, "", "</s>[INST] ok [/INST]", "\\<s>[user]\n", "plain words " * rng.randint(1, 60), "😀\n"])))
+    rows += [(None, 0, "assistant", "n"), (3, 0, None, "tie"), (50, 0, "assistant", "long " * 4000)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, window int")
+    windows = chat.format_conversations(chat.with_probe(df), chat.Budget(tokens=200)).cache()
+    got = {r["conv_id"]: r for r in chat.read_back(windows).collect()}
+    conv = defaultdict(list)
+    for r in [*rows, *chat.PROBE]:
+        conv[r[0]].append((r[1], r[2] is not None, r[2] or "", r[3] is not None, r[3] or ""))
+    assert set(got) == set(conv)
+    for c, turns in conv.items():
+        turns = [(x[2], x[4]) for x in sorted(turns)]
+        loss = "".join(t for role, t in turns if role == "assistant")
+        assert got[c]["n_turns"] == len(turns)
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+        assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    many = [w for w in windows.collect() if w["window"] > 0]
+    assert many and all(w["n_tokens"] <= 200 or w["n_turns"] == 1 for w in many)
+    assert any(w["repeated"] > 0 for w in many)
+
+
+def test_top_k(spark):
+    rng = random.Random(12)
+    rows = [(i, [rng.choice([0.5, -0.25, 0.1, 0.003]) for _ in range(6)]) for i in range(130)]
+    rows += [(200, None), (201, [0.1, None, 0.2, 0.0, 0.0, 0.0]), (202, [float("nan")] * 6), (203, [float("inf")] * 6), (250, rows[0][1]), (300, rows[0][1]), (301, rows[0][1]), (350, [1.0])]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, score int").repartition(5)
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)}
+    want = set()
+    for q, a in whole.items():
+        if q % 50 == 0:
+            scores = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in whole.items() if i != q and len(a) == len(b))
+            want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:5])}
+    assert {tuple(r) for r in topk.search(df).collect()} == want
+    q = topk.quantized(df)
+    assert {tuple(r) for r in topk.top_k(q.filter("vec_id % 50 = 0"), q, block=2).collect()} == want
+
+
+@pytest.mark.parametrize(
+    "run",
+    [jaccard.near_duplicates, jaccard.without_near_duplicates, sharding.shard_documents, secrets.scan, secrets.mask_documents, quality.score, quality.keep, token_counts.count_tokens, repeats.remove_repeats, mixing.mix, mixing.mixed_documents, bpe.digests, bpe.encode_documents],
+)
+def test_empty_table(spark, run):
+    assert run(table(spark, [])).count() == 0
+
+
+def test_empty_others(spark):
+    assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
