@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import pick, slices
+from quillon.llm.common import pick, slices, trim
 
 END = "</w>"
 #: A word's last symbol is moved by this, as base symbols that end a word are symbols of their own.
@@ -56,6 +56,7 @@ def byte_symbols() -> list[str]:
 
 BYTES = byte_symbols()
 BYTE_OF = {c: b for b, c in enumerate(BYTES)}
+VISIBLE = dict(enumerate(BYTES))
 
 
 def normalized(text: str) -> str:
@@ -74,9 +75,8 @@ def split_spaces(text: str) -> list[str]:
 
 def symbols(piece: str) -> str:
     """One character for each byte, the last one marked."""
-    chars = [BYTES[b] for b in piece.encode()]
-    chars[-1] = chr(LAST + ord(chars[-1]))
-    return "".join(chars)
+    chars = piece.encode().decode("latin-1").translate(VISIBLE)
+    return chars[:-1] + chr(LAST + ord(chars[-1]))
 
 
 class Splitter:
@@ -259,6 +259,7 @@ class Encoder:
     MOST_RUNS, MOST_WORDS = 220_000, 120_000
 
     def __init__(self, path: str):
+        trim()
         self.a, self.split = automaton(path), splitter(path)
         self.words = Memo(self._word, self.MOST_WORDS)
         self.runs = Memo(self._run, self.MOST_RUNS)
@@ -314,7 +315,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 1 << 20):
             ids = [e.encode(t) for t in _texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids"])
 
@@ -344,7 +345,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 1 << 20):
             n, ids_hex, text_hex = [], [], []
             for text in _texts(batch):
                 words = e.encoded(text)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.common import U64, Scratch, mix64, pick, slices
+from quillon.llm.common import U64, Scratch, mix64, pick, slices, trimmed
 from quillon.llm.components import components
 from quillon.llm.shingles import shingle_sets, signature
 
@@ -396,7 +396,7 @@ class Join:
 
     def scan(self) -> None:
         """Sizes, signatures and bitmaps of all sets, and the order of shingles."""
-        found = self.scratch.save(self.docs.mapInArrow(_scan, SETS), "sets", "kind")
+        found = self.scratch.save(self.docs.mapInArrow(trimmed(_scan), SETS), "sets", "kind")
         self.rows = found.filter("kind = 0").select("doc_id", "n", "sig")
         self.bits = found.filter("kind = 0 and bits is not null").select("sig", "bits").groupBy("sig").agg(F.first("bits").alias("bits"))
         counts = np.zeros(COUNTERS, np.int64)
@@ -409,8 +409,8 @@ class Join:
 
     def lists(self) -> None:
         order, light = self.order, self.light
-        posts = self.docs.mapInArrow(_post(order, light), POSTINGS).repartition("key", "part")
-        found = self.scratch.save(posts.mapInArrow(_lists, LISTS), "lists", "kind")
+        posts = self.docs.mapInArrow(trimmed(_post(order, light)), POSTINGS).repartition("key", "part")
+        found = self.scratch.save(posts.mapInArrow(trimmed(_lists), LISTS), "lists", "kind")
         chained = found.filter("kind = 0").select(F.col("sig").alias("a"), F.col("other").alias("b"), F.col("n").alias("na"), F.col("m").alias("nb"))
         self.entries = found.filter("kind = 1").select("key", "part", "sig", "n", "pos")
         # parts of one list meet through the least member of each
@@ -457,7 +457,7 @@ class Join:
                     yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.ListArray.from_arrays(edges, pa.array(np.concatenate(found)))], ["sig", "keys"])
 
         b1, b2 = bits(F.xxhash64("doc_id"))
-        return self.docs.select("text", b1.alias("b1"), b2.alias("b2")).mapInArrow(make, "sig long, keys array<long>").groupBy("sig").agg(F.first("keys").alias("keys"))
+        return self.docs.select("text", b1.alias("b1"), b2.alias("b2")).mapInArrow(trimmed(make), "sig long, keys array<long>").groupBy("sig").agg(F.first("keys").alias("keys"))
 
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
         """a and b of the pairs that link, by the sets themselves."""
@@ -476,7 +476,7 @@ class Join:
         e = e.join(open_, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         e = e.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig", "n", "pos", "comp", "own").join(self.bits, "sig")
         dealt = e.select("key", "i", "j", "n", "pos", "comp", "own", "bits").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        return dealt.mapInArrow(_within, EDGES).distinct()
+        return dealt.mapInArrow(trimmed(_within), EDGES).distinct()
 
     def rest(self, comps: DataFrame) -> DataFrame:
         """Links between components.
@@ -497,7 +497,7 @@ class Join:
         others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.col("minor") & (j != home))
         at = F.explode(F.concat(F.array(F.struct(home.alias("j"), F.lit(0).alias("probe"))), F.transform(others, lambda j: F.struct(j.alias("j"), F.lit(1).alias("probe"))))).alias("at")
         dealt = m.select("cluster", at, "comp", "minor", "keys").select("cluster", "at.j", "at.probe", "comp", "minor", "keys")
-        return dealt.repartition("cluster", "j").sortWithinPartitions("cluster", "j", "probe").mapInArrow(_clusters, EDGES)
+        return dealt.repartition("cluster", "j").sortWithinPartitions("cluster", "j", "probe").mapInArrow(trimmed(_clusters), EDGES)
 
     def components(self) -> DataFrame:
         """node and comp of every signature that links to a smaller one."""
