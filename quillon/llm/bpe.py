@@ -24,6 +24,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -235,60 +236,66 @@ def splitter(path: str) -> Splitter:
 
 
 class Memo(dict):
-    """Results by key; a missing key is worked out, and kept while there is room."""
+    """Results by key, in two generations of ``most`` each; keys in use come over from the old one, the rest go with it."""
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key: str):
-        out = self.make(key)
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
         if len(self) < self.most:
             self[key] = out
         return out
 
     def renew(self) -> None:
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
 
 
 class Encoder:
     """Encodes texts to ids and decodes ids by the labels of their arcs."""
 
-    #: Runs and words kept; they only save time.
-    MOST_RUNS, MOST_WORDS = 220_000, 120_000
+    #: Runs kept in each generation; they only save time.
+    MOST_RUNS = 240_000
 
     def __init__(self, path: str):
         trim()
         self.a, self.split = automaton(path), splitter(path)
-        self.words = Memo(self._word, self.MOST_WORDS)
+        self.labels = {str(i): x for i, x in self.a.label.items()}
         self.runs = Memo(self._run, self.MOST_RUNS)
         gc.freeze()  # the tables live as long as the worker
 
-    def _word(self, word: str) -> tuple[int, str, str]:
-        ids = self.a.encode_word(word)
-        return len(ids), " ".join(map(str, ids)), " ".join([self.a.label[i] for i in ids])
+    def _word(self, word: str) -> str:
+        return " ".join(map(str, self.a.encode_word(word)))
 
-    def _run(self, run: str) -> tuple[int, str, str]:
-        found = [self.words[w] for w in self.split.words(run)]
+    def _run(self, run: str) -> str:
+        found = self.split.words(run)
         if len(found) == 1:
-            return found[0]
-        return sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
+            return self._word(found[0])
+        # a word of ASCII is a run that is not cut again
+        return " ".join(map(self.runs.__getitem__ if run.isascii() else self._word, found))
 
-    def encoded(self, text: str) -> list[tuple[int, str, str]]:
-        """Number of ids, their decimal form and their labels for each run of the text in turn."""
-        self.words.renew()
+    def encoded(self, text: str) -> str:
+        """The ids of a text in decimal form, joined by one space."""
         self.runs.renew()
-        out: list = []
+        out: list[str] = []
         for k, part in enumerate(self.split.parts(text)):
             if k % 2:
-                out.append((1, str(self.split.special[part]), part))
+                out.append(str(self.split.special[part]))
             elif part:
                 out.extend(map(self.runs.__getitem__, self.split.runs(part)))
-        return out
+        return " ".join(out)
+
+    def decoded(self, ids: list[str]) -> str:
+        """The labels of the arcs of ids in decimal form."""
+        return " ".join(map(self.labels.__getitem__, ids))
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, decimal, _ in self.encoded(text) for i in decimal.split()]
+        return list(map(int, self.encoded(text).split()))
 
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(self.a.label[i] for i in ids if i in self.a.label)
@@ -316,8 +323,10 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for batch in slices(batches, 1 << 20):
-            ids = [e.encode(t) for t in _texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids"])
+            ids = [np.fromstring(x, np.int32, sep=" ") if x else np.zeros(0, np.int32) for x in map(e.encoded, _texts(batch))]
+            edges = np.cumsum([0, *map(len, ids)])
+            lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(ids)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(edges), pa.int64()), lists], ["doc_id", "n_tokens", "ids"])
 
     return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
 
@@ -338,8 +347,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text, without building the id arrays.
 
-    The digests join the decimal ids, and the arc labels, of each word that the
-    encoder returns.  Null texts count as empty; repeated rows and null ids stay.
+    The decoded digest is that of the labels of the encoded ids.  Null texts count as empty; repeated rows and null ids stay.
     """
     path = path or default_vocabulary()
 
@@ -348,14 +356,11 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in slices(batches, 1 << 20):
             n, ids_hex, text_hex = [], [], []
             for text in _texts(batch):
-                words = e.encoded(text)
-                if words:
-                    count, decimal, labels = zip(*words, strict=True)
-                else:
-                    count, decimal, labels = (), (), ()
-                n.append(sum(count))
-                ids_hex.append(sha256(" ".join(decimal).encode()).hexdigest())
-                text_hex.append(sha256(" ".join(labels).encode()).hexdigest())
+                decimal = e.encoded(text)
+                ids = decimal.split()
+                n.append(len(ids))
+                ids_hex.append(sha256(decimal.encode()).hexdigest())
+                text_hex.append(sha256(e.decoded(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

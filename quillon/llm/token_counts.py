@@ -91,7 +91,7 @@ class Counter:
 
     #: Characters of a chunk.
     CHUNK = 1 << 16
-    MOST_RUNS, MOST_WORDS = 400_000, 200_000
+    MOST_RUNS, MOST_WORDS = 200_000, 100_000
 
     def __init__(self, path: str):
         self.transducer, self.split = Transducer(automaton(path)), splitter(path)
