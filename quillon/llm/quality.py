@@ -154,10 +154,12 @@ def score(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """The rows that pass, with the columns of documents.
 
-    Features are worked out twice, once for the sketches and once for the
-    verdict, so that no text is shuffled or written in between.
+    Features cost far more than a written copy of the rows, so they are worked
+    out once and kept beside the text; a later step reads only the columns that
+    it needs.
     """
     d = pick(docs, "doc_id", "text", "lang", "source", "n_chars")
     scratch = Scratch(docs.sparkSession, "quality")
-    tops = scratch.save(fences(sketches(features(d).drop("text"))).coalesce(1), "fences")
-    return judged(features(d), tops).filter("kept").select(*d.columns)
+    feats = scratch.save(features(d), "features")
+    tops = scratch.save(fences(sketches(feats)).coalesce(1), "fences")
+    return judged(feats, tops).filter("kept").select(*d.columns)
