@@ -39,6 +39,8 @@ MOST_LIGHT = 64
 BLOCK = 8192
 #: Places in a prefix whose lists give chains.
 CHAIN_PLACES = 12
+#: The columns of documents.
+DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Bits of the filter that says whose sets are wanted.
 WANTED_BITS = 1 << 24
 
@@ -531,16 +533,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The columns of documents; of each component the row of the smallest doc_id stays.
+    """The columns of documents; of each component one row stays, the first by doc_id and then by text.
 
-    Of repeated rows with that doc_id one stays; rows with a null doc_id stay
-    only where the component has no other.
+    Rows are told apart by doc_id and text together, so different texts under
+    one doc_id, or without one, are judged each in its own component.  A row
+    with a null doc_id stays only where its component has no other.  Rows
+    without shingles link with nothing and all stay.
     """
-    d = pick(docs, "doc_id", "text", "lang", "source", "n_chars")
-    found = near_duplicates(d).select(F.col("doc_id").alias("r_id"), "component_id")
-    gone = found.filter(~F.col("r_id").eqNullSafe(F.col("component_id"))).select("r_id").distinct()
-    left = d.join(gone, F.col("doc_id").eqNullSafe(F.col("r_id")), "left_anti")
-    again = left.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("r_id"))
-    one = left.join(again, F.col("doc_id").eqNullSafe(F.col("r_id")), "left_semi")
-    one = one.withColumn("nth", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).filter("nth = 1").drop("nth")
-    return left.join(again, F.col("doc_id").eqNullSafe(F.col("r_id")), "left_anti").unionByName(one)
+    d = pick(docs, *DOCUMENT).withColumn("key", F.xxhash64("doc_id", "text"))
+    join = Join(d.select(F.col("key").alias("doc_id"), "text"))
+    comps = join.components()
+    sigs = join.rows.filter("n > 0").select(F.col("doc_id").alias("key"), "sig").distinct()
+    rows = d.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("times"))
+    rows = rows.join(sigs, "key").join(comps, F.col("sig") == F.col("node"), "left").select("key", "doc_id", "times", F.coalesce("comp", "sig").alias("comp"))
+    rows = join.scratch.save(rows, "rows")
+    least = rows.groupBy("comp").agg(F.min("doc_id").alias("least"))
+    fate = rows.join(least, "comp").withColumn("first", F.col("doc_id").eqNullSafe(F.col("least")))
+    tied = fate.filter("first").groupBy("comp").agg(F.sum("times").alias("rows")).filter("rows > 1").select("comp", F.lit(True).alias("tied"))
+    fate = fate.join(tied, "comp", "left").filter("tied or not first").select("key", "comp", "first")
+    fate = join.scratch.save(fate, "fate")
+    one = W.partitionBy("comp").orderBy("text", "lang", "source", "n_chars")
+    of_tied = d.join(fate.filter("first"), "key").withColumn("nth", F.row_number().over(one)).filter("nth = 1")
+    return d.join(fate, "key", "left_anti").select(*DOCUMENT).unionByName(of_tied.select(*DOCUMENT))

@@ -104,6 +104,14 @@ def test_jaccard_keeps_one(docs):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_jaccard_judges_rows_not_ids(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(12))
+    rows = [(None, text("a")), (1, text("a") + " end"), *[(None, text(c)) for c in "bcd"], (None, text("b") + " end"), (2, text("e")), (3, text("e") + " end"), (3, text("f")), (4, text("g")), (4, text("h")), (4, text("g")), (5, None), (5, " "), (5, " "), (None, None), (None, None)]
+    want = [(1, text("a") + " end"), *[(None, text(c)) for c in "bcd"], (2, text("e")), (3, text("f")), (4, text("g")), (4, text("h")), (5, None), (5, " "), (5, " "), (None, None), (None, None)]
+    got = jaccard.without_near_duplicates(table(spark, [(i, t, "en", "s") for i, t in rows])).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(want)
+
+
 def test_cluster_blocks_find_all_links(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "CLUSTER_SHINGLES", 300)
     monkeypatch.setattr(jaccard, "BLOCK", 7)
