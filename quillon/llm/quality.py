@@ -25,8 +25,8 @@ SLACK = {"symbol_ratio": 0.05, "upper_ratio": 0.25, "mark_ratio": 0.15, "dup_lin
 #: Relative error of a sketch's quantiles, and the least ratio told from zero.
 ERROR, LEAST = 0.01, 1e-4
 GAMMA = (1 + ERROR) / (1 - ERROR)
-#: Quartile distances between the upper quartile and a fence; rows a group needs for fences of its own.
-FENCE, LEAST_ROWS = 3.0, 200
+#: Quartile distances between the upper quartile and a fence; rows at which a group's own quartiles count half.
+FENCE, HALF_ROWS = 3.0, 20
 
 
 def _let(value: Column, body) -> Column:
@@ -112,19 +112,22 @@ def quartiles(sketch: DataFrame, *by: str) -> DataFrame:
     return ranked.groupBy(*by, "rule").agg(F.max("rows").alias("rows"), at(0.25).alias("q1"), at(0.75).alias("q3"))
 
 
-def fences(sketch: DataFrame, fence: float = FENCE, least_rows: int = LEAST_ROWS) -> DataFrame:
+def fences(sketch: DataFrame, fence: float = FENCE, half_rows: int = HALF_ROWS) -> DataFrame:
     """One row for each lang and source with an upper fence for every rule.
 
-    A group with fewer than ``least_rows`` documents takes the fences of its
-    language, a small language those of the corpus.
+    A group of n documents weighs its own quartiles by n / (n + ``half_rows``)
+    and those of its language by the rest; a language is weighed against the
+    corpus alike.  Every group is judged by its own sketch at any size, and no
+    fence steps as a group grows.
     """
     own = quartiles(sketch, "lang", "source")
     lang = quartiles(merged(sketch, "lang"), "lang").select(F.col("lang").alias("lang_"), F.col("rule").alias("rule_"), *[F.col(c).alias(f"lang_{c}") for c in ("rows", "q1", "q3")])
     every = quartiles(merged(sketch)).select(F.col("rule").alias("rule__"), *[F.col(c).alias(f"all_{c}") for c in ("q1", "q3")])
     joined = own.join(lang, own.lang.eqNullSafe(F.col("lang_")) & (own.rule == F.col("rule_"))).join(F.broadcast(every), own.rule == F.col("rule__"))
-    choose = lambda q: F.when(F.col("rows") >= least_rows, F.col(q)).when(F.col("lang_rows") >= least_rows, F.col(f"lang_{q}")).otherwise(F.col(f"all_{q}"))
+    weighed = lambda rows, own, rest: (F.col(rows) * own + F.lit(half_rows) * rest) / (F.col(rows) + F.lit(half_rows))
+    blend = lambda q: weighed("rows", F.col(q), weighed("lang_rows", F.col(f"lang_{q}"), F.col(f"all_{q}")))
     slack = F.create_map(*[F.lit(x) for pair in SLACK.items() for x in pair])
-    top = choose("q3") + F.greatest(F.lit(fence) * (choose("q3") - choose("q1")), slack[F.col("rule")])
+    top = blend("q3") + F.greatest(F.lit(fence) * (blend("q3") - blend("q1")), slack[F.col("rule")])
     wide = joined.select("lang", "source", "rule", top.alias("top"))
     return wide.groupBy(F.col("lang").alias("f_lang"), F.col("source").alias("f_source")).agg(*[F.max(F.when(F.col("rule") == r, F.col("top"))).alias(f"top_{r}") for r in SLACK])
 

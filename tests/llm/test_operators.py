@@ -224,6 +224,15 @@ def test_quantile_sketch_is_close(spark):
     assert sorted(map(tuple, both.collect()), key=str) == sorted(map(tuple, sk.select("lang", "source", "rule", "bin", "n").collect()), key=str)
 
 
+def test_fences_do_not_step_with_the_size_of_a_group(spark):
+    sizes = {"a": 60, "b": 199, "c": 200, "d": 201}
+    rows = [(lang, "hot", 0.01) for lang in sizes for _ in range(2000)] + [(lang, "code", 0.2 + 0.2 * i / n) for lang, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame([(lang, src, *([v] * len(quality.SLACK))) for lang, src, v in rows], "lang string, source string, " + ", ".join(f"{r} double" for r in quality.SLACK))
+    top = {r["f_lang"]: r["top_symbol_ratio"] for r in quality.fences(quality.sketches(df)).filter("f_source = 'code'").collect()}
+    assert max(top[x] for x in "bcd") - min(top[x] for x in "bcd") < 0.01
+    assert min(top.values()) > 0.4
+
+
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer
