@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and sliding-window entropy of candidate strings.
 
-A candidate is a long run of characters that keys are written in.  Its class
-(hex, letters and digits, base64) sets the bits that a window must reach.  The
-window's entropy is kept by counts: a step changes two counts and two terms of
-a sum.  Windows above the bits join into spans.  An allow-list takes spans back;
+A candidate is a long run of characters that keys are written in.  The class of
+a window's own characters (hex, letters and digits, base64) sets the bits that
+it must reach, so a key counts alike alone and after ``id=``.  The window's
+entropy is kept by counts: a step changes two counts and two terms of a sum.
+Windows above the bits join into spans.  An allow-list takes spans back;
 it never touches what the fixed patterns found.
 """
 
@@ -33,7 +34,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
 @dataclass(frozen=True)
 class Entropy:
-    """Window length, the bits a window must reach by class of candidate, and the allow-list."""
+    """Window length, the bits a window must reach by class of its characters, and the allow-list."""
 
     window: int = 20
     hex_bits: float = 3.0
@@ -77,6 +78,28 @@ def bits_needed(candidate: str, rule: Entropy) -> float | None:
     return rule.alnum_bits if candidate.isalnum() else rule.base64_bits
 
 
+def window_needs(candidate: str, rule: Entropy, need: float) -> Iterator[float]:
+    """The bits of every window by its own class; a window without digits or without letters has the candidate's, ``need``."""
+    digit = letter = not_hex = not_alnum = -1
+    for i, c in enumerate(candidate):
+        if c.isdigit():
+            digit = i
+        elif c.isalpha():
+            letter = i
+            if c not in "abcdefABCDEF":
+                not_hex = i
+        else:
+            not_hex = not_alnum = i
+        start = i - rule.window + 1
+        if start >= 0:
+            if digit < start or letter < start:
+                yield need
+            elif not_hex < start:
+                yield rule.hex_bits
+            else:
+                yield rule.alnum_bits if not_alnum < start else rule.base64_bits
+
+
 def entropy_spans(text: str, rule: Entropy, allowed: re.Pattern) -> list[tuple[int, int]]:
     out = []
     for m in CANDIDATE.finditer(text):
@@ -85,8 +108,8 @@ def entropy_spans(text: str, rule: Entropy, allowed: re.Pattern) -> list[tuple[i
         if need is None or allowed.fullmatch(candidate):
             continue
         start = end = None
-        for i, bits in enumerate(window_bits(candidate, rule.window)):
-            if bits >= need:
+        for i, (bits, least) in enumerate(zip(window_bits(candidate, rule.window), window_needs(candidate, rule, need), strict=True)):
+            if bits >= least:
                 if end is not None and i <= end:
                     end = i + rule.window
                 else:

@@ -185,6 +185,21 @@ def test_window_entropy_is_incremental():
     assert np.allclose(list(secrets.window_bits(text, 20)), want)
 
 
+@pytest.mark.parametrize("key", ["9F86D081884C7D659A2FEAA0C55AD015", "9f86d081884c7d659a2f", "9F86D081884C7D659A2FEA", "k8Jq2mZx7Lw4Tn9Rb3Vc"])
+@pytest.mark.parametrize("before, after", [("", ""), ("id=", ""), ("prod-", ""), ("sum_", "_old"), ("-", "/"), ("region/", "==")])
+def test_a_key_is_found_whatever_touches_it(key, before, after):
+    rule = secrets.Entropy()
+    spans = secrets.entropy_spans(f"x {before}{key}{after} y", rule, re.compile("|".join(rule.allow)))
+    at = 2 + len(before)
+    assert any(a <= at and b >= at + len(key) for a, b in spans)
+
+
+@pytest.mark.parametrize("text", ["/usr/lib/python3/site-packages/numpy", "order-20231105123456789012", "550e8400-e29b-41d4-a716-446655440000", "a_long_name_of_some_function_v2"])
+def test_names_numbers_and_paths_are_no_keys(text):
+    rule = secrets.Entropy()
+    assert not secrets.entropy_spans(text, rule, re.compile("|".join(rule.allow)))
+
+
 def counts(text):
     w, seen, dup = WORD.findall(text or ""), set(), 0
     windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
