@@ -9,6 +9,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -57,11 +58,17 @@ class Scratch:
     """Tables written between the steps of one operator.
 
     A written table cuts the lineage: a lost executor costs a re-read, not the
-    steps before it.  ``drop`` frees a table as soon as no later step reads it.
+    steps before it.  ``drop`` frees a table as soon as no later step reads it,
+    ``keep`` all but those that the lazy result reads.  What is left goes when
+    the application ends, or before that by ``release``.
     """
 
+    #: Folders of this process that still hold tables.
+    roots: ClassVar[set[str]] = set()
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.names: set[str] = set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -69,15 +76,63 @@ class Scratch:
     def save(self, df: DataFrame, name: str, *by: str) -> DataFrame:
         """Writes df, split into a folder for each value of ``by``, and reads it back."""
         kept = df.schema
+        if self.root not in Scratch.roots:
+            Scratch.roots.add(self.root)
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+        self.names.add(name)
         writer = df.write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy(*by) if by else writer).parquet(self.path(name))
         return self.spark.read.schema(kept).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            at = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(self.spark, self.path(name))
+            self.names.discard(name)
+
+    def keep(self, *names: str) -> None:
+        """Drops every table but the named ones."""
+        self.drop(*(self.names - set(names)))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that operators of this process have written.
+
+    For the owner of a long session, after results have been read: results are
+    lazy, so those not read yet are gone too.
+    """
+    for root in list(Scratch.roots):
+        _delete(spark, root)
+        Scratch.roots.discard(root)
+
+
+#: Rows of one key that a join leaves in one task at least, and keys that are broadcast at most.
+HOT_ROWS, MOST_HOT = 1024, 100_000
+
+
+def join_few(rows: DataFrame, few: DataFrame, key: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+    """rows joined with few, which has one row for each key, so that no task gets all rows of a frequent key.
+
+    A key is frequent if it has more than HOT_ROWS rows and more than a
+    MOST_HOT-th of all rows, so at most MOST_HOT keys are; their rows of few are
+    broadcast.  All others meet by a shuffle.  The keys are counted in
+    ``counted``, a written table (rows itself unless given).
+    """
+    counted = rows if counted is None else counted
+    counts = counted.groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > HOT_ROWS)
+    least = -(-counted.count() // MOST_HOT)
+    hot = counts.filter(F.col("_rows") > least).select(key).toArrow()  # MOST_HOT rows at most
+    if not hot.num_rows:
+        return rows.join(few, key, how)
+    keys = rows.sparkSession.createDataFrame(hot)
+    cold = rows.join(F.broadcast(keys), key, "left_anti").join(few, key, how)
+    few_hot = few.join(F.broadcast(keys), key, "left_semi")
+    return cold.unionByName(rows.join(F.broadcast(keys), key, "left_semi").join(F.broadcast(few_hot), key, how))
 
 
 def trim() -> None:

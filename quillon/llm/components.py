@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Scratch
+from quillon.llm.common import Scratch, join_few
 
 #: Edges that one task contracts at a time.
 TASK_EDGES = 500_000
@@ -63,7 +63,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str, task_edges: int =
     while tasks > 1:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join_few(both, low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = scratch.save(large, f"{name}-large{round_}")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("m").alias("y")), F.struct(F.col("v").alias("x"), F.col("m").alias("y")))).alias("z")).select(F.col("z.x").alias("u"), F.col("z.y").alias("v")).filter("u <> v").distinct()

@@ -23,16 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.common import U64, Scratch, mix64, pick, slices, trimmed
+from quillon.llm.common import U64, Scratch, join_few, mix64, pick, slices, trimmed
 from quillon.llm.components import components
-from quillon.llm.shingles import shingle_sets, signature
+from quillon.llm.shingles import shingle_sets, signatures
 
-#: Counters of the sketch (a fixed size), and counters in one of its rows.
-COUNTERS, ROW = 1 << 18, 64
+#: Counters of the sketch: one for each so many bytes of text, between two bounds; and counters in one of its rows.
+COUNTER_BYTES, COUNTERS, MOST_COUNTERS, ROW = 1 << 19, 1 << 18, 1 << 24, 64
 #: Sizes above this are never light.
 MOST_LIGHT = 64
 #: Entries of one block of a list.
@@ -76,36 +76,57 @@ def may_link(a: bytes, b: bytes, na: int, nb: int) -> bool:
     return differ <= na + nb - 2 * int(-(-3 * (na + nb) // 7))
 
 
-SETS = "kind int, doc_id long, n int, sig long, bits binary, block int, counts array<int>"
+SETS = "kind int, doc_id {}, n int, sig long, alt long, bits binary, block int, counts array<int>"
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each text, and the partition's part of the count sketch."""
-    counts, seen = np.zeros(COUNTERS, np.int64), set()
-    names = [x.split()[0] for x in SETS.split(", ")]
-    for batch in slices(batches):
-        n, sigs, bits = [], [], []
-        for s in shingle_sets(batch.column(1)):
-            n.append(len(s))
-            sig = signature(s)
-            sigs.append(sig)
-            new = len(s) > 0 and sig not in seen
-            bits.append(bitmap(s) if new else None)
-            if new:
-                seen.add(sig)
-                np.add.at(counts, (s & U64(COUNTERS - 1)).astype(np.int64), 1) if len(s) < 64 else _add(counts, s)
-        m = len(n)
-        yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), batch.column(0), pa.array(n, pa.int32()), pa.array(sigs, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int32()))], names)
-    rows = counts.reshape(-1, ROW)
-    filled = np.flatnonzero(rows.any(axis=1))
-    m = len(filled)
-    if m:
-        values = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * ROW, pa.int32()), pa.array(rows[filled].ravel(), pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(filled, pa.int32()), values], names)
+def text_bytes(docs: DataFrame) -> int:
+    """About how many bytes of text there are: the planner's estimate, or a sum where it has none."""
+    known = int(docs.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return known if known < 1 << 60 else docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def counters(size: int) -> int:
+    """Counters for so many bytes of text, so that a list not known to be long is short."""
+    return min(MOST_COUNTERS, max(COUNTERS, 1 << (max(1, size // COUNTER_BYTES) - 1).bit_length()))
+
+
+def _scan(width: int):
+    """A row for each text, and the partition's part of a count sketch of ``width`` counters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen = np.zeros(width, np.int64), set()
+        names = [x.split()[0] for x in SETS.split(", ")]
+        id_type = pa.int64()
+        for batch in slices(batches):
+            id_type = batch.column(0).type
+            n, sigs, bits = [], [], []
+            for s in shingle_sets(batch.column(1)):
+                n.append(len(s))
+                sig = signatures(s)
+                sigs.append(sig)
+                new = len(s) > 0 and sig not in seen
+                bits.append(bitmap(s) if new else None)
+                if new:
+                    seen.add(sig)
+                    at = (s & U64(width - 1)).astype(np.int64)
+                    np.add.at(counts, at, 1) if len(s) < 64 else _add(counts, at)
+            m = len(n)
+            first, second = (pa.array([x[k] for x in sigs], pa.int64()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), batch.column(0), pa.array(n, pa.int32()), first, second, pa.array(bits, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int32()))], names)
+        rows = counts.reshape(-1, ROW)
+        filled = np.flatnonzero(rows.any(axis=1))
+        for k in range(0, len(filled), 1 << 14):
+            some = filled[k : k + (1 << 14)]
+            m = len(some)
+            values = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * ROW, pa.int32()), pa.array(rows[some].ravel(), pa.int32()))
+            none = pa.nulls(m, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, id_type), pa.nulls(m, pa.int32()), none, none, pa.nulls(m, pa.binary()), pa.array(some, pa.int32()), values], names)
+
+    return run
 
 
-def _add(counts: np.ndarray, s: np.ndarray) -> None:
-    at, times = np.unique((s & U64(COUNTERS - 1)).astype(np.int64), return_counts=True)
+def _add(counts: np.ndarray, at: np.ndarray) -> None:
+    at, times = np.unique(at, return_counts=True)
     counts[at] += times
 
 
@@ -121,14 +142,18 @@ class Order:
         total = max(1.0, float(counts.sum()))
         self.others = max(0.0, float((counts.astype(float) ** 2).sum()) / total - mean - 1)
 
+    def _class(self, hashes: np.ndarray) -> np.ndarray:
+        return self.classes[(hashes & U64(len(self.classes) - 1)).astype(np.int64)]
+
     def keys(self, hashes: np.ndarray) -> np.ndarray:
-        """Sorted positive numbers, the class on top of 57 bits of hash."""
-        rank = self.classes[(hashes & U64(COUNTERS - 1)).astype(np.int64)].astype(U64)
-        return np.sort(rank << U64(57) | hashes >> U64(7)).view(np.int64)
+        """The sorted shingles of a set, the rare classes first and each class by hash; all 64 bits count."""
+        rank = self._class(hashes)
+        return (hashes[np.argsort(rank, kind="stable")] if rank.any() else hashes).view(np.int64)
 
-    def parts(self, cls: np.ndarray) -> np.ndarray:
-        """Into how many parts a list of a class is dealt: its length is known only to be less than its counter."""
-        return np.maximum(1, (np.int64(self.edge) << cls.astype(np.int64)) // BLOCK * (cls > 0))
+    def parts(self, keys: np.ndarray) -> np.ndarray:
+        """Into how many parts the list of a shingle is dealt: its length is known only to be less than its counter."""
+        rank = self._class(keys.view(U64)).astype(np.int64)
+        return np.maximum(1, (np.int64(self.edge) << rank) // BLOCK * ((rank > 0) | (self.edge > BLOCK)))
 
 
 def boundary(sizes: dict[int, int], others: float) -> int:
@@ -149,7 +174,15 @@ POSTINGS = "key long, part int, sig long, n int, pos int"
 LISTS = "kind int, key long, part int, sig long, n int, pos int, other long, m int"
 
 
-def _post(order: Order, light: int):
+def named(s: np.ndarray, clash: frozenset[int]) -> int:
+    """The number that stands for a set: its first signature, or the second where the first stands for several sets."""
+    first, second = signatures(s)
+    return second if first in clash else first
+
+
+def _post(order: Order, light: int, clash: frozenset[int]):
+    """Postings; pos is -1 for a pair of shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         names = [x.split()[0] for x in POSTINGS.split(", ")]
@@ -157,7 +190,7 @@ def _post(order: Order, light: int):
             keys, sigs, sizes, places = [], [], [], []
             for s in shingle_sets(batch.column(1)):
                 n = len(s)
-                if n < 2 or (sig := signature(s)) in seen:
+                if n < 2 or (sig := named(s, clash)) in seen:
                     continue
                 seen.add(sig)
                 k = order.keys(s)
@@ -165,8 +198,8 @@ def _post(order: Order, light: int):
                     p = k[: n // 4 + 2].view(U64)
                     i, j = np.triu_indices(len(p), 1)
                     pair = mix64(p[i] * U64(0x9E3779B97F4A7C15) + mix64(p[j]))
-                    keys.append((pair | U64(1 << 63)).view(np.int64))
-                    places.append(np.zeros(len(i), np.int32))
+                    keys.append(pair.view(np.int64))
+                    places.append(np.full(len(i), -1, np.int32))
                     sigs.append(sig)
                     sizes.append((n, len(i)))
                 if 4 * n > 3 * light:
@@ -181,7 +214,7 @@ def _post(order: Order, light: int):
             times = np.array([m for _, m in sizes])
             sig = np.repeat(np.array(sigs, np.int64), times)
             n = np.repeat(np.array([n for n, _ in sizes], np.int32), times)
-            parts = np.where(key >= 0, order.parts((key >> 57) & 63), 1)
+            parts = np.where(place >= 0, order.parts(key), 1)
             part = np.where(parts > 1, 1 + (sig.view(U64) % parts.view(U64)).astype(np.int64), 0)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part, pa.int32()), pa.array(sig), pa.array(n, pa.int32()), pa.array(place, pa.int32())], names)
 
@@ -213,7 +246,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, part, sig, n, pos = (x[keep] for x in (key, part, sig, n, pos))
     same = (key[1:] == key[:-1]) & (part[1:] == part[:-1])
     inside = np.concatenate([same, [False]]) | np.concatenate([[False], same]) | (part > 0)
-    chained = np.flatnonzero(same & (pos[1:] < CHAIN_PLACES) & (pos[:-1] < CHAIN_PLACES) & _could(n[1:], n[:-1], pos[1:], pos[:-1], key[1:] >= 0))
+    chained = np.flatnonzero(same & (pos[1:] < CHAIN_PLACES) & (pos[:-1] < CHAIN_PLACES) & _could(n[1:], n[:-1], pos[1:], pos[:-1], pos[1:] >= 0))
     a, b = np.minimum(sig[chained], sig[chained + 1]), np.maximum(sig[chained], sig[chained + 1])
     na = np.where(a == sig[chained], n[chained], n[chained + 1])
     nb = n[chained] + n[chained + 1] - na
@@ -243,7 +276,7 @@ def _partnered(key: np.ndarray, part: np.ndarray, n: np.ndarray, pos: np.ndarray
             at = starts[k : k + step, None] + np.arange(width)
             for i in range(0, width, 256):  # rows of long lists in portions
                 a, b = at[:, i : i + 256, None], at[:, None, :]
-                could = _could(n[a], n[b], pos[a], pos[b], key[a] >= 0) & (a != b)
+                could = _could(n[a], n[b], pos[a], pos[b], pos[a] >= 0) & (a != b)
                 out[at[:, i : i + 256]] = could.any(axis=2)
     return out
 
@@ -292,12 +325,12 @@ def _near(now: tuple, held: list[pa.RecordBatch]) -> list[tuple[int, int]]:
         at = np.flatnonzero(width == w)
         place[at] = np.arange(len(at))
         rows[w] = np.frombuffer(b"".join([raw[x] for x in at]), np.uint64).reshape(len(at), w)
-    listed, across = now[0] >= 0, now[1] != now[2]
+    listed, across = pos >= 0, now[1] != now[2]
     _, label, counts = np.unique(comp, return_inverse=True, return_counts=True)
     large = label == counts.argmax()
     label, out, index = label.copy(), [], np.arange(len(comp))
     for i in np.flatnonzero(~large):  # the members of the largest component are met from the other side
-        mask = (label != label[i]) & (large | (index > i)) & _could(n[i], n, pos[i], pos, listed)
+        mask = (label != label[i]) & (large | (index > i)) & _could(n[i], n, pos[i], pos, listed[i])
         if across:
             mask &= own != own[i]
         j = np.flatnonzero(mask)
@@ -389,7 +422,7 @@ def _clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Join:
-    """One run of the join over a table with doc_id and text."""
+    """One run of the join over a table with doc_id (of any type that sorts) and text."""
 
     def __init__(self, docs: DataFrame):
         self.docs = pick(docs, "doc_id", "text")
@@ -398,20 +431,30 @@ class Join:
 
     def scan(self) -> None:
         """Sizes, signatures and bitmaps of all sets, and the order of shingles."""
-        found = self.scratch.save(self.docs.mapInArrow(trimmed(_scan), SETS), "sets", "kind")
-        self.rows = found.filter("kind = 0").select("doc_id", "n", "sig")
-        self.bits = found.filter("kind = 0 and bits is not null").select("sig", "bits").groupBy("sig").agg(F.first("bits").alias("bits"))
-        counts = np.zeros(COUNTERS, np.int64)
+        width = counters(text_bytes(self.docs))
+        found = self.scratch.save(self.docs.mapInArrow(trimmed(_scan(width)), SETS.format(self.docs.schema["doc_id"].dataType.simpleString())), "sets", "kind")
+        sets = found.filter("kind = 0")
+        self.clash = self.clashes(sets)
+        sig = F.when(F.col("sig").isin(list(self.clash)), F.col("alt")).otherwise(F.col("sig")) if self.clash else F.col("sig")
+        sets = sets.withColumn("sig", sig)
+        self.rows = sets.select("doc_id", "n", "sig")
+        self.bits = sets.filter("bits is not null").select("sig", "bits").groupBy("sig").agg(F.first("bits").alias("bits"))
+        counts = np.zeros(width, np.int64)
         summed = found.filter("kind = 1").select("block", F.posexplode("counts")).groupBy((F.col("block") * ROW + F.col("pos")).alias("at")).agg(F.sum("col").alias("n"))
-        table = summed.toArrow()  # COUNTERS rows at most
+        table = summed.toArrow()  # MOST_COUNTERS rows at most
         counts[table.column("at").to_numpy()] = table.column("n").to_numpy()
         sizes = {r["size"]: r["count"] for r in self.rows.groupBy(F.least("n", F.lit(2 * MOST_LIGHT + 1)).alias("size")).count().collect()}
         self.order = Order(counts)
         self.light = boundary({n: c for n, c in sizes.items() if n > 1}, self.order.others)
 
+    def clashes(self, sets: DataFrame) -> frozenset[int]:
+        """First signatures that stand for several sets; of m sets about m^2 / 2^65 are, three of 10^10."""
+        twice = sets.groupBy("sig").agg(F.min("alt").alias("low"), F.max("alt").alias("high")).filter("low <> high").select("sig")
+        return frozenset(r["sig"] for r in twice.collect())
+
     def lists(self) -> None:
         order, light = self.order, self.light
-        posts = self.docs.mapInArrow(trimmed(_post(order, light)), POSTINGS).repartition("key", "part")
+        posts = self.docs.mapInArrow(trimmed(_post(order, light, self.clash)), POSTINGS).repartition("key", "part")
         found = self.scratch.save(posts.mapInArrow(trimmed(_lists), LISTS), "lists", "kind")
         chained = found.filter("kind = 0").select(F.col("sig").alias("a"), F.col("other").alias("b"), F.col("n").alias("na"), F.col("m").alias("nb"))
         self.entries = found.filter("kind = 1").select("key", "part", "sig", "n", "pos")
@@ -439,7 +482,7 @@ class Join:
         for r in at.groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits")).collect():  # WANTED_BITS in all
             start = (r["bucket"] - 1) * 4096
             filled[start : start + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-        sent, order = self.spark.sparkContext.broadcast(filled), self.order
+        sent, order, clash = self.spark.sparkContext.broadcast(filled), self.order, self.clash
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
@@ -450,7 +493,7 @@ class Join:
                     hit &= (sent.value[place >> 3] >> (place & 7) & 1).astype(bool)
                 sigs, found = [], []
                 for x in shingle_sets(batch.column(0).filter(pa.array(hit))):
-                    if len(x) and (sig := signature(x)) not in seen:
+                    if len(x) and (sig := named(x, clash)) not in seen:
                         seen.add(sig)
                         sigs.append(sig)
                         found.append(order.keys(x))
@@ -470,12 +513,21 @@ class Join:
         return self.scratch.save(both.filter(7 * overlap >= 3 * (F.col("na") + F.col("nb"))).select("a", "b"), f"{name}-links")
 
     def near(self, comps: DataFrame) -> DataFrame:
-        """Edges between components that some pair of a list may link, as far as sizes, places and bitmaps tell; a forest for each block."""
+        """Edges between components that some pair of a list may link, as far as sizes, places and bitmaps tell; a forest for each block.
+
+        Of a list's members those of its largest component never meet each
+        other: they go to the blocks of the others alone, and so a list that is
+        nearly one component costs its length.
+        """
         e = self.entries.drop("part").join(comps, F.col("sig") == F.col("node"), "left").select("key", "sig", "n", "pos", F.coalesce("comp", "sig").alias("comp"))
-        open_ = e.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
-        open_ = open_.select("key", F.ceil(F.col("c") / BLOCK).alias("blocks"))
-        own = F.pmod(F.xxhash64("sig"), F.col("blocks"))
-        e = e.join(open_, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        by_comp = e.groupBy("key", "comp").agg(F.count("*").alias("c"))
+        open_ = by_comp.groupBy("key").agg(F.sum("c").alias("c"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).filter("comps > 1")
+        open_ = open_.select("key", F.col("top.comp").alias("large"), F.ceil((F.col("c") - F.col("top.c")) / BLOCK).alias("small_blocks"), F.ceil(F.col("top.c") / BLOCK).alias("large_blocks"))
+        small, all_ = F.col("small_blocks"), F.col("small_blocks") + F.col("large_blocks")
+        e = join_few(e, open_, "key", counted=self.entries).withColumn("minor", F.col("comp") != F.col("large"))
+        hashed = F.xxhash64("sig")
+        e = e.withColumn("own", F.when(F.col("minor"), F.pmod(hashed, small)).otherwise(small + F.pmod(hashed, F.col("large_blocks"))))
+        e = e.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("minor"), all_).otherwise(small) - 1)))
         e = e.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig", "n", "pos", "comp", "own").join(self.bits, "sig")
         dealt = e.select("key", "i", "j", "n", "pos", "comp", "own", "bits").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         return dealt.mapInArrow(trimmed(_within), EDGES).distinct()
@@ -490,11 +542,11 @@ class Join:
         near = components(self.near(comps), self.scratch, "near-comps").toDF("comp", "cluster")
         near = near.unionByName(near.select(F.col("cluster").alias("comp"), "cluster")).distinct()
         sizes = self.rows.filter("n > 0").groupBy("sig").agg(F.first("n").alias("n")).join(comps, F.col("sig") == F.col("node"), "left")
-        members = sizes.select("sig", "n", F.coalesce("comp", "sig").alias("comp")).join(near, "comp")
-        members = self.scratch.save(members.select("sig", "n", "comp", "cluster"), "members")
+        sizes = self.scratch.save(sizes.select("sig", "n", F.coalesce("comp", "sig").alias("comp")), "sizes")
+        members = self.scratch.save(join_few(sizes, near, "comp").select("sig", "n", "comp", "cluster"), "members")
         by_comp = members.groupBy("cluster", "comp").agg(F.sum("n").alias("total"))
         shape = by_comp.groupBy("cluster").agg(F.max_by("comp", F.struct("total", "comp")).alias("large"), F.ceil(F.sum("total") / CLUSTER_SHINGLES).alias("blocks"))
-        m = members.join(shape, "cluster").withColumn("minor", F.col("comp") != F.col("large")).join(self.sets(members), "sig")
+        m = join_few(members, shape, "cluster").withColumn("minor", F.col("comp") != F.col("large")).join(self.sets(members), "sig")
         home = F.pmod(F.xxhash64("sig"), F.col("blocks"))
         others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.col("minor") & (j != home))
         at = F.explode(F.concat(F.array(F.struct(home.alias("j"), F.lit(0).alias("probe"))), F.transform(others, lambda j: F.struct(j.alias("j"), F.lit(1).alias("probe"))))).alias("at")
@@ -508,7 +560,9 @@ class Join:
         first = self.verify(self.chained, "near")
         comps = components(first, self.scratch, "first")
         stars = comps.unionByName(self.rest(comps).toDF("node", "comp"))
-        return components(stars, self.scratch, "all")
+        found = self.scratch.save(components(stars, self.scratch, "all"), "components")
+        self.scratch.keep("sets", "components")
+        return found
 
     def result(self) -> DataFrame:
         comps = self.components()
@@ -516,7 +570,7 @@ class Join:
         least = least.select("sig", "least", F.coalesce("comp", "sig").alias("comp"))
         ids = least.groupBy("comp").agg(F.min("least").alias("component_id"))
         by_sig = least.join(ids, "comp").select("sig", "component_id")
-        joined = self.rows.filter("n > 0").join(by_sig, "sig").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+        joined = join_few(self.rows.filter("n > 0"), by_sig, "sig").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
         empty = self.rows.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
         return joined.unionByName(empty)
 
@@ -532,6 +586,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return Join(docs).result()
 
 
+def row_key() -> Column:
+    """128 bits that name a row by its doc_id and text."""
+    both = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit(":"), F.col("text")), F.lit("")))
+    return F.unhex(F.md5(both))
+
+
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """The columns of documents; of each component one row stays, the first by doc_id and then by text.
 
@@ -540,18 +600,21 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     with a null doc_id stays only where its component has no other.  Rows
     without shingles link with nothing and all stay.
     """
-    d = pick(docs, *DOCUMENT).withColumn("key", F.xxhash64("doc_id", "text"))
+    d = pick(docs, *DOCUMENT).withColumn("key", row_key())
     join = Join(d.select(F.col("key").alias("doc_id"), "text"))
     comps = join.components()
+    scratch = join.scratch
     sigs = join.rows.filter("n > 0").select(F.col("doc_id").alias("key"), "sig").distinct()
     rows = d.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("times"))
-    rows = rows.join(sigs, "key").join(comps, F.col("sig") == F.col("node"), "left").select("key", "doc_id", "times", F.coalesce("comp", "sig").alias("comp"))
-    rows = join.scratch.save(rows, "rows")
+    rows = scratch.save(rows.join(sigs, "key").select("key", "doc_id", "times", "sig"), "by-key")
+    rows = scratch.save(join_few(rows, comps.toDF("sig", "comp"), "sig", "left").select("key", "doc_id", "times", F.coalesce("comp", "sig").alias("comp")), "rows")
     least = rows.groupBy("comp").agg(F.min("doc_id").alias("least"))
-    fate = rows.join(least, "comp").withColumn("first", F.col("doc_id").eqNullSafe(F.col("least")))
+    fate = join_few(rows, least, "comp").withColumn("first", F.col("doc_id").eqNullSafe(F.col("least")))
     tied = fate.filter("first").groupBy("comp").agg(F.sum("times").alias("rows")).filter("rows > 1").select("comp", F.lit(True).alias("tied"))
-    fate = fate.join(tied, "comp", "left").filter("tied or not first").select("key", "comp", "first")
-    fate = join.scratch.save(fate, "fate")
+    fate = scratch.save(fate.select("key", "comp", "first"), "first")
+    fate = join_few(fate, tied, "comp", "left").filter("tied or not first").select("key", "comp", "first")
+    fate = scratch.save(fate, "fate")
+    scratch.keep("fate")
     one = W.partitionBy("comp").orderBy("text", "lang", "source", "n_chars")
     of_tied = d.join(fate.filter("first"), "key").withColumn("nth", F.row_number().over(one)).filter("nth = 1")
     return d.join(fate, "key", "left_anti").select(*DOCUMENT).unionByName(of_tied.select(*DOCUMENT))

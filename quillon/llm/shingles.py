@@ -12,23 +12,25 @@ from quillon.llm.common import U64, buffers, mix64
 WORDS = 5
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
-#: A random number for each byte, with A-Z as a-z; one for each place in a shingle.
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_BYTE[65:91] = _BYTE[97:123]
+#: One odd random number for each place in a shingle.
 _PLACE = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) * U64(2) + U64(1)
-_BASE = U64(0x9E3779B97F4A7C15)
+_GOLDEN = U64(0x9E3779B97F4A7C15)
+#: Bytes with A-Z as a-z.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = _LOWER[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-
-
-def _powers(n: int) -> np.ndarray:
-    out = np.full(max(n, 1), _BASE, U64)
-    out[0] = 1
-    return np.cumprod(out, dtype=U64)
+#: What is left of 8 bytes, read as a little-endian number, when a word has so many.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of every word, and the number of words before each text."""
+    """A hash of every word, and the number of words before each text.
+
+    A word is cut into pieces of 8 bytes.  Each piece is mixed by itself
+    together with its place, and the mixed pieces add up; so no arithmetic
+    between pieces can cancel, however a long word is built.
+    """
     space = _SPACE[data]
     starts = ~space
     starts[1:] &= space[:-1] | False
@@ -38,12 +40,24 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     before = np.searchsorted(at, offsets)
     if not len(at):
         return np.zeros(0, U64), before
-    inside = np.flatnonzero(~space)
-    first = np.searchsorted(inside, at)
-    lengths = np.diff(np.append(first, len(inside)))
-    place = np.arange(len(inside)) - np.repeat(first, lengths)
-    terms = _BYTE[data[inside]] * _powers(int(lengths.max()))[place]
-    return mix64(np.add.reduceat(terms, first) + lengths.astype(U64)), before
+    stops = space.copy()
+    stops[edge] = True
+    ends = np.append(np.flatnonzero(stops), len(data))
+    lengths = ends[np.searchsorted(ends, at, "right")] - at
+    low = np.zeros(len(data) + 8, np.uint8)
+    np.take(_LOWER, data, out=low[: len(data)])
+    eights = np.ndarray((len(data) + 1,), "<u8", buffer=low.data, strides=(1,))
+    hashes = mix64((eights[at] & _KEEP[np.minimum(lengths, 8)]) + _GOLDEN)
+    long = np.flatnonzero(lengths > 8)
+    if len(long):
+        more = (lengths[long] - 1) // 8
+        first = np.cumsum(more) - more
+        j = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+        place = np.repeat(at[long], more) + 8 * j
+        left = np.minimum(np.repeat(lengths[long], more) - 8 * j, 8)
+        pieces = (eights[place] & _KEEP[left]) ^ mix64((j + 1).astype(U64) * _GOLDEN)
+        hashes[long] += np.add.reduceat(mix64(pieces), first)
+    return mix64(hashes + lengths.astype(U64) * _GOLDEN), before
 
 
 def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -70,10 +84,12 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
             yield np.zeros(0, U64)
 
 
-def signature(hashes: np.ndarray) -> int:
-    """One signed 64-bit number for a whole set."""
+def signatures(hashes: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit numbers for a whole set, from a state of 128 bits, so that the second tells sets apart whose first is equal."""
     if not len(hashes):
-        return 0
+        return 0, 0
     with np.errstate(over="ignore"):
-        x = mix64(hashes).sum(dtype=U64) * _PLACE[0] + np.bitwise_xor.reduce(mix64(hashes * _PLACE[1])) + U64(len(hashes))
-    return int(mix64(np.array([x], U64)).view(np.int64)[0])
+        total, odd = mix64(hashes).sum(dtype=U64), np.bitwise_xor.reduce(mix64(hashes * _PLACE[1]))
+        state = np.array([total * _PLACE[0] + odd + U64(len(hashes)), total ^ (odd * _PLACE[2] + _GOLDEN)], U64)
+    first, second = mix64(state).view(np.int64).tolist()
+    return first, second

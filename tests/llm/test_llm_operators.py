@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, chat, components, jaccard, mixing, quality, repeats, secrets, sharding, suffixes, token_counts, topk
+from quillon.llm import bpe, chat, common, components, jaccard, mixing, quality, repeats, secrets, sharding, suffixes, token_counts, topk
 from quillon.llm.common import Scratch
 from quillon.llm.shingles import shingle_sets
 
@@ -87,6 +87,50 @@ def test_shingles(docs):
     assert got == [len(shingles(r[1])) for r in rows]
 
 
+def thue_morse(n, letters="ab"):
+    return "".join(letters[i.bit_count() & 1] for i in range(n))
+
+
+def test_no_long_word_is_taken_for_another(spark):
+    a, b = thue_morse(4096), thue_morse(4096, "ba")
+    rows = [(1, a, "en", "s"), (2, b, "en", "s"), (3, f"{a} {b} x y z", "en", "s"), (4, f"{b} {a} x y z", "en", "s"), (5, "q" * 50_000, "en", "s"), (6, "q" * 50_001, "en", "s"), (7, a.upper(), "en", "s")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(table(spark, rows)).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 3), 4: (1, 4), 5: (1, 5), 6: (1, 6), 7: (1, 1)}
+
+
+def test_frequent_keys_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([(i % 5 if i < 9 else 7, i) for i in range(40)] + [(None, 99)], "k long, v int")
+    few = spark.createDataFrame([(k, k * 10) for k in (0, 1, 2, 7, 8)], "k long, w long")
+    for how in ("inner", "left"):
+        assert sorted(common.join_few(rows, few, "k", how).collect(), key=str) == sorted(rows.join(few, "k", how).collect(), key=str)
+
+
+def test_jaccard_on_frequent_sets(docs, monkeypatch):
+    rows, df = docs
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    monkeypatch.setattr(common, "MOST_HOT", 10**9)
+    monkeypatch.setattr(jaccard, "COUNTERS", 1 << 12)
+    key = lambda x: tuple((v is None, v) for v in x)
+    assert sorted((tuple(r) for r in jaccard.near_duplicates(df).collect()), key=key) == sorted(near_groups(rows), key=key)
+    want = {c for i, n, c in near_groups(rows)}
+    assert {r["doc_id"] for r in jaccard.without_near_duplicates(df).collect()} == want
+
+
+def test_sets_with_one_signature_are_told_apart(docs, monkeypatch):
+    rows, df = docs
+    monkeypatch.setattr(jaccard.Join, "clashes", lambda self, sets: frozenset(r["sig"] for r in sets.select("sig").collect()[::2]))
+    key = lambda x: tuple((v is None, v) for v in x)
+    assert sorted((tuple(r) for r in jaccard.near_duplicates(df).collect()), key=key) == sorted(near_groups(rows), key=key)
+
+
+def test_scratch_is_released(spark, docs, tmp_path):
+    out = jaccard.near_duplicates(docs[1])
+    assert out.count() == len(docs[0]) and common.Scratch.roots
+    common.release(spark)
+    assert not common.Scratch.roots
+
+
 @pytest.mark.parametrize("light", [None, 40])
 def test_jaccard(docs, light, monkeypatch):
     rows, df = docs
