@@ -135,6 +135,21 @@ def join_few(rows: DataFrame, few: DataFrame, key: str, how: str = "inner", coun
     return cold.unionByName(rows.join(F.broadcast(keys), key, "left_semi").join(F.broadcast(few_hot), key, how))
 
 
+#: Counters of a count sketch: one for each so many bytes of text, between two bounds.
+COUNTER_BYTES, COUNTERS, MOST_COUNTERS = 1 << 19, 1 << 18, 1 << 24
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """About how many bytes of text there are: the planner's estimate, or a sum where it has none."""
+    known = int(docs.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return known if known < 1 << 60 else docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def counters(size: int) -> int:
+    """Counters for so many bytes of text, so that a list not known to be long is short."""
+    return min(MOST_COUNTERS, max(COUNTERS, 1 << (max(1, size // COUNTER_BYTES) - 1).bit_length()))
+
+
 def trim() -> None:
     """Gives freed memory back, as a worker that goes on to another operator would keep it."""
     gc.collect()

@@ -27,12 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.common import U64, Scratch, join_few, mix64, pick, slices, trimmed
+from quillon.llm.common import U64, Scratch, counters, join_few, mix64, pick, slices, text_bytes, trimmed
 from quillon.llm.components import components
 from quillon.llm.shingles import shingle_sets, signatures
 
-#: Counters of the sketch: one for each so many bytes of text, between two bounds; and counters in one of its rows.
-COUNTER_BYTES, COUNTERS, MOST_COUNTERS, ROW = 1 << 19, 1 << 18, 1 << 24, 64
+#: Counters in one row of the sketch.
+ROW = 64
 #: Sizes above this are never light.
 MOST_LIGHT = 64
 #: Entries of one block of a list.
@@ -79,17 +79,6 @@ def may_link(a: bytes, b: bytes, na: int, nb: int) -> bool:
 SETS = "kind int, doc_id {}, n int, sig long, alt long, bits binary, block int, counts array<int>"
 
 
-def text_bytes(docs: DataFrame) -> int:
-    """About how many bytes of text there are: the planner's estimate, or a sum where it has none."""
-    known = int(docs.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return known if known < 1 << 60 else docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-
-
-def counters(size: int) -> int:
-    """Counters for so many bytes of text, so that a list not known to be long is short."""
-    return min(MOST_COUNTERS, max(COUNTERS, 1 << (max(1, size // COUNTER_BYTES) - 1).bit_length()))
-
-
 def _scan(width: int):
     """A row for each text, and the partition's part of a count sketch of ``width`` counters."""
 

@@ -36,7 +36,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(_read(spark, sf_dir, "documents"))
+    return repeats.digests(repeats.remove_repeats(_read(spark, sf_dir, "documents")))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

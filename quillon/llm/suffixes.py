@@ -78,8 +78,8 @@ def cover_ranks(words: np.ndarray, n: int, length: int, period: int = PERIOD) ->
     return out
 
 
-def repeated(data: np.ndarray, starts: np.ndarray, bucket: np.ndarray, length: int = 200, period: int = PERIOD) -> np.ndarray:
-    """Whether the ``length`` bytes at each start also begin at another start of the same bucket.
+def repeated(data: np.ndarray, starts: np.ndarray, bucket: np.ndarray, length: int = 200, period: int = PERIOD) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the ``length`` bytes at each start also begin at another start of the same bucket, and whether a start is the one of its string that sorts first.
 
     data ends with 8 bytes or more after the last string.  Buckets are whole
     numbers; buckets that fit in memory together are sorted together.
@@ -115,4 +115,7 @@ def repeated(data: np.ndarray, starts: np.ndarray, bucket: np.ndarray, length: i
         active = split(rank, active, words[starts[active] + k])
     out = np.zeros(len(starts), bool)
     out[active] = True
-    return out
+    first = ~out
+    if len(active):
+        first[active[np.concatenate([[True], rank[active][1:] != rank[active][:-1]])]] = True
+    return out, first

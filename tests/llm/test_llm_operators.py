@@ -110,7 +110,7 @@ def test_jaccard_on_frequent_sets(docs, monkeypatch):
     rows, df = docs
     monkeypatch.setattr(common, "HOT_ROWS", 1)
     monkeypatch.setattr(common, "MOST_HOT", 10**9)
-    monkeypatch.setattr(jaccard, "COUNTERS", 1 << 12)
+    monkeypatch.setattr(common, "COUNTERS", 1 << 12)
     key = lambda x: tuple((v is None, v) for v in x)
     assert sorted((tuple(r) for r in jaccard.near_duplicates(df).collect()), key=key) == sorted(near_groups(rows), key=key)
     want = {c for i, n, c in near_groups(rows)}
@@ -375,10 +375,62 @@ def test_repeats(spark, docs, bucket, monkeypatch):
     share, period = noise(450), noise(37) * 14
     rows = [*docs[0], (8000, noise(300) + share + noise(90), "en", "s"), (8001, noise(10) + share[:230] + noise(300), "en", "s"), (8002, period + noise(50), "en", "s"), (8003, "x" * 199, "en", "s"), (8004, "x" * 201, "en", "s"), (8005, noise(99) + share[30:229], "en", "s")]
     rows += [(8100 + k, noise(rng.randint(0, 200)) + share[k * 9 :] + noise(20), "en", "s") for k in range(12)]
-    got = repeats.remove_repeats(table(spark, rows)).collect()
+    got = repeats.digests(repeats.remove_repeats(table(spark, rows))).collect()
     assert Counter(map(tuple, got)) == Counter(repeats_by_force(rows))
 
 
+def test_no_built_text_is_taken_for_a_repeat(spark):
+    """Blocks of one head, which is every window's least k-gram, with letters in an order on which sums of powers cancel."""
+    rng = random.Random(5)
+    heads = np.array([rng.choices(range(97, 123), k=32) for _ in range(40_000)], np.uint8).ravel()
+    sums = repeats.prefix_sums(heads)
+    at = np.arange(0, len(heads), 32)
+    best = at[np.argmin(repeats.hashes(sums, at, 32))]
+    head = bytes(heads[best : best + 32]).decode()
+    middles = ["".join(rng.choices("abcdefghijklmnop", k=31)) for _ in range(128)]
+    texts = ["".join(head + m + x for m, x in zip(middles, thue_morse(128, letters), strict=True)) for letters in ("ab", "ba")]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    got = repeats.digests(repeats.remove_repeats(table(spark, rows))).collect()
+    assert Counter(map(tuple, got)) == Counter(repeats_by_force(rows)) and all(r["n_removed"] == 0 for r in got)
+
+
+def test_a_large_bucket_is_sorted_in_portions(monkeypatch):
+    monkeypatch.setattr(repeats, "SORTED_BYTES", 3000)
+    rng = random.Random(3)
+    base = bytes(rng.choices(range(97, 101), k=700))
+    pieces = []
+    for _ in range(90):
+        a = rng.randrange(400)
+        piece = bytearray(base[a : a + rng.randint(200, 300)])
+        if rng.random() < 0.7:
+            piece[rng.randrange(len(piece))] = rng.randrange(97, 101)
+        pieces.append((bytes(piece), rng.random() < 0.8, rng.random() < 0.1))
+    rows = [(7, i, None, None, None, 10, 0, need, piece) for i, (piece, need, _) in enumerate(pieces)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 13], strict=True), repeats.SENT_TYPES, strict=True)], repeats.SENT_NAMES) for k in range(0, 90, 13)]
+    got = defaultdict(set)
+    for out in repeats._sort(iter(batches)):
+        for r in out.to_pylist():
+            got[r["gid"]] |= set(range(r["s"] - 10, r["e"] - 9))
+    seen = Counter(p[i : i + 200] for p, _, _ in pieces for i in range(len(p) - 199))
+    want = {i: {k for k in range(len(p) - 199) if seen[p[k : k + 200]] > 1} for i, (p, need, _) in enumerate(pieces) if need}
+    # of a string met in an earlier portion the first one is told when the next one comes
+    assert {i: s for i, s in got.items() if s} == {i: s for i, s in want.items() if s}
+
+
+def test_rows_with_one_number_are_told_apart(spark, docs, monkeypatch):
+    monkeypatch.setattr(repeats.Repeats, "clashes", lambda self, ids: [r["gid"] for r in ids.collect()[::2]])
+    got = repeats.digests(repeats.remove_repeats(docs[1])).collect()
+    assert Counter(map(tuple, got)) == Counter(repeats_by_force(docs[0]))
+
+
+def test_what_is_kept_and_where_the_rest_was(spark, docs):
+    text = {(r[0], r[1]): (r[1] or "").encode() for r in docs[0]}
+    for r in repeats.remove_repeats(docs[1]).collect():
+        data = [t for (i, _), t in text.items() if i == r["doc_id"] and len(t) == r["n_bytes"]]
+        gone = [range(x["start"], x["end"]) for x in r["spans"]]
+        assert any(bytes(r["kept"]) == bytes(b for k, b in enumerate(d) if not any(k in g for g in gone)) for d in data)
+
+
 def test_suffix_sort_with_difference_cover():
     cover = suffixes.difference_cover()
     assert {(a - b) % 32 for a in cover for b in cover} == set(range(32))
@@ -391,7 +443,7 @@ def test_suffix_sort_with_difference_cover():
     bucket = rng.integers(0, 2, len(starts))
     seen = Counter((b, data[s : s + 200].tobytes()) for s, b in zip(starts, bucket, strict=True))
     want = [seen[b, data[s : s + 200].tobytes()] > 1 for s, b in zip(starts, bucket, strict=True)]
-    assert suffixes.repeated(np.concatenate([data, np.zeros(208, np.uint8)]), starts, bucket).tolist() == want
+    assert suffixes.repeated(np.concatenate([data, np.zeros(208, np.uint8)]), starts, bucket)[0].tolist() == want
 
 
 def test_targets_fill_up():
