@@ -464,7 +464,7 @@ class Join:
         Sets are made again for one text of each signature; a filter of fixed
         size on doc_id keeps most others out, and a join drops the rest.
         """
-        reps = self.rows.join(wanted.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
+        reps = self.rows.groupBy("sig").agg(F.min("doc_id").alias("doc_id")).join(wanted.select("sig").distinct(), "sig", "left_semi")
         bits = lambda h: [F.pmod(h, F.lit(WANTED_BITS)), F.pmod(F.shiftright(h, 32), F.lit(WANTED_BITS))]
         at = reps.select(F.explode(F.array(*[b + 1 for b in bits(F.xxhash64("doc_id"))])).alias("bit")).select(F.bitmap_bucket_number("bit").alias("bucket"), F.bitmap_bit_position("bit").alias("place"))
         filled = np.zeros(WANTED_BITS // 8, np.uint8)

@@ -330,18 +330,35 @@ def test_every_code_point_has_the_library_classes(library):
         assert e.encode(text) == library.encode(text, add_special_tokens=False).ids, hex(c)
 
 
-@pytest.mark.parametrize("chunk", [7, 64])
+@pytest.mark.parametrize("chunk", [1, 7, 64, 1000])
 def test_chunk_maps_compose(library, chunk, monkeypatch):
     monkeypatch.setattr(token_counts.Counter, "CHUNK", chunk)
+    monkeypatch.setattr(token_counts.Transducer, "MOST_STATES", 500)
     c = token_counts.Counter(bpe.default_vocabulary())
-    text = "It's a test <|endoftext|> of chunks\n" * 9 + "unbroken" * 30
-    want = len(library.encode(text, add_special_tokens=False).ids)
-    assert c.count(text) == want
-    maps = [c.leaf(text[i : i + chunk]) for i in range(0, len(text), chunk)]
-    last = c.scan(maps)[-1]
-    assert c.whole(last.head) + last.inside + c.whole(last.tail or "") == want
-    a, b, d = maps[:3]
-    assert c.compose(c.compose(a, b), d) == c.compose(a, c.compose(b, d))
+    rng = random.Random(chunk)
+    letters = "".join(rng.choices("etaoinshr", k=900))
+    for text in ("It's a test <|endoftext|> of chunks\n" * 9 + "unbroken" * 30, letters, "x" * 700, "日本語<|endoftext|>é" * 80, letters[:300] + "1!" + letters):
+        ends = [len(library.encode(text[:n], add_special_tokens=False).ids) for n in (len(text), len(text) // 2)]
+        assert [c.count(text), c.count(text[: len(text) // 2])] == ends
+    maps = [x.map(c.transducer) for x in c.chunks(letters)]
+    prefixes = token_counts.scan(maps)
+    state, total = token_counts.START, 0
+    for m, prefix in zip(maps, prefixes, strict=True):
+        state, n = m(state)
+        total += n
+        assert prefix(token_counts.START) == (state, total)
+    if len(maps) > 2:
+        a, b, d = maps[:3]
+        left, right = token_counts.compose(token_counts.compose(a, b), d), token_counts.compose(a, token_counts.compose(b, d))
+        for x in (token_counts.START, *[m(token_counts.START)[0] for m in maps[:20]]):
+            assert left(x) == right(x)
+
+
+def test_long_text_without_white_space(spark, library):
+    rng = random.Random(4)
+    rows = [(1, "".join(rng.choices("etaoinshrdlu", k=200_000)), "en", "s"), (2, "é" * 90_000, "en", "s"), (3, "ab" * 70_000 + " c", "en", "s")]
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(table(spark, rows)).collect()}
+    assert got == {r[0]: len(library.encode(r[1], add_special_tokens=False).ids) for r in rows}
 
 
 def test_token_counts(spark, library):
