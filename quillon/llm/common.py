@@ -202,3 +202,13 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = 8 << 20, column: str =
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
                 yield batch.slice(a, b - a)
+
+
+def groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Sorted batches cut where the first ``width`` columns change; a group may come in several pieces."""
+    for batch in batches:
+        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(width)]
+        if batch.num_rows:
+            cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                yield tuple(int(k[a]) for k in keys), batch.slice(a, b - a)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.common import U64, Scratch, counters, join_few, mix64, pick, slices, text_bytes, trimmed
+from quillon.llm.common import U64, Scratch, counters, groups, join_few, mix64, pick, slices, text_bytes, trimmed
 from quillon.llm.components import components
 from quillon.llm.shingles import shingle_sets, signatures
 
@@ -291,16 +291,6 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
-    """Sorted batches cut where the first ``width`` columns change; a group may come in several pieces."""
-    for batch in batches:
-        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(width)]
-        if batch.num_rows:
-            cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
-                yield tuple(int(k[a]) for k in keys), batch.slice(a, b - a)
-
-
 def _near(now: tuple, held: list[pa.RecordBatch]) -> list[tuple[int, int]]:
     """Components of one block of a list that some pair may link, as the edges of a forest."""
     t = pa.Table.from_batches(held)
@@ -345,7 +335,7 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks come sorted and are bounded, so one is held at a time."""
     held: list[pa.RecordBatch] = []
     now: tuple | None = None
-    for at, piece in _groups(batches, 3):
+    for at, piece in groups(batches, 3):
         if at != now:
             if held and (found := _near(now, held)):
                 yield _edges(found)
@@ -389,7 +379,7 @@ def _clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def inside(b: Block) -> list[tuple[int, int]]:
         return [x for i in np.flatnonzero(b.minor) for x in b.linked(b.flat[b.ends[i] : b.ends[i + 1]], int(b.comp[i]))]
 
-    for at, piece in _groups(batches, 3):
+    for at, piece in groups(batches, 3):
         if at[:2] != now:
             if held and (found := inside(Block(held))):
                 yield _edges(found)

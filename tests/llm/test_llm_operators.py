@@ -525,8 +525,29 @@ def test_top_k(spark):
             scores = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in whole.items() if i != q and len(a) == len(b))
             want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:5])}
     assert {tuple(r) for r in topk.search(df).collect()} == want
-    q = topk.quantized(df)
-    assert {tuple(r) for r in topk.top_k(q.filter("vec_id % 50 = 0"), q, block=2).collect()} == want
+
+
+def test_top_k_over_many_tiles(spark, monkeypatch):
+    monkeypatch.setattr(topk, "LEAST_TILE", 7)
+    monkeypatch.setattr(topk, "MOST_TILE", 7)
+    rng = random.Random(13)
+    rows = [(i, [rng.choice([-1, 1]) * rng.random() ** 6 * 9 for _ in range(5)]) for i in range(100)] + [(-50, []), (-51, []), (-52, []), (700, [0.5]), (701, [0.25])]
+    rows += [rows[3]] * 9
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    want = []
+    for q, a in {x[0]: x for x in whole if x[0] % 50 == 0}.values():
+        scores = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in whole if i != q and len(a) == len(b))
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:5])]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_top_k_refuses_scores_beyond_64_bits(spark):
+    df = spark.createDataFrame([(0, [3e16]), (1, [3e16]), (2, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="2\\^60"):
+        topk.search(df)
+    near = spark.createDataFrame([(0, [2.0**21]), (1, [-(2.0**21)]), (50, [2.0**21])], "vec_id long, embedding array<double>")
+    assert {(r["query_id"], r["vec_id"], r["score"]) for r in topk.search(near).collect()} == {(0, 50, 2**58), (0, 1, -(2**58)), (50, 0, 2**58), (50, 1, -(2**58))}
 
 
 @pytest.mark.parametrize(
