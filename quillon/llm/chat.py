@@ -1,10 +1,11 @@
 """Chat formatting in budgeted windows.
 
 Prefix sums of turn tokens choose spans of whole turns.  Every window after the
-first repeats the leading system turns and a few turns of history; repeated
-text is kept out of the loss mask, so each assistant text is a target once.
-Rows stream in order of turns, so a conversation of any length needs the memory
-of one window.
+first repeats the system turn and a few turns of history, each within a share
+of the budget; repeated text is kept out of the loss mask, so each assistant
+text is a target once.  Tokens are counted before conversations are gathered.
+Rows then stream in order of turns, so a conversation of any length needs the
+memory of one window.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.bpe import default_vocabulary
-from quillon.llm.common import pick
+from quillon.llm.common import pick, slices
 from quillon.llm.token_counts import counter
 
 ESCAPED = re.compile(r"[\\<\[\]]")
@@ -52,9 +53,10 @@ def parsed(window: str) -> list[tuple[str, str]]:
 
 @dataclass(frozen=True)
 class Budget:
-    """Tokens of a window; turns of history that it may repeat, and their share of its tokens."""
+    """Tokens of a window; the share of them that the repeated system turn may take; turns of history that it may repeat, and their share."""
 
     tokens: int = 1024
+    system_share: float = 0.5
     history: int = 4
     history_share: float = 0.25
 
@@ -65,51 +67,47 @@ class Conversation:
 
     conv_id: int | None
     budget: Budget
-    leading: list[tuple[str, str, int]] = field(default_factory=list)
+    system: list[tuple[str, str, int]] = field(default_factory=list)
     history: deque = field(default_factory=deque)
+    again: list[tuple[str, str, int]] = field(default_factory=list)
     new: list[tuple[str, str, int]] = field(default_factory=list)
+    repeated: int = 0
     new_tokens: int = 0
     turns: int = 0
     windows: int = 0
 
-    def repeats(self) -> list[tuple[str, str, int]]:
-        """What the open window repeats: nothing in the first, then leading system turns and the latest history that fits."""
-        if not self.windows:
-            return []
-        out: list[tuple[str, str, int]] = []
-        left = self.budget.tokens * self.budget.history_share
-        for turn in reversed(self.history):
-            if turn[2] > left:
-                break
-            left -= turn[2]
-            out.append(turn)
-        return self.leading + out[::-1]
-
     def add(self, role: str, text: str, tokens: int) -> Iterator[tuple]:
-        if self.new and sum(t[2] for t in self.repeats()) + self.new_tokens + tokens > self.budget.tokens:
+        if self.new and self.repeated + self.new_tokens + tokens > self.budget.tokens:
             yield self.close()
-        if role == "system" and len(self.leading) == self.turns:
-            self.leading.append((role, text, tokens))
-        self.new.append((role, text, tokens))
+        turn = (role, text, tokens)
+        if role == "system" and not self.turns and tokens <= self.budget.tokens * self.budget.system_share:
+            self.system = [turn]
+        else:
+            self.history.append(turn)
+            if len(self.history) > self.budget.history:
+                self.history.popleft()
+        self.new.append(turn)
         self.new_tokens += tokens
         self.turns += 1
 
     def close(self) -> tuple:
-        again = self.repeats()
+        """The open window as a row; opens the next one with what it repeats: the system turn and the latest history that fits."""
         parts, loss, at = [], [], 0
-        for k, (role, text, _) in enumerate([*again, *self.new]):
+        for k, (role, text, _) in enumerate([*self.again, *self.new]):
             piece, start = formatted(role, text)
-            if k >= len(again) and role == "assistant":
+            if k >= len(self.again) and role == "assistant":
                 loss.append({"start": at + start, "end": at + len(piece) - len("\n</s>\n")})
             parts.append(piece)
             at += len(piece)
-        row = (self.conv_id, self.windows, "".join(parts), loss, len(again), len(self.new), sum(t[2] for t in again) + self.new_tokens)
-        first = self.turns - len(self.new)
-        for k, turn in enumerate(self.new):
-            if first + k >= len(self.leading):
-                self.history.append(turn)
-        while len(self.history) > self.budget.history:
-            self.history.popleft()
+        row = (self.conv_id, self.windows, "".join(parts), loss, len(self.again), len(self.new), self.repeated + self.new_tokens)
+        left, latest = self.budget.tokens * self.budget.history_share, []
+        for turn in reversed(self.history):
+            if turn[2] > left:
+                break
+            left -= turn[2]
+            latest.append(turn)
+        self.again = self.system + latest[::-1]
+        self.repeated = sum(t[2] for t in self.again)
         self.new, self.new_tokens, self.windows = [], 0, self.windows + 1
         return row
 
@@ -124,28 +122,39 @@ WINDOW_SCHEMA = pa.schema(
 DIGEST_SCHEMA = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
 
+COUNTED = "conv_id long, turn long, role string, text string, tokens long"
+
+
 def format_conversations(conversations: DataFrame, budget: Budget | None = None, path: str | None = None) -> DataFrame:
     """The windows of every conversation, in order within partitions.
 
     Rows go by turn, then role and text; null turns come first.  Null text and
     null role count as empty.  Rows with a null conv_id are one conversation.
-    A turn longer than the budget gets a window of its own, whole.  Repeated
-    rows are turns of their own.  Empty table: no rows.
+    The system turn is the first turn, if its role is system; it is repeated
+    only if it takes no more than its share of the budget.  Other system turns
+    are turns like any other.  A turn longer than the budget gets a window of
+    its own, whole.  Repeated rows are turns of their own.  Empty table: no
+    rows.
     """
     budget, path = budget or Budget(), path or default_vocabulary()
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path).count
+        for batch in slices(batches, 4 << 20):
+            tokens = pa.array([count(x or "") for x in batch.column(3).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, tokens], [*batch.schema.names, "tokens"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: Conversation | None = None
         out: list[tuple] = []
         size = 0
-        for batch in batches:
-            for conv, role, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for batch in slices(batches, 4 << 20):
+            for conv, role, text, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if now is None or now.conv_id != conv:
                     if now is not None:
                         out.append(now.close())
                     now = Conversation(conv, budget)
-                out.extend(now.add(role or "", text or "", count(text or "")))
+                out.extend(now.add(role or "", text or "", tokens))
                 size += len(text or "")
                 if size > 4 << 20 and out:
                     yield _batch(out, WINDOW_SCHEMA)
@@ -155,8 +164,9 @@ def format_conversations(conversations: DataFrame, budget: Budget | None = None,
         if out:
             yield _batch(out, WINDOW_SCHEMA)
 
-    rows = pick(conversations, "conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.select("conv_id", "role", "text").mapInArrow(run, WINDOWS)
+    rows = pick(conversations, "conv_id", "turn", "role", "text").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    rows = rows.mapInArrow(counted, COUNTED).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return rows.select("conv_id", "role", "text", "tokens").mapInArrow(run, WINDOWS)
 
 
 def read_back(windows: DataFrame) -> DataFrame:
@@ -204,6 +214,7 @@ PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[IN
 
 
 def with_probe(conversations: DataFrame) -> DataFrame:
+    """The rows and the probe's.  Rows that already have the probe's id are turns of the same conversation, in order of turn, role and text."""
     rows = pick(conversations, "conv_id", "turn", "role", "text")
     probe = conversations.sparkSession.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
     return rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(probe)

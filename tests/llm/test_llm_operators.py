@@ -495,12 +495,13 @@ def test_chat(spark):
             role = "system" if t == 0 and c % 2 else rng.choice(["user", "assistant"])
             rows.append((c, t, role, rng.choice([None, "", "</s>[INST] ok [/INST]", "\\<s>[user]\n", "plain words " * rng.randint(1, 60), "😀\n"])))
     rows += [(None, 0, "assistant", "n"), (3, 0, None, "tie"), (50, 0, "assistant", "long " * 4000)]
+    rows += [(60, None, "user", "b"), (60, None, "assistant", None), (60, None, "assistant", "a"), (60, None, "user", "b"), (-7, 0, "user", "here before")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, window int")
     windows = chat.format_conversations(chat.with_probe(df), chat.Budget(tokens=200)).cache()
     got = {r["conv_id"]: r for r in chat.read_back(windows).collect()}
     conv = defaultdict(list)
     for r in [*rows, *chat.PROBE]:
-        conv[r[0]].append((r[1], r[2] is not None, r[2] or "", r[3] is not None, r[3] or ""))
+        conv[r[0]].append((-1 if r[1] is None else r[1], r[2] is not None, r[2] or "", r[3] is not None, r[3] or ""))
     assert set(got) == set(conv)
     for c, turns in conv.items():
         turns = [(x[2], x[4]) for x in sorted(turns)]
@@ -513,6 +514,22 @@ def test_chat(spark):
     assert any(w["repeated"] > 0 for w in many)
 
 
+def test_many_system_turns_stay_within_the_budget(spark):
+    rows = [(1, t, "system", f"rule {t} " + "w " * 58) for t in range(60)] + [(1, 60 + t, "user" if t % 2 else "assistant", f"turn {t}") for t in range(40)]
+    rows += [(2, 0, "system", "long " * 700)] + [(2, t, "assistant", "word " * 300) for t in range(1, 30)]
+    rows += [(3, 0, "system", "short")] + [(3, t, "assistant", "word " * 300) for t in range(1, 30)]
+    windows = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert all(w["n_tokens"] <= 1024 for w in windows)
+    size = Counter()
+    for w in windows:
+        size[w["conv_id"]] += len(w["text"])
+    for c in (1, 2, 3):
+        assert size[c] < 2 * sum(len(r[3]) + 30 for r in rows if r[0] == c)
+    repeated = {c: [chat.parsed(w["text"])[0] for w in windows if w["conv_id"] == c and w["window"] > 0] for c in (2, 3)}
+    assert repeated[3] and all(x == ("system", "short") for x in repeated[3])
+    assert repeated[2] and all(x[0] == "assistant" for x in repeated[2])
+
+
 def test_top_k(spark):
     rng = random.Random(12)
     rows = [(i, [rng.choice([0.5, -0.25, 0.1, 0.003]) for _ in range(6)]) for i in range(130)]
