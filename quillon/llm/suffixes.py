@@ -12,8 +12,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Period, and residues whose differences give every residue.
-PERIOD = 32
+#: Period of the difference cover; bytes by which ties are refined at a time, and the bits they take.
+PERIOD, STEP, BITS = 32, 5, 40
 
 
 @lru_cache(maxsize=4)
@@ -38,46 +38,67 @@ def shifts(period: int = PERIOD) -> np.ndarray:
 
 
 def words_at(data: np.ndarray) -> np.ndarray:
-    """The 8 bytes from every position on as one number, in the order of the bytes."""
+    """The STEP bytes from every position on as one number, in the order of the bytes."""
     n = len(data) - 7
-    return np.ndarray((n,), ">u8", buffer=np.ascontiguousarray(data).data, strides=(1,)).astype(np.uint64)
+    eights = np.ndarray((n,), ">u8", buffer=np.ascontiguousarray(data).data, strides=(1,))
+    return (eights.astype(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def split(rank: np.ndarray, active: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Refines the ranks of the active items by a further key; returns those still tied, in order.
+def steps(start: int, stop: int) -> list[int]:
+    """Where the words begin that cover the bytes from start to stop; the last may overlap."""
+    return [*range(start, stop - STEP, STEP), stop - STEP]
+
+
+def split(rank: np.ndarray, active: np.ndarray, word: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Refines the ranks of the active items, which come in order of rank, by a further key; returns those still tied, in order.
 
     A rank is the place of the first item of its group, so groups split within
-    their own range.
+    their own range.  A group's number and the key are sorted as one number.
     """
     if not len(active):
         return active
-    order = np.lexsort((word, rank[active]))
-    a, w = active[order], word[order]
-    r = rank[a]
-    group = np.concatenate([[True], r[1:] != r[:-1]])
-    sub = group.copy()
-    sub[1:] |= w[1:] != w[:-1]
+    r = rank[active]
+    group = np.zeros(len(r), np.int64)
+    np.cumsum(r[1:] != r[:-1], out=group[1:])
+    if int(group[-1]) >> (63 - bits):
+        raise ValueError("too many suffixes for one sort")
+    key = group << bits | word
+    order = np.argsort(key, kind="stable")
+    a, key = active[order], key[order]
+    sub = np.concatenate([[True], key[1:] != key[:-1]])
     at = np.arange(len(a))
-    first, start = np.maximum.accumulate(np.where(group, at, 0)), np.maximum.accumulate(np.where(sub, at, 0))
+    new = np.concatenate([[True], r[1:] != r[:-1]])
+    first, start = np.maximum.accumulate(np.where(new, at, 0)), np.maximum.accumulate(np.where(sub, at, 0))
     rank[a] = r + (start - first)
     tied = ~sub
     tied[:-1] |= ~sub[1:]
     return a[tied]
 
 
-def cover_ranks(words: np.ndarray, n: int, length: int, period: int = PERIOD) -> np.ndarray:
-    """Ranks of the ``length`` bytes from each cover position on, at those positions; the last word overlaps."""
-    at = np.flatnonzero(np.isin(np.arange(max(n - length + 1, 0)) % period, difference_cover(period)))
+def cover_ranks(words: np.ndarray, at: np.ndarray, n: int, length: int) -> np.ndarray:
+    """Ranks of the ``length`` bytes from each of some positions on, at those positions."""
     rank, active = np.zeros(len(at), np.int64), np.arange(len(at))
-    for k in [*range(0, length - 8, 8), length - 8]:
+    for k in steps(0, length):
         active = split(rank, active, words[at[active] + k])
         if not len(active):
             break
-    out = np.full(max(n, 1), -1, np.int64)
+    out = np.full(n, -1, np.int64)
     out[at] = rank
     return out
 
 
+def sample(starts: np.ndarray, n: int, period: int = PERIOD) -> np.ndarray:
+    """The cover positions that comparisons of the starts can ask for."""
+    near = np.zeros(n + period, np.int32)
+    np.add.at(near, starts, 1)
+    near[period:] -= near[:-period].copy()
+    inside = np.cumsum(near[:n], dtype=np.int32) > 0
+    wanted = np.zeros(n, bool)
+    for residue in difference_cover(period).tolist():
+        wanted[residue::period] = inside[residue::period]
+    return np.flatnonzero(wanted)
+
+
 def repeated(data: np.ndarray, starts: np.ndarray, bucket: np.ndarray, length: int = 200, period: int = PERIOD) -> tuple[np.ndarray, np.ndarray]:
     """Whether the ``length`` bytes at each start also begin at another start of the same bucket, and whether a start is the one of its string that sorts first.
 
@@ -92,10 +113,10 @@ def repeated(data: np.ndarray, starts: np.ndarray, bucket: np.ndarray, length: i
     rank = np.zeros(len(starts), np.int64)
     rank[order] = np.maximum.accumulate(np.where(edge, np.arange(len(order)), 0))
     active = order
-    for k in range(0, period, 8):
+    for k in steps(0, period):
         active = split(rank, active, words[starts[active] + k])
     if len(active):
-        sample = cover_ranks(words, n, block, period)
+        ranks = cover_ranks(words, sample(starts[active], n, period), n, block)
     done = []
     while len(active):  # three-way partition of every tied group by its first member
         r = rank[active]
@@ -103,15 +124,16 @@ def repeated(data: np.ndarray, starts: np.ndarray, bucket: np.ndarray, length: i
         pivot = starts[active][np.maximum.accumulate(np.where(first, np.arange(len(active)), 0))]
         own = starts[active]
         d = delta[pivot % period, own % period]
-        side = np.sign(sample[own + d] - sample[pivot + d])
+        side = np.sign(ranks[own + d] - ranks[pivot + d])
         equal = active[side == 0]
-        left = split(rank, active, side)
+        left = split(rank, active, side.astype(np.int64) + 1, 2)
         keep = np.zeros(len(rank), bool)
         keep[equal] = True
         done.append(left[keep[left]])
         active = left[~keep[left]]
     active = np.concatenate(done) if done else np.zeros(0, np.int64)
-    for k in range(length - period, length, 8):
+    active = active[np.argsort(rank[active], kind="stable")]
+    for k in steps(length - period, length):
         active = split(rank, active, words[starts[active] + k])
     out = np.zeros(len(starts), bool)
     out[active] = True
