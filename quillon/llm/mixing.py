@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from quillon.llm.common import SPACE_CLASS, Scratch, pick
 
 WEIGHTS, SHARE, MOST_REPEATS = (5.0, 2.0, 1.0), 1.5, 2
-#: Sources have one row each on the driver; more than this is refused.
-MOST_SOURCES = 1_000_000
-#: Rows that one running sum covers.
-RUN_ROWS = 4096
-KEY = ("h", "doc_id", "crc")
+#: Different rows that one running sum covers, and copies of a row that are told apart at once.
+RUN_ROWS, COPIES = 1024, 4096
+#: Bits of the order that buckets are cut from.
+ORDER_BITS = 32
+KEY = ("h", "doc_id")
 
 
 def word_count(text: Column) -> Column:
@@ -27,51 +27,61 @@ def word_count(text: Column) -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.regexp_count(bare, F.lit(f"[{SPACE_CLASS}]+")) + 1).cast("long")
 
 
-def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS) -> dict[str | None, float]:
-    """Each source's target: a share by weight, held at ``most`` times its size, the excess shared again by weight."""
-    order = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    left, open_, out = share * sum(sizes.values()), order, {}
-    while open_:
-        total = sum(weight[s] for s in open_)
-        over = [s for s in open_ if left * weight[s] / total > most * sizes[s]]
-        if not over:
-            return out | {s: left * weight[s] / total for s in open_}
-        for s in over:
-            out[s] = float(most * sizes[s])
-        left -= sum(out[s] for s in over)
-        open_ = [s for s in open_ if s not in out]
-    return out
+def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS) -> DataFrame:
+    """source, words, target for a row of source and words for each source.
+
+    A target is the source's share by weight, held at ``most`` times its size,
+    the excess shared again by weight.  That is min(cap, level * weight) for one
+    level: with the sources in order of cap / weight, those up to some place
+    are held, and the level is what is left for the others over their weights.
+    """
+    cycle = F.array(*[F.lit(w) for w in weights])
+    ranked = sizes.select("source", "words", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())).alias("rn"))
+    ranked = ranked.withColumns({"weight": F.element_at(cycle, F.pmod(F.col("rn") - 1, F.lit(len(weights))) + 1), "cap": F.lit(float(most)) * F.col("words")})
+    ranked = ranked.withColumns({"ratio": F.col("cap") / F.col("weight"), "budget": F.lit(float(share)) * F.sum("words").over(W.partitionBy())})
+    order = W.orderBy("ratio", "rn")
+    held = F.coalesce(F.sum("cap").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    level = (F.col("budget") - held) / F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing))
+    ranked = ranked.withColumn("level", level)
+    first = F.min(F.when(F.col("level") * F.col("weight") < F.col("cap"), F.struct("ratio", "rn", "level"))).over(W.partitionBy())["level"]
+    return ranked.withColumn("final", first).select("source", "words", F.coalesce(F.least("cap", F.col("final") * F.col("weight")), "cap").alias("target"))
+
+
+def _order(seed: int) -> Column:
+    """A row's place in the shuffled order of its source; equal rows alone have equal ones."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}:"), F.coalesce(F.col("text"), F.lit(""))))
 
 
 def _rows(docs: DataFrame, seed: int) -> DataFrame:
-    d = pick(docs, "doc_id", "text", "source")
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    return d.select("doc_id", "source", word_count(F.col("text")).alias("size"), crc.alias("crc")).withColumn("h", F.xxhash64("doc_id", "crc", F.lit(seed)))
+    return pick(docs, "doc_id", "text", "source").select("doc_id", "source", word_count(F.col("text")).alias("size"), _order(seed).alias("h"))
 
 
 def queue(docs: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, seed: int = 7) -> tuple[DataFrame, float]:
-    """Rows with source_size, target and upto (the source's words up to the row), and the cut in virtual time."""
-    spark = docs.sparkSession
-    rows = scratch.save(_rows(docs, seed), "rows")
-    per_source = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("rows")).limit(MOST_SOURCES + 1).collect()
-    if len(per_source) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    sizes = {r["source"]: r["words"] for r in per_source}
-    target = targets(sizes, weights, share)
-    schema = "t_source string, source_size long, target double"
-    small = scratch.save(spark.createDataFrame([(s, n, target[s]) for s, n in sizes.items()], schema).coalesce(1), "targets")
-    bits = max(0, (max((r["rows"] for r in per_source), default=1) // RUN_ROWS)).bit_length()
-    bucket = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
-    rows = rows.withColumn("bucket", F.pmod(bucket + (1 << bits >> 1), F.lit(1 << bits)))  # in the order of signed hashes
+    """Rows with source_size, target and upto (the source's words up to the row), and the cut in virtual time.
+
+    Equal rows are counted before they are placed and stand next to each other,
+    so neither a running sum nor a task gets more of them for being many.
+    """
+    rows = scratch.save(_rows(docs, seed).groupBy(*KEY, "source", "size").agg(F.count("*").alias("copies")), "rows")
+    words = F.col("size") * F.col("copies")
+    per_source = scratch.save(rows.groupBy("source").agg(F.sum(words).alias("words"), F.count("*").alias("rows")), "sources")
+    whole = per_source.agg(F.sum("words").alias("words"), F.max("rows").alias("rows")).first()
+    small = scratch.save(targets(per_source, weights, share).select(F.col("source").alias("t_source"), F.col("words").alias("source_size"), "target"), "targets")
+    bits = min(ORDER_BITS, ((whole["rows"] or 0) // RUN_ROWS).bit_length())
+    rows = rows.withColumn("bucket", F.shiftright(F.conv(F.substring("h", 1, ORDER_BITS // 4), 16, 10).cast("long"), ORDER_BITS - bits))
     before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = rows.groupBy("source", "bucket").agg(F.sum("size").alias("s")).select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("start"))
+    starts = rows.groupBy("source", "bucket").agg(F.sum(words).alias("s")).select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("start"))
     within = W.partitionBy("source", "bucket").orderBy(*KEY, "size").rowsBetween(W.unboundedPreceding, 0)
-    run = rows.withColumn("run", F.sum("size").over(within))
+    run = rows.withColumn("run", F.sum(words).over(within) - words)
     placed = run.join(starts, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
-    placed = placed.join(small, F.col("source").eqNullSafe(F.col("t_source")))
-    placed = scratch.save(placed.select(*KEY, "source", "size", "source_size", "target", (F.col("start") + F.col("run")).alias("upto")), "placed")
-    return placed, _cut(placed, scratch, share * sum(sizes.values()))
+    placed = placed.join(small, F.col("source").eqNullSafe(F.col("t_source"))).withColumn("base", F.col("start") + F.col("run"))
+    placed = placed.select(*KEY, "source", "size", "source_size", "target", "base", "copies")
+    many = placed.filter(F.col("copies") > 1).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))))
+    many = many.repartition(F.xxhash64(*KEY, "block")).withColumn("nth", F.explode(F.sequence(F.col("block") * COPIES, F.least("copies", (F.col("block") + 1) * COPIES) - 1)))
+    every = placed.filter(F.col("copies") == 1).withColumn("nth", F.lit(0).cast("long")).unionByName(many.drop("block"))
+    placed = scratch.save(every.select(*KEY, "source", "size", "source_size", "target", (F.col("base") + F.col("size") * (F.col("nth") + 1)).alias("upto")), "placed")
+    scratch.keep("placed")
+    return placed, _cut(placed, scratch, share * (whole["words"] or 0))
 
 
 def finish(round_: int) -> Column:
@@ -80,8 +90,12 @@ def finish(round_: int) -> Column:
 
 
 def _cut(placed: DataFrame, scratch: Scratch, budget: float) -> float:
-    """The last finish time up to which the words taken stay within the budget."""
-    items = placed.select("size", F.explode(F.array(*[finish(r) for r in range(MOST_REPEATS)])).alias("f")).filter("f is not null")
+    """The last finish time up to which the words taken stay within the budget.
+
+    Rows without words take nothing and stay out, so within a source no two
+    rows finish at one time; what is summed in order is one range partition.
+    """
+    items = placed.filter("size > 0").select("size", F.explode(F.array(*[finish(r) for r in range(MOST_REPEATS)])).alias("f")).filter("f is not null")
     line = scratch.save(items.repartitionByRange("f").withColumn("part", F.spark_partition_id()), "line")
     parts = line.groupBy("part").agg(F.sum("size").alias("s"), F.max("f").alias("top")).orderBy("part").collect()  # a row for each partition
     taken, cut = 0, 0.0
@@ -117,15 +131,16 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
     What a source gives is its queue up to one place in each round, so texts are
     met by these places, one row for each source, and not by a join on ids.
+    Where the last place falls among equal rows, all of them are taken.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     placed, cut = queue(docs, scratch, weights, share, seed)
     key = F.struct(*KEY, "size")
     last = [F.max(F.when(finish(r) <= F.lit(cut), key)).alias(f"last{r}") for r in range(MOST_REPEATS)]
-    cuts = scratch.save(placed.groupBy(F.col("source").alias("c_source")).agg(*last).coalesce(1), "cuts")
+    cuts = scratch.save(placed.groupBy(F.col("source").alias("c_source")).agg(*last), "cuts")
+    scratch.keep("cuts")
     d = pick(docs, "doc_id", "text", "lang", "source", "n_chars")
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    own = d.withColumn("crc", crc).withColumn("h", F.xxhash64("doc_id", "crc", F.lit(seed))).withColumn("size", word_count(F.col("text")))
+    own = d.withColumns({"h": _order(seed), "size": word_count(F.col("text"))})
     joined = own.join(cuts, F.col("source").eqNullSafe(F.col("c_source")))
     times = sum((F.coalesce(key <= F.col(f"last{r}"), F.lit(False)).cast("int") for r in range(MOST_REPEATS)), F.lit(0))
     return joined.withColumn("nth", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1))))).filter(times >= F.col("nth")).select(*d.columns)

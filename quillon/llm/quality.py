@@ -133,7 +133,12 @@ def fences(sketch: DataFrame, fence: float = FENCE, half_rows: int = HALF_ROWS)
 
 
 def judged(feats: DataFrame, tops: DataFrame) -> DataFrame:
-    """Adds base_failed and kept by a join on language and source."""
+    """Adds base_failed and kept by a join on language and source.
+
+    The fences have one row for each language and source, so they are broadcast
+    by their size; beyond the limit of that, the left side of the join is one
+    that adaptive execution splits where a source is frequent.
+    """
     ok = ~F.col("base_failed")
     for r in SLACK:
         ok = ok & (F.col(r) <= F.col(f"top_{r}"))
@@ -150,7 +155,7 @@ def score(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "quality")
     feats = scratch.save(features(pick(docs, "doc_id", "text", "lang", "source")).drop("text"), "features")
-    tops = scratch.save(fences(sketches(feats)).coalesce(1), "fences")
+    tops = scratch.save(fences(sketches(feats)), "fences")
     return judged(feats, tops)
 
 
@@ -164,5 +169,5 @@ def keep(docs: DataFrame) -> DataFrame:
     d = pick(docs, "doc_id", "text", "lang", "source", "n_chars")
     scratch = Scratch(docs.sparkSession, "quality")
     feats = scratch.save(features(d), "features")
-    tops = scratch.save(fences(sketches(feats)).coalesce(1), "fences")
+    tops = scratch.save(fences(sketches(feats)), "fences")
     return judged(feats, tops).filter("kept").select(*d.columns)

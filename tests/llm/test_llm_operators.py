@@ -463,10 +463,63 @@ def test_suffix_sort_with_difference_cover():
     assert suffixes.repeated(np.concatenate([data, np.zeros(208, np.uint8)]), starts, bucket)[0].tolist() == want
 
 
-def test_targets_fill_up():
-    t = mixing.targets({"a": 10, "b": 100, "c": 100, None: 0})
-    assert t["a"] == 20 and t[None] == 0 and abs(sum(t.values()) - 315) < 1e-9
-    assert Fraction(t["b"]).limit_denominator(1000) == 295 * Fraction(2, 3)
+def filled(sizes, share=Fraction(3, 2), most=2):
+    """Targets by pouring: what is over a cap goes back, and is shared again by weight among the others."""
+    order = sorted(s for s in sizes if s is not None) + [s for s in sizes if s is None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    left, open_, out = share * sum(sizes.values()), order, {}
+    while open_:
+        total = sum(weight[s] for s in open_)
+        over = [s for s in open_ if left * weight[s] / total > most * sizes[s]]
+        if not over:
+            return out | {s: left * weight[s] / total for s in open_}
+        out |= {s: Fraction(most * sizes[s]) for s in over}
+        left -= sum(out[s] for s in over)
+        open_ = [s for s in open_ if s not in out]
+    return out
+
+
+def test_targets_fill_up(spark):
+    rng = random.Random(17)
+    tables = [{"a": 10, "b": 100, "c": 100, None: 0}, {None: 0}, {"z": 5}, {}, {"\U0001f600": 3, "\uffff": 4, "A": 9, "a": 2}]
+    tables += [{f"s{k}": rng.choice([0, 1, 7, 50, 5000]) for k in range(rng.randint(1, 12))} for _ in range(6)]
+    for sizes in tables:
+        got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, words long")).collect()}
+        want = filled(sizes)
+        assert got.keys() == want.keys() and all(abs(got[s] - float(want[s])) < 1e-6 for s in want)
+
+
+def mixed_by_force(rows):
+    """The queue in exact fractions: finish times of two rounds in one line, cut at the budget."""
+    sizes, by = Counter(), defaultdict(list)
+    for k, (i, text, _, source) in enumerate(rows):
+        n = len(WORD.findall(text or ""))
+        sizes[source] += n
+        by[source].append((hashlib.md5(f"{'' if i is None else i}:7:{text or ''}".encode()).hexdigest(), k, n))
+    target, line, taken = filled(sizes), [], Counter()
+    for source, queue in by.items():
+        upto = 0
+        for _, k, n in sorted(queue):
+            upto += n
+            line += [(Fraction(upto + r * sizes[source]) / target[source], n, k) for r in (0, 1) if n and target[source]]
+    spent = 0
+    for f in sorted({x[0] for x in line}):
+        now = [x for x in line if x[0] == f]
+        spent += sum(x[1] for x in now)
+        if spent > Fraction(3, 2) * sum(sizes.values()):
+            break
+        for _, n, k in now:
+            taken[k] += n
+    return Counter((r[0], len(WORD.findall(r[1] or "")), sizes[r[3]], round(float(target[r[3]]), 6), taken[k]) for k, r in enumerate(rows))
+
+
+@pytest.mark.parametrize("copies", [4096, 3])
+def test_mixing_by_force(spark, docs, copies, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", copies)
+    monkeypatch.setattr(mixing, "RUN_ROWS", 9)
+    rows = [*docs[0], *[(31, "the same row again and again", "en", "s1")] * 40]
+    got = mixing.mix(table(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6), r["taken"]) for r in got) == mixed_by_force(rows)
 
 
 @pytest.mark.parametrize("run_rows", [4096, 4])
