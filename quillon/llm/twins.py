@@ -82,7 +82,53 @@ def quality_sql() -> str:
     """
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard": f"""
+        WITH RECURSIVE d AS (
+            SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}+') AS w FROM documents
+        ), shingles AS (
+            SELECT DISTINCT rid, array_to_string(w[i:i + 4], ' ') AS s FROM d, unnest(range(1, greatest(2, len(w) - 3))) AS t(i) WHERE len(w) > 0
+        ), sets AS (
+            SELECT rid, md5(string_agg(s, chr(10) ORDER BY s)) AS node, CAST(count(*) AS BIGINT) AS n FROM shingles GROUP BY rid
+        ), nodes AS (
+            SELECT s.node, min(s.n) AS n, min(d.doc_id) AS least, min(s.rid) AS rid FROM sets s JOIN d ON d.rid = s.rid GROUP BY s.node
+        ), held AS (
+            SELECT n.node, n.n, s.s FROM nodes n JOIN shingles s ON s.rid = n.rid
+        ), shared AS (
+            SELECT a.node AS a, b.node AS b, a.n + b.n AS total, count(*) AS c FROM held a JOIN held b ON a.s = b.s AND a.node < b.node GROUP BY ALL
+        ), edges AS (
+            SELECT a, b FROM shared WHERE 100 * c >= 75 * (total - c) UNION ALL SELECT b, a FROM shared WHERE 100 * c >= 75 * (total - c)
+        ), reach AS (
+            SELECT node, node AS other FROM nodes UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.other
+        ), comps AS (
+            SELECT r.node, min(n.least) AS component_id FROM reach r JOIN nodes n ON n.node = r.other GROUP BY r.node
+        )
+        SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, CASE WHEN s.node IS NULL THEN d.doc_id ELSE c.component_id END AS component_id
+        FROM d LEFT JOIN sets s ON s.rid = d.rid LEFT JOIN comps c ON c.node = s.node
+    """,
+    "op6_suffix_dedup": """
+        WITH d AS (
+            SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), starts AS (
+            SELECT rid, i, md5(substr(h, 2 * i + 1, 400)) AS m FROM d, unnest(range(0, length(h) // 2 - 199)) AS t(i) WHERE length(h) >= 400
+        ), again AS (
+            SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM (SELECT rid, i, count(*) OVER (PARTITION BY m) AS c FROM starts) WHERE c > 1
+        ), numbered AS (
+            SELECT rid, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) AS span FROM again
+        ), spans AS (
+            SELECT rid, span, min(i) AS a, max(i) + 200 AS b FROM numbered GROUP BY rid, span
+        ), pieces AS (
+            SELECT s.rid, s.a, s.b, substr(d.h, 2 * coalesce(lag(s.b) OVER (PARTITION BY s.rid ORDER BY s.a), 0) + 1, 2 * (s.a - coalesce(lag(s.b) OVER (PARTITION BY s.rid ORDER BY s.a), 0))) AS piece
+            FROM spans s JOIN d ON d.rid = s.rid
+        ), kept AS (
+            SELECT rid, string_agg(piece, '' ORDER BY a) AS head, max(b) AS last, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM pieces GROUP BY rid
+        )
+        SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(CASE WHEN last IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
+        FROM d LEFT JOIN kept k ON k.rid = d.rid
+    """,
     "op4_quality_rules": quality_sql(),
     "op7_mixing": """
         WITH d AS (
