@@ -417,6 +417,8 @@ class Join:
         sig = F.when(F.col("sig").isin(list(self.clash)), F.col("alt")).otherwise(F.col("sig")) if self.clash else F.col("sig")
         sets = sets.withColumn("sig", sig)
         self.rows = sets.select("doc_id", "n", "sig")
+        # one row for each set, written, so that what needs one reads no other rows
+        self.reps = self.scratch.save(self.rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "reps")
         self.bits = sets.filter("bits is not null").select("sig", "bits").groupBy("sig").agg(F.first("bits").alias("bits"))
         counts = np.zeros(width, np.int64)
         summed = found.filter("kind = 1").select("block", F.posexplode("counts")).groupBy((F.col("block") * ROW + F.col("pos")).alias("at")).agg(F.sum("col").alias("n"))
@@ -454,7 +456,7 @@ class Join:
         Sets are made again for one text of each signature; a filter of fixed
         size on doc_id keeps most others out, and a join drops the rest.
         """
-        reps = self.rows.groupBy("sig").agg(F.min("doc_id").alias("doc_id")).join(wanted.select("sig").distinct(), "sig", "left_semi")
+        reps = self.reps.join(wanted.select("sig").distinct(), "sig", "left_semi")
         bits = lambda h: [F.pmod(h, F.lit(WANTED_BITS)), F.pmod(F.shiftright(h, 32), F.lit(WANTED_BITS))]
         at = reps.select(F.explode(F.array(*[b + 1 for b in bits(F.xxhash64("doc_id"))])).alias("bit")).select(F.bitmap_bucket_number("bit").alias("bucket"), F.bitmap_bit_position("bit").alias("place"))
         filled = np.zeros(WANTED_BITS // 8, np.uint8)
@@ -520,7 +522,7 @@ class Join:
         """
         near = components(self.near(comps), self.scratch, "near-comps").toDF("comp", "cluster")
         near = near.unionByName(near.select(F.col("cluster").alias("comp"), "cluster")).distinct()
-        sizes = self.rows.filter("n > 0").groupBy("sig").agg(F.first("n").alias("n")).join(comps, F.col("sig") == F.col("node"), "left")
+        sizes = self.reps.join(comps, F.col("sig") == F.col("node"), "left")
         sizes = self.scratch.save(sizes.select("sig", "n", F.coalesce("comp", "sig").alias("comp")), "sizes")
         members = self.scratch.save(join_few(sizes, near, "comp").select("sig", "n", "comp", "cluster"), "members")
         by_comp = members.groupBy("cluster", "comp").agg(F.sum("n").alias("total"))
@@ -540,12 +542,12 @@ class Join:
         comps = components(first, self.scratch, "first")
         stars = comps.unionByName(self.rest(comps).toDF("node", "comp"))
         found = self.scratch.save(components(stars, self.scratch, "all"), "components")
-        self.scratch.keep("sets", "components")
+        self.scratch.keep("sets", "reps", "components")
         return found
 
     def result(self) -> DataFrame:
         comps = self.components()
-        least = self.rows.groupBy("sig").agg(F.min("doc_id").alias("least")).join(comps, F.col("sig") == F.col("node"), "left")
+        least = self.reps.withColumnRenamed("doc_id", "least").join(comps, F.col("sig") == F.col("node"), "left")
         least = least.select("sig", "least", F.coalesce("comp", "sig").alias("comp"))
         ids = least.groupBy("comp").agg(F.min("least").alias("component_id"))
         by_sig = least.join(ids, "comp").select("sig", "component_id")
