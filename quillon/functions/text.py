@@ -14,13 +14,13 @@ def utf16_length(c: Column) -> Column:
 
 
 def token_count(c: Column) -> Column:
-    """MTH-1: a quarter of the length, rounded half up; null and empty are 0."""
-    return F.coalesce(F.floor(F.length(c) / F.lit(4.0) + F.lit(0.5)), F.lit(0)).cast("long")
+    """MTH-1: a quarter of the UTF-16 length, rounded half up; null and empty are 0."""
+    return F.coalesce(F.floor(utf16_length(c) / F.lit(4.0) + F.lit(0.5)), F.lit(0)).cast("long")
 
 
-def joined_token_count(*parts: Column) -> Column:
-    """MTH-2: tokens of the parts joined by a space; nulls are left out."""
-    return token_count(F.concat_ws(" ", *parts))
+def joined_token_count(texts: Column) -> Column:
+    """MTH-2: tokens of an array of texts, joined by a space; nulls are left out."""
+    return token_count(F.array_join(texts, " "))
 
 
 def truncate(c: Column, most: int) -> Column:
@@ -62,7 +62,7 @@ def scrub_tags(c: Column, block_tag: str, id_tag: str) -> Column:
 
 
 def glob_regex(pattern: str) -> str:
-    """PRD-1: a path glob as an anchored regex.  ``**/`` is any number of folders, ``**`` anything, ``*`` and ``?`` stay in a folder."""
+    """PRD-1: a path glob as a regex for whole strings.  ``**/`` is any number of folders, ``**`` anything, ``*`` and ``?`` stay in a folder."""
     if not pattern:
         return "(?!)"
     out, i, pattern = [], 0, pattern.replace("\\\\", "/")
@@ -82,7 +82,7 @@ def glob_regex(pattern: str) -> str:
         else:
             out.append(re.escape(pattern[i]))
             i += 1
-    return f"^{''.join(out)}$"
+    return rf"\A{''.join(out)}\z"
 
 
 def path_protected(paths: Column, patterns: list[str]) -> Column:
@@ -103,11 +103,11 @@ def tool_protected(tool: Column, patterns: list[str]) -> Column:
 
 
 def wildcard_regex(pattern: str) -> str:
-    """PRD-8: ``*`` is anything, ``?`` one character, a last `` *`` may be missing; over lines."""
+    """PRD-8: ``*`` is anything, ``?`` one character, a last `` *`` may be missing; over lines, and for whole strings."""
     pattern = pattern.replace("\\", "/")
     tail = pattern.endswith(" *")
     body = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in (pattern[:-2] if tail else pattern))
-    return f"(?s)^{body}{'(?: .*)?' if tail else ''}$"
+    return rf"(?s)\A{body}{'(?: .*)?' if tail else ''}\z"
 
 
 def file_paths(tool: Column, parameters: Column) -> Column:
@@ -127,9 +127,12 @@ def stable_id(prefix: str, seed: Column) -> Column:
 def signature(tool: Column, parameters: Column) -> Column:
     """PRN-2: the tool and its parameters in canonical form.
 
-    Top-level nulls are dropped and keys are sorted at every level; text that
-    does not parse stands for itself.
+    Top-level nulls are dropped, keys are sorted at every level, and a number
+    without a fraction is written without one, whatever its form; text that does
+    not parse stands for itself.  Without parameters, or with null, false, 0 or
+    an empty string, it is the tool alone.
     """
-    parsed = F.try_parse_json(parameters).try_cast("map<string,variant>")
-    kept = F.map_filter(parsed, lambda k, v: ~F.is_variant_null(v))
-    return F.when(parameters.isNull() | (parameters == ""), tool).otherwise(F.concat(tool, F.lit("::"), F.coalesce(F.to_json(kept), parameters)))
+    parsed = F.try_parse_json(parameters)
+    kept = F.map_filter(parsed.try_cast("map<string,variant>"), lambda k, v: ~F.is_variant_null(v))
+    written = F.regexp_replace(F.coalesce(F.to_json(kept), F.to_json(parsed), parameters), F.lit(r'("(?:[^"\\]|\\.)*")|(-?\d+)\.0(?=[,}\]]|$)'), F.lit("$1$2"))
+    return F.when(parameters.isNull() | written.isin("", "null", "false", "0", '""'), tool).otherwise(F.concat(tool, F.lit("::"), written))

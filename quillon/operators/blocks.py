@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,21 +31,29 @@ def anchor_owners(blocks: DataFrame) -> DataFrame:
     return b.withColumn("rn", newest).filter("rn = 1 and active").select("session_id", "anchor_seq", "block_id")
 
 
-def ancestors(blocks: DataFrame, depth: int = 8) -> DataFrame:
-    """CMP-20: the nearest active block above each inactive one, up to ``depth`` parents."""
-    a = activity(blocks)
-    edges = blocks.select("session_id", F.explode("consumed").alias("child"), F.col("block_id").alias("parent")).filter("child <> parent").distinct()
-    on = a.filter("active").select("session_id", F.col("block_id").alias("parent"), F.lit(True).alias("on"))
-    steps = edges.join(on, ["session_id", "parent"], "left")
-    front = a.filter("not active").select("session_id", "block_id", F.col("block_id").alias("child"))
-    found = None
-    for level in range(1, depth + 1):
-        up = front.join(steps, ["session_id", "child"]).select("session_id", "block_id", "parent", "on")
+def ancestors(blocks: DataFrame, written: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """CMP-20: the nearest active block above each inactive one, the smallest of several, and how many steps up it is.
+
+    The front goes one step up at a time until it is empty.  ``written`` writes
+    a table under a name and reads it back, so a step never plans those before
+    it.  What a block has seen stays out, so cycles end.
+    """
+    a = written(activity(blocks).select("session_id", "block_id", "active", "consumed"), "activity")
+    edges = a.select("session_id", F.explode("consumed").alias("child"), F.col("block_id").alias("parent"), F.col("active").alias("on")).filter("child <> parent").distinct()
+    edges = written(edges, "edges")
+    front = written(a.filter("not active").select("session_id", "block_id", F.col("block_id").alias("child")), "front0")
+    seen, found, level = front, None, 0
+    while not front.isEmpty():
+        level += 1
+        up = written(front.join(edges, ["session_id", "child"]).select("session_id", "block_id", "parent", "on").distinct(), f"up{level}")
         hit = up.filter("on").groupBy("session_id", "block_id").agg(F.min("parent").alias("ancestor")).withColumn("depth", F.lit(level))
-        found = hit if found is None else found.unionByName(hit)
-        front = up.filter("on is null").select("session_id", "block_id", F.col("parent").alias("child")).distinct()
-    nearest = F.row_number().over(W.partitionBy("session_id", "block_id").orderBy("depth", "ancestor"))
-    return found.withColumn("rn", nearest).filter("rn = 1").drop("rn")
+        found = hit if found is None else written(found.unionByName(hit), f"found{level}")
+        left = up.join(hit, ["session_id", "block_id"], "left_anti").select("session_id", "block_id", F.col("parent").alias("child")).distinct()
+        front = written(left.join(seen, ["session_id", "block_id", "child"], "left_anti"), f"front{level}")
+        seen = written(seen.unionByName(front), f"seen{level}")
+    if found is None:
+        return a.filter("false").select("session_id", "block_id", F.col("block_id").alias("ancestor"), F.lit(0).alias("depth"))
+    return found
 
 
 def decompress(blocks: DataFrame, targets: DataFrame) -> DataFrame:
@@ -69,3 +79,24 @@ def activity_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     a = activity(before).select("session_id", "block_id", F.col("active").alias("was"), "compressed_tokens")
     b = activity(after).select("session_id", "block_id", F.col("active").alias("now"))
     return a.join(b, ["session_id", "block_id"]).filter("was <> now").select("session_id", "block_id", F.when(F.col("now"), "on").otherwise("off").alias("change"), "compressed_tokens")
+
+
+def inside_active(blocks: DataFrame, above: DataFrame) -> DataFrame:
+    """CMP-18: blocks that cannot be taken back by themselves, with the active block that holds them."""
+    return blocks.select("session_id", "block_id").join(above.select("session_id", "block_id", F.col("ancestor").alias("held_by")), ["session_id", "block_id"])
+
+
+def available(blocks: DataFrame) -> DataFrame:
+    """PRD-22: the active blocks in order."""
+    return activity(blocks).filter("active").orderBy("session_id", "block_id")
+
+
+def block_number(argument: Column) -> Column:
+    """CMP-21: ``bN`` or a positive whole number; anything else is null."""
+    digits = F.regexp_extract(F.lower(F.trim(argument)), r"^b?([1-9]\d{0,17})$", 1)
+    return F.when(digits != "", digits.cast("long"))
+
+
+def token_balance(total: Column, diff_off: Column, diff_on: Column) -> Column:
+    """CMP-18, CMP-19: a session's saved tokens after blocks went off and on, from 0."""
+    return F.greatest(F.lit(0), total - diff_off + diff_on)

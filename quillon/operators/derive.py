@@ -1,4 +1,4 @@
-"""Derived columns of sessions: turns, references, last messages, current tokens."""
+"""Derived columns of sessions: turns, references, last messages."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.functions.text import token_count
-
 
 def ignored(parts: Column) -> Column:
     """PRD-4: all parts ignored, or none there."""
@@ -47,11 +45,12 @@ def message_refs(messages: DataFrame, subagent: Column | None = None, most: int
     return m.filter("not skip").select("session_id", "seq", F.concat(F.lit("m"), F.lpad(safe.cast("string"), 4, "0")).alias("ref"))
 
 
-def allocate_refs(new: DataFrame, taken: DataFrame) -> DataFrame:
-    """WIN-2: references for new messages after the highest one taken."""
+def allocate_refs(new: DataFrame, taken: DataFrame, most: int = 9999) -> DataFrame:
+    """WIN-2: references for new messages after the highest one taken; beyond ``most`` is an error."""
     top = taken.groupBy("session_id").agg(F.max(F.substring("ref", 2, 4).cast("int")).alias("top"))
     n = F.row_number().over(W.partitionBy("session_id").orderBy("seq")) + F.coalesce("top", F.lit(0))
-    return new.join(top, "session_id", "left").select("session_id", "seq", F.concat(F.lit("m"), F.lpad(n.cast("string"), 4, "0")).alias("ref"))
+    safe = F.when(n <= most, n).otherwise(F.raise_error(F.lit("too many messages for references")).cast("int"))
+    return new.join(top, "session_id", "left").select("session_id", "seq", F.concat(F.lit("m"), F.lpad(safe.cast("string"), 4, "0")).alias("ref"))
 
 
 def last_user(messages: DataFrame) -> DataFrame:
@@ -60,28 +59,3 @@ def last_user(messages: DataFrame) -> DataFrame:
     carried = F.last(F.when(F.col("role") == "user", F.col("seq")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
     after = F.count("*").over(order.rowsBetween(1, W.unboundedFollowing))
     return messages.select("session_id", "seq", F.coalesce(carried, F.lit(-1)).alias("last_user_seq"), after.alias("after"))
-
-
-def current_tokens(steps: DataFrame) -> DataFrame:
-    """AGG-15: all tokens of a session's last step with output."""
-    total = F.col("input") + F.col("output") + F.col("cache_read")
-    return steps.filter("output > 0").groupBy("session_id").agg(F.max_by(total, "seq").alias("current_tokens"))
-
-
-def context_breakdown(messages: DataFrame, calls: DataFrame, pruned: DataFrame) -> DataFrame:
-    """AGG-10: how the last step's tokens divide into system, user, tools and, as the rest, assistant.
-
-    messages give user texts, calls their parameters and sizes; pruned holds the
-    calls taken out (session_id, call_id).
-    """
-    last = calls.filter("output > 0").groupBy("session_id").agg(F.max_by(F.col("input") + F.col("output") + F.col("cache_read"), "seq").alias("total"))
-    first = calls.filter("input + cache_read > 0").groupBy("session_id").agg(F.min_by(F.col("input") + F.col("cache_read"), "seq").alias("opening"))
-    texts = messages.filter("role = 'user'")
-    user = texts.groupBy("session_id").agg(token_count(F.array_join(F.sort_array(F.collect_list(F.struct("seq", "text")))["text"], "\n")).alias("user"), F.min_by(token_count(F.col("text")), "seq").alias("first_user"))
-    left = calls.join(pruned.select("session_id", "call_id").distinct().withColumn("gone", F.lit(True)), ["session_id", "call_id"], "left")
-    tools = left.groupBy("session_id").agg(
-        F.sum(F.when(F.col("gone").isNull(), token_count(F.col("parameters"))).otherwise(0)).alias("tools"), F.countDistinct("call_id").alias("n_calls"), F.count("gone").alias("n_pruned")
-    )
-    j = tools.join(last, "session_id", "left").join(first, "session_id", "left").join(user, "session_id", "left").na.fill(0, ["total", "opening", "user", "first_user"])
-    j = j.withColumn("system", F.greatest(F.lit(0), F.col("opening") - F.col("first_user")))
-    return j.select("session_id", "total", "system", "user", "tools", F.greatest(F.lit(0), F.col("total") - F.col("system") - F.col("user") - F.col("tools")).alias("assistant"), "n_calls", "n_pruned", (F.col("n_calls") - F.col("n_pruned")).alias("n_in_context"))

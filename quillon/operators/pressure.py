@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,11 +38,25 @@ def turn_anchors(messages: DataFrame, after: DataFrame | None = None) -> DataFra
 
 
 def spaced_anchors(candidates: DataFrame, interval: int) -> DataFrame:
-    """WIN-10: in order, each candidate that is the first or at least ``interval`` behind the last one taken."""
-    zero = F.array().cast("array<bigint>")
-    take = lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= interval), F.concat(acc, F.array(x))).otherwise(acc)
-    lists = candidates.groupBy("session_id").agg(F.sort_array(F.collect_list(F.col("seq").cast("long"))).alias("at"))
-    return lists.select("session_id", F.explode(F.aggregate("at", zero, lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).otherwise(take(acc, x)))).alias("seq"))
+    """WIN-10: in order, each candidate that is the first or at least ``interval`` behind the last one taken.
+
+    A choice depends on the one before, so the sorted rows of a session are
+    read once, in order; what is kept in memory is the last choice.
+    """
+
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, 0
+        for batch in batches:
+            kept = []
+            for i, (session, seq) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if i == 0 and now is None or (session,) != now or seq - last >= interval:
+                    now, last = (session,), seq
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    rows = candidates.select("session_id", F.col("seq").cast("long").alias("seq"))
+    return rows.repartition("session_id").sortWithinPartitions("session_id", "seq").mapInArrow(fold, rows.schema)
 
 
 def iteration_anchors(messages: DataFrame, threshold: int, interval: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Usage reports over steps and sessions: AGG-1 to AGG-12, WIN-5, WIN-6, PRD-15, JOIN-8."""
+"""Reports over sessions and their calls: WIN-6, PRD-15, PRD-16, JOIN-8 (see usage for those over steps)."""
 
 from __future__ import annotations
 
@@ -6,71 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.functions.text import hit_rate
-
-
-def _long(c):
-    return F.coalesce(c, F.lit(0)).cast("long")
-
-
-def _sums():
-    return [_long(F.sum(c)).alias(f"sum_{c}") for c in ("input", "output", "cache_read", "cost")] + [F.count("*").alias("steps")]
-
-
-def _derived(df: DataFrame) -> DataFrame:
-    total = F.col("sum_input") + F.col("sum_output") + F.col("sum_cache_read")
-    return df.withColumn("total", total).withColumn("hit_rate", hit_rate(F.col("sum_cache_read"), F.col("sum_input")))
-
-
-def token_stats(steps: DataFrame) -> DataFrame:
-    """AGG-1, AGG-3: sums of every step of a session."""
-    return _derived(steps.groupBy("session_id").agg(*_sums()))
-
-
-def token_stats_rollup(steps: DataFrame) -> DataFrame:
-    """AGG-4: sessions and, as the row with a null session_id, the grand total, in one pass."""
-    return _derived(steps.rollup("session_id").agg(*_sums()))
-
-
-def finish_reasons(steps: DataFrame) -> DataFrame:
-    """AGG-2: three fixed buckets; anything else is other."""
-    known = F.when(F.col("reason").isin("tool-calls", "stop"), F.col("reason")).otherwise("other")
-    return steps.groupBy("session_id").agg(*[F.count(F.when(known == b, 1)).alias(n) for b, n in (("tool-calls", "tool_calls"), ("stop", "stop"), ("other", "other"))])
-
-
-def timeline(steps: DataFrame) -> DataFrame:
-    """WIN-5: differences to the step before (the first has its own value), duration, and the gap since the last one's end."""
-    order = W.partitionBy("session_id").orderBy("seq")
-    done = F.when(F.col("input") > 0, F.col("created") + F.col("input"))
-    s = steps.withColumn("completed", done)
-    before = F.lag("completed").over(order)
-    return s.select(
-        "session_id", "seq", (F.col("cache_read") - F.lag("cache_read", 1, 0).over(order)).alias("cache_read_delta"), (F.col("input") - F.lag("input", 1, 0).over(order)).alias("input_delta"),
-        F.when((F.col("created") != 0) & (before != 0), F.col("created") - before).alias("gap"), (F.col("completed") - F.col("created")).alias("duration"), hit_rate(F.col("cache_read"), F.col("input")).alias("hit_rate"),
-    )
-
-
-def timeline_summary(steps: DataFrame, tool: str = "compress") -> DataFrame:
-    """AGG-12: totals of a session's timeline and its weighted hit rate."""
-    duration = F.when(F.col("input") > 0, F.col("input"))
-    uses = F.count(F.when(F.col("tool") == tool, 1)).alias("uses")
-    out = steps.groupBy("session_id").agg(*_sums(), _long(F.sum(duration)).alias("duration"), uses)
-    return out.withColumn("hit_rate", hit_rate(F.col("sum_cache_read"), F.col("sum_input")))
-
-
-def _before_after(steps: DataFrame, tools: list[str]) -> DataFrame:
-    """Each call of the tools with the step after it; a call in the last step has none and leaves (Q11)."""
-    order = W.partitionBy("session_id").orderBy("seq")
-    ahead = {f"next_{c}": F.lead(c).over(order) for c in ("seq", "input", "cache_read")}
-    return steps.withColumns(ahead).filter(F.col("tool").isin(tools) & F.col("next_seq").isNotNull())
-
-
-def tool_impact(steps: DataFrame, tools: list[str]) -> DataFrame:
-    """AGG-5: by tool, input and cache reads before and after its calls."""
-    sums = [_long(F.sum(c)).alias(n) for c, n in (("input", "input_before"), ("next_input", "input_after"), ("cache_read", "cache_before"), ("next_cache_read", "cache_after"))]
-    out = _before_after(steps, tools).groupBy("tool").agg(F.count("*").alias("calls"), *sums)
-    return out.withColumn("hit_before", hit_rate(F.col("cache_before"), F.col("input_before"))).withColumn("hit_after", hit_rate(F.col("cache_after"), F.col("input_after")))
-
 
 def distances(steps: DataFrame, tools: list[str]) -> DataFrame:
     """WIN-6: steps since the last call of the tools: null before any, 0 right after; a calling step is measured too."""
@@ -79,32 +14,6 @@ def distances(steps: DataFrame, tools: list[str]) -> DataFrame:
     return steps.withColumn("distance", F.col("seq") - last - 1)
 
 
-def recovery_curve(steps: DataFrame, tools: list[str], most: int = 15) -> DataFrame:
-    """AGG-6: hit rates by distance, for the first ``most`` distances, in tenths of a percent."""
-    d = distances(steps, tools).filter("distance is not null").withColumn("tenths", F.floor(hit_rate(F.col("cache_read"), F.col("input")) * 10 + F.lit(0.5)).cast("long"))
-    out = d.groupBy("distance").agg(F.count("*").alias("n"), F.sum("tenths").alias("sum_tenths"), F.min("tenths").alias("min_tenths"), F.max("tenths").alias("max_tenths"))
-    return out.orderBy("distance").limit(most)
-
-
-def impact_overview(steps: DataFrame, tools: list[str], least: int = 5) -> DataFrame:
-    """AGG-7, AGG-8, AGG-14: counters over all sessions; those with fewer than ``least`` steps are skipped."""
-    hit = F.col("tool").isin(tools)
-    per = steps.groupBy("session_id").agg(F.count("*").alias("steps"), F.count(F.when(hit, 1)).alias("calls"))
-    enough = F.col("steps") >= least
-    return per.agg(
-        F.count("*").alias("scanned"), F.count(F.when(~enough, 1)).alias("skipped"), F.count(F.when(enough, 1)).alias("analysed"), F.count(F.when(enough & (F.col("calls") > 0), 1)).alias("with_calls"),
-        _long(F.sum(F.when(enough, F.col("calls")))).alias("calls"), _long(F.sum(F.when(enough, F.col("steps")))).alias("steps"),
-    )
-
-
-def cost_impact(steps: DataFrame, tools: list[str]) -> DataFrame:
-    """AGG-8: average context before and after a call, and the overall hit rates."""
-    b = _before_after(steps, tools)
-    out = b.agg(F.count("*").alias("calls"), *[_long(F.sum(c)).alias(n) for c, n in (("input", "ib"), ("cache_read", "cb"), ("next_input", "ia"), ("next_cache_read", "ca"))])
-    mean = lambda a, c: F.when(F.col("calls") > 0, F.floor((F.col(a) + F.col(c)) / F.col("calls"))).otherwise(F.lit(0)).cast("long")
-    return out.select("calls", mean("ib", "cb").alias("context_before"), mean("ia", "ca").alias("context_after"), hit_rate(F.col("cb"), F.col("ib")).alias("hit_before"), hit_rate(F.col("ca"), F.col("ia")).alias("hit_after"))
-
-
 def search_sessions(sessions: DataFrame, term: str, exact: bool = False) -> DataFrame:
     """PRD-15: titles that equal or contain the term, without regard to case, newest first."""
     t = F.lower("title")
@@ -120,4 +29,4 @@ def last_used(sessions: DataFrame) -> DataFrame:
 def lookup_messages(wanted: DataFrame, messages: DataFrame) -> DataFrame:
     """JOIN-8: the wanted messages in the order asked for; missing ones say so."""
     found = wanted.join(messages, ["session_id", "seq"], "left")
-    return found.select("pos", "session_id", "seq", "role", F.when(F.col("role").isNull(), "not found").alias("error"))
+    return found.select("pos", "session_id", "seq", "role", F.when(F.col("role").isNull(), "not found").alias("error")).orderBy("pos")

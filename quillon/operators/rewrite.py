@@ -2,33 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions.text import scrub_tags
 
-OUTPUT_GONE, INPUT_GONE = "[output removed to save context]", "[input removed after the call failed]"
-#: Tools whose outputs stay as they are.
-KEEP_OUTPUT = ("question", "edit", "write")
-
-
-def rewrite_calls(calls: DataFrame, pruned: DataFrame, output_text: str = OUTPUT_GONE, input_text: str = INPUT_GONE) -> DataFrame:
-    """PRN-8, PRN-10, PRN-12: outputs of pruned calls, and inputs of pruned calls that failed, become a placeholder."""
-    marked = calls.join(pruned.select("session_id", "call_id").distinct().withColumn("gone", F.lit(True)), ["session_id", "call_id"], "left")
-    gone = F.col("gone").isNotNull()
-    new_output = F.when(gone & (F.col("status") == "completed") & ~F.col("tool").isin(*KEEP_OUTPUT), F.lit(output_text)).otherwise(F.col("path"))
-    new_input = F.when(gone & (F.col("status") == "error"), F.lit(input_text)).otherwise(F.col("parameters"))
-    return marked.select("session_id", "call_id", "tool", "status", new_output.alias("output"), new_input.alias("input"))
-
-
-def placeholder_strings(parameters, text: str = INPUT_GONE):
-    """PRN-10: every top-level string of a JSON object becomes the placeholder."""
-    typed = F.from_json(parameters, "map<string,string>")
-    strings = F.try_parse_json(parameters).try_cast("map<string,variant>")
-    return F.to_json(F.transform_values(typed, lambda k, v: F.when(F.schema_of_variant(strings[k]) == "STRING", F.lit(text)).otherwise(v)))
-
-
 def scrub_messages(messages: DataFrame, block_tag: str, id_tag: str) -> DataFrame:
     """PRN-15: injected tags leave the texts."""
     return messages.withColumn("text", scrub_tags(F.col("text"), block_tag, id_tag))
@@ -54,6 +33,26 @@ def collapse_ranges(messages: DataFrame, covered: DataFrame, summaries: DataFram
     return left.unionByName(new)
 
 
-def minimize(parts: DataFrame) -> DataFrame:
-    """SNK-3: parts for a debug snapshot: no ids, no step parts, no ignored text."""
-    return parts.filter("type not in ('step-start', 'step-finish') and not (type = 'text' and ignored)").drop("id", "message_id", "session_id")
+def scrub_parts(messages: DataFrame, block_tag: str, id_tag: str) -> DataFrame:
+    """PRN-15: injected tags leave the texts, and the outputs of completed calls."""
+
+    def clean(p: Column) -> Column:
+        p = p.withField("text", F.when(p["type"] == "text", scrub_tags(p["text"], block_tag, id_tag)).otherwise(p["text"]))
+        done = (p["type"] == "tool") & (p["status"] == "completed")
+        return p.withField("output", F.when(done, scrub_tags(p["output"], block_tag, id_tag)).otherwise(p["output"]))
+
+    return messages.withColumn("parts", F.transform("parts", clean))
+
+
+def minimize(messages: DataFrame) -> DataFrame:
+    """SNK-2, SNK-3: messages for a snapshot: role, time and model, and parts without step parts, ignored or empty texts; empty messages leave.
+
+    A part keeps the fields of its type.  The metadata of a tool's state come as
+    they are, as the rows have no second place for them.
+    """
+    none = F.lit(None)
+    kept = F.filter("parts", lambda p: ~p["type"].isin("step-start", "step-finish") & ~((p["type"] == "text") & (F.coalesce(p["ignored"], F.lit(False)) | (F.coalesce(p["text"], F.lit("")) == ""))))
+    tool = lambda p, c: F.when(p["type"] == "tool", p[c]).otherwise(none).alias(c)
+    small = F.transform(kept, lambda p: F.struct(p["type"].alias("type"), p["text"].alias("text"), *[tool(p, c) for c in ("tool", "status", "input", "output", "error", "metadata")]))
+    out = messages.select("session_id", "seq", "role", "created", "agent", F.concat_ws("/", "provider", "model").alias("model"), small.alias("parts"))
+    return out.filter(F.size("parts") > 0)

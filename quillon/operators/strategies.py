@@ -6,27 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.functions.text import path_protected, signature, token_count, tool_protected
+from quillon.functions.text import file_paths, path_protected, signature, token_count, tool_protected
 from quillon.operators.derive import turns
 
 
-def _open(calls: DataFrame, protected_tools: list[str], protected_paths: list[str]) -> DataFrame:
-    return calls.filter(~tool_protected(F.col("tool"), protected_tools) & ~path_protected(F.array("path"), protected_paths))
+def _open(calls: DataFrame, protected_tools: list[str], protected_paths: list[str], pruned: DataFrame | None = None) -> DataFrame:
+    """The calls that may be pruned: not pruned already (SET-6), and neither tool nor paths protected; paths come from the parameters where no column has them."""
+    paths = F.array("path") if "path" in calls.columns else file_paths(F.col("tool"), F.col("parameters"))
+    if pruned is not None:
+        calls = calls.join(pruned.select("session_id", "call_id").distinct(), ["session_id", "call_id"], "left_anti")
+    return calls.filter(~tool_protected(F.col("tool"), protected_tools) & ~path_protected(paths, protected_paths))
 
 
-def deduplicate(calls: DataFrame, protected_tools: list[str] = (), protected_paths: list[str] = ()) -> DataFrame:
+def may_run(enabled: bool = True, manual: bool = False, automatic: bool = True) -> bool:
+    """PRN-1, PRN-4: whether a strategy runs: enabled, and in manual mode only if strategies stay automatic."""
+    return enabled and (not manual or automatic)
+
+
+def deduplicate(calls: DataFrame, protected_tools: list[str] = (), protected_paths: list[str] = (), pruned: DataFrame | None = None) -> DataFrame:
     """PRN-1, WIN-3: all but the last call of each signature in a session, with the tokens it gives back."""
-    c = _open(calls, list(protected_tools), list(protected_paths)).withColumn("sig", signature(F.col("tool"), F.col("parameters")))
+    c = _open(calls, list(protected_tools), list(protected_paths), pruned).withColumn("sig", signature(F.col("tool"), F.col("parameters")))
     newest = F.row_number().over(W.partitionBy("session_id", "sig").orderBy(F.desc("seq")))
-    return c.withColumn("rn", newest).filter("rn > 1").select("session_id", "call_id", token_count(F.col("parameters")).alias("token_count"))
+    tokens = F.col("token_count") if "token_count" in c.columns else token_count(F.col("parameters"))
+    return c.withColumn("rn", newest).filter("rn > 1").select("session_id", "call_id", tokens.alias("token_count"))
 
 
-def purge_errors(calls: DataFrame, age: int = 4, protected_tools: list[str] = ()) -> DataFrame:
+def purge_errors(calls: DataFrame, age: int = 4, protected_tools: list[str] = (), protected_paths: list[str] = (), pruned: DataFrame | None = None) -> DataFrame:
     """PRN-4: failed calls at least ``age`` turns old (1 at least)."""
-    c = turns(calls)
-    now = F.sum(F.col("step_start").cast("long")).over(W.partitionBy("session_id"))
-    c = c.withColumn("age", now - F.col("turn"))
-    return _open(c, list(protected_tools), []).filter((F.col("status") == "error") & (F.col("age") >= max(1, age))).select("session_id", "call_id", "age")
+    if "current_turn" in calls.columns:
+        c = calls.withColumn("age", F.col("current_turn") - F.col("turn"))
+    else:
+        now = F.sum(F.col("step_start").cast("long")).over(W.partitionBy("session_id"))
+        c = turns(calls).withColumn("now", now).withColumn("age", F.col("now") - F.col("turn"))
+    return _open(c, list(protected_tools), list(protected_paths), pruned).filter((F.col("status") == "error") & (F.col("age") >= max(1, age))).select("session_id", "call_id", "age")
 
 
 def supersede_writes(calls: DataFrame, protected_paths: list[str] = ()) -> DataFrame:
@@ -42,13 +54,6 @@ def sweep_last(calls: DataFrame, n: int, pruned: DataFrame, protected_tools: lis
     return _open(last, list(protected_tools), []).join(pruned, ["session_id", "call_id"], "left_anti").select("session_id", "call_id")
 
 
-def sweep_since(calls: DataFrame, pruned: DataFrame, protected_tools: list[str] = ()) -> DataFrame:
-    """PRN-7, WIN-12: the calls after a session's last step start."""
-    last = F.coalesce(F.max(F.when(F.col("step_start"), F.col("seq"))).over(W.partitionBy("session_id")), F.lit(-1))
-    since = calls.withColumn("last_start", last).filter("seq > last_start")
-    return _open(since, list(protected_tools), []).join(pruned, ["session_id", "call_id"], "left_anti").select("session_id", "call_id")
-
-
 def eligible_calls(calls: DataFrame, protect_turns: int) -> DataFrame:
     """PRN-6: calls that are no longer protected by their turn."""
     now = F.sum(F.col("step_start").cast("long")).over(W.partitionBy("session_id"))

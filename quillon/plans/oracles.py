@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quillon.plans import history_oracles
+
 CALLS = """
     calls AS (
         SELECT user_id AS session_id, event_id AS call_id, epoch_us(ts) // 1000 AS created,
@@ -94,43 +96,15 @@ DISTANCE = "dist AS (SELECT *, seq - max(CASE WHEN tool = 'compress' THEN seq EN
 MEAN = "CASE WHEN calls > 0 THEN CAST(floor(({0} + {1}) / calls) AS BIGINT) ELSE 0 END"
 
 ORACLE_SQL = {
-    "token_stats_by_session": with_(CALLS) + f"SELECT {DERIVED} FROM (SELECT session_id, {SUMS} FROM calls GROUP BY 1)",
-    "token_stats_rollup": with_(CALLS) + f"SELECT {DERIVED} FROM (SELECT session_id, {SUMS} FROM calls GROUP BY ROLLUP (session_id))",
-    "finish_reason_histogram": with_(CALLS) + "SELECT session_id, count(*) FILTER (WHERE reason = 'tool-calls') AS tool_calls, count(*) FILTER (WHERE reason = 'stop') AS stop, count(*) FILTER (WHERE reason = 'other') AS other FROM calls GROUP BY 1",
-    "timeline_deltas": with_(CALLS, "done AS (SELECT *, CASE WHEN input > 0 THEN created + input END AS completed FROM calls)")
-    + f"""SELECT session_id, seq, cache_read - lag(cache_read, 1, 0) OVER w AS cache_read_delta, input - lag(input, 1, 0) OVER w AS input_delta,
-        CASE WHEN created <> 0 AND lag(completed) OVER w <> 0 THEN created - lag(completed) OVER w END AS gap, completed - created AS duration, {hit('cache_read', 'input')} AS hit_rate
-        FROM done WINDOW w AS (PARTITION BY session_id ORDER BY seq)""",
-    "timeline_summary": with_(CALLS) + f"SELECT *, {hit('sum_cache_read', 'sum_input')} AS hit_rate FROM (SELECT session_id, {SUMS}, {_sum('CASE WHEN input > 0 THEN input END', 'duration')}, count(*) FILTER (WHERE tool = 'compress') AS uses FROM calls GROUP BY 1)",
-    "tool_impact": with_(CALLS, f"ahead AS ({NEXT})")
-    + f"""SELECT *, {hit('cache_before', 'input_before')} AS hit_before, {hit('cache_after', 'input_after')} AS hit_after FROM (
-        SELECT tool, count(*) AS calls, {_sum('input', 'input_before')}, {_sum('next_input', 'input_after')}, {_sum('cache_read', 'cache_before')}, {_sum('next_cache_read', 'cache_after')}
-        FROM ahead WHERE tool IN ('compress', 'write') AND next_seq IS NOT NULL GROUP BY 1)""",
     "distance_since_compress": with_(CALLS, DISTANCE) + "SELECT session_id, seq, distance FROM dist",
-    "cache_recovery_curve": with_(CALLS, DISTANCE)
-    + f"""SELECT distance, count(*) AS n, CAST(sum(t) AS BIGINT) AS sum_tenths, min(t) AS min_tenths, max(t) AS max_tenths FROM (
-        SELECT distance, CAST(floor({hit('cache_read', 'input')} * 10 + 0.5e0) AS BIGINT) AS t FROM dist WHERE distance IS NOT NULL) GROUP BY 1 ORDER BY 1 LIMIT 15""",
-    "impact_overview": with_(CALLS, "per AS (SELECT session_id, count(*) AS steps, count(*) FILTER (WHERE tool = 'compress') AS calls FROM calls GROUP BY 1)")
-    + f"SELECT count(*) AS scanned, count(*) FILTER (WHERE steps < 30) AS skipped, count(*) FILTER (WHERE steps >= 30) AS analysed, count(*) FILTER (WHERE steps >= 30 AND calls > 0) AS with_calls, {_sum('CASE WHEN steps >= 30 THEN calls END', 'calls')}, {_sum('CASE WHEN steps >= 30 THEN steps END', 'steps')} FROM per",
-    "cost_impact": with_(CALLS, f"ahead AS ({NEXT})", f"s AS (SELECT count(*) AS calls, {_sum('input', 'ib')}, {_sum('cache_read', 'cb')}, {_sum('next_input', 'ia')}, {_sum('next_cache_read', 'ca')} FROM ahead WHERE tool = 'compress' AND next_seq IS NOT NULL)")
-    + f"SELECT calls, {MEAN.format('ib', 'cb')} AS context_before, {MEAN.format('ia', 'ca')} AS context_after, {hit('cb', 'ib')} AS hit_before, {hit('ca', 'ia')} AS hit_after FROM s",
     "turn_counts": with_(CALLS) + "SELECT session_id, CAST(sum(CAST(step_start AS INT)) AS BIGINT) AS turns FROM calls GROUP BY 1",
     "call_turns": with_(CALLS, TURNS) + "SELECT session_id, call_id, turn FROM turns",
-    "current_tokens": with_(CALLS) + "SELECT session_id, arg_max(input + output + cache_read, seq) AS current_tokens FROM calls WHERE output > 0 GROUP BY 1",
     "dedup_calls": with_(CALLS, DEDUP) + "SELECT * FROM dedup",
     "purge_errors": with_(CALLS, TURNS, PURGE) + "SELECT * FROM purge",
     "supersede_writes": with_(CALLS) + "SELECT session_id, call_id, path FROM calls w WHERE tool = 'write' AND EXISTS (SELECT 1 FROM calls r WHERE r.tool = 'read' AND r.session_id = w.session_id AND r.path = w.path AND r.seq > w.seq)",
     "eligible_calls": with_(CALLS, TURNS) + "SELECT session_id, call_id, turn FROM turns WHERE now - turn >= 2",
     "sweep_last_n": with_(CALLS, DEDUP, "ranked AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS rn FROM calls)")
     + "SELECT session_id, call_id FROM ranked WHERE rn <= 5 AND tool <> 'compress' AND call_id NOT IN (SELECT call_id FROM dedup)",
-    "sweep_since_step": with_(CALLS, DEDUP, "marked AS (SELECT *, coalesce(max(CASE WHEN step_start THEN seq END) OVER (PARTITION BY session_id), -1) AS last_start FROM calls)")
-    + "SELECT session_id, call_id FROM marked WHERE seq > last_start AND tool <> 'compress' AND call_id NOT IN (SELECT call_id FROM dedup)",
-    "pruned_parts_rewrite": with_(CALLS, TURNS, DEDUP, PURGE, "gone AS (SELECT call_id FROM dedup UNION SELECT call_id FROM purge)")
-    + """SELECT c.session_id, c.call_id, tool, status,
-        CASE WHEN g.call_id IS NOT NULL AND status = 'completed' AND tool NOT IN ('question', 'edit', 'write') THEN '[output removed to save context]' ELSE path END AS output,
-        CASE WHEN g.call_id IS NOT NULL AND status = 'error' THEN '[input removed after the call failed]' ELSE parameters END AS input
-        FROM calls c LEFT JOIN gone g USING (call_id)""",
-    "over_limits": with_(CALLS) + "SELECT *, current_tokens > 200 AS over_max, current_tokens >= 100 AS over_min FROM (SELECT session_id, arg_max(input + output + cache_read, seq) AS current_tokens FROM calls WHERE output > 0 GROUP BY 1)",
     "block_activity": with_(CALLS, BLOCKS, ACTIVE) + "SELECT session_id, block_id, active FROM active",
     "block_anchor_owners": with_(CALLS, BLOCKS, ACTIVE) + "SELECT session_id, anchor_seq, block_id FROM active WHERE active",
     "block_ancestors": with_(CALLS, BLOCKS, ACTIVE).replace("WITH ", "WITH RECURSIVE ", 1)
@@ -138,7 +112,7 @@ ORACLE_SQL = {
         SELECT session_id, block_id, block_id AS child, 0 AS depth, CAST(NULL AS BIGINT) AS ancestor FROM active WHERE NOT active
         UNION ALL
         SELECT u.session_id, u.block_id, p.block_id, u.depth + 1, CASE WHEN p.active THEN p.block_id END
-        FROM up u JOIN active p ON p.session_id = u.session_id AND p.eats = u.child WHERE u.ancestor IS NULL AND u.depth < 8
+        FROM up u JOIN active p ON p.session_id = u.session_id AND p.eats = u.child WHERE u.ancestor IS NULL
     ) SELECT session_id, block_id, ancestor, CAST(depth AS INTEGER) AS depth FROM up WHERE ancestor IS NOT NULL""",
     "block_guidance": with_(CALLS, BLOCKS, ACTIVE) + "SELECT session_id, count(*) AS n, string_agg('b' || block_id, ', ' ORDER BY block_id) AS names FROM active WHERE active GROUP BY 1",
     "recompressible_blocks": with_(CALLS, BLOCKS) + "SELECT session_id, block_id FROM blocks WHERE taken_back AND present",
@@ -168,7 +142,6 @@ ORACLE_SQL = {
     "sessions_last_used": with_(SESSIONS) + "SELECT id, coalesce(nullif(time_updated, 0), 0) / 1e3 AS last_used FROM sessions",
     "message_lookup": with_(MESSAGES, "wanted AS (SELECT * FROM (VALUES (0, 3, 1), (1, 1000000000, 0), (2, 1, 0)) AS t(pos, session_id, seq))")
     + "SELECT CAST(pos AS INTEGER) AS pos, CAST(w.session_id AS BIGINT) AS session_id, CAST(w.seq AS BIGINT) AS seq, role, CASE WHEN role IS NULL THEN 'not found' END AS error FROM wanted w LEFT JOIN messages m ON m.session_id = w.session_id AND m.seq = w.seq",
-    "sessions_with_parts": with_(MESSAGES) + "SELECT session_id, seq AS message_id, role, CAST(CASE WHEN role <> 'system' THEN 1 ELSE 0 END AS BIGINT) AS n_parts FROM messages",
     "glob_protected": """SELECT page_id, regexp_full_match(path, '(?s)(.*/)?[^/]*1') OR regexp_full_match(path, '[^/]*/p[^/]') OR regexp_full_match(path, '(?s)(.*/)?a/.*') AS protected
         FROM (SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages)""",
     "permission_last_match": with_(CALLS)
@@ -187,15 +160,8 @@ ORACLE_SQL = {
         UNION ALL SELECT r.session_id, r.start_seq, 0, 'user' FROM ranges r WHERE issues IS NULL AND start_seq >= (SELECT min(seq) FROM messages m WHERE m.session_id = r.session_id AND role = 'user')""",
     "compressed_tokens": with_(MESSAGES, REFS, RANGES)
     + "SELECT m.session_id, CAST(sum(CAST(floor(length(text) / 4.0 + 0.5) AS BIGINT)) AS BIGINT) AS compressed_tokens, count(*) AS n_messages FROM messages m JOIN ranges r ON r.session_id = m.session_id AND r.issues IS NULL AND m.seq BETWEEN r.start_seq AND r.end_seq GROUP BY 1",
-    "context_breakdown": with_(
-        CALLS, MESSAGES, DEDUP,
-        "last AS (SELECT session_id, arg_max(input + output + cache_read, seq) AS total FROM calls WHERE output > 0 GROUP BY 1)",
-        "first AS (SELECT session_id, arg_min(input + cache_read, seq) AS opening FROM calls WHERE input + cache_read > 0 GROUP BY 1)",
-        "users AS (SELECT session_id, CAST(floor(length(string_agg(text, chr(10) ORDER BY seq)) / 4.0 + 0.5) AS BIGINT) AS user_, arg_min(CAST(floor(length(text) / 4.0 + 0.5) AS BIGINT), seq) AS first_user FROM messages WHERE role = 'user' GROUP BY 1)",
-        "tools AS (SELECT c.session_id, CAST(sum(CASE WHEN d.call_id IS NULL THEN CAST(floor(length(parameters) / 4.0 + 0.5) AS BIGINT) ELSE 0 END) AS BIGINT) AS tools, count(DISTINCT c.call_id) AS n_calls, count(d.call_id) AS n_pruned FROM calls c LEFT JOIN dedup d USING (call_id) GROUP BY 1)",
-        "j AS (SELECT t.*, coalesce(total, 0) AS total, coalesce(user_, 0) AS user_, greatest(0, coalesce(opening, 0) - coalesce(first_user, 0)) AS system FROM tools t LEFT JOIN last USING (session_id) LEFT JOIN first USING (session_id) LEFT JOIN users USING (session_id))",
-    )
-    + "SELECT session_id, total, system, user_ AS user, tools, greatest(0, total - system - user_ - tools) AS assistant, n_calls, n_pruned, n_calls - n_pruned AS n_in_context FROM j",
     "stats_overview": with_(CALLS, TURNS, DEDUP, PURGE, BLOCKS, ACTIVE, "gone AS (SELECT session_id, call_id FROM dedup UNION SELECT session_id, call_id FROM purge)", "g AS (SELECT session_id, count(*) AS n FROM gone GROUP BY 1)", "a AS (SELECT session_id, count(*) AS n, sum(compressed_tokens) AS t FROM active WHERE active GROUP BY 1)")
     + "SELECT count(*) AS sessions, CAST(coalesce(sum(g.n), 0) AS BIGINT) AS pruned_calls, CAST(coalesce(sum(a.n), 0) AS BIGINT) AS active_blocks, CAST(coalesce(sum(a.t), 0) AS BIGINT) AS block_tokens FROM g FULL JOIN a USING (session_id)",
 }
+
+ORACLE_SQL |= history_oracles.ORACLE_SQL

@@ -11,12 +11,17 @@ from quillon.functions import text as tx
 from quillon.operators import blocks as bl
 from quillon.operators import compact as cp
 from quillon.operators import derive as dv
+from quillon.operators import nudges as nd
+from quillon.operators import parts as pt
 from quillon.operators import permissions as pm
 from quillon.operators import pressure as pr
 from quillon.operators import reports as rp
 from quillon.operators import rewrite as rw
 from quillon.operators import strategies as st
+from quillon.plans import history_queries
+from quillon.sources import history as hs
 from quillon.sources import tables as tb
+from quillon.sources.scratch import writer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 COMPRESS = ["compress"]
@@ -32,36 +37,32 @@ def _simple(name: str, make: Callable[[DataFrame], DataFrame], source: Callable[
 
 
 for _name, _make in {
-    "token_stats_by_session": rp.token_stats,
-    "token_stats_rollup": rp.token_stats_rollup,
-    "finish_reason_histogram": rp.finish_reasons,
-    "timeline_deltas": rp.timeline,
-    "timeline_summary": rp.timeline_summary,
-    "tool_impact": lambda c: rp.tool_impact(c, ["compress", "write"]),
     "distance_since_compress": lambda c: rp.distances(c, COMPRESS).select("session_id", "seq", "distance"),
-    "cache_recovery_curve": lambda c: rp.recovery_curve(c, COMPRESS),
-    "impact_overview": lambda c: rp.impact_overview(c, COMPRESS, 30),
-    "cost_impact": lambda c: rp.cost_impact(c, COMPRESS),
     "turn_counts": dv.turn_counts,
     "call_turns": lambda c: dv.turns(c).select("session_id", "call_id", "turn"),
-    "current_tokens": dv.current_tokens,
     "dedup_calls": st.deduplicate,
     "purge_errors": st.purge_errors,
     "supersede_writes": st.supersede_writes,
     "eligible_calls": lambda c: st.eligible_calls(c, 2).select("session_id", "call_id", "turn"),
     "sweep_last_n": lambda c: st.sweep_last(c, 5, st.deduplicate(c), COMPRESS),
-    "sweep_since_step": lambda c: st.sweep_since(c, st.deduplicate(c), COMPRESS),
-    "pruned_parts_rewrite": lambda c: rw.rewrite_calls(c, st.deduplicate(c).unionByName(st.purge_errors(c).select("session_id", "call_id", F.lit(0).cast("long").alias("token_count")))),
-    "over_limits": lambda c: pr.over_limits(dv.current_tokens(c), F.lit(200), pr.resolved_limit(F.lit("25%"), F.lit(400))),
     "block_activity": lambda c: bl.activity(tb.blocks(c)).select("session_id", "block_id", "active"),
     "block_anchor_owners": lambda c: bl.anchor_owners(tb.blocks(c)),
-    "block_ancestors": lambda c: bl.ancestors(tb.blocks(c)),
     "block_guidance": lambda c: pr.block_guidance(bl.activity(tb.blocks(c)).filter("active")),
     "recompressible_blocks": lambda c: bl.recompressible(tb.blocks(c)).select("session_id", "block_id"),
 }.items():
     _simple(_name, _make, tb.calls)
 
 
+@query
+def block_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bl.ancestors(tb.blocks(tb.calls(spark, sf_dir)), writer(spark, "ancestors"))
+
+
+@query
+def over_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pr.over_limits(pt.current_tokens(hs.history(spark, sf_dir)), F.lit(200), pr.resolved_limit(F.lit("25%"), F.lit(400)))
+
+
 @query
 def decompress_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = tb.blocks(tb.calls(spark, sf_dir))
@@ -137,9 +138,7 @@ def message_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sessions_with_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = tb.messages(spark, sf_dir).withColumn("message_id", F.col("seq"))
-    parts = m.filter("role <> 'system'").select("session_id", "message_id", F.lit(0).alias("part_seq"), F.lit("text").alias("type"), "text", F.lit(None).cast("string").alias("tool"), F.lit(None).cast("string").alias("status"))
-    return tb.with_parts(m.drop("text"), parts).select("session_id", "message_id", "role", F.size("parts").cast("long").alias("n_parts"))
+    return hs.history(spark, sf_dir).select("session_id", "message_id", "role", F.size("parts").cast("long").alias("n_parts"))
 
 
 @query
@@ -148,14 +147,20 @@ def glob_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.select("page_id", tx.path_protected(F.array("path"), ["**/*1", "*/p?", "**/a/**"]).alias("protected"))
 
 
-RULES = [(0, "*", "*", "ask"), (1, "read", "*", "allow"), (2, "write", "src*", "deny"), (3, "b?sh", "*1*", "deny"), (4, "read", "*7", "deny")]
+RULES = pm.flatten_rules({"*": "ask", "read": {"*": "allow"}}, {"write": {"src*": "deny"}, "b?sh": {"*1*": "deny"}, "none": {"*": "perhaps"}}, {"read": {"*7": "deny"}})
 
 
 @query
 def permission_last_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "idx int, permission string, pattern string, action string")
     asked = tb.calls(spark, sf_dir).select(F.col("call_id").alias("request_id"), F.col("tool").alias("permission"), F.concat(F.lit("src/"), F.col("path")).alias("target"))
-    return pm.last_match(asked, rules)
+    return asked.select("request_id", pm.last_match(F.col("permission"), F.col("target"), RULES).alias("said")).select("request_id", "said.pattern", "said.action")
+
+
+@query
+def agent_permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = nd.current_model(hs.history(spark, sf_dir))
+    rules = {"agent-1": {"*": "deny"}, "agent-0": {"*": "deny", "compress": {"*": "allow"}}}
+    return last.select("session_id", pm.effective_by_agent(F.col("agent"), "ask", "compress", {"read": "allow"}, rules).alias("permission"))
 
 
 @query
@@ -208,31 +213,30 @@ def compressed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = [(1, "m0001", "m0002", "first part"), (2, "b1", "m0003", "second (b1) part (b1) (b9)"), (3, "m0004", "m0004", "third"), (4, "b2", "b3", "all of it {block_2}")]
-    return tb.messages(spark, sf_dir).select("session_id").distinct().crossJoin(F.broadcast(spark.createDataFrame(steps, "cmd long, start_id string, end_id string, summary string")))
+    steps = [(1, "one", "m0001", "m0002", "first part"), (2, "two", "b1", "m0003", "second (b1) part (b1) (b9)"), (3, "three", "m0004", "m0004", "third"), (4, "four", "b2", "b3", "all of it {block_2}")]
+    return tb.messages(spark, sf_dir).select("session_id").distinct().crossJoin(F.broadcast(spark.createDataFrame(steps, "cmd long, topic string, start_id string, end_id string, summary string")))
 
 
 @query
 def nested_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = tb.messages(spark, sf_dir)
-    return cp.compact(_commands(spark, sf_dir), m, dv.message_refs(m))
+    return cp.compact(_commands(spark, sf_dir), cp.plain_messages(m, dv.message_refs(m)))
 
 
 @query
 def effective_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = tb.messages(spark, sf_dir)
-    return cp.effective_ids(cp.compact(_commands(spark, sf_dir), m, dv.message_refs(m)))
+    return cp.effective_ids(nested_compaction(spark, sf_dir))
 
 
 @query
-def placeholder_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested_compaction(spark, sf_dir).select("session_id", "block_id", "summary", F.size("consumed").alias("n_consumed"), F.size("missing").alias("n_missing"))
+def covered_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = tb.messages(spark, sf_dir)
+    return cp.covered_messages(nested_compaction(spark, sf_dir), cp.plain_messages(m, dv.message_refs(m)))
 
 
 @query
-def context_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = tb.calls(spark, sf_dir)
-    return dv.context_breakdown(tb.messages(spark, sf_dir), c, st.deduplicate(c))
+def placeholder_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested_compaction(spark, sf_dir).select("session_id", "block_id", "summary", F.size("consumed").alias("n_consumed"), F.size("missing").alias("n_missing"))
 
 
 @query
@@ -243,3 +247,6 @@ def stats_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = gone.groupBy("session_id").agg(F.countDistinct("call_id").alias("pruned_calls"))
     both = per.join(active, "session_id", "full").na.fill(0)
     return both.agg(F.count("*").alias("sessions"), F.sum("pruned_calls").alias("pruned_calls"), F.sum("active_blocks").alias("active_blocks"), F.sum("block_tokens").alias("block_tokens"))
+
+
+QUERIES |= history_queries.QUERIES

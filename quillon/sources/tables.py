@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -70,10 +70,16 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
     return d.select(
         F.col("doc_id").alias("id"), F.substring(F.substring_index("text", "\n", 1), 1, 60).alias("title"), F.col("source").alias("directory"),
-        F.when(F.pmod("doc_id", F.lit(5)) == 0, F.floor(F.col("doc_id") / 5)).cast("long").alias("parent_id"), F.col("doc_id").alias("time_updated"), F.col("doc_id").alias("time_created"),
+        F.when(F.pmod("doc_id", F.lit(5)) == 0, F.floor(F.col("doc_id") / 5)).cast("long").alias("parent_id"), F.col("doc_id").alias("time_updated"), F.col("doc_id").alias("time_created"), F.col("lang").alias("project_id"),
     )
 
 
+def projects(s: DataFrame) -> DataFrame:
+    """A project for each project_id of sessions: where its newest session works, and when that was."""
+    newest = s.filter("project_id is not null").groupBy(F.col("project_id").alias("id")).agg(F.max(F.struct("time_updated", "directory")).alias("x"))
+    return newest.select("id", F.col("x.directory").alias("worktree"), F.col("x.time_updated").alias("time_updated"))
+
+
 def list_sessions(s: DataFrame, directory: str | None = None, roots: bool | None = None, start: int = 0, search: str | None = None, limit: int = 0) -> DataFrame:
     """SRC-3: newest first; ``start`` skips rows and ``limit`` keeps some, each only if positive."""
     if directory is not None:
@@ -95,24 +101,63 @@ def get_session(s: DataFrame, session_id: int) -> DataFrame:
     return found
 
 
-def with_parts(m: DataFrame, parts: DataFrame) -> DataFrame:
-    """SRC-5, JOIN-1: messages with their parts in order; a message without parts keeps an empty list."""
-    own = parts.groupBy("session_id", "message_id").agg(F.sort_array(F.collect_list(F.struct("part_seq", "type", "text", "tool", "status"))).alias("parts"))
-    return m.join(own, ["session_id", "message_id"], "left").withColumn("parts", F.coalesce("parts", F.array().cast(own.schema["parts"].dataType)))
+def list_projects(projects: DataFrame) -> DataFrame:
+    """SRC-2: id and worktree, the one updated last first."""
+    return projects.orderBy(F.desc("time_updated"), "id").select("id", "worktree")
+
+
+def session_rows(s: DataFrame) -> DataFrame:
+    """SRC-15: sessions as they are handed out, with their times in one struct."""
+    time = F.struct(F.col("time_created").alias("created"), F.col("time_updated").alias("updated"))
+    return s.select("id", F.col("project_id").alias("projectID"), F.col("parent_id").alias("parentID"), "directory", "title", time.alias("time"))
+
+
+def child_messages(messages: DataFrame, sessions: DataFrame) -> DataFrame:
+    """SRC-9, SRC-10: the messages of child sessions, beside their parent's id."""
+    children = sessions.filter(is_subagent()).select(F.col("id").alias("session_id"), F.col("parent_id").alias("parent_session_id"))
+    return messages.join(children, "session_id")
+
 
+def is_subagent() -> Column:
+    """PRD-25: a session with a parent."""
+    return F.col("parent_id").isNotNull() & (F.col("parent_id").cast("string") != "")
 
-STATE = "sessionId string, prune struct<tools: map<string,bigint>, messages: map<string,string>>, stats struct<totalPruneTokens: bigint>, lastUpdated string"
 
+PAYLOAD = "id string, role string, agent string, modelID string, providerID string, summary boolean, time struct<created:bigint,completed:bigint>, tokens struct<input:bigint,output:bigint,reasoning:bigint,cache:struct<read:bigint,write:bigint>>"
+STORED_PART = (
+    "type string, text string, ignored boolean, tool string, callID string, state struct<status:string,input:string,output:string,error:string,metadata:string>, "
+    "tokens struct<input:bigint,output:bigint,reasoning:bigint,cache:struct<read:bigint,write:bigint>>, cost double, reason string"
+)
 
-def saved_states(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-11, SRC-12: one JSON file per session; files that do not parse, or lack what counts, are skipped."""
-    rows = spark.read.schema(STATE + ", _corrupt string").option("mode", "PERMISSIVE").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.filter("_corrupt is null and prune is not null").drop("_corrupt")
 
+def _tokens(c: str) -> Column:
+    t = F.col(c)
+    return F.when(t.isNotNull(), F.struct(t["input"].alias("input"), t["output"].alias("output"), t["reasoning"].alias("reasoning"), t["cache"]["read"].alias("cache_read"), t["cache"]["write"].alias("cache_write")))
 
-def save_states(states: DataFrame, path: str) -> None:
-    """SNK-1: the states of sessions, one folder for each."""
-    states.write.mode("overwrite").partitionBy("session_id").json(path)
+
+def stored_messages(message: DataFrame, limit: int | None = None) -> DataFrame:
+    """SRC-5, SRC-9: rows of the store (id, session_id, data as JSON, time_created) as messages, numbered in order of time.
+
+    A payload that does not parse leaves the message with empty fields.
+    ``limit`` keeps each session's first messages.
+    """
+    order = W.partitionBy("session_id").orderBy("time_created", "id")
+    m = message.withColumn("d", F.from_json("data", PAYLOAD)).withColumn("seq", F.row_number().over(order).cast("long"))
+    m = m.filter(F.col("seq") <= limit) if limit else m
+    return m.select(
+        "session_id", "seq", F.col("id").alias("message_id"), "d.role", F.coalesce("d.time.created", "time_created").alias("created"), F.col("d.time.completed").alias("completed"), F.coalesce("d.summary", F.lit(False)).alias("summary"),
+        "d.agent", F.col("d.providerID").alias("provider"), F.col("d.modelID").alias("model"), _tokens("d.tokens").alias("tokens"),
+    )
+
+
+def stored_parts(part: DataFrame) -> DataFrame:
+    """SRC-5: rows of the store (id, message_id, session_id, data as JSON, time_created) as parts; payloads that do not parse leave."""
+    order = W.partitionBy("session_id", "message_id").orderBy("time_created", "id")
+    p = part.withColumn("d", F.from_json("data", STORED_PART)).filter("d.type is not null").withColumn("part_seq", F.row_number().over(order) - 1)
+    return p.select(
+        "session_id", "message_id", "part_seq", "d.type", "d.text", F.coalesce("d.ignored", F.lit(False)).alias("ignored"), "d.tool", F.col("d.callID").alias("call_id"), "d.state.status", "d.state.input", "d.state.output", "d.state.error", "d.state.metadata",
+        _tokens("d.tokens").alias("tokens"), F.col("d.cost").cast("long").alias("cost"), "d.reason",
+    )
 
 
 def sqlite_table(spark: SparkSession, path: str, query: str, schema: str) -> DataFrame:
