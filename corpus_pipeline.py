@@ -1,4 +1,14 @@
-"""A corpus pipeline: five stages, each written as Parquet and read again as the next one's documents."""
+"""A corpus pipeline: five stages, each written as Parquet and read again as the next one's documents.
+
+Defined results for odd rows: a null, empty or blank text fails the quality
+rules and goes in the first stage.  Rows without doc_id, lang or source are rows
+like any other; null is a language and a source of its own.  Of equal rows, and
+of rows whose texts are near duplicates, one stays; rows are told apart by
+doc_id and text, so different texts under one doc_id are judged each for itself.
+Of ties the row with the smaller doc_id (null last), then text, stays.  A
+document that the mix takes twice is two rows of the result.  An empty table
+gives no rows.  Columns beyond those of documents are left out.
+"""
 
 from __future__ import annotations
 

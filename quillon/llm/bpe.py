@@ -364,11 +364,3 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def round_trip_failures(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The doc_ids whose decoded text does not encode to the labels it was decoded from; none is expected."""
-    encoded = encode_documents(docs, path)
-    decoded = decode_documents(encoded, path)
-    labels = encoded.join(decoded, "doc_id")
-    return labels.filter(F.size(F.filter(F.split("text", " "), lambda x: x != "")) != F.col("n_tokens")).select("doc_id")

@@ -13,7 +13,7 @@ from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of anything but these bytes.
@@ -36,10 +36,6 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*places).select(*[F.col(places[i]).alias(n) for i, n in zip(found, names, strict=True)])
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
@@ -115,17 +111,16 @@ def release(spark: SparkSession) -> None:
 HOT_ROWS, MOST_HOT = 1024, 100_000
 
 
-def join_few(rows: DataFrame, few: DataFrame, key: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+def join_few(rows: DataFrame, few: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """rows joined with few, which has one row for each key, so that no task gets all rows of a frequent key.
 
     A key is frequent if it has more than HOT_ROWS rows and more than a
     MOST_HOT-th of all rows, so at most MOST_HOT keys are; their rows of few are
-    broadcast.  All others meet by a shuffle.  The keys are counted in
-    ``counted``, a written table (rows itself unless given).
+    broadcast.  All others meet by a shuffle.  rows is a written table, as it is
+    read several times.
     """
-    counted = rows if counted is None else counted
-    counts = counted.groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > HOT_ROWS)
-    least = -(-counted.count() // MOST_HOT)
+    counts = rows.groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > HOT_ROWS)
+    least = -(-rows.count() // MOST_HOT)
     hot = counts.filter(F.col("_rows") > least).select(key).toArrow()  # MOST_HOT rows at most
     if not hot.num_rows:
         return rows.join(few, key, how)

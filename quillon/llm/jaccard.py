@@ -501,11 +501,13 @@ class Join:
         nearly one component costs its length.
         """
         e = self.entries.drop("part").join(comps, F.col("sig") == F.col("node"), "left").select("key", "sig", "n", "pos", F.coalesce("comp", "sig").alias("comp"))
+        e = self.scratch.save(e, "open")
         by_comp = e.groupBy("key", "comp").agg(F.count("*").alias("c"))
         open_ = by_comp.groupBy("key").agg(F.sum("c").alias("c"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).filter("comps > 1")
-        open_ = open_.select("key", F.col("top.comp").alias("large"), F.ceil((F.col("c") - F.col("top.c")) / BLOCK).alias("small_blocks"), F.ceil(F.col("top.c") / BLOCK).alias("large_blocks"))
+        one = F.col("c") <= BLOCK  # a list that fits in one block is not divided
+        open_ = open_.select("key", F.col("top.comp").alias("large"), F.when(one, 1).otherwise(F.ceil((F.col("c") - F.col("top.c")) / BLOCK)).alias("small_blocks"), F.when(one, 0).otherwise(F.ceil(F.col("top.c") / BLOCK)).alias("large_blocks"))
         small, all_ = F.col("small_blocks"), F.col("small_blocks") + F.col("large_blocks")
-        e = join_few(e, open_, "key", counted=self.entries).withColumn("minor", F.col("comp") != F.col("large"))
+        e = join_few(e, open_, "key").withColumn("minor", (F.col("comp") != F.col("large")) | (F.col("large_blocks") == 0))
         hashed = F.xxhash64("sig")
         e = e.withColumn("own", F.when(F.col("minor"), F.pmod(hashed, small)).otherwise(small + F.pmod(hashed, F.col("large_blocks"))))
         e = e.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("minor"), all_).otherwise(small) - 1)))
