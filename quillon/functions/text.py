@@ -136,3 +136,28 @@ def signature(tool: Column, parameters: Column) -> Column:
     kept = F.map_filter(parsed.try_cast("map<string,variant>"), lambda k, v: ~F.is_variant_null(v))
     written = F.regexp_replace(F.coalesce(F.to_json(kept), F.to_json(parsed), parameters), F.lit(r'("(?:[^"\\]|\\.)*")|(-?\d+)\.0(?=[,}\]]|$)'), F.lit("$1$2"))
     return F.when(parameters.isNull() | written.isin("", "null", "false", "0", '""'), tool).otherwise(F.concat(tool, F.lit("::"), written))
+
+
+def message_ref(n: Column) -> Column:
+    """STR-2: m0001 to m9999; null outside."""
+    return F.when((n >= 1) & (n <= 9999), F.concat(F.lit("m"), F.lpad(n.cast("string"), 4, "0")))
+
+
+def block_ref(n: Column) -> Column:
+    """STR-2: b1 and up; null below."""
+    return F.when(n >= 1, F.concat(F.lit("b"), n.cast("string")))
+
+
+def ref_tag(ref: Column, id_tag: str) -> Column:
+    """STR-2: a reference as a tag."""
+    return F.concat(F.lit(f"<{id_tag}>"), ref, F.lit(f"</{id_tag}>"))
+
+
+def block_marker(n: Column) -> Column:
+    """STR-2: how a summary names a block."""
+    return F.concat(F.lit("("), block_ref(n), F.lit(")"))
+
+
+def iso_time(ms: Column) -> Column:
+    """Milliseconds since 1970 as ISO text, UTC; null and 0 give null."""
+    return F.when(ms != 0, F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss"))

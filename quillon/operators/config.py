@@ -30,6 +30,7 @@ class Compress:
     iteration_threshold: float = 15
     protected_tools: tuple[str, ...] = ()
     protect_user_messages: bool = False
+    nudge_force: str = "soft"
 
 
 @dataclass(frozen=True)
@@ -102,20 +103,31 @@ def type_errors(layer: dict[str, Any], base: Any = None, at: str = "") -> list[s
         old = known[key]
         if is_dataclass(old):
             out += type_errors(value, old, f"{path}.") if isinstance(value, dict) else [f"{path}: object expected"]
+        elif key == "nudge_force":
+            out += [] if value in ("soft", "strong") else [f"{path}: soft or strong expected"]
         elif key == "permission":
             out += [] if value in ("ask", "allow", "deny") else [f"{path}: ask, allow or deny expected"]
         elif key in ("max_context", "min_context"):
-            good = isinstance(value, int) and not isinstance(value, bool) or isinstance(value, str) and re.fullmatch(r"\d+(\.\d+)?%", value)
-            out += [] if good else [f"{path}: number or percentage expected"]
+            out += [] if _limit(value) else [f"{path}: number or percentage expected"]
         elif isinstance(old, bool):
             out += [] if isinstance(value, bool) else [f"{path}: boolean expected"]
         elif isinstance(old, int | float):
             out += [] if isinstance(value, int | float) and not isinstance(value, bool) and value >= 0 else [f"{path}: number from 0 expected"]
+        elif key in ("model_max", "model_min"):
+            limits = value.items() if isinstance(value, dict) else []
+            out += [] if isinstance(value, dict) else [f"{path}: object expected"]
+            out += [f"{path}.{k}: number or percentage expected" for k, v in limits if not _limit(v)]
+        elif isinstance(old, str):
+            out += [] if isinstance(value, str) else [f"{path}: string expected"]
         elif isinstance(old, tuple):
             out += [] if isinstance(value, list | tuple) and all(isinstance(x, str) for x in value) else [f"{path}: list of strings expected"]
     return out
 
 
+def _limit(value: Any) -> bool:
+    return isinstance(value, int) and not isinstance(value, bool) or isinstance(value, str) and re.fullmatch(r"\d+(\.\d+)?%", value) is not None
+
+
 def at_least_one(x: float | None) -> int:
     """NDG-9: a frequency or threshold as a whole number from 1."""
     return max(1, int(x or 1))

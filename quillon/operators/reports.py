@@ -30,3 +30,14 @@ def lookup_messages(wanted: DataFrame, messages: DataFrame) -> DataFrame:
     """JOIN-8: the wanted messages in the order asked for; missing ones say so."""
     found = wanted.join(messages, ["session_id", "seq"], "left")
     return found.select("pos", "session_id", "seq", "role", F.when(F.col("role").isNull(), "not found").alias("error")).orderBy("pos")
+
+
+def find_messages(wanted: list[str], messages: DataFrame, sessions: DataFrame, scan: int = 200) -> DataFrame:
+    """JOIN-8, PRD-21, SRC-6: the wanted messages with their parts, in the order asked for, from the ``scan`` newest sessions (0: all); missing ones say so."""
+    newest = sessions.orderBy(F.desc("time_updated"), F.desc("id"))
+    newest = newest.limit(scan) if scan > 0 else newest
+    asked = messages.sparkSession.createDataFrame(list(enumerate(wanted)), "pos int, message_id string")
+    among = messages.join(newest.select(F.col("id").alias("session_id")), "session_id", "left_semi")
+    found = F.broadcast(asked).join(among, "message_id", "inner")  # as many rows as were asked for
+    out = asked.join(found.drop("message_id"), "pos", "left")
+    return out.select("pos", F.col("message_id").alias("id"), "session_id", "role", "parts", F.when(F.col("session_id").isNull(), "message_not_found").alias("error")).orderBy("pos")

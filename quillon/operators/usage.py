@@ -20,7 +20,7 @@ def steps(messages: DataFrame, which: str = "every") -> DataFrame:
     tools = F.transform(F.filter("parts", lambda p: p["type"] == "tool"), lambda p: p["tool"])
     rows = messages.select("session_id", "seq", "message_id", "created", "completed", tools.alias("tools"), F.explode(chosen).alias("p"))
     numbers = [F.coalesce(F.col(f"p.tokens.{t}"), F.lit(0)).alias(t) for t in TOKENS]
-    return rows.select("session_id", "seq", "message_id", "created", "completed", "tools", *numbers, F.coalesce("p.cost", F.lit(0)).alias("cost"), F.coalesce("p.reason", F.lit("unknown")).alias("reason"))
+    return rows.select("session_id", "seq", "message_id", "created", "completed", "tools", *numbers, F.coalesce("p.cost", F.lit(0.0)).alias("cost"), F.coalesce("p.reason", F.lit("unknown")).alias("reason"))
 
 
 def tools_of(names: list[str], tools: str = "tools") -> Column:
@@ -29,7 +29,7 @@ def tools_of(names: list[str], tools: str = "tools") -> Column:
 
 
 def _sum(c: str) -> Column:
-    return F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    return F.coalesce(F.sum(c), F.lit(0)).cast("double" if c == "cost" else "long").alias(c)
 
 
 def by_session(every: DataFrame) -> DataFrame:

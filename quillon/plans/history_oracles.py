@@ -86,7 +86,7 @@ SUMS = ", ".join(total(f"s_{a}", b) for a, b in (("in", "input"), ("out", "outpu
 STATS = f"""
     stats AS (
         SELECT *, input + output + cache_read AS total, {hit("cache_read", "input")} AS hit_rate FROM (
-            SELECT session_id, {SUMS}, {total("cost", "cost")}, count(*) AS steps, count(*) FILTER (WHERE reason = 'tool-calls') AS tool_calls, count(*) FILTER (WHERE reason = 'stop') AS stop,
+            SELECT session_id, {SUMS}, CAST(coalesce(sum(cost), 0) AS DOUBLE) AS cost, count(*) AS steps, count(*) FILTER (WHERE reason = 'tool-calls') AS tool_calls, count(*) FILTER (WHERE reason = 'stop') AS stop,
                    count(*) FILTER (WHERE coalesce(reason, '?') NOT IN ('tool-calls', 'stop')) AS other FROM every GROUP BY 1)
     )"""
 AHEAD = "ahead AS (SELECT *, lead(s_in) OVER (PARTITION BY session_id ORDER BY seq) AS n_in, lead(s_read) OVER (PARTITION BY session_id ORDER BY seq) AS n_read FROM firsts)"
@@ -154,7 +154,7 @@ ORACLE_SQL = {
         CASE WHEN lag(completed) OVER w <> 0 AND created <> 0 THEN created - lag(completed) OVER w END AS gap, CASE WHEN created <> 0 AND completed <> 0 THEN completed - created END AS duration, {hit("s_read", "s_in")} AS hit_rate
         FROM lasts WINDOW w AS (PARTITION BY session_id ORDER BY seq)""",
     "timeline_summary": with_()
-    + f"""SELECT *, {hit("cache_read", "input")} AS hit_rate FROM (SELECT session_id, count(*) AS steps, {total("s_in", "input")}, {total("s_out", "output")}, {total("s_read", "cache_read")}, {total("cost", "cost")},
+    + f"""SELECT *, {hit("cache_read", "input")} AS hit_rate FROM (SELECT session_id, count(*) AS steps, {total("s_in", "input")}, {total("s_out", "output")}, {total("s_read", "cache_read")}, CAST(coalesce(sum(cost), 0) AS DOUBLE) AS cost,
         {total("CASE WHEN created <> 0 AND completed <> 0 THEN completed - created END", "duration")}, {total(f"CASE WHEN tool IN {USED} THEN 1 ELSE 0 END", "uses")} FROM lasts GROUP BY 1)""",
     "tool_impact": with_(AHEAD, EVENTS)
     + f"""SELECT tool, count(*) AS calls, round(sum({rate("s_read", "s_in")}) / count(*), 6) AS hit_before, round(sum({rate("n_read", "n_in")}) / count(*), 6) AS hit_after,

@@ -16,6 +16,8 @@ from quillon.operators import rewrite as rw
 from quillon.operators import strategies as st
 from quillon.operators import subagents as sa
 from quillon.operators import usage as us
+from quillon.operators.config import load
+from quillon.plans import context as cx
 from quillon.sources import history as hs
 from quillon.sources import tables as tb
 
@@ -158,6 +160,13 @@ def pruned_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.join(messages, "session_id", "full").na.fill(0)
 
 
+def request_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request's context from stored messages: decisions, rewriting, child results, nudges, references."""
+    m = hs.history(spark, sf_dir)
+    config = load({"compress": {"min_context": 120, "max_context": "90%"}, "purge_errors": {"turns": 3}})
+    return _digest(cx.build(m, config, cx.decide(m, config), hidden(m), F.lit(600), m))
+
+
 def project_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tb.list_projects(tb.projects(tb.sessions(spark, sf_dir)))
 
@@ -171,4 +180,4 @@ def child_session_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tb.child_messages(tb.messages(spark, sf_dir), tb.sessions(spark, sf_dir)).select("session_id", "parent_session_id", "seq", "role")
 
 
-QUERIES |= {f.__name__: f for f in (history_blocks, compressed_ranges, pruned_counts, project_list, session_row_list, child_session_messages)}
+QUERIES |= {f.__name__: f for f in (history_blocks, request_context, compressed_ranges, pruned_counts, project_list, session_row_list, child_session_messages)}

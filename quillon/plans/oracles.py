@@ -164,4 +164,33 @@ ORACLE_SQL = {
     + "SELECT count(*) AS sessions, CAST(coalesce(sum(g.n), 0) AS BIGINT) AS pruned_calls, CAST(coalesce(sum(a.n), 0) AS BIGINT) AS active_blocks, CAST(coalesce(sum(a.t), 0) AS BIGINT) AS block_tokens FROM g FULL JOIN a USING (session_id)",
 }
 
+#: The four commands of nested_compaction by hand: which references a block spans, from where on it exists, what it consumed and what its body says.
+NESTED = """
+    said(block_id, first, last, least, consumed, body, active_from) AS (VALUES
+        (1, 1, 2, 2, '', 'first part', 0), (2, 1, 3, 3, '1', 'second first part part (b1) (b9)', 0), (3, 4, 4, 4, '', 'third', 0), (4, 1, 4, 4, '2,3', 'all of it second first part part (b1) (b9)' || chr(10) || chr(10) || 'third', 0)
+    ),
+    counted AS (SELECT session_id, count(*) AS n FROM refs GROUP BY 1),
+    nested AS (
+        SELECT c.session_id, CAST(s.block_id AS BIGINT) AS block_id, a.seq AS start_seq, b.seq AS end_seq, s.consumed, '[compressed section]' || chr(10) || s.body || chr(10) || chr(10) || '[b' || s.block_id || ']' AS summary,
+               s.block_id = CASE WHEN c.n >= 4 THEN 4 WHEN c.n = 3 THEN 2 ELSE 1 END AS active
+        FROM counted c JOIN said s ON c.n >= s.least JOIN refs a ON a.session_id = c.session_id AND a.ref = 'm000' || s.first JOIN refs b ON b.session_id = c.session_id AND b.ref = 'm000' || s.last
+    ),
+    held AS (SELECT n.session_id, n.block_id, n.active, m.seq, CAST(floor(length(m.text) / 4.0 + 0.5) AS BIGINT) AS tokens FROM nested n JOIN messages m ON m.session_id = n.session_id AND m.seq BETWEEN n.start_seq AND n.end_seq)"""
+
+ORACLE_SQL |= {
+    "effective_ids": with_(MESSAGES, REFS, NESTED) + "SELECT session_id, block_id, seq FROM held",
+    "covered_messages": with_(MESSAGES, REFS, NESTED)
+    + "SELECT session_id, seq, string_agg(CAST(block_id AS VARCHAR), ',' ORDER BY block_id) AS all_blocks, coalesce(string_agg(CAST(block_id AS VARCHAR), ',' ORDER BY block_id) FILTER (WHERE active), '') AS active_blocks, max(tokens) AS tokens FROM held GROUP BY 1, 2",
+    "placeholder_expand": with_(MESSAGES, REFS, NESTED) + "SELECT session_id, block_id, summary, CASE WHEN consumed = '' THEN 0 ELSE 1 + length(consumed) - length(replace(consumed, ',', '')) END AS n_consumed, 0 AS n_missing FROM nested",
+    # a block's new messages are those that no block active before it covers: block 2 has one more range than block 1, block 4 what lies between blocks 2 and 3
+    "nested_compaction": with_(MESSAGES, REFS, NESTED)
+    + """SELECT n.session_id, n.block_id, n.start_seq, n.end_seq, n.active, n.consumed, n.summary, count(*) AS n_messages,
+            CAST(coalesce(sum(h.tokens) FILTER (WHERE NOT EXISTS (SELECT 1 FROM held o WHERE o.session_id = h.session_id AND o.seq = h.seq AND o.block_id < h.block_id)), 0) AS BIGINT) AS compressed_tokens
+        FROM nested n JOIN held h ON h.session_id = n.session_id AND h.block_id = n.block_id GROUP BY 1, 2, 3, 4, 5, 6, 7""",
+    "iteration_anchors": with_(
+        MESSAGES, "since AS (SELECT *, seq - max(CASE WHEN role = 'user' THEN seq END) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS n FROM messages)", "late AS (SELECT session_id, seq FROM since WHERE n >= 1)",
+        "picks AS (SELECT session_id, min(seq) AS seq FROM late GROUP BY 1 UNION ALL SELECT p.session_id, min(l.seq) FROM picks p JOIN late l ON l.session_id = p.session_id AND l.seq >= p.seq + 3 GROUP BY p.session_id, p.seq)",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+    + "SELECT session_id, seq FROM picks",
+}
 ORACLE_SQL |= history_oracles.ORACLE_SQL

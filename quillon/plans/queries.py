@@ -217,26 +217,33 @@ def _commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tb.messages(spark, sf_dir).select("session_id").distinct().crossJoin(F.broadcast(spark.createDataFrame(steps, "cmd long, topic string, start_id string, end_id string, summary string")))
 
 
+def _nested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    m = tb.messages(spark, sf_dir)
+    rows = cp.plain_messages(m, dv.message_refs(m))
+    return cp.compact(_commands(spark, sf_dir), rows), rows
+
+
 @query
 def nested_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = tb.messages(spark, sf_dir)
-    return cp.compact(_commands(spark, sf_dir), cp.plain_messages(m, dv.message_refs(m)))
+    plain = F.array_join(F.col("consumed").cast("array<string>"), ",").alias("consumed")
+    return _nested(spark, sf_dir)[0].select("session_id", "block_id", "start_seq", "end_seq", "active", plain, "summary", "n_messages", "compressed_tokens")
 
 
 @query
 def effective_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cp.effective_ids(nested_compaction(spark, sf_dir))
+    return cp.effective_ids(_nested(spark, sf_dir)[0])
 
 
 @query
 def covered_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = tb.messages(spark, sf_dir)
-    return cp.covered_messages(nested_compaction(spark, sf_dir), cp.plain_messages(m, dv.message_refs(m)))
+    out = cp.covered_messages(*_nested(spark, sf_dir))
+    listed = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("all_blocks", "active_blocks")]
+    return out.select("session_id", "seq", *listed, "tokens")
 
 
 @query
 def placeholder_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested_compaction(spark, sf_dir).select("session_id", "block_id", "summary", F.size("consumed").alias("n_consumed"), F.size("missing").alias("n_missing"))
+    return _nested(spark, sf_dir)[0].select("session_id", "block_id", "summary", F.size("consumed").alias("n_consumed"), F.size("missing").alias("n_missing"))
 
 
 @query

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 PART = (
     "struct<part_seq:int,type:string,text:string,ignored:boolean,tool:string,call_id:string,status:string,input:string,output:string,error:string,metadata:string,"
-    "tokens:struct<input:bigint,output:bigint,reasoning:bigint,cache_read:bigint,cache_write:bigint>,cost:bigint,reason:string>"
+    "tokens:struct<input:bigint,output:bigint,reasoning:bigint,cache_read:bigint,cache_write:bigint>,cost:double,reason:string>"
 )
 PART_FIELDS = ("part_seq", "type", "text", "ignored", "tool", "call_id", "status", "input", "output", "error", "metadata", "tokens", "cost", "reason")
 #: Folder that paths of calls are below.

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 #: tool of a call by the kind of event it is read from.
 TOOLS = {"view": "read", "purchase": "write", "signup": "compress"}
@@ -156,22 +162,47 @@ def stored_parts(part: DataFrame) -> DataFrame:
     p = part.withColumn("d", F.from_json("data", STORED_PART)).filter("d.type is not null").withColumn("part_seq", F.row_number().over(order) - 1)
     return p.select(
         "session_id", "message_id", "part_seq", "d.type", "d.text", F.coalesce("d.ignored", F.lit(False)).alias("ignored"), "d.tool", F.col("d.callID").alias("call_id"), "d.state.status", "d.state.input", "d.state.output", "d.state.error", "d.state.metadata",
-        _tokens("d.tokens").alias("tokens"), F.col("d.cost").cast("long").alias("cost"), "d.reason",
+        _tokens("d.tokens").alias("tokens"), F.col("d.cost").alias("cost"), "d.reason",
     )
 
 
-def sqlite_table(spark: SparkSession, path: str, query: str, schema: str) -> DataFrame:
-    """SRC-1: a read-only query on a SQLite file that the reading task can open; rows stream in batches."""
-
-    def run(_):
-        import sqlite3
+def sqlite_table(spark: SparkSession, path: str, query: str, schema: str, ranges: list[tuple[int, int]] | None = None) -> DataFrame:
+    """SRC-1: a read-only query on a SQLite file; rows stream in batches.
 
-        import pandas as pd
+    The file must be on a folder that all machines share.  ``ranges`` (from and
+    to, the end exclusive) give one task each, for a query with two question
+    marks; without them one task reads everything.
+    """
+    asked = spark.createDataFrame([(a, b) for a, b in ranges or [(None, None)]], "a long, b long").repartition(len(ranges or [0]), "a")
 
-        with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-            cursor = db.execute(query)
-            names = [c[0] for c in cursor.description]
-            while rows := cursor.fetchmany(10_000):
-                yield pd.DataFrame(rows, columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import sqlite3
 
-    return spark.range(1, numPartitions=1).mapInPandas(run, schema)
+        for batch in batches:
+            for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+                    cursor = db.execute(query, () if ranges is None else (a, b))
+                    while rows := cursor.fetchmany(10_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    return asked.mapInArrow(run, schema)
+
+
+#: The tables of a store, as they are named there.
+STORE = {
+    "project": "id string, worktree string, time_updated long",
+    "session": "id string, project_id string, parent_id string, directory string, title string, time_created long, time_updated long",
+    "message": "id string, session_id string, data string, time_created long",
+    "part": "id string, message_id string, session_id string, data string, time_created long",
+}
+
+
+def store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """SRC-1, SRC-14: the tables of a store: a folder with a Parquet table for each, or a SQLite file; a missing one is an error."""
+    if os.path.isdir(path):
+        return {t: spark.read.schema(schema).parquet(f"{path}/{t}.parquet") for t, schema in STORE.items()}
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"no store at {path}")
+    names = {t: ", ".join(x.split()[0] for x in schema.split(", ")) for t, schema in STORE.items()}
+    return {t: sqlite_table(spark, path, f"SELECT {names[t]} FROM {t}", schema) for t, schema in STORE.items()}

@@ -116,7 +116,7 @@ def test_compaction_cut_is_positional(spark):
 
 def test_steps_and_impact(spark):
     t = lambda i, r: (i, 1, 0, r, 0)
-    fin = lambda s, i, r, **k: part(s, "step-finish", tokens=t(i, r), cost=1, **k)
+    fin = lambda s, i, r, **k: part(s, "step-finish", tokens=t(i, r), cost=1.0, **k)
     m = frame(
         spark, message(1, "assistant", fin(0, 10, 0), tool(1, "compress"), fin(2, 20, 0, reason="stop")), message(2, "assistant", tool(0, "bash"), fin(1, 5, 15)), message(3, "assistant", tool(0, "compress"), tool(1, "compress"), fin(2, 0, 10)),
         message(4, "assistant", tool(0, "x")), message(5, "assistant", fin(0, 30, 10)), message(6, "assistant", tool(0, "compress"), fin(1, 1, 1)), message(7, "user", text(0, "hi")),
@@ -259,3 +259,79 @@ def test_stream_turn_protection(spark, tmp_path):
 @pytest.mark.parametrize("make", [lambda m: us.by_session(us.steps(m)), lambda m: nd.decisions(m, 1, 1, F.lit(1)), lambda m: pt.breakdown(pt.with_compaction(m), m.select("session_id", F.lit("c").alias("call_id")), m), lambda m: lb.progress_bars(m, m, m)])
 def test_empty_tables(spark, make):
     assert make(frame(spark)).count() == 0
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    import sqlite3
+
+    step = lambda i, r: json.dumps({"type": "step-finish", "tokens": {"input": i, "output": 1, "reasoning": 0, "cache": {"read": r, "write": 0}}, "cost": 0.25, "reason": "stop"})
+    tables = {
+        "project": [("p", "/w", 1)],
+        "session": [("s1", "p", None, "/w", "First title", 1, 10), ("s2", "p", "s1", "/w", "second", 2, 20)],
+        "message": [("m1", "s1", '{"role":"user"}', 1), ("m2", "s1", '{"role":"assistant","time":{"created":5,"completed":65005}}', 2), ("m3", "s2", "{broken", 3)],
+        "part": [("a", "m1", "s1", '{"type":"text","text":"hi"}', 1), ("b", "m2", "s1", json.dumps({"type": "tool", "tool": "compress", "callID": "c", "state": {"status": "completed"}}), 2), ("c", "m2", "s1", step(10, 30), 3), ("d", "m3", "s2", step(5, 5), 4), ("e", "m3", "s2", "nonsense", 5)],
+    }
+    db = sqlite3.connect(tmp_path / "s.db")
+    for t, rows in tables.items():
+        spark.createDataFrame(rows, tb.STORE[t]).write.parquet(f"{tmp_path}/{t}.parquet")
+        db.execute(f"CREATE TABLE {t} ({', '.join(x.split()[0] for x in tb.STORE[t].split(', '))})")
+        db.executemany(f"INSERT INTO {t} VALUES ({', '.join('?' * len(rows[0]))})", rows)
+    db.commit()
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("kind", ["", "/s.db"])
+def test_command_line(spark, store, kind, capsys):
+    from quillon.__main__ import main
+
+    def run(*args):
+        assert main([args[0], "--store", store + kind, "--json", *args[1:]]) == 0
+        return [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+
+    usage = run("usage")
+    assert [(r.get("session_id"), r["input"], r.get("cost")) for r in usage] == [("s2", 5, 0.25), ("s1", 10, 0.25), (None, 15, None)] and usage[1]["hit_rate"] == 75.0
+    line = run("timeline", "--session", "s1")
+    assert (line[0]["duration"], line[1]["uses"]) == ("1m 5s", 1)
+    assert [r["id"] for r in run("find", "TITLE")] == ["s1"] and run("find", "title", "--exact") == []
+    found = run("message", "m2", "nope", "m1")
+    assert [(r["id"], r["error"]) for r in found] == [("m2", None), ("nope", "message_not_found"), ("m1", None)]
+    assert run("impact", "--least", "1")[0] == {"scanned": 2, "skipped": 1, "analysed": 1, "with_calls": 0, "calls": 0, "steps": 1}
+    assert main(["usage", "--store", store + kind]) == 0 and "cache_read" in capsys.readouterr().out
+    assert main(["timeline", "--store", store + kind, "--session", "none"]) == 1 and main(["usage", "--store", store + "/nowhere"]) == 1
+
+
+def test_sqlite_in_ranges(spark, store):
+    rows = tb.sqlite_table(spark, store + "/s.db", "SELECT id, rowid FROM part WHERE rowid >= ? AND rowid < ?", "id string, n long", [(1, 3), (3, 100)])
+    assert sorted(map(tuple, rows.collect())) == [("a", 1), ("b", 2), ("c", 3), ("d", 4), ("e", 5)]
+
+
+def test_context_of_a_request(spark):
+    from quillon.operators.config import Config, load
+    from quillon.plans import context as cx
+
+    given = '{"filePath":"a"}'
+    rows = [
+        message(1, "user", text(0, "a<note>x</note>")), message(2, "assistant", part(0, "step-start"), tool(1, "read", "c1", given=given, output="old", metadata="{}")), message(3, "assistant", part(0, "step-start"), tool(1, "read", "c2", given=given, output="new"), tokens=(9, 1, 0, 0, 0)),
+        message(4, "user", text(0, "covered")), message(5, "user", text(0, "go on"), model="other"),
+    ]
+    m = frame(spark, *rows)
+    config = load({"compress": {"min_context": 5, "max_context": 100}})
+    gone = cx.decide(m, config)
+    assert [tuple(r) for r in gone.collect()] == [(1, "c1", 1)]
+    assert cx.decide(m, load({"manual": True, "automatic_strategies": False})).count() == 0 and cx.decide(m, load({"deduplicate": {"protected_tools": ["read"]}})).count() == 0
+    assert cx.decide(m, config, gone).count() == 0
+    out = cx.build(m, config, gone, m.filter("seq = 4").select("session_id", "message_id"))
+    shown = {r["seq"]: [p["text"] or p["output"] or p["type"] for p in r["parts"]] for r in out.collect()}
+    assert shown == {1: ["a", "<mid>m0001</mid>"], 2: ["step-start", pt.OUTPUT_GONE + "<mid>m0002</mid>"], 3: ["step-start", "[compress soon]", "new<mid>m0003</mid>"], 5: ["go on", "<mid>m0005</mid>"]}
+    assert out.columns == m.columns and all(p["metadata"] is None for r in out.collect() for p in r["parts"])
+    denied = cx.build(m, load({"compress": {"permission": "deny"}}), gone, m.filter("false").select("session_id", "message_id"))
+    assert {r["seq"]: len(r["parts"]) for r in denied.collect()} == {1: 1, 2: 2, 3: 2, 4: 1, 5: 1} and Config().compress.permission == "allow"
+
+
+def test_names(spark):
+    from quillon.functions import text as tx
+
+    n = spark.createDataFrame([(0,), (1,), (9999,), (10000,)], "n long")
+    assert [tuple(r) for r in n.select(tx.message_ref(F.col("n")), tx.ref_tag(tx.block_ref(F.col("n")), "t"), tx.block_marker(F.col("n"))).collect()] == [(None, None, None), ("m0001", "<t>b1</t>", "(b1)"), ("m9999", "<t>b9999</t>", "(b9999)"), (None, "<t>b10000</t>", "(b10000)")]
+    assert [r[0] for r in spark.createDataFrame([(0,), (None,), (1_700_000_000_000,)], "n long").select(tx.iso_time(F.col("n"))).collect()] == [None, None, "2023-11-14T22:13:20"]
