@@ -130,6 +130,29 @@ def join_few(rows: DataFrame, few: DataFrame, key: str, how: str = "inner") -> D
     return cold.unionByName(rows.join(F.broadcast(keys), key, "left_semi").join(F.broadcast(few_hot), key, how))
 
 
+#: Copies of a row that are told apart in one piece of work.
+COPIES = 4096
+
+
+def counted_copies(rows: DataFrame) -> DataFrame:
+    """Each different row once, with the number of its copies; counted before the shuffle."""
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+
+
+def each_copy(rows: DataFrame, *key: str, most: int | None = None) -> DataFrame:
+    """Rows with ``copies`` as that many rows, numbered by nth from 0.
+
+    A row with many copies becomes blocks of ``most``, which are dealt out by
+    key and block before they become rows, so no task makes them all.
+    """
+    most = most or COPIES
+    one = rows.filter(F.col("copies") == 1).withColumn("nth", F.lit(0).cast("long"))
+    many = rows.filter(F.col("copies") > 1).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / most))))
+    many = many.repartition(F.xxhash64(*key, "block"))
+    many = many.withColumn("nth", F.explode(F.sequence(F.col("block") * most, F.least("copies", (F.col("block") + 1) * most) - 1)))
+    return one.unionByName(many.drop("block")).drop("copies")
+
+
 #: Counters of a count sketch: one for each so many bytes of text, between two bounds.
 COUNTER_BYTES, COUNTERS, MOST_COUNTERS = 1 << 19, 1 << 18, 1 << 24
 
@@ -207,3 +230,25 @@ def groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tupl
             cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
                 yield tuple(int(k[a]) for k in keys), batch.slice(a, b - a)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], width: int, least: int = 1 << 17) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted batches in stretches of ``least`` rows or more, cut only where the first ``width`` columns change."""
+    held: list[list[np.ndarray]] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        rows += batch.num_rows
+        if rows < least:
+            continue
+        whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+        new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in whole[:width]]))
+        held = [whole]
+        if len(new):
+            cut = new[-1] + 1
+            yield [c[:cut] for c in whole]
+            held, rows = [[c[cut:].copy() for c in whole]], rows - int(cut)
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.common import U64, Scratch, counters, groups, join_few, mix64, pick, slices, text_bytes, trimmed
+from quillon.llm.common import U64, Scratch, counters, groups, join_few, mix64, pick, slices, text_bytes, trimmed, whole_groups
 from quillon.llm.components import components
 from quillon.llm.shingles import shingle_sets, signatures
 
@@ -210,11 +210,6 @@ def _post(order: Order, light: int, clash: frozenset[int]):
     return run
 
 
-def _columns(batches: Iterator[pa.RecordBatch], n: int) -> list[np.ndarray]:
-    found = list(batches)
-    return [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in found]) if found else np.zeros(0, np.int64) for i in range(n)]
-
-
 def _could(na, nb, pa_, pb_, listed) -> np.ndarray:
     """Sizes and places that leave room for the overlap, if this is the first shingle that both hold."""
     small, large = np.minimum(na, nb), np.maximum(na, nb)
@@ -223,10 +218,12 @@ def _could(na, nb, pa_, pb_, listed) -> np.ndarray:
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lists of a partition with two members or more, and the pairs of neighbours in them."""
-    key, part, sig, n, pos = (x.astype(np.int64) for x in _columns(batches, 5))
-    if not len(key):
-        return
+    """The lists with two members or more, and the pairs of neighbours in them; rows come sorted by list."""
+    for stretch in whole_groups(batches, 2):
+        yield from _lists_of(*(x.astype(np.int64) for x in stretch))
+
+
+def _lists_of(key: np.ndarray, part: np.ndarray, sig: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
     mixed = mix64(sig.view(U64) ^ mix64(key.view(U64)))  # another order in each list, so that chains differ
     order = np.lexsort((mixed, part, key))
     key, part, sig, n, pos = (x[order] for x in (key, part, sig, n, pos))
@@ -435,7 +432,7 @@ class Join:
 
     def lists(self) -> None:
         order, light = self.order, self.light
-        posts = self.docs.mapInArrow(trimmed(_post(order, light, self.clash)), POSTINGS).repartition("key", "part")
+        posts = self.docs.mapInArrow(trimmed(_post(order, light, self.clash)), POSTINGS).repartition("key", "part").sortWithinPartitions("key", "part")
         found = self.scratch.save(posts.mapInArrow(trimmed(_lists), LISTS), "lists", "kind")
         chained = found.filter("kind = 0").select(F.col("sig").alias("a"), F.col("other").alias("b"), F.col("n").alias("na"), F.col("m").alias("nb"))
         self.entries = found.filter("kind = 1").select("key", "part", "sig", "n", "pos")

@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.common import SPACE_CLASS, Scratch, pick
+from quillon.llm.common import SPACE_CLASS, Scratch, counted_copies, each_copy, pick
 
 WEIGHTS, SHARE, MOST_REPEATS = (5.0, 2.0, 1.0), 1.5, 2
-#: Different rows that one running sum covers, and copies of a row that are told apart at once.
-RUN_ROWS, COPIES = 1024, 4096
+#: Different rows that one running sum covers.
+RUN_ROWS = 1024
 #: Bits of the order that buckets are cut from.
 ORDER_BITS = 32
 KEY = ("h", "doc_id")
@@ -62,7 +62,7 @@ def queue(docs: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEIGHT
     Equal rows are counted before they are placed and stand next to each other,
     so neither a running sum nor a task gets more of them for being many.
     """
-    rows = scratch.save(_rows(docs, seed).groupBy(*KEY, "source", "size").agg(F.count("*").alias("copies")), "rows")
+    rows = scratch.save(counted_copies(_rows(docs, seed)), "rows")
     words = F.col("size") * F.col("copies")
     per_source = scratch.save(rows.groupBy("source").agg(F.sum(words).alias("words"), F.count("*").alias("rows")), "sources")
     whole = per_source.agg(F.sum("words").alias("words"), F.max("rows").alias("rows")).first()
@@ -76,9 +76,7 @@ def queue(docs: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEIGHT
     placed = run.join(starts, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
     placed = placed.join(small, F.col("source").eqNullSafe(F.col("t_source"))).withColumn("base", F.col("start") + F.col("run"))
     placed = placed.select(*KEY, "source", "size", "source_size", "target", "base", "copies")
-    many = placed.filter(F.col("copies") > 1).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))))
-    many = many.repartition(F.xxhash64(*KEY, "block")).withColumn("nth", F.explode(F.sequence(F.col("block") * COPIES, F.least("copies", (F.col("block") + 1) * COPIES) - 1)))
-    every = placed.filter(F.col("copies") == 1).withColumn("nth", F.lit(0).cast("long")).unionByName(many.drop("block"))
+    every = each_copy(placed, *KEY)
     placed = scratch.save(every.select(*KEY, "source", "size", "source_size", "target", (F.col("base") + F.col("size") * (F.col("nth") + 1)).alias("upto")), "placed")
     scratch.keep("placed")
     return placed, _cut(placed, scratch, share * (whole["words"] or 0))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import U64, Scratch, buffers, counters, join_few, mix64, pick, slices, text_bytes
+from quillon.llm.common import U64, Scratch, buffers, counters, join_few, mix64, pick, slices, text_bytes, whole_groups
 from quillon.llm.suffixes import repeated
 
 LENGTH, GRAM = 200, 32
@@ -199,23 +199,6 @@ MET = "kind int, gid long, s int, e int, key long, f1 long, f2 long, needed bool
 SETTLED, ASKED, MEMBER = 0, 1, 2
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.ndarray]]:
-    """The columns of sorted batches, cut only where the first ``width`` columns change."""
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-        new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in held[:width]]))
-        if len(new):
-            cut = new[-1] + 1
-            yield [c[:cut] for c in held]
-            held = [c[cut:] for c in held]
-    if held is not None:
-        yield held
-
-
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Settled intervals, the runs whose bytes the sorter needs, and the runs of classes with several runs; rows come sorted by bucket and fingerprint."""
     names = [x.split()[0] for x in MET.split(", ")]
@@ -224,7 +207,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, types = len(g), [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_()]
         return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(x, n), t) for x, t in zip((kind, g, a, b, k, f1, f2, need, cls, dealt), types, strict=True)], names)
 
-    for key, part, f1, f2, kind, gid, s, e, times in _whole_groups(batches, 2):
+    for key, part, f1, f2, kind, gid, s, e, times in whole_groups(batches, 2):
         x = kind == 0
         if x.any():
             g, a, b = joined(gid[x], s[x], e[x])

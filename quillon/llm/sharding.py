@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Scratch, pick
+from quillon.llm.common import Scratch, counted_copies, each_copy, pick
 
 SLOTS = 4096
 MAP_SCHEMA = "version int, virtual_slot int, shard int, slot_bytes long"
@@ -25,16 +25,16 @@ def record_size(text: Column) -> Column:
 
 
 def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot of every row.
+    """doc_id, size, text_crc32, nth, virtual_slot of every row.
 
-    The slot hashes doc_id and the text's checksum, so that rows with a null or
-    repeated doc_id still spread.  A null text counts as empty.
+    The slot hashes doc_id, the text's checksum and which of its copies a row
+    is, so rows with a null or repeated doc_id spread, and so do equal rows.  A
+    null text counts as empty.
     """
-    d = pick(docs, "doc_id", "text")
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    return d.select("doc_id", record_size(F.col("text")).alias("size"), crc.alias("text_crc32")).withColumn(
-        "virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int")
-    )
+    rows = pick(docs, "doc_id", "text").select("doc_id", record_size(F.col("text")).alias("size"), crc.alias("text_crc32"))
+    every = each_copy(counted_copies(rows), "doc_id", "text_crc32")
+    return every.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32", "nth"), F.lit(slots)).cast("int"))
 
 
 def slot_bytes(records: DataFrame) -> DataFrame:
@@ -125,12 +125,12 @@ def assign(records: DataFrame, slot_map: DataFrame) -> DataFrame:
     placed = slot_map.select("virtual_slot", "shard").join(F.broadcast(rows), "virtual_slot")
     before = W.partitionBy("shard").orderBy("virtual_slot").rowsBetween(W.unboundedPreceding, -1)
     placed = placed.select("virtual_slot", "shard", F.coalesce(F.sum("slot_rows").over(before), F.lit(0)).alias("start"))
-    within = W.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
+    within = W.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size", "nth")
     return (
-        records.withColumn("nth", F.row_number().over(within))
+        records.withColumn("place", F.row_number().over(within))
         .join(F.broadcast(placed), "virtual_slot")
-        .withColumn("slot", F.col("start") + F.col("nth") - 1)
-        .drop("start", "nth")
+        .withColumn("slot", F.col("start") + F.col("place") - 1)
+        .drop("start", "place")
     )
 
 

@@ -200,6 +200,18 @@ def test_sharding(spark, docs):
     assert {r["law"] for r in got} == {"bytes"} and {r["grown_shard"] for r in got} == {None}
 
 
+def test_equal_rows_spread_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(common, "COPIES", 7)
+    rows = [(1, "the same text", "en", "s")] * 900 + [(i, f"text {i}", "en", "s") for i in range(300)]
+    got = sharding.shard_documents(table(spark, rows)).collect()
+    load, places = Counter(), defaultdict(list)
+    for r in got:
+        load[r["shard"]] += r["size"]
+        places[r["shard"]].append(r["slot"])
+    assert len(got) == 1200 and all(sorted(v) == list(range(len(v))) for v in places.values())
+    assert max(load.values()) - min(load.values()) <= 3 * 21 and len(load) == 24
+
+
 def test_rebalancing_moves_little(spark, tmp_path):
     per = spark.range(64).select(F.col("id").cast("int").alias("virtual_slot"), (F.col("id") % 9 + 1).alias("slot_bytes"))
     store = sharding.MapStore(spark, str(tmp_path / "map"))
@@ -515,7 +527,7 @@ def mixed_by_force(rows):
 
 @pytest.mark.parametrize("copies", [4096, 3])
 def test_mixing_by_force(spark, docs, copies, monkeypatch):
-    monkeypatch.setattr(mixing, "COPIES", copies)
+    monkeypatch.setattr(common, "COPIES", copies)
     monkeypatch.setattr(mixing, "RUN_ROWS", 9)
     rows = [*docs[0], *[(31, "the same row again and again", "en", "s1")] * 40]
     got = mixing.mix(table(spark, rows)).collect()
