@@ -54,8 +54,9 @@ def allocate_refs(new: DataFrame, taken: DataFrame, most: int = 9999) -> DataFra
 
 
 def last_user(messages: DataFrame) -> DataFrame:
-    """WIN-7, WIN-13: for each message the seq of the last user message up to it, and how many follow it."""
+    """WIN-7, WIN-8, WIN-13: for each message the seq of the last user message up to it (-1 without one), and how many messages follow it; ignored ones (where there is such a column) count as neither."""
+    shown = ~F.col("ignored") if "ignored" in messages.columns else F.lit(True)
     order = W.partitionBy("session_id").orderBy("seq")
-    carried = F.last(F.when(F.col("role") == "user", F.col("seq")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    after = F.count("*").over(order.rowsBetween(1, W.unboundedFollowing))
+    carried = F.last(F.when((F.col("role") == "user") & shown, F.col("seq")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    after = F.count(F.when(shown, 1)).over(order.rowsBetween(1, W.unboundedFollowing))
     return messages.select("session_id", "seq", F.coalesce(carried, F.lit(-1)).alias("last_user_seq"), after.alias("after"))

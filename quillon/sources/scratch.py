@@ -17,7 +17,9 @@ def writer(spark: SparkSession, name: str) -> Callable[[DataFrame, str], DataFra
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     root = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)  # only what is there is deleted at the end
+    files.deleteOnExit(path)
 
     def written(df: DataFrame, table: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{root}/{table}")

@@ -118,6 +118,13 @@ def test_permission_rules(everyone, agents, agent, disabled):
     assert pm.effective("ask", None, "compress", everyone, agents, agent) == ("deny" if disabled else "ask")
 
 
+def test_last_user_and_what_follows(spark):
+    m = spark.createDataFrame([(1, 1, "assistant", False), (1, 2, "user", False), (1, 3, "user", True), (1, 4, "assistant", False)], "session_id long, seq long, role string, ignored boolean")
+    assert [tuple(r)[1:] for r in dv.last_user(m).orderBy("seq").collect()] == [(1, -1, 2), (2, 2, 1), (3, 2, 1), (4, 2, 0)]
+    n = spark.createDataFrame([(10, 4, 9), (10, 40, 0)], "total long, off long, on long")
+    assert [r[0] for r in n.select(bl.token_balance(F.col("total"), F.col("off"), F.col("on"))).collect()] == [15, 0]
+
+
 def test_permission_details(spark):
     assert (pm.effective("ask", "allow", "compress"), pm.effective("deny", "allow", "compress"), pm.effective("allow", "deny", "compress")) == ("allow", "deny", "deny")
     assert pm.has_explicit({"a": "ask"}, "a") and not pm.has_explicit({"a*": "ask"}, "ab") and not pm.has_explicit(None, "a")

@@ -335,3 +335,46 @@ def test_names(spark):
     n = spark.createDataFrame([(0,), (1,), (9999,), (10000,)], "n long")
     assert [tuple(r) for r in n.select(tx.message_ref(F.col("n")), tx.ref_tag(tx.block_ref(F.col("n")), "t"), tx.block_marker(F.col("n"))).collect()] == [(None, None, None), ("m0001", "<t>b1</t>", "(b1)"), ("m9999", "<t>b9999</t>", "(b9999)"), (None, "<t>b10000</t>", "(b10000)")]
     assert [r[0] for r in spark.createDataFrame([(0,), (None,), (1_700_000_000_000,)], "n long").select(tx.iso_time(F.col("n"))).collect()] == [None, None, "2023-11-14T22:13:20"]
+
+
+def test_prompt_files(tmp_path):
+    from quillon.functions import prompts as pp
+
+    load = lambda *folders: pp.load("system", "default // kept", [str(f) for f in folders], "tag", ["manual"])
+    first, second = tmp_path / "a", tmp_path / "b"
+    first.mkdir(), second.mkdir()
+    assert load(first, second) == "<tag>\ndefault // kept\n</tag>"
+    (first / "system.md").write_text("﻿<!-- note -->a <tag> is only named\r\n// comment\r\nb<manual>x</manual>")
+    assert load(first, second) == "<tag>\na <tag> is only named\nb\n</tag>"
+    (second / "system.md").write_text('<TAG x="1">\nwrapped\n</tag>\n')
+    assert load(first, second) == "<tag>\nwrapped\n</tag>"
+    (second / "system.md").write_text("<tag>\nhalf")
+    assert load(second) == "<tag>\ndefault // kept\n</tag>" and load(first, second).startswith("<tag>\na <tag>")
+    assert pp.unwrapped("half </tag>", "tag") == "" and pp.wrapped(" ", "tag") == ""
+
+
+def test_replies(spark, tmp_path):
+    from quillon.operators import render as rd
+
+    b = spark.createDataFrame([(1, 2000, 500, 100, 400, 1000, 3, 4)], "session_id long, total long, system long, user long, tool_tokens long, assistant long, tools_pruned long, messages_pruned long")
+    lines = rd.context_reply(b, F.lit(1500), 10).first()["reply"].split("\n")
+    assert lines == ["system     25.0% │███       │ 500", "user        5.0% │▓         │ 100", "assistant  50.0% │▒▒▒▒▒     │ 1K", "tool       20.0% │░░        │ 400", "pruned: 3 calls, 4 messages (1.5K)", "context: 2K", "without pruning: 3.5K"]
+    assert rd.context_reply(b).first()["reply"].split("\n")[-1] == "context: 2K"
+    r = spark.createDataFrame([(1, 2, 30, 1), (2, 0, 0, 0)], "session_id long, swept long, tokens long, skipped long")
+    i = spark.createDataFrame([(1, ["→ a", "→ b"])], "session_id long, lines array<string>")
+    assert {x["session_id"]: x["reply"] for x in rd.sweep_reply(r, i, True).collect()} == {1: "2 calls swept since the last user message, 30 tokens\n(1 protected)\n→ a\n→ b", 2: "no calls to sweep since the last user message"}
+    s, every = spark.createDataFrame([(1, 5, 2, 3)], "session_id long, tokens long, tools long, messages long"), spark.createDataFrame([(5000, 20, 30, 4)], "tokens long, tools long, messages long, sessions long")
+    assert rd.stats_reply(s, every).first()["reply"] == "this session: 5 tokens, 2 calls, 3 messages\nall sessions (4): 5K tokens, 20 calls, 30 messages"
+    d = spark.createDataFrame([(1, 4, "off", 10), (1, 2, "on", 3), (1, 3, "on", 4)], "session_id long, block_id long, change string, compressed_tokens long")
+    assert rd.change_reply(d, F.lit(4)).first()["reply"] == "block b4\nb4 shown again: 10 tokens\nb2, b3 hidden again: 7 tokens"
+    k = spark.createDataFrame([(1, 2, "two", 10), (1, 1, None, 3)], "session_id long, block_id long, topic string, compressed_tokens long")
+    assert rd.blocks_reply(k).first()["reply"] == "b1:  (3)\nb2: two (10)"
+    us.write_report(s, every, str(tmp_path / "report"))
+    saved = spark.read.json(str(tmp_path / "report/totals")).first()
+    assert saved["tokens"] == 5000 and len(saved["generated_at"]) == 19
+
+
+def test_blocks_in_a_range(spark):
+    ranges = spark.createDataFrame([(1, 1, 2, 5, None), (1, 2, 9, 8, "bad")], "session_id long, cmd long, start_seq long, end_seq long, issues string")
+    active = spark.createDataFrame([(1, 7, 4), (1, 3, 4), (1, 5, 2), (1, 9, 6), (2, 1, 3)], "session_id long, block_id long, anchor_seq long")
+    assert [(r["cmd"], r["required"]) for r in cp.required_blocks(ranges, active).collect()] == [(1, [5, 3, 7])]
