@@ -75,7 +75,9 @@ class Scratch:
         if self.root not in Scratch.roots:
             Scratch.roots.add(self.root)
             at = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+            files = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            files.mkdirs(at)  # only what is there is deleted at the end
+            files.deleteOnExit(at)
         self.names.add(name)
         writer = df.write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy(*by) if by else writer).parquet(self.path(name))
