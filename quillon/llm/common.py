@@ -13,7 +13,7 @@ from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of anything but these bytes.
@@ -132,6 +132,43 @@ def join_few(rows: DataFrame, few: DataFrame, key: str, how: str = "inner") -> D
     return cold.unionByName(rows.join(F.broadcast(keys), key, "left_semi").join(F.broadcast(few_hot), key, how))
 
 
+#: Bits of a filter for keys, a fixed size: two for each key.  Beyond some ten million keys it lets more and more through, and what it lets through is joined.
+FILTER_BITS = 1 << 24
+
+
+def filter_places(key: str) -> list[Column]:
+    """The two bits of a key."""
+    h = F.xxhash64(key)
+    return [F.pmod(h, F.lit(FILTER_BITS)), F.pmod(F.shiftright(h, 32), F.lit(FILTER_BITS))]
+
+
+def key_filter(keys: DataFrame, key: str) -> np.ndarray:
+    """The filter of some keys, as bytes; put together by the executors in pieces, of which there are FILTER_BITS in all."""
+    at = keys.select(F.explode(F.array(*[b + 1 for b in filter_places(key)])).alias("bit")).select(F.bitmap_bucket_number("bit").alias("bucket"), F.bitmap_bit_position("bit").alias("place"))
+    filled = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in at.groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits")).collect():
+        start = (r["bucket"] - 1) * 4096
+        filled[start : start + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return filled
+
+
+def without_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows whose key is not among ``keys`` (a written table); rows without a key stay.
+
+    Wide rows are not shuffled for the few that go: a filter of fixed size lets
+    most rows pass at once, and only those that it holds back are joined.
+    """
+    filled = key_filter(keys, key)
+    if not filled.any():
+        return rows
+    words = pa.table({"bits": pa.array([filled.view("<i8")], pa.list_(pa.int64()))})
+    bits = rows.sparkSession.createDataFrame(words).scalar()
+    hit = lambda b: F.get(bits, F.shiftright(b, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(b, F.lit(64)).cast("int"))) != 0
+    one, two = filter_places(key)
+    held = hit(one) & hit(two)
+    return rows.filter(~held).unionByName(rows.filter(held).join(keys.select(key), key, "left_anti").select(*rows.columns))
+
+
 #: Copies of a row that are told apart in one piece of work.
 COPIES = 4096
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.common import U64, Scratch, counters, groups, join_few, mix64, pick, slices, text_bytes, trimmed, whole_groups
+from quillon.llm.common import U64, Scratch, counters, filter_places, groups, join_few, key_filter, mix64, pick, slices, text_bytes, trimmed, whole_groups, without_keys
 from quillon.llm.components import components
 from quillon.llm.shingles import shingle_sets, signatures
 
@@ -41,8 +41,6 @@ BLOCK = 8192
 CHAIN_PLACES = 12
 #: The columns of documents.
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Bits of the filter that says whose sets are wanted.
-WANTED_BITS = 1 << 24
 
 
 def prefix(n: int) -> int:
@@ -269,15 +267,17 @@ def _partnered(key: np.ndarray, part: np.ndarray, n: np.ndarray, pos: np.ndarray
 
 PAIRS = "a long, b long, na int, nb int"
 #: Shingles of one block of a cluster.
-CLUSTER_SHINGLES = 4_000_000
+CLUSTER_SHINGLES = 2_000_000
 
 
 def _filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose bitmaps allow a link."""
-    for batch in batches:
-        rows = zip(*(batch.column(i).to_pylist() for i in (4, 5, 2, 3)), strict=True)
-        keep = pa.array([may_link(*x) for x in rows], pa.bool_())
-        yield pa.RecordBatch.from_arrays(batch.columns[:4], batch.schema.names[:4]).filter(keep)
+    for whole in batches:
+        for i in range(0, whole.num_rows, 1024):  # bitmaps of long texts are long
+            batch = whole.slice(i, 1024)
+            rows = zip(*(batch.column(i).to_pylist() for i in (4, 5, 2, 3)), strict=True)
+            keep = pa.array([may_link(*x) for x in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], batch.schema.names[:4]).filter(keep)
 
 
 EDGES = "u long, v long"
@@ -390,7 +390,9 @@ def _clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if found := inside(block):
                 yield _edges(found)
         if block is not None:
-            found = [x for keys, comp in zip(piece.column(5).to_pylist(), piece.column(3).to_pylist(), strict=True) for x in block.linked(np.array(keys, np.int64), comp)]
+            keys, comps = piece.column(5), piece.column(3).to_numpy()
+            flat, ends = keys.flatten().to_numpy(), np.concatenate([[0], np.cumsum(keys.value_lengths().to_numpy().astype(np.int64))])
+            found = [x for i in range(len(comps)) for x in block.linked(flat[ends[i] : ends[i + 1]], int(comps[i]))]
             if found:
                 yield _edges(found)
     if held and (found := inside(Block(held))):
@@ -454,12 +456,7 @@ class Join:
         size on doc_id keeps most others out, and a join drops the rest.
         """
         reps = self.reps.join(wanted.select("sig").distinct(), "sig", "left_semi")
-        bits = lambda h: [F.pmod(h, F.lit(WANTED_BITS)), F.pmod(F.shiftright(h, 32), F.lit(WANTED_BITS))]
-        at = reps.select(F.explode(F.array(*[b + 1 for b in bits(F.xxhash64("doc_id"))])).alias("bit")).select(F.bitmap_bucket_number("bit").alias("bucket"), F.bitmap_bit_position("bit").alias("place"))
-        filled = np.zeros(WANTED_BITS // 8, np.uint8)
-        for r in at.groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits")).collect():  # WANTED_BITS in all
-            start = (r["bucket"] - 1) * 4096
-            filled[start : start + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+        filled = key_filter(reps, "doc_id")
         sent, order, clash = self.spark.sparkContext.broadcast(filled), self.order, self.clash
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -479,7 +476,7 @@ class Join:
                     edges = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.ListArray.from_arrays(edges, pa.array(np.concatenate(found)))], ["sig", "keys"])
 
-        b1, b2 = bits(F.xxhash64("doc_id"))
+        b1, b2 = filter_places("doc_id")
         return self.docs.select("text", b1.alias("b1"), b2.alias("b2")).mapInArrow(trimmed(make), "sig long, keys array<long>").groupBy("sig").agg(F.first("keys").alias("keys"))
 
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
@@ -594,7 +591,9 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     fate = scratch.save(fate.select("key", "comp", "first"), "first")
     fate = join_few(fate, tied, "comp", "left").filter("tied or not first").select("key", "comp", "first")
     fate = scratch.save(fate, "fate")
-    scratch.keep("fate")
+    told = scratch.save(fate.select("key"), "told")
+    tied = scratch.save(fate.filter("first").select("key", "comp"), "tied")
+    scratch.keep("told", "tied")
     one = W.partitionBy("comp").orderBy("text", "lang", "source", "n_chars")
-    of_tied = d.join(fate.filter("first"), "key").withColumn("nth", F.row_number().over(one)).filter("nth = 1")
-    return d.join(fate, "key", "left_anti").select(*DOCUMENT).unionByName(of_tied.select(*DOCUMENT))
+    of_tied = d.join(tied, "key").withColumn("nth", F.row_number().over(one)).filter("nth = 1")
+    return without_keys(d, told, "key").select(*DOCUMENT).unionByName(of_tied.select(*DOCUMENT))
