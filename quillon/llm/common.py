@@ -152,21 +152,17 @@ def key_filter(keys: DataFrame, key: str) -> np.ndarray:
     return filled
 
 
-def without_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """rows whose key is not among ``keys`` (a written table); rows without a key stay.
+#: Keys that a join with wide rows broadcasts at most: some 50 MB.
+MOST_KEYS = 1_000_000
 
-    Wide rows are not shuffled for the few that go: a filter of fixed size lets
-    most rows pass at once, and only those that it holds back are joined.
+
+def join_wide(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """Wide rows joined with ``keys``, a written table of narrow rows with few rows for each key.
+
+    Up to MOST_KEYS rows of keys are counted and broadcast, so wide rows stay
+    where they are; beyond that both sides are shuffled, once.
     """
-    filled = key_filter(keys, key)
-    if not filled.any():
-        return rows
-    words = pa.table({"bits": pa.array([filled.view("<i8")], pa.list_(pa.int64()))})
-    bits = rows.sparkSession.createDataFrame(words).scalar()
-    hit = lambda b: F.get(bits, F.shiftright(b, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(b, F.lit(64)).cast("int"))) != 0
-    one, two = filter_places(key)
-    held = hit(one) & hit(two)
-    return rows.filter(~held).unionByName(rows.filter(held).join(keys.select(key), key, "left_anti").select(*rows.columns))
+    return rows.join(F.broadcast(keys) if keys.count() <= MOST_KEYS else keys, key, how)
 
 
 #: Copies of a row that are told apart in one piece of work.

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.common import U64, Scratch, counters, filter_places, groups, join_few, key_filter, mix64, pick, slices, text_bytes, trimmed, whole_groups, without_keys
+from quillon.llm.common import U64, Scratch, counters, filter_places, groups, join_few, join_wide, key_filter, mix64, pick, slices, text_bytes, trimmed, whole_groups
 from quillon.llm.components import components
 from quillon.llm.shingles import shingle_sets, signatures
 
@@ -595,5 +595,5 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     tied = scratch.save(fate.filter("first").select("key", "comp"), "tied")
     scratch.keep("told", "tied")
     one = W.partitionBy("comp").orderBy("text", "lang", "source", "n_chars")
-    of_tied = d.join(tied, "key").withColumn("nth", F.row_number().over(one)).filter("nth = 1")
-    return without_keys(d, told, "key").select(*DOCUMENT).unionByName(of_tied.select(*DOCUMENT))
+    of_tied = join_wide(d, tied, "key", "inner").withColumn("nth", F.row_number().over(one)).filter("nth = 1")
+    return join_wide(d, told, "key", "left_anti").select(*DOCUMENT).unionByName(of_tied.select(*DOCUMENT))

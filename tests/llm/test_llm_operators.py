@@ -106,16 +106,13 @@ def test_frequent_keys_are_broadcast(spark, monkeypatch):
         assert sorted(common.join_few(rows, few, "k", how).collect(), key=str) == sorted(rows.join(few, "k", how).collect(), key=str)
 
 
-@pytest.mark.parametrize("bits", [1 << 24, 1 << 15])
-def test_rows_without_some_keys(spark, bits, monkeypatch, tmp_path):
-    """With few bits the filter lets nearly everything through to the join."""
-    monkeypatch.setattr(common, "FILTER_BITS", bits)
-    rows = spark.range(9000).select(F.when(F.col("id") % 100 > 0, F.unhex(F.md5(F.col("id").cast("string")))).alias("key"), "id")
-    rows.filter("id % 3 = 0 and key is not null").select("key").write.parquet(str(tmp_path / "keys"))
-    keys = spark.read.parquet(str(tmp_path / "keys"))
-    got = {r["id"] for r in common.without_keys(rows, keys, "key").collect()}
-    assert got == {i for i in range(9000) if i % 3 or i % 100 == 0}
-    assert common.without_keys(rows, keys.filter("false"), "key").count() == 9000
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_near_duplicates_leave_with_and_without_broadcast(docs, most, monkeypatch):
+    rows, df = docs
+    monkeypatch.setattr(common, "MOST_KEYS", most)
+    want = {c for i, n, c in near_groups(rows)}
+    got = [r["doc_id"] for r in jaccard.without_near_duplicates(df).collect()]
+    assert set(got) == want and len(got) == len(want)
 
 
 def test_jaccard_on_frequent_sets(docs, monkeypatch):
