@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import file_paths, truncate
 
-ACTIVE, PRUNED, RECENT = "█", "░", "⣿"
+#: The words that stand where a call names nothing, and the cells and ends of a bar.
+NO_PATH, NO_PATTERN, READ_LIST, PATCH, QUESTION = "(current directory)", "(unknown pattern)", "read todo list", "patch", "question"
+ACTIVE, PRUNED, RECENT, END = "█", "░", "⣿", "│"
 
 
 def parameter_label(tool: Column, parameters: Column) -> Column:
@@ -25,8 +27,8 @@ def parameter_label(tool: Column, parameters: Column) -> Column:
     )
     files = file_paths(F.lit("apply_patch"), parameters)
     n_files = F.size(files)
-    patch = F.when(n_files == 0, "patch").when(n_files <= 2, F.array_join(files, ", ")).otherwise(put(n_files.cast("string"), " files: ", F.get(files, 0), ", ", F.get(files, 1), "..."))
-    searched = F.when(text("pattern").isNotNull(), put('"', at("pattern"), '"', F.coalesce(put(" in ", text("path")), F.lit("")))).otherwise("(unknown pattern)")
+    patch = F.when(n_files == 0, PATCH).when(n_files <= 2, F.array_join(files, ", ")).otherwise(put(n_files.cast("string"), " files: ", F.get(files, 0), ", ", F.get(files, 1), "..."))
+    searched = F.when(text("pattern").isNotNull(), put('"', at("pattern"), '"', F.coalesce(put(" in ", text("path")), F.lit("")))).otherwise(NO_PATTERN)
     command = F.when(F.length(at("command")) > 50, put(F.substring(at("command"), 1, 50), "...")).otherwise(text("command"))
     todos = F.coalesce(F.size(F.from_json(at("todos"), "array<string>")), F.lit(0))
     op, path = F.coalesce(text("operation"), F.lit("lsp")), text("filePath")
@@ -36,19 +38,19 @@ def parameter_label(tool: Column, parameters: Column) -> Column:
     heads = F.slice(F.filter(F.transform(questions, lambda q: q["header"]), lambda h: h.isNotNull() & (h != "")), 1, 3)
     asked = put(count.cast("string"), F.when(count > 1, " questions").otherwise(" question"))
     more = F.when(count > 3, put(" (+", (count - 3).cast("string"), " more)")).otherwise("")
-    question = F.when(count > 0, F.when(F.size(heads) > 0, put(asked, ": ", F.array_join(heads, ", "), more)).otherwise(asked)).otherwise("question")
+    question = F.when(count > 0, F.when(F.size(heads) > 0, put(asked, ": ", F.array_join(heads, ", "), more)).otherwise(asked)).otherwise(QUESTION)
     by_tool = (
         F.when((tool == "read") & path.isNotNull(), put(path, lines))
         .when(tool.isin("write", "edit", "multiedit") & path.isNotNull(), path)
         .when((tool == "apply_patch") & at("patchText").isNotNull(), patch)
-        .when(tool == "list", F.coalesce(text("path"), F.lit("(current directory)")))
+        .when(tool == "list", F.coalesce(text("path"), F.lit(NO_PATH)))
         .when(tool.isin("glob", "grep"), searched)
         .when((tool == "bash") & text("description").isNotNull(), at("description"))
         .when((tool == "bash") & text("command").isNotNull(), command)
         .when((tool == "webfetch") & text("url").isNotNull(), at("url"))
         .when(tool.isin("websearch", "codesearch") & text("query").isNotNull(), put('"', at("query"), '"'))
         .when(tool == "todowrite", put(todos.cast("string"), " todos"))
-        .when(tool == "todoread", "read todo list")
+        .when(tool == "todoread", READ_LIST)
         .when((tool == "task") & text("description").isNotNull(), at("description"))
         .when((tool == "skill") & text("name").isNotNull(), at("name"))
         .when(tool == "lsp", lsp)
@@ -98,7 +100,7 @@ def progress_bars(messages: DataFrame, pruned: DataFrame, recent: DataFrame, wid
     every = messages.select("session_id").distinct().join(special, "session_id", "left")
     cell = lambda i: F.coalesce(F.try_element_at("marks", i), F.lit(ACTIVE))
     bar = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), cell), "")
-    return every.select("session_id", F.concat(F.lit("│"), bar, F.lit("│")).alias("bar"))
+    return every.select("session_id", F.concat(F.lit(END), bar, F.lit(END)).alias("bar"))
 
 
 def percent(part: Column, whole: Column) -> Column:

@@ -190,6 +190,7 @@ def test_ancestors_at_any_depth(spark):
     assert bl.ancestors(spark.createDataFrame([], BLOCK_ROW), writer(spark, "test")).count() == 0
     texts = spark.createDataFrame([("b12",), (" 7 ",), ("B3",), ("0",), ("b0",), ("x",), (None,)], "t string")
     assert [r[0] for r in texts.select(bl.block_number(F.col("t"))).collect()] == [12, 7, 3, None, None, None, None]
+    assert [r["block_id"] for r in bl.available(spark.createDataFrame(chain, BLOCK_ROW)).collect()] == [13]
     held = bl.inside_active(spark.createDataFrame(chain, BLOCK_ROW), out).filter("block_id = 4").first()
     assert held["held_by"] == 13
 
@@ -323,6 +324,8 @@ def test_limits(spark):
 def test_config_layers():
     layer = cf.parse_jsonc('{ // note\n "compress": {"max_context": "80%", "protected_tools": ["a",], }, "debug": true, /* x */ }')
     c = cf.load({"compress": {"protected_tools": ["b"]}}, layer)
+    assert cf.as_dict(c)["compress"]["protected_tools"] == ("b", "a")
+    assert cf.type_errors({"compress": {"model_max": {"p/m": "50%", "q": "x"}, "model_min": 3, "nudge_force": "hard"}, "protected_paths": "a"}) == ["compress.model_max.q: number or percentage expected", "compress.model_min: object expected", "compress.nudge_force: soft or strong expected", "protected_paths: list of strings expected"]
     assert (c.debug, c.compress.max_context, c.compress.protected_tools, c.purge_errors.turns) == (True, "80%", ("b", "a"), 4)
     assert cf.unknown_keys({"compress": {"nope": 1}, "x": 2}) == ["compress.nope", "x"]
     assert cf.type_errors({"debug": 1, "compress": {"permission": "maybe", "max_context": "x"}}) == ["debug: boolean expected", "compress.permission: ask, allow or deny expected", "compress.max_context: number or percentage expected"]
@@ -358,3 +361,17 @@ def test_stream_matches_batch(spark, tmp_path):
     spark.read.parquet(str(tmp_path / "out")).createOrReplaceTempView("dups")
     got = {r["call_id"]: (r["turn"], r["supersedes"]) for r in spark.sql("SELECT * FROM dups").collect()}
     assert got == {10: (1, None), 11: (1, None), 12: (2, 10), 13: (0, None)}
+
+
+def test_stream_sums(spark, tmp_path):
+    from quillon.streaming.sessions import stream_token_stats
+
+    schema = "session_id long, input long, output long, cache_read long"
+    (tmp_path / "in").mkdir()
+    for k in range(2):
+        spark.createDataFrame([(1, 10, 1, 5), (2, 3, 1, 0)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        out: list = []
+        q = stream_token_stats(stream).writeStream.foreachBatch(lambda df, _: out.append(sorted(map(tuple, df.collect())))).outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert out[-1] == [(1, 10 * (k + 1), k + 1, 5 * (k + 1), k + 1), (2, 3 * (k + 1), k + 1, 0, k + 1)]
