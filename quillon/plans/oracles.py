@@ -181,7 +181,7 @@ ORACLE_SQL |= {
     "effective_ids": with_(MESSAGES, REFS, NESTED) + "SELECT session_id, block_id, seq FROM held",
     "covered_messages": with_(MESSAGES, REFS, NESTED)
     + "SELECT session_id, seq, string_agg(CAST(block_id AS VARCHAR), ',' ORDER BY block_id) AS all_blocks, coalesce(string_agg(CAST(block_id AS VARCHAR), ',' ORDER BY block_id) FILTER (WHERE active), '') AS active_blocks, max(tokens) AS tokens FROM held GROUP BY 1, 2",
-    "placeholder_expand": with_(MESSAGES, REFS, NESTED) + "SELECT session_id, block_id, summary, CASE WHEN consumed = '' THEN 0 ELSE 1 + length(consumed) - length(replace(consumed, ',', '')) END AS n_consumed, 0 AS n_missing FROM nested",
+    "placeholder_expand": with_(MESSAGES, REFS, NESTED) + "SELECT session_id, block_id, summary, CAST(CASE WHEN consumed = '' THEN 0 ELSE 1 + length(consumed) - length(replace(consumed, ',', '')) END AS BIGINT) AS n_consumed, CAST(0 AS BIGINT) AS n_missing FROM nested",
     # a block's new messages are those that no block active before it covers: block 2 has one more range than block 1, block 4 what lies between blocks 2 and 3
     "nested_compaction": with_(MESSAGES, REFS, NESTED)
     + """SELECT n.session_id, n.block_id, n.start_seq, n.end_seq, n.active, n.consumed, n.summary, count(*) AS n_messages,

@@ -243,7 +243,7 @@ def covered_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def placeholder_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nested(spark, sf_dir)[0].select("session_id", "block_id", "summary", F.size("consumed").alias("n_consumed"), F.size("missing").alias("n_missing"))
+    return _nested(spark, sf_dir)[0].select("session_id", "block_id", "summary", F.size("consumed").cast("long").alias("n_consumed"), F.size("missing").cast("long").alias("n_missing"))
 
 
 @query
