@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, chat, jaccard, mixing, quality, repeats, secrets, sharding, token_counts, topk
+from quillon.llm import bpe, chat, jaccard, mixing, negatives, packing, quality, repeats, secrets, sharding, token_counts, topk, whitening
 from quillon.llm.twins import ORACLE_SQL
 
 
@@ -57,8 +57,21 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.pack(_read(spark, sf_dir, "documents")))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = negatives.mine_table(_read(spark, sf_dir, "embeddings"))
+    return found.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard, op2_sharding, op3_secret_scans, op4_quality_rules, op5_token_counts, op6_suffix_dedup, op7_mixing, op8_bpe, op9_chat_formatting, op10_exact_topk)
+    f.__name__: f for f in (op1_ngram_jaccard, op2_sharding, op3_secret_scans, op4_quality_rules, op5_token_counts, op6_suffix_dedup, op7_mixing, op8_bpe, op9_chat_formatting, op10_exact_topk, op11_packing, op12_whitening, op13_hard_negatives)
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
