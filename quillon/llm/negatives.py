@@ -77,7 +77,8 @@ def choose(rows: DataFrame, count: int = PIVOTS, sample: int = SAMPLE) -> Pivots
     few = rows.orderBy(F.xxhash64("vec_id", "q"), "vec_id").limit(sample).select("q").toArrow().column("q").to_pylist()
     chosen = {}
     for dims in {len(q) for q in few}:
-        x = np.array([q for q in few if len(q) == dims], np.float64).reshape(-1, dims)
+        own = [q for q in few if len(q) == dims]
+        x = np.array(own, np.float64).reshape(len(own), dims)
         picked = [0]
         near = ((x - x[0]) ** 2).sum(axis=1)
         while len(picked) < min(count, len(x)) and near.max() > 0:
