@@ -2,8 +2,10 @@
 
 Prefix sums of turn tokens choose spans of whole turns.  Every window after the
 first repeats the system turn and a few turns of history, each within a share
-of the budget; repeated text is kept out of the loss mask, so each assistant
-text is a target once.  Tokens are counted before conversations are gathered.
+of the budget and only as far as they fit with the turn that opens the window;
+repeated text is kept out of the loss mask, so each assistant text is a target
+once.  Tokens are those of turns as they are formatted, marks and escapes
+included, and are counted before conversations are gathered.
 Rows then stream in order of turns, so a conversation of any length needs the
 memory of one window.
 """
@@ -80,6 +82,8 @@ class Conversation:
         if self.new and self.repeated + self.new_tokens + tokens > self.budget.tokens:
             yield self.close()
         turn = (role, text, tokens)
+        if not self.new and self.turns:
+            self.repeat(tokens)
         if role == "system" and not self.turns and tokens <= self.budget.tokens * self.budget.system_share:
             self.system = [turn]
         else:
@@ -90,8 +94,21 @@ class Conversation:
         self.new_tokens += tokens
         self.turns += 1
 
+    def repeat(self, tokens: int) -> None:
+        """Chooses what the window repeats before a turn of so many tokens: the system turn, then the latest history."""
+        room = self.budget.tokens - tokens
+        first = [t for t in self.system if t[2] <= room]
+        left, latest = min(self.budget.tokens * self.budget.history_share, room - sum(t[2] for t in first)), []
+        for turn in reversed(self.history):
+            if turn[2] > left:
+                break
+            left -= turn[2]
+            latest.append(turn)
+        self.again = first + latest[::-1]
+        self.repeated = sum(t[2] for t in self.again)
+
     def close(self) -> tuple:
-        """The open window as a row; opens the next one with what it repeats: the system turn and the latest history that fits."""
+        """The open window as a row; the next one is empty."""
         parts, loss, at = [], [], 0
         for k, (role, text, _) in enumerate([*self.again, *self.new]):
             piece, start = formatted(role, text)
@@ -100,15 +117,7 @@ class Conversation:
             parts.append(piece)
             at += len(piece)
         row = (self.conv_id, self.windows, "".join(parts), loss, len(self.again), len(self.new), self.repeated + self.new_tokens)
-        left, latest = self.budget.tokens * self.budget.history_share, []
-        for turn in reversed(self.history):
-            if turn[2] > left:
-                break
-            left -= turn[2]
-            latest.append(turn)
-        self.again = self.system + latest[::-1]
-        self.repeated = sum(t[2] for t in self.again)
-        self.new, self.new_tokens, self.windows = [], 0, self.windows + 1
+        self.again, self.repeated, self.new, self.new_tokens, self.windows = [], 0, [], 0, self.windows + 1
         return row
 
 
@@ -132,8 +141,9 @@ def format_conversations(conversations: DataFrame, budget: Budget | None = None,
     null role count as empty.  Rows with a null conv_id are one conversation.
     The system turn is the first turn, if its role is system; it is repeated
     only if it takes no more than its share of the budget.  Other system turns
-    are turns like any other.  A turn longer than the budget gets a window of
-    its own, whole.  Repeated rows are turns of their own.  Empty table: no
+    are turns like any other.  n_tokens, those of the formatted window, stays
+    within the budget unless one turn alone is longer; that gets a window of its
+    own, whole, in which nothing is repeated.  Repeated rows are turns of their own.  Empty table: no
     rows.
     """
     budget, path = budget or Budget(), path or default_vocabulary()
@@ -141,7 +151,8 @@ def format_conversations(conversations: DataFrame, budget: Budget | None = None,
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path).count
         for batch in slices(batches, 4 << 20):
-            tokens = pa.array([count(x or "") for x in batch.column(3).to_pylist()], pa.int64())
+            turns = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            tokens = pa.array([count(formatted(role or "", text or "")[0]) for role, text in turns], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, tokens], [*batch.schema.names, "tokens"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
