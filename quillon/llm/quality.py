@@ -5,6 +5,8 @@ A log-binned quantile sketch (bins of equal relative width, whose counts add
 up) is kept for each ratio by language and source; sketches of a language and
 of the whole corpus are sums of these.  Upper fences read from the sketches
 replace fixed cutoffs, and the documents are filtered by a join with them.
+Nothing that a fence is made of is in units of a ratio: a rule has the share of
+documents beyond which its tail begins, and fences lie a number of spreads above.
 """
 
 from __future__ import annotations
@@ -20,13 +22,13 @@ from quillon.llm.common import SPACE_CLASS, Scratch, pick
 SPACES = f"[{SPACE_CLASS}]+"
 SYMBOLS = "#*$%&|<>"
 
-#: Ratios under rules, and the least distance of a fence above the upper quartile.
-SLACK = {"symbol_ratio": 0.05, "upper_ratio": 0.25, "mark_ratio": 0.15, "dup_line_ratio": 0.3, "repeat_ratio": 0.15, "word_len": 4.0}
+#: Ratios under rules: the quantile where a rule's tail begins (later where clean texts have few but large steps), and what the ratio is a share of.
+RULES = {"symbol_ratio": (0.90, "word_chars"), "upper_ratio": (0.95, "word_chars"), "mark_ratio": (0.90, "n_words"), "dup_line_ratio": (0.99, "n_lines"), "repeat_ratio": (0.99, "n_words"), "word_len": (0.95, "n_words")}
 #: Relative error of a sketch's quantiles, and the least ratio told from zero.
 ERROR, LEAST = 0.01, 1e-4
 GAMMA = (1 + ERROR) / (1 - ERROR)
-#: Quartile distances between the upper quartile and a fence; rows at which a group's own quartiles count half.
-FENCE, HALF_ROWS = 3.0, 20
+#: Spreads (median to tail) between the tail's quantile and a fence; rows at which a group's own quantiles count half; deviations of a count that chance explains.
+FENCE, HALF_ROWS, CHANCE = 2.0, 20, 3.0
 
 
 def _let(value: Column, body) -> Column:
@@ -73,13 +75,13 @@ def features(docs: DataFrame) -> DataFrame:
     by_line = _let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d")))
     gone = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
     out = docs.withColumns({"_w": _let(words, counted), "_l": by_line, "n_symbols": gone(SYMBOLS), "_marks": gone("!?"), "_upper": F.regexp_count(text, F.lit(r"\p{Lu}"))})
-    out = out.withColumns({k: F.col(f"_w.{k}") for k in ("n_words", "word_chars", "n_repeat_words")} | {"n_dup_lines": (F.col("_l.n") - F.col("_l.d")).cast("long")})
+    out = out.withColumns({k: F.col(f"_w.{k}") for k in ("n_words", "word_chars", "n_repeat_words")} | {"n_dup_lines": (F.col("_l.n") - F.col("_l.d")).cast("long"), "n_lines": F.col("_l.n").cast("long")})
     of = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     ratios = {
         "symbol_ratio": of(F.col("n_symbols"), F.col("word_chars")),
         "upper_ratio": of(F.col("_upper"), F.col("word_chars")),
         "mark_ratio": of(F.col("_marks"), F.col("n_words")),
-        "dup_line_ratio": of(F.col("n_dup_lines"), F.col("_l.n")),
+        "dup_line_ratio": of(F.col("n_dup_lines"), F.col("n_lines")),
         "repeat_ratio": of(F.col("n_repeat_words"), F.col("n_words")),
         "word_len": of(F.col("word_chars"), F.col("n_words")),
     }
@@ -92,7 +94,7 @@ def base_failed() -> Column:
 
 def sketches(feats: DataFrame) -> DataFrame:
     """lang, source, rule, bin, n: one row for each filled bin; summed before the shuffle."""
-    rows = feats.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("x")) for r in SLACK])).alias("z")).select("lang", "source", "z.rule", "z.x")
+    rows = feats.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("x")) for r in RULES])).alias("z")).select("lang", "source", "z.rule", "z.x")
     bin_ = F.when(F.col("x") <= LEAST, F.lit(None)).otherwise(F.ceil(F.log("x") / F.lit(math.log(GAMMA))).cast("int"))
     return rows.groupBy("lang", "source", "rule", bin_.alias("bin")).agg(F.count("*").alias("n"))
 
@@ -102,34 +104,38 @@ def merged(sketch: DataFrame, *by: str) -> DataFrame:
     return sketch.groupBy(*by, "rule", "bin").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketch: DataFrame, *by: str) -> DataFrame:
-    """rows, q1 and q3 of each group and rule; a group has as many rows here as filled bins."""
+def quantiles(sketch: DataFrame, *by: str) -> DataFrame:
+    """rows, mid (the median) and high (the rule's own quantile) of each group and rule; a group has as many rows here as filled bins."""
     group = W.partitionBy(*by, "rule")
     run = group.orderBy(F.col("bin").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
     value = F.coalesce(F.lit(2.0) * F.pow(F.lit(GAMMA), F.col("bin").cast("double")) / (GAMMA + 1), F.lit(0.0))
     ranked = sketch.withColumns({"upto": F.sum("n").over(run), "rows": F.sum("n").over(group), "value": value})
+    level = F.create_map(*[F.lit(x) for r, (q, _) in RULES.items() for x in (r, q)])[F.col("rule")]
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("rows"), F.col("value")))
-    return ranked.groupBy(*by, "rule").agg(F.max("rows").alias("rows"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+    return ranked.groupBy(*by, "rule").agg(F.max("rows").alias("rows"), at(0.5).alias("mid"), at(level).alias("high"))
 
 
 def fences(sketch: DataFrame, fence: float = FENCE, half_rows: int = HALF_ROWS) -> DataFrame:
-    """One row for each lang and source with an upper fence for every rule.
+    """One row for each lang and source with an upper fence for every rule, high + ``fence`` * (high - mid).
 
-    A group of n documents weighs its own quartiles by n / (n + ``half_rows``)
+    A group of n documents weighs its own quantiles by n / (n + ``half_rows``)
     and those of its language by the rest; a language is weighed against the
     corpus alike.  Every group is judged by its own sketch at any size, and no
     fence steps as a group grows.
     """
-    own = quartiles(sketch, "lang", "source")
-    lang = quartiles(merged(sketch, "lang"), "lang").select(F.col("lang").alias("lang_"), F.col("rule").alias("rule_"), *[F.col(c).alias(f"lang_{c}") for c in ("rows", "q1", "q3")])
-    every = quartiles(merged(sketch)).select(F.col("rule").alias("rule__"), *[F.col(c).alias(f"all_{c}") for c in ("q1", "q3")])
+    own = quantiles(sketch, "lang", "source")
+    lang = quantiles(merged(sketch, "lang"), "lang").select(F.col("lang").alias("lang_"), F.col("rule").alias("rule_"), *[F.col(c).alias(f"lang_{c}") for c in ("rows", "mid", "high")])
+    every = quantiles(merged(sketch)).select(F.col("rule").alias("rule__"), *[F.col(c).alias(f"all_{c}") for c in ("mid", "high")])
     joined = own.join(lang, own.lang.eqNullSafe(F.col("lang_")) & (own.rule == F.col("rule_"))).join(F.broadcast(every), own.rule == F.col("rule__"))
     weighed = lambda rows, own, rest: (F.col(rows) * own + F.lit(half_rows) * rest) / (F.col(rows) + F.lit(half_rows))
     blend = lambda q: weighed("rows", F.col(q), weighed("lang_rows", F.col(f"lang_{q}"), F.col(f"all_{q}")))
-    slack = F.create_map(*[F.lit(x) for pair in SLACK.items() for x in pair])
-    top = blend("q3") + F.greatest(F.lit(fence) * (blend("q3") - blend("q1")), slack[F.col("rule")])
-    wide = joined.select("lang", "source", "rule", top.alias("top"))
-    return wide.groupBy(F.col("lang").alias("f_lang"), F.col("source").alias("f_source")).agg(*[F.max(F.when(F.col("rule") == r, F.col("top"))).alias(f"top_{r}") for r in SLACK])
+    wide = joined.select("lang", "source", "rule", (blend("high") + F.lit(fence) * (blend("high") - blend("mid"))).alias("top"))
+    return wide.groupBy(F.col("lang").alias("f_lang"), F.col("source").alias("f_source")).agg(*[F.max(F.when(F.col("rule") == r, F.col("top"))).alias(f"top_{r}") for r in RULES])
+
+
+def chance(top: Column, size: Column) -> Column:
+    """How far a ratio may pass a fence by chance: so many deviations of the count that the fence stands for, which is one at least."""
+    return F.lit(CHANCE) * F.sqrt(F.greatest(top * size, F.lit(1.0))) / F.greatest(size, F.lit(1))
 
 
 def judged(feats: DataFrame, tops: DataFrame) -> DataFrame:
@@ -140,10 +146,15 @@ def judged(feats: DataFrame, tops: DataFrame) -> DataFrame:
     that adaptive execution splits where a source is frequent.
     """
     ok = ~F.col("base_failed")
-    for r in SLACK:
-        ok = ok & (F.col(r) <= F.col(f"top_{r}"))
+    for r, (_, size) in RULES.items():
+        ok = ok & (F.col(r) <= F.col(f"top_{r}") + chance(F.col(f"top_{r}"), F.col(size)))
     joined = feats.withColumn("base_failed", base_failed()).join(tops, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
-    return joined.withColumn("kept", F.coalesce(ok, ~F.col("base_failed"))).drop("f_lang", "f_source", *[f"top_{r}" for r in SLACK])
+    return joined.withColumn("kept", F.coalesce(ok, ~F.col("base_failed"))).drop("f_lang", "f_source", *[f"top_{r}" for r in RULES])
+
+
+def fitted(feats: DataFrame) -> DataFrame:
+    """The fences of the documents that pass the base rule; those that fail it leave whatever a fence says."""
+    return fences(sketches(feats.filter(~base_failed())))
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -155,7 +166,7 @@ def score(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "quality")
     feats = scratch.save(features(pick(docs, "doc_id", "text", "lang", "source")).drop("text"), "features")
-    tops = scratch.save(fences(sketches(feats)), "fences")
+    tops = scratch.save(fitted(feats), "fences")
     return judged(feats, tops)
 
 
@@ -169,5 +180,5 @@ def keep(docs: DataFrame) -> DataFrame:
     d = pick(docs, "doc_id", "text", "lang", "source", "n_chars")
     scratch = Scratch(docs.sparkSession, "quality")
     feats = scratch.save(features(d), "features")
-    tops = scratch.save(fences(sketches(feats)), "fences")
+    tops = scratch.save(fitted(feats), "fences")
     return judged(feats, tops).filter("kept").select(*d.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from quillon.llm.quality import FENCE, GAMMA, HALF_ROWS, LEAST, SLACK
+from quillon.llm.quality import CHANCE, FENCE, GAMMA, HALF_ROWS, LEAST, RULES
 
 WORD = r"[^\x20\x09-\x0D]"
 
@@ -27,12 +27,13 @@ def _weighed(rows: str, own: str, rest: str) -> str:
     return f"(({rows} * {own} + {HALF_ROWS} * ({rest})) / ({rows} + {HALF_ROWS}))"
 
 
-def _quartiles(name: str, *by: str) -> str:
-    """q1, q3 and rows of every group and rule, from bins that add up."""
+def _quantiles(name: str, *by: str) -> str:
+    """mid, high and rows of every group and rule, from bins that add up."""
     keys = "".join(f"{b}, " for b in by)
+    level = " ".join(f"WHEN '{r}' THEN {q!r}e0" for r, (q, _) in RULES.items())
     return f"""
         {name} AS (
-            SELECT {keys}rule, max(n) AS n, min(CASE WHEN upto >= 0.25e0 * n THEN value END) AS q1, min(CASE WHEN upto >= 0.75e0 * n THEN value END) AS q3
+            SELECT {keys}rule, max(n) AS n, min(CASE WHEN upto >= 0.5e0 * n THEN value END) AS mid, min(CASE WHEN upto >= CASE rule {level} END * n THEN value END) AS high
             FROM (
                 SELECT *, sum(c) OVER (PARTITION BY {keys}rule ORDER BY bin NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto, sum(c) OVER (PARTITION BY {keys}rule) AS n,
                        coalesce(2e0 * pow({GAMMA!r}, bin) / {GAMMA + 1!r}, 0e0) AS value
@@ -42,11 +43,10 @@ def _quartiles(name: str, *by: str) -> str:
 
 
 def quality_sql() -> str:
-    rules = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rule, {r} AS x FROM ratios" for r in SLACK)
-    slack = " ".join(f"WHEN '{r}' THEN {x!r}" for r, x in SLACK.items())
-    q1, q3 = (_weighed("o.n", f"o.{q}", _weighed("l.n", f"l.{q}", f"a.{q}")) for q in ("q1", "q3"))
-    tops = ", ".join(f"max(CASE WHEN rule = '{r}' THEN top END) AS top_{r}" for r in SLACK)
-    ok = " AND ".join(f"{r} <= top_{r}" for r in SLACK)
+    rules = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rule, {r} AS x FROM ratios WHERE NOT base_failed" for r in RULES)
+    mid, high = (_weighed("o.n", f"o.{q}", _weighed("l.n", f"l.{q}", f"a.{q}")) for q in ("mid", "high"))
+    tops = ", ".join(f"max(CASE WHEN rule = '{r}' THEN top END) AS top_{r}" for r in RULES)
+    ok = " AND ".join(f"{r} <= top_{r} + {CHANCE!r}e0 * sqrt(greatest(top_{r} * {size}, 1e0)) / greatest({size}, 1)" for r, (_, size) in RULES.items())
     return f"""
         WITH d AS (
             SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents
@@ -70,15 +70,15 @@ def quality_sql() -> str:
             SELECT *, {", ".join(f"{sql} AS {r}" for r, sql in RATIOS.items())}, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts
         ), bins AS (
             SELECT lang, source, rule, CASE WHEN x > {LEAST!r} THEN CAST(ceil(ln(x) / {math.log(GAMMA)!r}) AS INTEGER) END AS bin FROM ({rules})
-        ), {_quartiles("own", "lang", "source")}, {_quartiles("by_lang", "lang")}, {_quartiles("every")},
+        ), {_quantiles("own", "lang", "source")}, {_quantiles("by_lang", "lang")}, {_quantiles("every")},
         fences AS (
             SELECT lang, source, {tops} FROM (
-                SELECT o.lang, o.source, o.rule, {q3} + greatest({FENCE!r} * ({q3} - {q1}), CASE o.rule {slack} END) AS top
+                SELECT o.lang, o.source, o.rule, {high} + {FENCE!r} * ({high} - {mid}) AS top
                 FROM own o JOIN by_lang l ON l.lang IS NOT DISTINCT FROM o.lang AND l.rule = o.rule JOIN every a ON a.rule = o.rule
             ) GROUP BY lang, source
         )
-        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {ok} AS kept
-        FROM ratios r JOIN fences f ON f.lang IS NOT DISTINCT FROM r.lang AND f.source IS NOT DISTINCT FROM r.source
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(NOT base_failed AND {ok}, NOT base_failed) AS kept
+        FROM ratios r LEFT JOIN fences f ON f.lang IS NOT DISTINCT FROM r.lang AND f.source IS NOT DISTINCT FROM r.source
     """
 
 

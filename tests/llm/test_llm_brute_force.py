@@ -227,7 +227,7 @@ def small(spark, tmp_path_factory):
 def quality_by_force(rows):
     """Fences from log bins, blended over group, language and corpus."""
     gamma = 1.01 / 0.99
-    slack = {"symbol": 0.05, "upper": 0.25, "mark": 0.15, "line": 0.3, "repeat": 0.15, "length": 4.0}
+    tail = {"symbol": 0.9, "upper": 0.95, "mark": 0.9, "line": 0.99, "repeat": 0.99, "length": 0.95}
     feats = []
     for _, text, lang, source, _ in rows:
         text = text or ""
@@ -239,23 +239,26 @@ def quality_by_force(rows):
         of = lambda a, b: a / b if b else 0.0
         ratio = {"symbol": of(sum(c in "#*$%&|<>" for c in text), chars), "upper": of(sum(c.isupper() for c in text), chars), "mark": of(sum(c in "!?" for c in text), len(w))}
         ratio |= {"line": of(len(lines) - len(set(lines)), len(lines)), "repeat": of(repeat, len(w)), "length": of(chars, len(w))}
-        feats.append((lang, source, ratio, len(w) < 10 or 100 * repeat > 20 * len(w)))
+        size = {"symbol": chars, "upper": chars, "mark": len(w), "line": len(lines), "repeat": len(w), "length": len(w)}
+        feats.append((lang, source, ratio, size, len(w) < 10 or 100 * repeat > 20 * len(w)))
 
-    def quartile(some, rule, q):
+    passing = [f for f in feats if not f[4]]
+
+    def quantile(some, rule, q):
         bins = sorted(-math.inf if f[2][rule] <= 1e-4 else math.ceil(math.log(f[2][rule]) / math.log(gamma)) for f in some)
         b = bins[math.ceil(q * len(bins)) - 1]
         return 0.0 if b == -math.inf else 2 * gamma**b / (gamma + 1)
 
     kept = []
-    for row, (lang, source, ratio, failed) in zip(rows, feats, strict=True):
-        group, tongue = [f for f in feats if f[:2] == (lang, source)], [f for f in feats if f[0] == lang]
+    for row, (lang, source, ratio, size, failed) in zip(rows, feats, strict=True):
+        group, tongue = [f for f in passing if f[:2] == (lang, source)], [f for f in passing if f[0] == lang]
         fine = not failed
-        for rule in slack:
-            q = {}
-            for p in (0.25, 0.75):
-                coarse = (len(tongue) * quartile(tongue, rule, p) + 20 * quartile(feats, rule, p)) / (len(tongue) + 20)
-                q[p] = (len(group) * quartile(group, rule, p) + 20 * coarse) / (len(group) + 20)
-            fine = fine and ratio[rule] <= q[0.75] + max(3 * (q[0.75] - q[0.25]), slack[rule]) + 1e-12
+        for rule in tail if fine else ():
+            mid, high = (
+                (len(group) * quantile(group, rule, p) + 20 * ((len(tongue) * quantile(tongue, rule, p) + 20 * quantile(passing, rule, p)) / (len(tongue) + 20))) / (len(group) + 20) for p in (0.5, tail[rule])
+            )
+            top = high + 2 * (high - mid)
+            fine = fine and ratio[rule] <= top + 3 * math.sqrt(max(top * size[rule], 1)) / max(size[rule], 1) + 1e-12
         if fine:
             kept.append(row)
     return kept

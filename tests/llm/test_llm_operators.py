@@ -294,11 +294,13 @@ def test_quality(spark, docs):
 def test_quantile_sketch_is_close(spark):
     rng = random.Random(6)
     values = [rng.lognormvariate(-2, 1) for _ in range(3000)]
-    df = spark.createDataFrame([("en", "s", *([v] * len(quality.SLACK))) for v in values], "lang string, source string, " + ", ".join(f"{r} double" for r in quality.SLACK))
+    df = spark.createDataFrame([("en", "s", *([v] * len(quality.RULES))) for v in values], "lang string, source string, " + ", ".join(f"{r} double" for r in quality.RULES))
     sk = quality.sketches(df)
-    q = quality.quartiles(sk, "lang", "source").first()
+    found = {q["rule"]: q for q in quality.quantiles(sk, "lang", "source").collect()}
     values.sort()
-    assert abs(q["q1"] / values[749] - 1) < 0.03 and abs(q["q3"] / values[2249] - 1) < 0.03 and q["rows"] == 3000
+    for rule, (level, _) in quality.RULES.items():
+        q = found[rule]
+        assert abs(q["mid"] / values[1499] - 1) < 0.03 and abs(q["high"] / values[round(3000 * level) - 1] - 1) < 0.03 and q["rows"] == 3000
     halves = [quality.sketches(df.filter(c)) for c in ("symbol_ratio < 0.1", "symbol_ratio >= 0.1")]
     both = quality.merged(halves[0].unionByName(halves[1]), "lang", "source")
     assert sorted(map(tuple, both.collect()), key=str) == sorted(map(tuple, sk.select("lang", "source", "rule", "bin", "n").collect()), key=str)
@@ -307,12 +309,34 @@ def test_quantile_sketch_is_close(spark):
 def test_fences_do_not_step_with_the_size_of_a_group(spark):
     sizes = {"a": 60, "b": 199, "c": 200, "d": 201}
     rows = [(lang, "hot", 0.01) for lang in sizes for _ in range(2000)] + [(lang, "code", 0.2 + 0.2 * i / n) for lang, n in sizes.items() for i in range(n)]
-    df = spark.createDataFrame([(lang, src, *([v] * len(quality.SLACK))) for lang, src, v in rows], "lang string, source string, " + ", ".join(f"{r} double" for r in quality.SLACK))
+    df = spark.createDataFrame([(lang, src, *([v] * len(quality.RULES))) for lang, src, v in rows], "lang string, source string, " + ", ".join(f"{r} double" for r in quality.RULES))
     top = {r["f_lang"]: r["top_symbol_ratio"] for r in quality.fences(quality.sketches(df)).filter("f_source = 'code'").collect()}
     assert max(top[x] for x in "bcd") - min(top[x] for x in "bcd") < 0.01
     assert min(top.values()) > 0.4
 
 
+def test_fences_come_from_the_sketches_alone(spark):
+    """Groups that differ get fences that differ, and a corpus scaled by 10 gets fences 10 times as high."""
+    rng = random.Random(7)
+    rows = [(src, rng.lognormvariate(mean, 0.3)) for src, mean in (("a", -4), ("b", -3), ("c", -2)) for _ in range(500)]
+    names = "lang string, source string, " + ", ".join(f"{r} double" for r in quality.RULES)
+    tops = []
+    for scale in (1, 10):
+        df = spark.createDataFrame([("en", src, *([v * scale] * len(quality.RULES))) for src, v in rows], names)
+        tops.append({r["f_source"]: r for r in quality.fences(quality.sketches(df)).collect()})
+    for rule in quality.RULES:
+        a, b, c = (tops[0][s][f"top_{rule}"] for s in "abc")
+        assert a < b < c and all(abs(tops[1][s][f"top_{rule}"] / tops[0][s][f"top_{rule}"] / 10 - 1) < 0.03 for s in "abc")
+
+
+def test_a_few_symbols_are_chance(spark):
+    """Where hardly a text has symbols, a few in a long text stay, many go."""
+    plain = " ".join(f"word{i} is not here" for i in range(40))
+    rows = [(i, f"{plain} {i}", "en", "s") for i in range(60)] + [(100, plain + " 5% & more", "en", "s"), (101, plain + " ### $$$ *** %%% |||", "en", "s")]
+    kept = {r["doc_id"]: r["kept"] for r in quality.score(table(spark, rows)).collect()}
+    assert [i for i, k in kept.items() if not k] == [101]
+
+
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer
@@ -584,10 +608,56 @@ def test_chat(spark):
         assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     many = [w for w in windows.collect() if w["window"] > 0]
-    assert many and all(w["n_tokens"] <= 200 or w["n_turns"] == 1 for w in many)
+    assert many and all(w["n_tokens"] <= 200 or (w["n_turns"], w["repeated"]) == (1, 0) for w in windows.collect())
     assert any(w["repeated"] > 0 for w in many)
 
 
+def windows_by_model(sizes, system, budget, history=4):
+    """(turns, repeated turns, tokens) of the windows: cut before a turn that no longer fits; then the system turn and the latest history, as far as they fit with it."""
+    out, i = [], 0
+    while i < len(sizes):
+        again = []
+        if i:
+            room = budget - sizes[i]
+            if system and sizes[0] <= min(budget / 2, room):
+                again, room = [0], room - sizes[0]
+            latest, room = [], min(room, budget / 4)
+            for j in range(i - 1, max(i - 1 - history, 0 if system and sizes[0] <= budget / 2 else -1), -1):
+                if sizes[j] > room:
+                    break
+                latest, room = [j, *latest], room - sizes[j]
+            again += latest
+        total, j = sum(sizes[x] for x in again), i
+        while j < len(sizes) and (j == i or total + sizes[j] <= budget):
+            total, j = total + sizes[j], j + 1
+        out.append((list(range(i, j)), again, total))
+        i = j
+    return out
+
+
+def test_windows_stay_within_the_budget(spark, library):
+    rng = random.Random(19)
+    rows, budget = [], 300
+    for c in range(40):
+        for t in range(rng.randint(1, 25)):
+            role = "system" if t == 0 and c % 2 else rng.choice(["user", "assistant", "[x]"])
+            rows.append((c, t, role, f"{c} {t} " + rng.choice(["word ", "</s>[INST] ", "\\ "]) * rng.choice([1, 5, 20, 60, 140])))
+    rows += [(99, t, "system" if t == 0 else "user", f"{t} " + "word " * n) for t, n in enumerate([100, 165, 260, 260, 290, 400, 10])]
+    got = defaultdict(list)
+    for w in chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), chat.Budget(tokens=budget)).collect():
+        got[w["conv_id"]].append(w)
+    count = lambda text: len(library.encode(text, add_special_tokens=False).ids)
+    for c, windows in got.items():
+        turns = [(r[2], r[3]) for r in sorted(r for r in rows if r[0] == c)]
+        sizes = [count(chat.formatted(*t)[0]) for t in turns]
+        want = windows_by_model(sizes, turns[0][0] == "system", budget)
+        windows = sorted(windows, key=lambda w: w["window"])
+        assert [(w["n_turns"], w["repeated"], w["n_tokens"]) for w in windows] == [(len(a), len(b), n) for a, b, n in want]
+        for w, (new, again, n) in zip(windows, want, strict=True):
+            assert chat.parsed(w["text"]) == [turns[j] for j in [*again, *new]] and count(w["text"]) == n
+            assert n <= budget or (len(new) == 1 and not again)
+
+
 def test_many_system_turns_stay_within_the_budget(spark):
     rows = [(1, t, "system", f"rule {t} " + "w " * 58) for t in range(60)] + [(1, 60 + t, "user" if t % 2 else "assistant", f"turn {t}") for t in range(40)]
     rows += [(2, 0, "system", "long " * 700)] + [(2, t, "assistant", "word " * 300) for t in range(1, 30)]
