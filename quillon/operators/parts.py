@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.sources.history import PART, PART_FIELDS
 from quillon.functions.text import file_paths, joined_token_count, path_protected, token_count, tool_protected, utf16_length
 
 Part = Callable[[Column], Column]
@@ -170,10 +171,65 @@ def drop_full_tools(m: DataFrame, pruned: DataFrame) -> DataFrame:
     return m.filter((F.size("left") > 0) | (F.size("parts") == 0)).withColumn("parts", F.col("left")).drop("left", "gone")
 
 
-def prune(m: DataFrame, pruned: DataFrame, hidden: DataFrame, **texts: str) -> DataFrame:
-    """PRN-12: covered messages leave, then outputs, questions and inputs of failed calls."""
-    shown = m.join(hidden.select("session_id", "message_id").distinct(), ["session_id", "message_id"], "left_anti")
-    return prune_parts(with_compaction(shown), pruned, **texts)
+#: What the ids of summaries start with.
+SUMMARY_ID = "summary"
+
+
+def in_place(m: DataFrame, hidden: DataFrame, summaries: DataFrame | None = None, id_prefix: str = SUMMARY_ID) -> DataFrame:
+    """JOIN-3, SET-1, PRN-13: the messages that a request shows, with summaries in place of those that blocks cover.
+
+    hidden (session_id, message_id) are the messages that active blocks cover;
+    they leave.  summaries (session_id, anchor_seq, block_id, active, summary):
+    of the active ones at an anchor the one with the largest block_id becomes a
+    user's message right before it, if its text is not empty, its anchor is a
+    stored message (covered or not), and some real user's message stands at or
+    before it, covered ones included.  That message's agent, provider, model and
+    variant are the summary's too.
+
+    Adds from_seq, the stored seq (null for summaries); seq counts anew from 1.
+    message_id is a string: a summary's is the prefix and 16 hex digits that
+    depend on block and anchor alone.  A summary is as new as its session's
+    latest message.
+
+    Stored messages and summaries are one union in the order of seq and rank;
+    one window over it carries the last user on and numbers what is left.
+    """
+    marks = hidden.select("session_id", "message_id").distinct().withColumn("_covered", F.lit(True))
+    stored = m.join(marks, ["session_id", "message_id"], "left").withColumns({"_rank": F.lit(1), "_covered": F.coalesce("_covered", F.lit(False)), "message_id": F.col("message_id").cast("string")})
+    stored = stored.withColumns({"_block": F.lit(None).cast("long"), "_text": F.lit(None).cast("string")})
+    if summaries is None:
+        numbered = stored.filter("not _covered").withColumn("from_seq", F.col("seq")).withColumn("seq", F.row_number().over(W.partitionBy("session_id").orderBy("from_seq")).cast("long"))
+        return numbered.drop("_rank", "_covered", "_block", "_text")
+    owners = summaries.filter("active").groupBy("session_id", F.col("anchor_seq").alias("seq")).agg(F.max(F.struct(F.col("block_id").cast("long").alias("b"), F.col("summary").alias("t"))).alias("_x"))
+    owners = owners.select("session_id", "seq", F.col("_x.b").alias("_block"), F.col("_x.t").alias("_text")).filter("_text <> ''")
+    new = owners.withColumns({"_rank": F.lit(0), "_covered": F.lit(False)})
+    both = stored.unionByName(new, allowMissingColumns=True)
+    place = W.partitionBy("session_id").orderBy("seq", "_rank")
+    who = [c for c in ("agent", "provider", "model", "variant") if c in m.columns]
+    real = F.when((F.col("_rank") == 1) & (F.col("role") == "user") & ~ignored_user(), F.struct(F.lit(True).alias("known"), *who))
+    both = both.withColumn("_user", real)
+    carried = F.coalesce(F.lead("_user").over(place), F.last("_user", ignorenulls=True).over(place.rowsBetween(W.unboundedPreceding, -1)))
+    both = both.withColumns({
+        "_carried": F.when(F.col("_rank") == 0, carried), "_anchor": F.when(F.lead("seq").over(place) == F.col("seq"), F.lead("message_id").over(place)), "_late": F.max("created").over(W.partitionBy("session_id")),
+    })
+    shown = both.filter("not _covered and (_rank = 1 or (_anchor is not null and _carried.known))")
+    shown = shown.withColumn("from_seq", F.when(F.col("_rank") == 1, F.col("seq"))).withColumn("seq", F.row_number().over(place).cast("long"))
+    own = F.col("_rank") == 0
+    seed = F.concat_ws(":", F.col("_block").cast("string"), "_anchor")
+    said = {f: F.lit(None) for f in PART_FIELDS} | {"part_seq": F.lit(0), "type": F.lit("text"), "text": F.col("_text"), "ignored": F.lit(False)}
+    values = {c: F.col(f"_carried.{c}") for c in who} | {
+        "message_id": F.concat_ws("_", F.lit(id_prefix), F.substring(F.sha2(seed, 256), 1, 16)), "role": F.lit("user"), "summary": F.lit(False), "created": F.col("_late"),
+        "parts": F.array(F.struct(*[said[f].alias(f) for f in PART_FIELDS]).cast(PART)),
+    }
+    return shown.withColumns({c: F.when(own, v).otherwise(F.col(c)) for c, v in values.items() if c in shown.columns}).drop("_rank", "_covered", "_block", "_text", "_user", "_carried", "_anchor", "_late")
+
+
+def prune(m: DataFrame, pruned: DataFrame, hidden: DataFrame, summaries: DataFrame | None = None, **texts: str) -> DataFrame:
+    """PRN-12: summaries take the place of covered messages (see in_place), then outputs, questions and inputs of failed calls go.
+
+    What is compacted is judged by all stored messages, covered ones included.
+    """
+    return prune_parts(in_place(with_compaction(m), hidden, summaries), pruned, **texts)
 
 
 def reset_on_compaction(decisions: DataFrame, m: DataFrame) -> DataFrame:

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 
 def resolved_limit(value: Column, model_limit: Column) -> Column:
-    """NDG-2: a number, or a percentage (held to 0..100) of the model's limit; unknown limits give null."""
+    """NDG-2: a number, or a percentage (rounded to a whole one and held to 0..100) of the model's limit; unknown limits give null."""
     percent = F.regexp_extract(value, r"^(-?[0-9.]+)%$", 1)
-    share = F.least(F.greatest(percent.cast("double"), F.lit(0.0)), F.lit(100.0))
+    share = F.least(F.greatest(F.floor(percent.cast("double") + F.lit(0.5)), F.lit(0)), F.lit(100))
     return F.when(percent != "", F.floor(share / 100 * model_limit + F.lit(0.5)).cast("long")).otherwise(value.cast("long"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,6 +18,11 @@ def _open(calls: DataFrame, protected_tools: list[str], protected_paths: list[st
     return calls.filter(~tool_protected(F.col("tool"), protected_tools) & ~path_protected(paths, protected_paths))
 
 
+def latest(calls: DataFrame) -> list[Column]:
+    """Later calls first: by message, then part where there is such a column, then call_id."""
+    return [F.desc(c) for c in ("seq", "part_seq", "call_id") if c in calls.columns]
+
+
 def may_run(enabled: bool = True, manual: bool = False, automatic: bool = True) -> bool:
     """PRN-1, PRN-4: whether a strategy runs: enabled, and in manual mode only if strategies stay automatic."""
     return enabled and (not manual or automatic)
@@ -26,7 +31,7 @@ def may_run(enabled: bool = True, manual: bool = False, automatic: bool = True)
 def deduplicate(calls: DataFrame, protected_tools: list[str] = (), protected_paths: list[str] = (), pruned: DataFrame | None = None) -> DataFrame:
     """PRN-1, WIN-3: all but the last call of each signature in a session, with the tokens it gives back."""
     c = _open(calls, list(protected_tools), list(protected_paths), pruned).withColumn("sig", signature(F.col("tool"), F.col("parameters")))
-    newest = F.row_number().over(W.partitionBy("session_id", "sig").orderBy(F.desc("seq")))
+    newest = F.row_number().over(W.partitionBy("session_id", "sig").orderBy(*latest(c)))
     tokens = F.col("token_count") if "token_count" in c.columns else token_count(F.col("parameters"))
     return c.withColumn("rn", newest).filter("rn > 1").select("session_id", "call_id", tokens.alias("token_count"))
 
@@ -50,7 +55,7 @@ def supersede_writes(calls: DataFrame, protected_paths: list[str] = ()) -> DataF
 
 def sweep_last(calls: DataFrame, n: int, pruned: DataFrame, protected_tools: list[str] = ()) -> DataFrame:
     """PRN-7, SRT-4: the last n calls of each session, without those pruned already or protected."""
-    last = calls.withColumn("rn", F.row_number().over(W.partitionBy("session_id").orderBy(F.desc("seq")))).filter(F.col("rn") <= n)
+    last = calls.withColumn("rn", F.row_number().over(W.partitionBy("session_id").orderBy(*latest(calls)))).filter(F.col("rn") <= n)
     return _open(last, list(protected_tools), []).join(pruned, ["session_id", "call_id"], "left_anti").select("session_id", "call_id")
 
 

@@ -10,7 +10,7 @@ BASE = """
     msgs AS (
         SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY created, e) AS seq, e AS message_id, CASE WHEN event_type = 'click' THEN 'user' ELSE 'assistant' END AS role, created,
                CASE WHEN event_type <> 'click' AND e % 5 <> 0 THEN CASE WHEN e % 9 = 0 THEN 0 ELSE created + v * 10 END END AS completed, event_type <> 'click' AND e % 211 = 0 AS summary,
-               'agent-' || (e % 2) AS agent, 'p' || (e % 2) AS provider, 'm' || (e % 3) AS model, event_type <> 'click' AS spoke, v AS t_in, (e % 4) * 10 AS t_out, e % 7 AS t_think, k * 10 AS t_read, e % 3 AS t_write
+               'agent-' || (e % 2) AS agent, 'p' || (e % 2) AS provider, 'm' || (e % 3) AS model, CASE WHEN event_type = 'click' AND e % 4 = 1 THEN 'fast' END AS variant, event_type <> 'click' AS spoke, v AS t_in, (e % 4) * 10 AS t_out, e % 7 AS t_think, k * 10 AS t_read, e % 3 AS t_write
         FROM ev
     ),
     tools AS (
@@ -27,13 +27,13 @@ BASE = """
         UNION ALL SELECT session_id, e, 1, 'text', 'and more ' || e, e % 7 = 0 AND e % 2 = 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM ev WHERE event_type = 'click' AND e % 11 > 0 AND e % 3 = 0
         UNION ALL SELECT session_id, e, 0, 'step-start', NULL, false, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM tools
         UNION ALL SELECT session_id, e, 1, 'reasoning', 'thinking of ' || k, false, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM tools WHERE e % 3 = 1
-        UNION ALL SELECT session_id, e, 2, 'tool', NULL, false, tool, CASE WHEN e % 53 > 0 THEN 'c' || e END, status,
+        UNION ALL SELECT session_id, e, place, 'tool', NULL, false, tool, CASE WHEN place > 2 OR e % 53 > 0 THEN letter || e END, status,
                CASE tool WHEN 'read' THEN '{' || file || CASE WHEN e % 3 > 0 THEN ',"offset":' || k ELSE '' END || CASE WHEN e % 3 = 2 THEN ',"limit":50' ELSE '' END || '}' WHEN 'list' THEN CASE WHEN e % 2 = 0 THEN '{"path":"src"}' ELSE '{}' END
                    WHEN 'write' THEN '{' || file || ',"content":"line ' || k || '"}' WHEN 'edit' THEN '{' || file || ',"content":"line ' || k || '"}' WHEN 'compress' THEN '{"topic":"t' || k || '","n":' || k || ',"nested":{"a":"b"},"none":null}'
                    WHEN 'task' THEN '{"description":"part ' || k || '","prompt":"do"}' WHEN 'question' THEN '{"questions":[{"header":"H' || (k % 3) || '","question":"why"},{"header":"","question":"how"}]}'
                    ELSE '{"command":"run --all --of --the --steps --up --to --number ' || k || '","n":' || k || ',"deep":{"x":"y"}}' END,
                CASE WHEN status = 'completed' THEN 'out ' || props || CASE WHEN tool = 'task' THEN chr(10) || '<Task_Result>' || chr(10) || 'old' || chr(10) || '</Task_Result> <task_result>kept</task_result>' ELSE '' END END,
-               CASE WHEN status = 'error' THEN 'failed with ' || k END, CASE WHEN tool = 'task' AND e % 2 = 0 THEN session_id + 1 END, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM tools
+               CASE WHEN status = 'error' THEN 'failed with ' || k END, CASE WHEN tool = 'task' AND e % 2 = 0 THEN session_id + 1 END, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM tools JOIN (VALUES (2, 'c', 1), (6, 'd', 5), (7, 'b', 10)) AS again(place, letter, every) ON e % every = 0
         UNION ALL SELECT session_id, e, 3, 'text', ' done ' || k || CASE WHEN e % 12 = 0 THEN '<note>gone</note>' ELSE '' END, false, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM tools WHERE e % 6 = 0
         UNION ALL SELECT session_id, e, 4, 'step-finish', NULL, false, NULL, NULL, NULL, NULL, NULL, NULL, NULL, v, (e % 4) * 10, e % 7, k * 10, e % 3, v * 3,
                CASE WHEN event_type IN ('view', 'purchase') THEN 'tool-calls' WHEN event_type = 'signup' THEN 'stop' END FROM tools WHERE e % 17 > 0
@@ -59,10 +59,10 @@ BASE = """
         FROM started s JOIN content USING (message_id, part_seq) WHERE call_id IS NOT NULL
     ),
     every AS (SELECT p.*, m.seq, m.created, m.completed FROM parts p JOIN m USING (message_id) WHERE type = 'step-finish'),
-    used AS (SELECT message_id, tool FROM parts WHERE type = 'tool'),
+    used AS (SELECT message_id, tool, count(*) AS uses FROM parts WHERE type = 'tool' GROUP BY 1, 2),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY part_seq) AS up, row_number() OVER (PARTITION BY message_id ORDER BY part_seq DESC) AS down FROM every),
-    firsts AS (SELECT ranked.* EXCLUDE (tool), used.tool FROM ranked JOIN used USING (message_id) WHERE up = 1),
-    lasts AS (SELECT ranked.* EXCLUDE (tool), used.tool FROM ranked JOIN used USING (message_id) WHERE down = 1)"""
+    firsts AS (SELECT ranked.* EXCLUDE (tool), used.tool, used.uses FROM ranked JOIN used USING (message_id) WHERE up = 1),
+    lasts AS (SELECT ranked.* EXCLUDE (tool), used.tool, used.uses FROM ranked JOIN used USING (message_id) WHERE down = 1)"""
 
 
 def tokens(x: str) -> str:
@@ -90,15 +90,32 @@ STATS = f"""
                    count(*) FILTER (WHERE coalesce(reason, '?') NOT IN ('tool-calls', 'stop')) AS other FROM every GROUP BY 1)
     )"""
 AHEAD = "ahead AS (SELECT *, lead(s_in) OVER (PARTITION BY session_id ORDER BY seq) AS n_in, lead(s_read) OVER (PARTITION BY session_id ORDER BY seq) AS n_read FROM firsts)"
-EVENTS = f"events_ AS (SELECT * FROM ahead WHERE tool IN {USED} AND n_in IS NOT NULL)"
+EVENTS = f"events_ AS (SELECT ahead.* FROM ahead JOIN range(1, 4) copies(i) ON copies.i <= uses WHERE tool IN {USED} AND n_in IS NOT NULL)"
 #: Rows with equal tools and inputs have equal signatures here, as inputs are written in one way.
-DEDUP = "dedup AS (SELECT session_id, call_id, token_count FROM (SELECT *, row_number() OVER (PARTITION BY session_id, tool, input ORDER BY seq DESC) AS rn FROM calls) WHERE rn > 1)"
+DEDUP = "dedup AS (SELECT session_id, call_id, token_count FROM (SELECT *, row_number() OVER (PARTITION BY session_id, tool, input ORDER BY seq DESC, part_seq DESC) AS rn FROM calls) WHERE rn > 1)"
 OPEN_DEDUP = """
     open_dedup AS (
         SELECT session_id, call_id, token_count FROM (
-            SELECT *, row_number() OVER (PARTITION BY session_id, tool, input ORDER BY seq DESC) AS rn FROM calls
+            SELECT *, row_number() OVER (PARTITION BY session_id, tool, input ORDER BY seq DESC, part_seq DESC) AS rn FROM calls
             WHERE tool <> 'compress' AND NOT coalesce(json_extract_string(input, '$.filePath') IN ('src/k3.py', '/work/app/src/k3.py'), false)) WHERE rn > 1
     )"""
+#: Blocks at every 23rd message: every fifth without text, some not active, some with a second block at the same place.
+SUMMARIES = """
+    told AS (
+        SELECT session_id, seq, message_id, block, text FROM (
+            SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY block DESC) AS rn FROM (
+                SELECT session_id, seq, message_id, message_id AS block, CASE WHEN message_id % 5 = 0 THEN '' ELSE 'sum ' || message_id END AS text FROM m WHERE message_id % 23 = 0 AND message_id % 3 > 0
+                UNION ALL SELECT session_id, seq, message_id, message_id + 1000000, 'later' FROM m WHERE message_id % 92 = 0 AND message_id % 8 > 0)) WHERE rn = 1 AND text <> ''
+    ),
+    carried AS (
+        SELECT *, last_value(CASE WHEN role = 'user' AND NOT ignored THEN {'agent': agent, 'model': model, 'variant': variant} END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS who FROM m
+    ),
+    in_place AS (
+        SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY spot, rank) AS seq, message_id, role, agent, model, variant, text FROM (
+            SELECT t.session_id, t.seq AS spot, 0 AS rank, 'summary_' || left(sha256(t.block || ':' || t.message_id), 16) AS message_id, 'user' AS role, c.who.agent AS agent, c.who.model AS model, c.who.variant AS variant, t.text
+            FROM told t JOIN carried c USING (message_id) WHERE c.who IS NOT NULL
+            UNION ALL SELECT session_id, seq, 1, CAST(message_id AS VARCHAR), role, agent, model, variant, NULL FROM m WHERE message_id % 29 <> 0)
+    )"""
 PURGE = "purge AS (SELECT session_id, call_id, current_turn - turn AS age FROM calls WHERE status = 'error' AND current_turn - turn >= 4)"
 REFS = "refs AS (SELECT session_id, seq, message_id, 'm' || lpad(CAST(row_number() OVER (PARTITION BY session_id ORDER BY seq) AS VARCHAR), 4, '0') AS ref FROM m WHERE NOT ignored)"
 CURRENT = "current AS (SELECT session_id, CAST(coalesce(arg_max(t_in + t_out + t_think + t_read + t_write, seq) FILTER (WHERE spoke AND t_out > 0), 0) AS BIGINT) AS current_tokens FROM m GROUP BY 1)"
@@ -155,7 +172,7 @@ ORACLE_SQL = {
         FROM lasts WINDOW w AS (PARTITION BY session_id ORDER BY seq)""",
     "timeline_summary": with_()
     + f"""SELECT *, {hit("cache_read", "input")} AS hit_rate FROM (SELECT session_id, count(*) AS steps, {total("s_in", "input")}, {total("s_out", "output")}, {total("s_read", "cache_read")}, CAST(coalesce(sum(cost), 0) AS DOUBLE) AS cost,
-        {total("CASE WHEN created <> 0 AND completed <> 0 THEN completed - created END", "duration")}, {total(f"CASE WHEN tool IN {USED} THEN 1 ELSE 0 END", "uses")} FROM lasts GROUP BY 1)""",
+        {total("CASE WHEN created <> 0 AND completed <> 0 THEN completed - created END", "duration")}, {total(f"CASE WHEN tool IN {USED} THEN uses ELSE 0 END", "uses")} FROM lasts GROUP BY 1)""",
     "tool_impact": with_(AHEAD, EVENTS)
     + f"""SELECT tool, count(*) AS calls, round(sum({rate("s_read", "s_in")}) / count(*), 6) AS hit_before, round(sum({rate("n_read", "n_in")}) / count(*), 6) AS hit_after,
         round(CAST(sum(s_in + s_read) AS DOUBLE) / count(*), 6) AS context_before, round(CAST(sum(n_in + n_read) AS DOUBLE) / count(*), 6) AS context_after FROM events_ GROUP BY 1""",
@@ -185,23 +202,24 @@ ORACLE_SQL = {
     "total_tool_tokens": with_() + "SELECT session_id, CAST(sum(token_count) AS BIGINT) AS tokens, count(*) AS calls FROM calls WHERE message_id % 29 <> 0 GROUP BY 1",
     "message_token_totals": with_(MESSAGE_TOKENS) + "SELECT session_id, message_id, tokens FROM message_tokens",
     "dedup_tool_calls": with_()
-    + """SELECT session_id, call_id, token_count FROM (SELECT *, row_number() OVER (PARTITION BY session_id, tool, input ORDER BY seq DESC) AS rn FROM calls WHERE tool <> 'compress' AND message_id % 31 <> 0
+    + """SELECT session_id, call_id, token_count FROM (SELECT *, row_number() OVER (PARTITION BY session_id, tool, input ORDER BY seq DESC, part_seq DESC) AS rn FROM calls WHERE tool <> 'compress' AND NOT (message_id % 31 = 0 AND part_seq = 2)
         AND NOT coalesce(json_extract_string(input, '$.filePath') IN ('src/k3.py', '/work/app/src/k3.py'), false)) WHERE rn > 1""",
     "purge_tool_errors": with_(PURGE) + "SELECT * FROM purge",
     "eligible_tool_calls": with_() + "SELECT session_id, call_id, turn FROM calls WHERE current_turn - turn >= 3",
-    "pruned_parts_rewrite": with_(OPEN_DEDUP, PURGE, "gone AS (SELECT call_id FROM open_dedup UNION SELECT call_id FROM purge)")
-    + """, left_ AS (SELECT *, coalesce(arg_max(created, seq) FILTER (WHERE role = 'assistant' AND summary) OVER (PARTITION BY session_id), 0) AS cut FROM msgs WHERE message_id % 29 <> 0)
-        SELECT p.session_id, p.message_id, tool, status,
+    "summaries_in_place": with_(SUMMARIES) + "SELECT session_id, seq, message_id, role, agent, model, variant, text FROM in_place",
+    "pruned_parts_rewrite": with_(OPEN_DEDUP, PURGE, SUMMARIES, "gone AS (SELECT call_id FROM open_dedup UNION SELECT call_id FROM purge)")
+    + """SELECT p.session_id, CAST(p.message_id AS VARCHAR) AS message_id, tool, status, CAST(NULL AS VARCHAR) AS text,
         CASE WHEN g.call_id IS NOT NULL AND status = 'error' THEN '{"command":"[pruned input]","deep":{"x":"y"},"n":' || json_extract_string(input, '$.n') || '}' WHEN g.call_id IS NOT NULL AND status = 'completed' AND tool = 'question' THEN '{"questions":"[pruned questions]"}' ELSE input END AS input,
         CASE WHEN g.call_id IS NOT NULL AND status = 'completed' AND tool NOT IN ('question', 'edit', 'write') THEN '[pruned]' ELSE output END AS output
-        FROM parts p JOIN left_ l USING (message_id) LEFT JOIN gone g ON g.call_id = p.call_id AND NOT l.created < l.cut WHERE type = 'tool'""",
+        FROM parts p JOIN m USING (message_id) LEFT JOIN gone g ON g.call_id = p.call_id AND NOT m.compacted WHERE type = 'tool' AND message_id % 29 <> 0
+        UNION ALL SELECT session_id, message_id, NULL, NULL, text, NULL, NULL FROM in_place WHERE text IS NOT NULL""",
     "full_tools_dropped": with_(OPEN_DEDUP, PURGE, "gone AS (SELECT call_id FROM open_dedup UNION SELECT call_id FROM purge)")
     + """SELECT m.session_id, m.message_id, count(p.type) AS n_parts FROM m LEFT JOIN (
             SELECT p.* FROM parts p JOIN m USING (message_id) LEFT JOIN gone g ON g.call_id = p.call_id WHERE m.compacted OR g.call_id IS NULL OR tool NOT IN ('edit', 'write')) p USING (message_id) GROUP BY 1, 2""",
     "kept_after_compaction": with_() + "SELECT session_id, message_id FROM m WHERE role = 'assistant' AND NOT compacted",
     "sweep_since_user": with_(DEDUP, "since AS (SELECT session_id, max(seq) AS last_user FROM m WHERE role = 'user' AND NOT ignored GROUP BY 1)")
     + "SELECT c.session_id, c.call_id, c.token_count, tool = 'compress' OR coalesce(regexp_full_match(json_extract_string(input, '$.filePath'), 'src/k[^/]\\.py'), false) AS protected FROM calls c JOIN since s ON s.session_id = c.session_id AND c.seq > s.last_user WHERE c.call_id NOT IN (SELECT call_id FROM dedup)",
-    "sweep_report": with_(DEDUP, "late AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS rn FROM calls)")
+    "sweep_report": with_(DEDUP, "late AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC, part_seq DESC) AS rn FROM calls)")
     + """SELECT session_id, count(*) FILTER (WHERE NOT kept) AS swept, CAST(coalesce(sum(token_count) FILTER (WHERE NOT kept), 0) AS BIGINT) AS tokens, count(*) FILTER (WHERE kept) AS skipped FROM (
         SELECT *, tool IN ('compress', 'bash') OR coalesce(regexp_full_match(json_extract_string(input, '$.filePath'), 'src/k[^/]\\.py'), false) AS kept FROM late WHERE rn <= 9 AND call_id NOT IN (SELECT call_id FROM dedup)) GROUP BY 1""",
     "context_breakdown": with_(
@@ -219,10 +237,10 @@ ORACLE_SQL = {
     "call_labels": with_(LABELS) + "SELECT message_id, label, short FROM labels",
     "pruned_items": with_(
         DEDUP, LABELS,
-        "listed AS (SELECT c.session_id, c.seq, '→ ' || c.tool || CASE WHEN l.short <> '' THEN ': ' || CASE WHEN length(l.short) > 60 THEN left(l.short, 57) || '...' ELSE l.short END ELSE '' END AS line FROM dedup d JOIN calls c USING (call_id) JOIN labels l USING (call_id))",
-        "whole AS (SELECT session_id, seq, line FROM listed UNION ALL SELECT DISTINCT session_id, 1000000000, '→ (1 tool with unknown metadata)' FROM m)",
+        "listed AS (SELECT c.session_id, c.seq, c.part_seq, '→ ' || c.tool || CASE WHEN l.short <> '' THEN ': ' || CASE WHEN length(l.short) > 60 THEN left(l.short, 57) || '...' ELSE l.short END ELSE '' END AS line FROM dedup d JOIN calls c USING (call_id) JOIN labels l USING (call_id))",
+        "whole AS (SELECT session_id, seq, part_seq, line FROM listed UNION ALL SELECT DISTINCT session_id, 1000000000, 0, '→ (1 tool with unknown metadata)' FROM m)",
     )
-    + "SELECT session_id, count(*) AS n, md5(string_agg(line, chr(10) ORDER BY seq)) AS digest FROM whole GROUP BY 1",
+    + "SELECT session_id, count(*) AS n, md5(string_agg(line, chr(10) ORDER BY seq, part_seq)) AS digest FROM whole GROUP BY 1",
     "message_progress": with_(
         "placed AS (SELECT session_id, message_id, seq - 1 AS i, count(*) OVER (PARTITION BY session_id) AS n FROM m)",
         "cells AS (SELECT p.session_id, c.cell, CASE WHEN message_id % 17 = 0 THEN '⣿' WHEN message_id % 29 = 0 THEN '░' ELSE '█' END AS mark FROM placed p JOIN range(20) c(cell) ON c.cell >= floor(p.i::DOUBLE / p.n * 20e0) AND c.cell < floor((p.i + 1)::DOUBLE / p.n * 20e0))",
@@ -252,8 +270,8 @@ ORACLE_SQL = {
     ),
     "tagged_parts": with_(REFS)
     + digest(
-        f"""SELECT p.message_id, CAST(part_seq AS DOUBLE) AS place, type, text, input, CASE WHEN type = 'tool' AND status = 'completed' THEN output || '<mid>' || ref || '</mid>' ELSE output END AS output FROM parts p LEFT JOIN refs USING (message_id)
-            UNION ALL SELECT r.message_id, {PUT.format(n=1)}, 'text', '<mid>' || ref || '</mid>', NULL, NULL FROM refs r JOIN m USING (message_id) LEFT JOIN parts p ON p.message_id = r.message_id AND p.type = 'tool' WHERE p.status IS DISTINCT FROM 'completed'"""
+        f"""SELECT p.message_id, CAST(part_seq AS DOUBLE) AS place, type, text, input, CASE WHEN type = 'tool' AND status = 'completed' AND part_seq = (SELECT max(part_seq) FROM parts x WHERE x.message_id = p.message_id AND x.type = 'tool') THEN output || '<mid>' || ref || '</mid>' ELSE output END AS output FROM parts p LEFT JOIN refs USING (message_id)
+            UNION ALL SELECT r.message_id, {PUT.format(n=1)}, 'text', '<mid>' || ref || '</mid>', NULL, NULL FROM refs r JOIN m USING (message_id) LEFT JOIN (SELECT DISTINCT message_id, status FROM parts WHERE type = 'tool') p ON p.message_id = r.message_id WHERE p.status IS DISTINCT FROM 'completed'"""
     ),
     "manual_prompt": with_("target AS (SELECT m.session_id, max(m.seq) AS seq FROM m JOIN parts p USING (message_id) WHERE m.role = 'user' AND NOT m.ignored AND p.type = 'text' AND NOT p.ignored GROUP BY 1)", "spot AS (SELECT m.message_id, min(p.part_seq) AS part_seq FROM target t JOIN m ON m.session_id = t.session_id AND m.seq = t.seq JOIN parts p USING (message_id) WHERE p.type = 'text' AND NOT p.ignored GROUP BY 1)")
     + digest("SELECT p.message_id, CAST(p.part_seq AS DOUBLE) AS place, type, CASE WHEN s.message_id IS NOT NULL THEN 'do it' ELSE text END AS text, input, output FROM parts p LEFT JOIN spot s ON s.message_id = p.message_id AND s.part_seq = p.part_seq"),
@@ -265,8 +283,8 @@ ORACLE_SQL = {
         WHERE p.tool = 'task' AND p.status = 'completed' AND p.call_id IS NOT NULL AND p.call_id NOT IN (SELECT call_id FROM dedup)""",
     "sessions_with_parts": with_() + "SELECT m.session_id, m.message_id, role, count(p.type) AS n_parts FROM m LEFT JOIN parts p USING (message_id) GROUP BY 1, 2, 3",
     "compressed_ranges": with_(REFS, RANGES, MESSAGE_TOKENS)
-    + """SELECT i.session_id, i.start_seq, i.end_seq, count(DISTINCT i.seq) AS n_messages, CAST(sum(t.tokens) AS BIGINT) AS compressed_tokens, count(DISTINCT p.call_id) AS n_tools
-        FROM inside i JOIN message_tokens t USING (message_id) LEFT JOIN parts p ON p.message_id = i.message_id AND p.type = 'tool' GROUP BY 1, 2, 3""",
+    + """SELECT i.session_id, i.start_seq, i.end_seq, count(*) AS n_messages, CAST(sum(t.tokens) AS BIGINT) AS compressed_tokens, CAST(sum(coalesce(p.n, 0)) AS BIGINT) AS n_tools
+        FROM inside i JOIN message_tokens t USING (message_id) LEFT JOIN (SELECT message_id, count(DISTINCT call_id) AS n FROM parts WHERE type = 'tool' GROUP BY 1) p USING (message_id) GROUP BY 1, 2, 3""",
     "pruned_counts": with_(REFS, RANGES, DEDUP, "ids AS (SELECT session_id, call_id FROM dedup UNION SELECT i.session_id, p.call_id FROM inside i JOIN parts p USING (message_id) WHERE p.call_id IS NOT NULL)")
     + "SELECT session_id, coalesce(t.n, 0) AS tools, coalesce(i.n, 0) AS messages FROM (SELECT session_id, count(*) AS n FROM ids GROUP BY 1) t FULL JOIN (SELECT session_id, count(*) AS n FROM inside GROUP BY 1) i USING (session_id)",
     "project_list": "SELECT lang AS id, arg_max(source, doc_id) AS worktree FROM documents WHERE lang IS NOT NULL GROUP BY 1 ORDER BY max(doc_id) DESC, 1",

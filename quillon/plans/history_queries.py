@@ -34,6 +34,16 @@ def hidden(m: DataFrame) -> DataFrame:
     return m.filter(F.pmod("message_id", F.lit(29)) == 0).select("session_id", "message_id")
 
 
+def summaries(m: DataFrame) -> DataFrame:
+    """Blocks taken to be stored: some without text, some not active, some two at one message."""
+    id_, every = F.col("message_id"), lambda n: F.pmod("message_id", F.lit(n)) == 0
+    block = lambda n, active, text: F.struct(n.alias("block_id"), active.alias("active"), text.alias("summary"))
+    first = block(id_, ~every(3), F.when(every(5), "").otherwise(F.concat(F.lit("sum "), id_.cast("string"))))
+    second = F.when(every(92), block(id_ + 1_000_000, ~every(8), F.lit("later")))
+    at = m.filter(every(23)).select("session_id", F.col("seq").alias("anchor_seq"), F.explode(F.filter(F.array(first, second), lambda b: b.isNotNull())).alias("b"))
+    return at.select("session_id", "anchor_seq", "b.*")
+
+
 def pruned(m: DataFrame) -> DataFrame:
     """Duplicates, and errors of four turns ago."""
     calls = pt.tool_calls(pt.with_compaction(m))
@@ -56,8 +66,14 @@ def _digest(m: DataFrame) -> DataFrame:
 
 
 def pruned_parts(m: DataFrame) -> DataFrame:
-    out = pt.prune(m, pruned(m), hidden(m)).select("session_id", "message_id", F.explode(pt.of_type("tool")).alias("p"))
-    return out.select("session_id", "message_id", "p.tool", "p.status", "p.input", "p.output")
+    """The calls of what is shown, and the texts of summaries."""
+    out = pt.prune(m, pruned(m), hidden(m), summaries(m)).select("session_id", "message_id", F.col("from_seq").isNull().alias("new"), F.explode("parts").alias("p")).filter("new or p.type = 'tool'")
+    return out.select("session_id", "message_id", "p.tool", "p.status", F.when(F.col("new"), F.col("p.text")).alias("text"), "p.input", "p.output")
+
+
+def summaries_in_place(m: DataFrame) -> DataFrame:
+    text = F.when(F.col("from_seq").isNull(), F.get("parts", F.lit(0))["text"])
+    return pt.in_place(m, hidden(m), summaries(m)).select("session_id", "seq", "message_id", "role", "agent", "model", "variant", text.alias("text"))
 
 
 def labels(m: DataFrame) -> DataFrame:
@@ -107,6 +123,7 @@ for _name, _make in {
     "purge_tool_errors": lambda m: st.purge_errors(pt.tool_calls(pt.with_compaction(m)), 4),
     "eligible_tool_calls": lambda m: pt.eligible(pt.tool_calls(pt.with_compaction(m)), 3).select("session_id", "call_id", "turn"),
     "pruned_parts_rewrite": pruned_parts,
+    "summaries_in_place": summaries_in_place,
     "full_tools_dropped": lambda m: pt.drop_full_tools(pt.with_compaction(m), pruned(m)).select("session_id", "message_id", F.size("parts").cast("long").alias("n_parts")),
     "kept_after_compaction": lambda m: pt.reset_on_compaction(m.filter("role = 'assistant'").select("session_id", "message_id", F.col("created").alias("made")), m).select("session_id", "message_id"),
     "sweep_since_user": lambda m: pt.sweep(pt.with_compaction(m), st.deduplicate(pt.tool_calls(pt.with_compaction(m))), None, ["compress"], ["src/k?.py"]),

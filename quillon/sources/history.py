@@ -31,7 +31,7 @@ def _mod(n: int, c: str = "e") -> Column:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """session_id, seq, message_id, role, created, completed, summary, agent, provider, model, tokens (null for users)."""
+    """session_id, seq, message_id, role, created, completed, summary, agent, provider, model, variant, tokens (null for users)."""
     e = _events(spark, sf_dir)
     user = F.col("event_type") == "click"
     done = F.when(~user & (_mod(5) != 0), F.when(_mod(9) == 0, 0).otherwise(F.col("created") + F.col("v") * 10))
@@ -39,6 +39,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         "session_id", F.row_number().over(order).cast("long").alias("seq"), F.col("e").alias("message_id"), F.when(user, "user").otherwise("assistant").alias("role"), "created", done.cast("long").alias("completed"),
         (~user & (_mod(211) == 0)).alias("summary"), F.concat(F.lit("agent-"), _mod(2).cast("string")).alias("agent"), F.concat(F.lit("p"), _mod(2).cast("string")).alias("provider"), F.concat(F.lit("m"), _mod(3).cast("string")).alias("model"),
+        F.when(user & (_mod(4) == 1), "fast").alias("variant"),
         F.when(~user, _tokens(0)).alias("tokens"),
     )
 
@@ -85,18 +86,20 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     user = F.col("event_type") == "click"
     reason = F.when(F.col("event_type").isin("view", "purchase"), "tool-calls").when(F.col("event_type") == "signup", "stop")
+    call = {"tool": F.col("tool"), "status": status, "input": given, "output": F.when(status == "completed", made), "error": F.when(status == "error", _text("failed with ", k)), "metadata": metadata}
+    named = lambda letter: _text(letter, F.col("e").cast("string"))
     every = [
         part(0, "text", user & (_mod(11) > 0), text=_text("ask ", F.col("props")), ignored=_mod(7) == 0),
         part(1, "text", user & (_mod(11) > 0) & (_mod(3) == 0), text=_text("and more ", F.col("e").cast("string")), ignored=(_mod(7) == 0) & (_mod(2) == 0)),
         part(0, "step-start", ~user),
         part(1, "reasoning", ~user & (_mod(3) == 1), text=_text("thinking of ", k), metadata=F.lit('{"m":1}')),
-        part(
-            2, "tool", ~user, tool=F.col("tool"), call_id=F.when(_mod(53) > 0, _text("c", F.col("e").cast("string"))), status=status, input=given, output=F.when(status == "completed", made),
-            error=F.when(status == "error", _text("failed with ", k)), metadata=metadata,
-        ),
+        part(2, "tool", ~user, call_id=F.when(_mod(53) > 0, named("c")), **call),
         part(3, "text", ~user & (_mod(6) == 0), text=_text(" done ", k, F.when(_mod(12) == 0, "<note>gone</note>").otherwise(""))),
         part(4, "step-finish", ~user & (_mod(17) > 0), tokens=_tokens(0), cost=F.col("v") * 3, reason=reason),
         part(5, "step-finish", ~user & (_mod(19) == 0), tokens=_tokens(7), cost=F.col("v"), reason=F.lit("stop")),
+        # a fifth of the answers make their call again, half of these twice
+        part(6, "tool", ~user & (_mod(5) == 0), call_id=named("d"), **call),
+        part(7, "tool", ~user & (_mod(10) == 0), call_id=named("b"), **call),
     ]
     one = e.select("session_id", F.col("e").alias("message_id"), F.explode(F.filter(F.array(*every), lambda p: p.isNotNull())).alias("p"))
     return one.select("session_id", "message_id", "p.*")

@@ -13,7 +13,7 @@ BLOCK = (
 MESSAGE = "struct<tokenCount:bigint,allBlockIds:array<bigint>,activeBlockIds:array<bigint>>"
 MESSAGES = f"struct<byMessageId:map<string,{MESSAGE}>,blocksById:map<string,{BLOCK}>,activeBlockIds:array<bigint>,activeByAnchorMessageId:map<string,bigint>,nextBlockId:bigint>"
 NUDGES = "struct<contextLimitAnchors:array<string>,turnNudgeAnchors:array<string>,iterationNudgeAnchors:array<string>>"
-STATE = f"sessionId string, sessionName string, prune struct<tools:map<string,bigint>,messages:{MESSAGES}>, nudges {NUDGES}, stats struct<pruneTokenCounter:bigint,totalPruneTokens:bigint>, lastUpdated string"
+STATE = f"sessionId string, sessionName string, prune struct<tools:map<string,bigint>,messages:{MESSAGES}>, nudges {NUDGES}, stats struct<pruneTokenCounter:bigint,totalPruneTokens:bigint>, lastUpdated string, lastCompaction bigint"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -23,8 +23,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write(states: DataFrame, path: str) -> None:
-    """SNK-1: states as JSON, one folder for each session, with the time of writing."""
-    states.withColumn("lastUpdated", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).withColumn("session", F.col("sessionId")).write.mode("overwrite").partitionBy("session").json(path)
+    """SNK-1: states as JSON, one folder for each session, with the time of writing; folders of other sessions stay as they are."""
+    stamped(states).withColumn("session", F.col("sessionId")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session").json(path)
+
+
+def stamped(states: DataFrame) -> DataFrame:
+    """States with the time of writing."""
+    return states.withColumn("lastUpdated", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
 
 
 def empty(spark: SparkSession) -> DataFrame:
