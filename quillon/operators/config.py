@@ -39,6 +39,7 @@ class Config:
     debug: bool = False
     manual: bool = False
     automatic_strategies: bool = True
+    allow_subagents: bool = False
     protect_turns: int = 0
     protected_paths: tuple[str, ...] = ()
     compress: Compress = field(default_factory=Compress)

@@ -14,9 +14,10 @@ Limit = int | str | None
 
 
 def current_model(messages: DataFrame) -> DataFrame:
-    """PRD-24: agent, provider and model of each session's last real user message."""
-    last = messages.filter((F.col("role") == "user") & ~ignored_user()).groupBy("session_id").agg(F.max(F.struct("seq", "agent", "provider", "model")).alias("x"))
-    return last.select("session_id", "x.agent", "x.provider", "x.model")
+    """PRD-24: agent, provider, model and, where there is such a column, variant of each session's last real user message."""
+    who = [c for c in ("agent", "provider", "model", "variant") if c in messages.columns]
+    last = messages.filter((F.col("role") == "user") & ~ignored_user()).groupBy("session_id").agg(F.max(F.struct("seq", *who)).alias("x"))
+    return last.select("session_id", *[f"x.{c}" for c in who])
 
 
 def session_limit(limit: Limit, by_model: dict[str, int | str], model_limit: Column) -> Column:
@@ -95,7 +96,7 @@ def with_guidance(hint: str, guidance: str, close_tag: str) -> str:
     return hint if at < 0 else f"{hint[:at].rstrip()}\n\n{guidance}\n{hint[at:]}"
 
 
-def apply_nudges(messages: DataFrame, anchors: DataFrame, texts: dict[str, str], force: str = "soft") -> DataFrame:
+def apply_nudges(messages: DataFrame, anchors: DataFrame, texts: dict[str, str | Column], force: str = "soft") -> DataFrame:
     """NDG-4: the text of each kind at its anchors (session_id, seq, kind): context, then turn, then iteration.
 
     Turn nudges stand only with users (strong) or with assistants (soft).
@@ -106,7 +107,7 @@ def apply_nudges(messages: DataFrame, anchors: DataFrame, texts: dict[str, str],
     for kind in ("context", "turn", "iteration"):
         hit = F.array_contains("kinds", kind) & F.col("role").isin("user", "assistant")
         hit = hit & said if kind == "turn" else hit
-        m = m.withColumn("parts", F.when(hit, put_text(F.lit(texts[kind]))).otherwise(F.col("parts")))
+        m = m.withColumn("parts", F.when(hit, put_text(texts[kind] if isinstance(texts[kind], Column) else F.lit(texts[kind]))).otherwise(F.col("parts")))
     return m.drop("kinds")
 
 

@@ -218,7 +218,7 @@ def in_place(m: DataFrame, hidden: DataFrame, summaries: DataFrame | None = None
     seed = F.concat_ws(":", F.col("_block").cast("string"), "_anchor")
     said = {f: F.lit(None) for f in PART_FIELDS} | {"part_seq": F.lit(0), "type": F.lit("text"), "text": F.col("_text"), "ignored": F.lit(False)}
     values = {c: F.col(f"_carried.{c}") for c in who} | {
-        "message_id": F.concat_ws("_", F.lit(id_prefix), F.substring(F.sha2(seed, 256), 1, 16)), "role": F.lit("user"), "summary": F.lit(False), "created": F.col("_late"),
+        "message_id": F.concat_ws("_", F.lit(id_prefix), F.substring(F.sha2(seed, 256), 1, 16)), "role": F.lit("user"), "summary": F.lit(False), "compacted": F.lit(False), "created": F.col("_late"),
         "parts": F.array(F.struct(*[said[f].alias(f) for f in PART_FIELDS]).cast(PART)),
     }
     return shown.withColumns({c: F.when(own, v).otherwise(F.col(c)) for c, v in values.items() if c in shown.columns}).drop("_rank", "_covered", "_block", "_text", "_user", "_carried", "_anchor", "_late")

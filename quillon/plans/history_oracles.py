@@ -119,7 +119,7 @@ SUMMARIES = """
 PURGE = "purge AS (SELECT session_id, call_id, current_turn - turn AS age FROM calls WHERE status = 'error' AND current_turn - turn >= 4)"
 REFS = "refs AS (SELECT session_id, seq, message_id, 'm' || lpad(CAST(row_number() OVER (PARTITION BY session_id ORDER BY seq) AS VARCHAR), 4, '0') AS ref FROM m WHERE NOT ignored)"
 CURRENT = "current AS (SELECT session_id, CAST(coalesce(arg_max(t_in + t_out + t_think + t_read + t_write, seq) FILTER (WHERE spoke AND t_out > 0), 0) AS BIGINT) AS current_tokens FROM m GROUP BY 1)"
-MODEL = "model AS (SELECT session_id, arg_max(agent, seq) AS agent, arg_max(provider, seq) AS provider, arg_max(model, seq) AS model FROM m WHERE role = 'user' AND NOT ignored GROUP BY 1)"
+MODEL = "model AS (SELECT session_id, arg_max(agent, seq) AS agent, arg_max(provider, seq) AS provider, arg_max(model, seq) AS model, arg_max({'v': variant}, seq).v AS variant FROM m WHERE role = 'user' AND NOT ignored GROUP BY 1)"
 MESSAGE_TOKENS = f"""
     message_tokens AS (
         SELECT m.session_id, m.seq, m.message_id, m.ignored, {tokens("t.said")} AS tokens FROM m LEFT JOIN (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.operators import compact as cp
@@ -177,11 +178,30 @@ def pruned_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.join(messages, "session_id", "full").na.fill(0)
 
 
+def stored_blocks(m: DataFrame) -> DataFrame:
+    """Blocks taken to be saved: one made by every 23rd message, over it and the four before; some lost their origin, were taken back, or have no text."""
+    id_, order = F.col("message_id").cast("string"), W.partitionBy("session_id").orderBy("seq")
+    before = [F.lag(id_, k).over(order) for k in range(4, 0, -1)]
+    b = m.select("session_id", "seq", "message_id", F.filter(F.array(*before, id_), lambda x: x.isNotNull()).alias("effective_messages")).filter(F.pmod("message_id", F.lit(23)) == 0)
+    number = F.row_number().over(order).cast("long")
+    every = lambda n: F.pmod("message_id", F.lit(n)) == 0
+    b = b.withColumn("block_id", number)
+    return b.select(
+        "session_id", "block_id", F.col("seq").alias("created"), F.get("effective_messages", F.lit(0)).alias("anchor_message_id"), F.when(every(7), "gone").otherwise(id_).alias("compress_message_id"),
+        F.when(F.pmod("block_id", F.lit(3)) == 0, F.array(F.col("block_id") - 1)).otherwise(F.array().cast("array<bigint>")).alias("consumed"), every(11).alias("deactivated_by_user"), "effective_messages",
+        F.when(every(5), "").otherwise(F.concat(F.lit("sum "), id_)).alias("summary"),
+    )
+
+
 def request_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A request's context from stored messages: decisions, rewriting, child results, nudges, references."""
+    """A request's context from stored messages and blocks: decisions, summaries, rewriting, child results, nudges, references, prompts."""
     m = hs.history(spark, sf_dir)
-    config = load({"compress": {"min_context": 120, "max_context": "90%"}, "purge_errors": {"turns": 3}})
-    return _digest(cx.build(m, config, cx.decide(m, config), hidden(m), F.lit(600), m))
+    config = load({"compress": {"min_context": 120, "max_context": "90%"}, "purge_errors": {"turns": 3}, "allow_subagents": True})
+    covered, shown = cx.in_force(stored_blocks(m), m)
+    of = lambda n, k: m.filter(F.pmod("session_id", F.lit(n)) == k).select("session_id").distinct()
+    at = anchors(m).filter(F.pmod("seq", F.lit(5)) == 0)
+    out = cx.build(m, config, cx.decide(m, config, hidden=covered), covered, F.lit(600), m, at, summaries=shown, subagents=of(10, 3), prompts=of(10, 4).withColumn("prompt", F.lit("do it")))
+    return _digest(out)
 
 
 def project_list(spark: SparkSession, sf_dir: str) -> DataFrame:
