@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from quillon.operators import usage as us
 from quillon.sources import tables as tb
 from quillon.sources.history import with_parts
 
+#: Sessions that are asked for by name, and rows of a table that are laid out together.
+FEW, PAGE = 500, 1000
 #: Tools whose calls are measured unless others are named.
 TOOLS = ["compress", "decompress", "prune"]
 
@@ -57,7 +60,13 @@ def report(spark: SparkSession, args: argparse.Namespace) -> list[DataFrame]:
     elif args.report in ("usage", "impact"):
         listed = tb.list_sessions(t["session"], limit=min(args.sessions, args.session_limit))
     chosen = F.broadcast(listed.select(F.col("id").alias("session_id"), "title", "time_updated"))  # session_limit rows at most
-    m = with_parts(tb.stored_messages(t["message"].join(chosen.select("session_id"), "session_id", "left_semi")), tb.stored_parts(t["part"].join(chosen.select("session_id"), "session_id", "left_semi")))
+    few = [r["session_id"] for r in chosen.select("session_id").limit(FEW + 1).collect()]
+
+    def of_chosen(table: DataFrame) -> DataFrame:
+        """Rows of the chosen sessions; of a few by name, so that the store reads no others."""
+        return table.filter(F.col("session_id").isin(few)) if len(few) <= FEW else table.join(chosen.select("session_id"), "session_id", "left_semi")
+
+    m = with_parts(tb.stored_messages(of_chosen(t["message"])), tb.stored_parts(of_chosen(t["part"])))
     if args.report == "message":
         found = rp.find_messages(args.ids, m, listed, 0 if args.session else args.scan_sessions)
         return [found.withColumn("parts", F.to_json("parts"))]
@@ -87,12 +96,18 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("quillon").getOrCreate()
     try:
         for df in report(spark, args):
-            rows = df.limit(10_000).collect()  # a report is for reading
+            rows = df.toLocalIterator()  # a partition at a time, whatever the number of rows
             if args.json:
                 for r in rows:
                     print(json.dumps(r.asDict(True), ensure_ascii=False, default=str))
-            else:
-                print(text_table(df.columns, [tuple(r) for r in rows]), end="\n\n")
+                continue
+            page = [tuple(r) for r in islice(rows, PAGE)]
+            while True:
+                print(text_table(df.columns, page))
+                page = [tuple(r) for r in islice(rows, PAGE)]
+                if not page:
+                    break
+            print()
     except (FileNotFoundError, LookupError) as problem:
         print(f"error: {problem}", file=sys.stderr)
         return 1

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.text import file_paths, path_protected, token_count, tool_protected
-from quillon.operators.parts import ignored_user, message_tokens, of_type
+from quillon.operators.parts import Count, ignored_user, message_tokens, of_type
 
 REF, BLOCK = r"^m(\d{4})$", r"^b([1-9]\d*)$"
 PLACEHOLDER = re.compile(r"\(b([1-9]\d*)\)|\{block_([1-9]\d*)\}", re.IGNORECASE)
@@ -44,16 +45,32 @@ def resolve_ranges(commands: DataFrame, refs: DataFrame, blocks: DataFrame) -> D
     return out.select("session_id", "cmd", "start_seq", "end_seq", F.nullif(issues, F.lit("")).alias("issues"))
 
 
+#: Places of a bin of ranges.
+BIN = 4096
+
+
+def in_ranges(ranges: DataFrame, points: DataFrame, place: str, width: int = BIN) -> DataFrame:
+    """The points of each range of its session, start_seq to end_seq, joined by bins.
+
+    A range has a row for each bin that it touches, no more than two above a
+    ``width``-th of its length; a point has one.  So a bin of a session meets
+    the ranges that touch it and no others.  Ranges whose end is before their
+    start hold nothing.
+    """
+    bin_ = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
+    r = ranges.filter("start_seq <= end_seq").withColumn("_bin", F.explode(F.sequence(bin_("start_seq"), bin_("end_seq"))))
+    return r.join(points.withColumn("_bin", bin_(place)), ["session_id", "_bin"]).filter(F.col(place).between(F.col("start_seq"), F.col("end_seq"))).drop("_bin")
+
+
 def range_messages(ranges: DataFrame, messages: DataFrame) -> DataFrame:
     """CMP-6: the messages inside each valid range, with their tokens."""
-    r = ranges.filter("issues is null")
-    joined = r.join(messages, "session_id").filter("seq between start_seq and end_seq")
+    joined = in_ranges(ranges.filter("issues is null"), messages, "seq")
     return joined.select("session_id", "cmd", "seq", token_count(F.col("text")).alias("token_count"))
 
 
 def required_blocks(ranges: DataFrame, active: DataFrame) -> DataFrame:
     """CMP-6, JOIN-5: active blocks anchored inside each range, in order of anchor and id."""
-    r = ranges.filter("issues is null").join(active, "session_id").filter("anchor_seq between start_seq and end_seq")
+    r = in_ranges(ranges.filter("issues is null"), active, "anchor_seq")
     return r.groupBy("session_id", "cmd").agg(F.transform(F.sort_array(F.collect_list(F.struct("anchor_seq", "block_id"))), lambda x: x["block_id"]).alias("required"))
 
 
@@ -159,7 +176,7 @@ def plain_messages(messages: DataFrame, refs: DataFrame) -> DataFrame:
     return own.select("session_id", "seq", "ref", token_count(F.col("text")).alias("tokens"), F.lit(False).alias("ignored"), text.alias("user_text"), none.alias("tool_ids"), none.alias("kept_outputs"))
 
 
-def messages_with_parts(messages: DataFrame, refs: DataFrame, protected_tools: list[str] = (), protected_paths: list[str] = (), results: DataFrame | None = None) -> DataFrame:
+def messages_with_parts(messages: DataFrame, refs: DataFrame, protected_tools: list[str] = (), protected_paths: list[str] = (), results: DataFrame | None = None, count: Count = token_count) -> DataFrame:
     """Messages with parts, as compact reads them: tokens, the first text of real users, calls, and outputs of protected calls (CMP-14, CMP-15).
 
     results (session_id, call_id, output) has outputs that hold a child's result.
@@ -175,11 +192,16 @@ def messages_with_parts(messages: DataFrame, refs: DataFrame, protected_tools: l
     output = lambda p: F.when(p["status"] == "completed", F.coalesce(F.try_element_at("known", p["call_id"]), p["output"]))
     outputs = F.filter(F.transform(kept, lambda p: F.when(output(p) != "", F.concat(F.lit("\n### Tool: "), p["tool"], F.lit("\n"), output(p)))), lambda x: x.isNotNull())
     user = F.when((F.col("role") == "user") & ~ignored_user(), F.get(texts, F.lit(0)))
-    return own.select("session_id", "seq", "ref", message_tokens().alias("tokens"), ignored_user().alias("ignored"), user.alias("user_text"), F.array_distinct(F.transform(calls, lambda p: p["call_id"])).alias("tool_ids"), outputs.alias("kept_outputs"))
+    return own.select("session_id", "seq", "ref", message_tokens(count=count).alias("tokens"), ignored_user().alias("ignored"), user.alias("user_text"), F.array_distinct(F.transform(calls, lambda p: p["call_id"])).alias("tool_ids"), outputs.alias("kept_outputs"))
 
 
 class Session:
-    """The messages and blocks of one session while its commands run."""
+    """The messages and blocks of one session while its commands run.
+
+    Active blocks are kept in order of their anchors, and messages and calls with
+    the number of active blocks that hold them, so a command costs what its own
+    range and the blocks in it hold.
+    """
 
     def __init__(self, wording: Wording, keep_user_text: bool):
         self.wording, self.keep_user_text = wording, keep_user_text
@@ -187,7 +209,10 @@ class Session:
         self.rows: dict[int, tuple] = {}
         self.seq_of: dict[str, int] = {}
         self.blocks: dict[int, dict] = {}
-        self.holders: dict[int, int] = {}  # active blocks that cover a message
+        self.last = 0
+        self.anchors: list[tuple[int, int]] = []
+        self.holders: Counter[int] = Counter()
+        self.tool_holders: Counter[str] = Counter()
 
     def add(self, seq: int, ref: str | None, *row: object) -> None:
         self.seqs.append(seq)
@@ -195,13 +220,41 @@ class Session:
         if ref:
             self.seq_of[ref] = seq
 
+    def named(self, ref: str) -> int | None:
+        """The message of a reference."""
+        return self.seq_of.get(ref)
+
+    def between(self, a: int, b: int) -> list[int]:
+        """The messages from a to b, in order."""
+        return self.seqs[bisect_left(self.seqs, a) : bisect_right(self.seqs, b)]
+
+    def row(self, seq: int) -> tuple:
+        return self.rows[seq]
+
+    def restore(self, block: dict) -> None:
+        """Takes in a block as it was left."""
+        self.blocks[block["block_id"]] = block
+        self.last = max(self.last, block["block_id"])
+        if block["active"]:
+            self._hold(block)
+
+    def _hold(self, block: dict) -> None:
+        insort(self.anchors, (block["anchor_seq"], block["block_id"]))
+        self.holders.update(block["effective_seqs"])
+        self.tool_holders.update(block["effective_tools"])
+
+    def _release(self, block: dict) -> None:
+        self.anchors.pop(bisect_left(self.anchors, (block["anchor_seq"], block["block_id"])))
+        self.holders.subtract(block["effective_seqs"])
+        self.tool_holders.subtract(block["effective_tools"])
+
     def place(self, name: str | None) -> tuple[int | None, int | None]:
         """The message that a boundary stands for, and its block if it is one."""
         name = (name or "").strip().lower()
         if m := re.match(BLOCK, name):
             b = self.blocks.get(int(m[1]))
             return (b["anchor_seq"], int(m[1])) if b and b["active"] else (None, None)
-        return (self.seq_of.get(name), None) if re.match(REF, name) else (None, None)
+        return (self.named(name), None) if re.match(REF, name) else (None, None)
 
     def run(self, session_id: int, cmd: int, topic: str | None, start_id: str | None, end_id: str | None, summary: str | None) -> dict:
         """One command; a dict of the block's columns, or of its error alone."""
@@ -212,47 +265,54 @@ class Session:
             issues = ["start is after end"]
         if issues:
             return failed("\n".join(issues))
-        inside = [s for s in self.seqs[bisect_left(self.seqs, a) : bisect_right(self.seqs, b)] if not self.rows[s][1]]
+        inside = [s for s in self.between(a, b) if not self.row(s)[1]]
         if not inside:
             return failed("no messages in the range")
         held = set(inside)
-        required = [n for _, n in sorted((x["anchor_seq"], n) for n, x in self.blocks.items() if x["active"] and x["anchor_seq"] in held)]
+        first, end = bisect_left(self.anchors, (a, 0)), bisect_left(self.anchors, (b + 1, 0))
+        required = [n for s, n in self.anchors[first:end] if s in held]
         known = {*required, *(n for n in (start_block, end_block) if n is not None)}
         bodies = {n: unwrap(self.blocks[n]["summary"], self.wording.header) for n in known}
         text, consumed, missing = expand(summary or "", required, bodies, start_block, end_block)
-        open_ = [s for s in inside if not self.holders.get(s)]
-        users = [self.rows[s][2] for s in open_ if self.keep_user_text and self.rows[s][2]]
+        open_ = [s for s in inside if not self.holders[s]]
+        users = [self.row(s)[2] for s in open_ if self.keep_user_text and self.row(s)[2]]
         if users:
             text += f"\n\n{self.wording.user_texts}" + "".join(f"\n{t}" for t in users)
-        outputs = [x for s in open_ for x in self.rows[s][4]]
+        outputs = [x for s in open_ for x in self.row(s)[4]]
         if outputs:
             text += f"\n\n{self.wording.tools}" + "".join(outputs)
         text = append_missing(text, missing, bodies, self.wording)
         consumed += [n for n in missing if n not in consumed]
-        new = max(self.blocks, default=0) + 1
+        self.last = new = self.last + 1
         effective = dict.fromkeys(inside)
-        tools = dict.fromkeys(t for s in inside for t in self.rows[s][3])
+        tools = dict.fromkeys(t for s in inside for t in self.row(s)[3])
         for n in consumed:
             effective |= dict.fromkeys(self.blocks[n]["effective_seqs"])
             tools |= dict.fromkeys(self.blocks[n]["effective_tools"])
-        before = {s for s in effective if self.holders.get(s)}
-        covered_tools = {t for x in self.blocks.values() if x["active"] for t in x["effective_tools"]}
-        for n in consumed:
-            block = self.blocks[n]
-            if block["active"]:
-                block["active"] = False
-                block["parents"].append(new)
-                for s in block["effective_seqs"]:
-                    self.holders[s] -= 1
-        for s in effective:
-            self.holders[s] = self.holders.get(s, 0) + 1
-        direct = [s for s in effective if s not in before]
-        self.blocks[new] = {
+        direct = [s for s in effective if not self.holders[s]]
+        block = {
             "session_id": session_id, "block_id": new, "cmd": cmd, "topic": topic, "start_id": start_id, "end_id": end_id, "start_seq": a, "end_seq": b, "anchor_seq": a, "active": True,
-            "compressed_tokens": sum(self.rows[s][0] for s in direct), "n_messages": len(effective), "consumed": consumed, "missing": missing, "parents": [], "direct_seqs": direct, "effective_seqs": list(effective),
-            "direct_tools": [t for t in tools if t not in covered_tools], "effective_tools": list(tools), "summary": wrap(new, text, self.wording.header), "reply": f"Compressed {len(inside)} messages into {self.wording.header}.",
+            "compressed_tokens": sum(self.row(s)[0] for s in direct), "n_messages": len(effective), "consumed": consumed, "missing": missing, "parents": [], "direct_seqs": direct, "effective_seqs": list(effective),
+            "direct_tools": [t for t in tools if not self.tool_holders[t]], "effective_tools": list(tools), "summary": wrap(new, text, self.wording.header), "reply": f"{len(inside)} messages are now {self.wording.header}.",
         }
-        return self.blocks[new]
+        for n in consumed:
+            old = self.blocks[n]
+            if old["active"]:
+                self._release(old)
+                old["active"] = False
+                old["parents"].append(new)
+        self._hold(block)
+        self.blocks[new] = block
+        return block
+
+
+def compaction_rows(commands: DataFrame, messages: DataFrame) -> DataFrame:
+    """Messages (kind 0) of sessions with commands, and the commands (kind 1), as rows of one table."""
+    fields, asked = _names(MESSAGE), ("cmd", *ARGUMENTS)
+    none = lambda df, cols: {c: F.lit(None).cast(df.schema[c].dataType) for c in cols}
+    busy = messages.select(*fields).join(commands.select("session_id").distinct(), "session_id", "left_semi")
+    told = commands.select("session_id", *asked)
+    return busy.withColumns(none(told, asked) | {"kind": F.lit(0)}).unionByName(told.withColumns(none(busy, fields[1:]) | {"kind": F.lit(1)}))
 
 
 def compact(commands: DataFrame, messages: DataFrame, keep_user_text: bool = False, wording: Wording = Wording(), errors: bool = False) -> DataFrame:
@@ -270,12 +330,7 @@ def compact(commands: DataFrame, messages: DataFrame, keep_user_text: bool = Fal
     the lengths of their messages instead of texts.
     """
     names, fields = _names(BLOCKS), _names(MESSAGE)
-    asked = ("cmd", *ARGUMENTS)
-    none = lambda df, cols: {c: F.lit(None).cast(df.schema[c].dataType) for c in cols}
-    busy = messages.select(*fields).join(commands.select("session_id").distinct(), "session_id", "left_semi")
-    told = commands.select("session_id", *asked)
-    both = busy.withColumns(none(told, asked) | {"kind": F.lit(0)}).unionByName(told.withColumns(none(busy, fields[1:]) | {"kind": F.lit(1)}))
-    both = both.repartition("session_id").sortWithinPartitions("session_id", "kind", "seq", "cmd").select("session_id", "kind", *fields[1:], *asked)
+    both = compaction_rows(commands, messages).repartition("session_id").sortWithinPartitions("session_id", "kind", "seq", "cmd").select("session_id", "kind", *fields[1:], "cmd", *ARGUMENTS)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple | None = None

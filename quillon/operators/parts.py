@@ -14,9 +14,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.sources.history import PART, PART_FIELDS
-from quillon.functions.text import file_paths, joined_token_count, path_protected, token_count, tool_protected, utf16_length
+from quillon.functions.text import file_paths, path_protected, token_count, tool_protected, utf16_length
 
 Part = Callable[[Column], Column]
+#: Counts the tokens of a text column (see functions.tokens).
+Count = Callable[[Column], Column]
 #: Tools whose results stay, and tools whose input counts as content.
 RESULTS_STAY, INPUT_COUNTS = ("question", "edit", "write"), ("edit", "write")
 OUTPUT_GONE, INPUT_GONE, QUESTIONS_GONE = "[pruned]", "[pruned input]", "[pruned questions]"
@@ -58,18 +60,18 @@ def with_compaction(m: DataFrame, hidden: DataFrame | None = None) -> DataFrame:
     return m.join(marks, ["session_id", "message_id"], "left").withColumn("compacted", old | F.coalesce("_hidden", F.lit(False))).drop("_hidden")
 
 
-def tool_calls(m: DataFrame) -> DataFrame:
+def tool_calls(m: DataFrame, count: Count = token_count) -> DataFrame:
     """PRN-6, WIN-4: the tool parts with a call_id and a tool outside compacted messages, with their place, turn and the session's current turn.
 
     m has ``compacted`` (see with_compaction).  turn is the number of step
-    starts before the call.
+    starts before the call.  ``count`` counts tokens.
     """
     rows = m.filter("not compacted").select("session_id", "seq", "message_id", F.explode("parts").alias("p"))
     order = W.partitionBy("session_id").orderBy("seq", "p.part_seq")
     started = F.sum(F.when(F.col("p.type") == "step-start", 1).otherwise(0))
     rows = rows.withColumns({"turn": started.over(order.rowsBetween(W.unboundedPreceding, 0)), "current_turn": started.over(W.partitionBy("session_id"))})
     calls = rows.filter("p.type = 'tool' and p.call_id is not null and p.call_id <> '' and p.tool <> ''")
-    return calls.select("session_id", "seq", "message_id", "p.part_seq", "p.call_id", "p.tool", "p.status", F.col("p.input").alias("parameters"), "turn", "current_turn", tool_tokens(F.col("p")).alias("token_count"))
+    return calls.select("session_id", "seq", "message_id", "p.part_seq", "p.call_id", "p.tool", "p.status", F.col("p.input").alias("parameters"), "turn", "current_turn", tool_tokens(F.col("p"), count).alias("token_count"))
 
 
 def tool_ids(calls: DataFrame) -> DataFrame:
@@ -86,9 +88,9 @@ def tool_contents(p: Column) -> Column:
     return F.filter(F.when(p["tool"] == "question", F.array(questions)).otherwise(F.array(given, result)), lambda x: x.isNotNull())
 
 
-def tool_tokens(p: Column) -> Column:
-    """MTH-3: tokens of a tool part's texts, joined by a space."""
-    return joined_token_count(tool_contents(p))
+def tool_tokens(p: Column, count: Count = token_count) -> Column:
+    """MTH-2, MTH-3: tokens of a tool part's texts, joined by a space."""
+    return count(F.array_join(tool_contents(p), " "))
 
 
 def total_tool_tokens(ids: DataFrame, calls: DataFrame) -> DataFrame:
@@ -97,10 +99,10 @@ def total_tool_tokens(ids: DataFrame, calls: DataFrame) -> DataFrame:
     return found.groupBy("session_id").agg(F.sum(F.coalesce("token_count", F.lit(0))).cast("long").alias("tokens"), F.count("*").alias("calls"))
 
 
-def message_tokens(parts: str = "parts") -> Column:
+def message_tokens(parts: str = "parts", count: Count = token_count) -> Column:
     """MTH-4: tokens of a message's texts and tool contents, in order, joined by a space; reasoning and steps count nothing."""
     texts = F.transform(F.col(parts), lambda p: F.when(p["type"] == "text", F.array(F.coalesce(p["text"], F.lit("")))).when(p["type"] == "tool", tool_contents(p)).otherwise(F.array().cast("array<string>")))
-    return joined_token_count(F.flatten(texts))
+    return count(F.array_join(F.flatten(texts), " "))
 
 
 def last_message(m: DataFrame) -> DataFrame:
@@ -267,11 +269,12 @@ def sweep_report(swept: DataFrame) -> DataFrame:
     return swept.groupBy("session_id").agg(F.count(free).alias("swept"), F.coalesce(F.sum(free * F.col("token_count")), F.lit(0)).cast("long").alias("tokens"), F.count(F.when(F.col("protected"), 1)).alias("skipped"))
 
 
-def breakdown(m: DataFrame, pruned: DataFrame, hidden: DataFrame) -> DataFrame:
+def breakdown(m: DataFrame, pruned: DataFrame, hidden: DataFrame, count: Count | None = None) -> DataFrame:
     """AGG-10: how a session's last token total divides into system, user, tools and, as the rest, assistant; and counts of calls.
 
     m has ``compacted``.  Texts are never gathered: a joined text's length is
-    the sum of lengths and separators.
+    the sum of lengths and separators.  With ``count``, a tokenizer, the counts
+    of a session's texts, message by message and call by call, add up.
     """
     t = F.col("tokens")
     m = m.join(hidden.select("session_id", "message_id").distinct().withColumn("covered", F.lit(True)), ["session_id", "message_id"], "left")
@@ -279,7 +282,11 @@ def breakdown(m: DataFrame, pruned: DataFrame, hidden: DataFrame) -> DataFrame:
     opening = t["input"] + t["cache_read"] + t["cache_write"]
     texts = F.transform(of_type("text"), lambda p: utf16_length(p["text"]))
     shown = real_user & ~F.col("compacted")
+    said = F.array_join(F.transform(of_type("text"), lambda p: p["text"]), "\n")
+    m = m.withColumn("_said", F.when(shown, F.lit(0).cast("long") if count is None else count(F.when(shown, said))))
+    first_said = F.min(F.when(real_user, F.struct("seq", F.coalesce("_said", F.lit(0)).alias("n"))))["n"]
     per = m.groupBy("session_id").agg(
+        F.sum("_said").alias("said"), first_said.alias("first_said"),
         F.min(F.when((F.col("role") == "assistant") & (opening > 0), F.struct("seq", opening.alias("n"))))["n"].alias("opening"),
         F.sum(F.when(shown, F.aggregate(texts, F.lit(0).cast("long"), lambda a, x: a + x))).alias("chars"),
         F.sum(F.when(shown, F.size(texts))).alias("pieces"),
@@ -289,13 +296,20 @@ def breakdown(m: DataFrame, pruned: DataFrame, hidden: DataFrame) -> DataFrame:
     calls = calls.join(pruned.select("session_id", "call_id").distinct().withColumn("gone", F.lit(True)), ["session_id", "call_id"], "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
     open_ = ~F.col("compacted") & ~F.col("gone")
     given, made = F.when(open_ & (F.col("input") != ""), utf16_length(F.col("input"))), F.when(open_ & (F.col("status") == "completed") & (F.col("output") != ""), utf16_length(F.col("output")))
+    if count is not None:
+        whole = count(F.when(open_, F.col("input"))), count(F.when(open_ & (F.col("status") == "completed"), F.col("output")))
+        calls = calls.withColumns({"_given": whole[0], "_made": whole[1]})
+    else:
+        calls = calls.withColumns({"_given": F.lit(0), "_made": F.lit(0)})
     cid = F.col("call_id")
     tools = calls.groupBy("session_id").agg(
-        joined_length(given).alias("given"), joined_length(made).alias("made"), F.countDistinct(cid).alias("tools"), F.countDistinct(F.when(open_, cid)).alias("tools_in_context"), F.countDistinct(F.when(F.col("gone") | F.col("covered"), cid)).alias("tools_pruned")
+        F.sum("_given").alias("given_tokens"), F.sum("_made").alias("made_tokens"), joined_length(given).alias("given"), joined_length(made).alias("made"), F.countDistinct(cid).alias("tools"), F.countDistinct(F.when(open_, cid)).alias("tools_in_context"), F.countDistinct(F.when(F.col("gone") | F.col("covered"), cid)).alias("tools_pruned")
     )
     covered = m.groupBy("session_id").agg(F.count("covered").alias("messages_pruned"))
     j = per.join(current_tokens(m), "session_id").join(covered, "session_id").join(tools, "session_id", "left").na.fill(0)
     j = j.withColumns({"system": F.greatest(F.lit(0), F.col("opening") - quarter(F.col("first_chars"))), "user": quarter(F.greatest(F.lit(0), F.col("chars") + F.col("pieces") - 1)), "tool_tokens": quarter(F.col("given")) + quarter(F.col("made"))})
+    if count is not None:
+        j = j.withColumns({"system": F.greatest(F.lit(0), F.col("opening") - F.col("first_said")), "user": F.col("said"), "tool_tokens": F.col("given_tokens") + F.col("made_tokens")})
     j = j.withColumn("system", F.when(F.col("opening") > 0, F.col("system")).otherwise(0).cast("long"))
     rest = F.greatest(F.lit(0), F.col("current_tokens") - F.col("system") - F.col("user") - F.col("tool_tokens"))
     return j.select("session_id", F.col("current_tokens").alias("total"), "system", "user", "tool_tokens", rest.alias("assistant"), "tools", "tools_in_context", "tools_pruned", "messages_pruned")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans.oracles import ORACLE_SQL
-from quillon.plans.queries import QUERIES
+from quillon.plans import feature_queries, oracles, queries
+
+QUERIES = queries.QUERIES | feature_queries.QUERIES
+ORACLE_SQL = oracles.ORACLE_SQL | feature_queries.ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -117,20 +117,18 @@ class StateStore:
         some = states.filter("sessionId is not null").withColumn("_rn", latest).filter("_rn = 1").drop("_rn")
         stamped(some).write.parquet(f"{self.path}/data/{own}/new")
         new = self.spark.read.schema(STATE).parquet(f"{self.path}/data/{own}/new")
+        base, folders, touched = None, {}, set()
         for attempt in range(ATTEMPTS):
-            base = self.commit()
-            touched = {r[0] for r in new.select(self._bucket(base.buckets)).distinct().collect()}  # buckets at most
-            if not touched:
-                return base.version
-            folders = self._merged(new, base, touched, f"{own}/try{attempt}")
-            while True:
-                if self._publish(Commit(base.version + 1, base.buckets, base.folders | folders)):
-                    self._files.delete(self._at(f"data/{own}/new"), True)
-                    return base.version + 1
-                now = self.commit()
-                if now.buckets != base.buckets or any(now.folders.get(b) != base.folders.get(b) for b in touched):
-                    break  # another writer changed one of these buckets: merge again
-                base = now
+            now = self.commit()
+            if base is None or now.buckets != base.buckets or any(now.folders.get(b) != base.folders.get(b) for b in touched):
+                touched = {r[0] for r in new.select(self._bucket(now.buckets)).distinct().collect()}  # buckets at most
+                if not touched:
+                    return now.version
+                folders = self._merged(new, now, touched, f"{own}/try{attempt}")
+            base = now  # where other writers changed other buckets alone, what is merged still holds
+            if self._publish(Commit(base.version + 1, base.buckets, base.folders | folders)):
+                self._files.delete(self._at(f"data/{own}/new"), True)
+                return base.version + 1
         raise Conflict(f"{ATTEMPTS} attempts to save met other writers")
 
     def _merged(self, new: DataFrame, base: Commit, touched: set[int], name: str) -> dict[int, str]:

@@ -199,10 +199,15 @@ STORE = {
 
 
 def store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """SRC-1, SRC-14: the tables of a store: a folder with a Parquet table for each, or a SQLite file; a missing one is an error."""
+    """SRC-1, SRC-14: the tables of a store: a folder with a Parquet table for each, or a SQLite file; a missing one is an error.
+
+    Filters on a table reach the Parquet files, or the queries on the SQLite
+    file, of which several tasks read ranges of rows.
+    """
     if os.path.isdir(path):
         return {t: spark.read.schema(schema).parquet(f"{path}/{t}.parquet") for t, schema in STORE.items()}
     if not os.path.exists(path):
         raise FileNotFoundError(f"no store at {path}")
-    names = {t: ", ".join(x.split()[0] for x in schema.split(", ")) for t, schema in STORE.items()}
-    return {t: sqlite_table(spark, path, f"SELECT {names[t]} FROM {t}", schema) for t, schema in STORE.items()}
+    from quillon.sources.session_store import stored_table
+
+    return {t: stored_table(spark, path, t) for t in STORE}

@@ -230,7 +230,7 @@ def test_compaction_of_a_child_session(spark):
     refs = dv.message_refs(m, F.lit(True))
     cmds = spark.createDataFrame([(1, 1, "t", "m0001", "m0002", "short")], COMMAND)
     out = cp.compact(cmds, cp.plain_messages(m, refs)).collect()
-    assert len(out) == 1 and out[0]["reply"] == "Compressed 2 messages into [compressed section]." and list(out[0]["effective_seqs"]) == [2, 3]
+    assert len(out) == 1 and out[0]["reply"] == "2 messages are now [compressed section]." and list(out[0]["effective_seqs"]) == [2, 3]
 
 
 def test_compaction_of_one_session(spark):
