@@ -15,6 +15,7 @@ from quillon.operators import strategies as st
 from quillon.operators.config import Config, at_least_one
 from quillon.operators.derive import message_refs
 from quillon.operators.subagents import with_results
+from quillon.sources.scratch import writer
 
 
 @dataclass(frozen=True)
@@ -117,7 +118,11 @@ def build(
     in manual mode no nudges are.  Child sessions come back as they are, unless
     the configuration allows them; then their first real user's message gets no
     reference.  Child results come in only where it allows them.
+
+    What later steps read more than once is written in between (see
+    sources.scratch), so no step is planned or run twice.
     """
+    written = writer(messages.sparkSession, "context")
     whole = messages
     left = None
     flag = F.lit(False)
@@ -130,19 +135,20 @@ def build(
         flag = F.col("_child")
     refs = message_refs(whole.filter(~pt.ignored_user()), flag)
     whole = whole.select(*messages.columns)
-    m = pt.prune(rw.scrub_parts(whole, wording.block_tag, wording.id_tag), pruned, hidden, summaries)
+    m = written(pt.prune(rw.scrub_parts(whole, wording.block_tag, wording.id_tag), pruned, hidden, summaries), "pruned")
     refs = refs.withColumnRenamed("seq", "from_seq").join(m.select("session_id", "from_seq", "seq"), ["session_id", "from_seq"]).select("session_id", "seq", "ref")
     if children is not None and config.allow_subagents:
         outputs = with_results(m, children, pruned, wording.block_tag, wording.id_tag)
         by = outputs.groupBy("session_id", "message_id").agg(F.map_from_entries(F.collect_list(F.struct("call_id", "output"))).alias("_new"))
         new = F.transform("parts", lambda p: p.withField("output", F.coalesce(F.when(p["type"] == "tool", F.try_element_at("_new", p["call_id"])), p["output"])))
         m = m.join(by, ["session_id", "message_id"], "left").withColumn("parts", F.when(F.col("_new").isNotNull(), new).otherwise(F.col("parts"))).drop("_new")
+        m = written(m, "with_results")
     c = config.compress
     if c.permission != "deny":
         if not config.manual:
             limit = F.lit(None).cast("long") if model_limit is None else model_limit
             old = None if anchors is None else _placed(anchors, m)
-            said = nd.decisions(m, c.max_context, c.min_context, limit, c.model_max, c.model_min, at_least_one(c.iteration_threshold), at_least_one(c.nudge_frequency), old)
+            said = written(nd.decisions(m, c.max_context, c.min_context, limit, c.model_max, c.model_min, at_least_one(c.iteration_threshold), at_least_one(c.nudge_frequency), old), "decided")
             places = {"context": ["context_seq"], "turn": ["turn_user_seq", "turn_assistant_seq"], "iteration": ["iteration_seq"]}
             put = [F.struct(F.lit(kind).alias("kind"), F.col(c_).alias("seq")) for kind, cols in places.items() for c_ in cols]
             new = said.select("session_id", F.explode(F.array(*put)).alias("a")).select("session_id", "a.seq", "a.kind").filter("seq is not null")
@@ -153,8 +159,11 @@ def build(
             m, texts = hints(m, in_use, wording)
             m = nd.apply_nudges(m, new, texts, c.nudge_force).drop("_n", "_names")
         m = nd.tag_messages(m, refs, wording.id_tag)
+    if prompts is not None:
+        m = written(m, "tagged")
     if prompts is not None:
         m = nd.apply_prompt(m, prompts)
+    m = written(m, "filled")
     last = nd.current_model(m).select("session_id", F.concat_ws("/", "provider", "model").alias("_now"))
     stale = (F.col("role") == "assistant") & F.col("_now").isNotNull() & (F.concat_ws("/", "provider", "model") != F.col("_now"))
     bare = F.transform("parts", lambda p: F.when(p["type"].isin("text", "tool", "reasoning"), p.withField("metadata", F.lit(None).cast("string"))).otherwise(p))

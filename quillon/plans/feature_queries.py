@@ -121,10 +121,10 @@ def scanned_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_().replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
-    + """, some AS (SELECT session_id, seq FROM msgs WHERE message_id % 3 = 0),
+    + """, third AS (SELECT session_id, seq FROM msgs WHERE message_id % 3 = 0),
     walk AS (
-        SELECT session_id, min(seq) AS seq FROM some GROUP BY 1
-        UNION ALL SELECT w.session_id, (SELECT min(s.seq) FROM some s WHERE s.session_id = w.session_id AND s.seq >= w.seq + 4) FROM walk w WHERE EXISTS (SELECT 1 FROM some s WHERE s.session_id = w.session_id AND s.seq >= w.seq + 4)
+        SELECT session_id, min(seq) AS seq FROM third GROUP BY 1
+        UNION ALL SELECT w.session_id, (SELECT min(s.seq) FROM third s WHERE s.session_id = w.session_id AND s.seq >= w.seq + 4) FROM walk w WHERE EXISTS (SELECT 1 FROM third s WHERE s.session_id = w.session_id AND s.seq >= w.seq + 4)
     ) SELECT * FROM walk"""
 )
 def pointed_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from quillon.operators.config import load
 from quillon.plans import context as cx
 from quillon.sources import history as hs
 from quillon.sources import tables as tb
+from quillon.sources.scratch import writer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TOOLS = ["compress", "write", "task"]
@@ -195,12 +196,14 @@ def stored_blocks(m: DataFrame) -> DataFrame:
 
 def request_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request's context from stored messages and blocks: decisions, summaries, rewriting, child results, nudges, references, prompts."""
-    m = hs.history(spark, sf_dir)
+    written = writer(spark, "request")
+    m = written(hs.history(spark, sf_dir), "messages")
     config = load({"compress": {"min_context": 120, "max_context": "90%"}, "purge_errors": {"turns": 3}, "allow_subagents": True})
-    covered, shown = cx.in_force(stored_blocks(m), m)
+    covered, shown = (written(df, name) for df, name in zip(cx.in_force(stored_blocks(m), m), ("covered", "shown"), strict=True))
+    gone = written(cx.decide(m, config, hidden=covered), "gone")
     of = lambda n, k: m.filter(F.pmod("session_id", F.lit(n)) == k).select("session_id").distinct()
     at = anchors(m).filter(F.pmod("seq", F.lit(5)) == 0)
-    out = cx.build(m, config, cx.decide(m, config, hidden=covered), covered, F.lit(600), m, at, summaries=shown, subagents=of(10, 3), prompts=of(10, 4).withColumn("prompt", F.lit("do it")))
+    out = cx.build(m, config, gone, covered, F.lit(600), m, at, summaries=shown, subagents=of(10, 3), prompts=of(10, 4).withColumn("prompt", F.lit("do it")))
     return _digest(out)
 
 

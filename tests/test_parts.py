@@ -323,7 +323,7 @@ def test_context_of_a_request(spark):
     assert cx.decide(m, config, gone).count() == 0
     out = cx.build(m, config, gone, m.filter("seq = 4").select("session_id", "message_id"))
     shown = {r["seq"]: [p["text"] or p["output"] or p["type"] for p in r["parts"]] for r in out.collect()}
-    assert shown == {1: ["a", "<mid>m0001</mid>"], 2: ["step-start", pt.OUTPUT_GONE + "<mid>m0002</mid>"], 3: ["step-start", "[compress soon]", "new<mid>m0003</mid>"], 5: ["go on", "<mid>m0005</mid>"]}
+    assert shown == {1: ["a", "<mid>m0001</mid>"], 2: ["step-start", pt.OUTPUT_GONE + "<mid>m0002</mid>"], 3: ["step-start", "<note>compress soon\n\nBlocks in force: 0 (none)\n</note>", "new<mid>m0003</mid>"], 4: ["go on", "<mid>m0005</mid>"]}
     assert out.columns == m.columns and all(p["metadata"] is None for r in out.collect() for p in r["parts"])
     denied = cx.build(m, load({"compress": {"permission": "deny"}}), gone, m.filter("false").select("session_id", "message_id"))
     assert {r["seq"]: len(r["parts"]) for r in denied.collect()} == {1: 1, 2: 2, 3: 2, 4: 1, 5: 1} and Config().compress.permission == "allow"
