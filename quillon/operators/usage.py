@@ -23,6 +23,35 @@ def steps(messages: DataFrame, which: str = "every") -> DataFrame:
     return rows.select("session_id", "seq", "message_id", "created", "completed", "tools", *numbers, F.coalesce("p.cost", F.lit(0.0)).alias("cost"), F.coalesce("p.reason", F.lit("unknown")).alias("reason"))
 
 
+def step_rows(parts: DataFrame, messages: DataFrame | None = None, which: str = "every") -> DataFrame:
+    """PRD-19, PRD-20: what steps() gives, from rows of parts: texts and contents of parts are never read or moved.
+
+    Without messages the columns seq, created, completed and tools, which sums
+    over steps do not need, are left out.
+    """
+    own = ["session_id", "message_id"]
+    fields = F.struct("part_seq", "tokens", "cost", "reason")
+    rows = parts.filter("type = 'step-finish' and tokens is not null").select(*own, fields.alias("p"))
+    if which != "every":
+        rows = rows.groupBy(*own).agg((F.min if which == "first" else F.max)("p").alias("p"))
+    numbers = [F.coalesce(F.col(f"p.tokens.{t}"), F.lit(0)).alias(t) for t in TOKENS]
+    values = [*numbers, F.coalesce("p.cost", F.lit(0.0)).alias("cost"), F.coalesce("p.reason", F.lit("unknown")).alias("reason")]
+    if messages is None:
+        return rows.select(*own, *values)
+    tools = parts.filter("type = 'tool'").groupBy(*own).agg(F.transform(F.sort_array(F.collect_list(F.struct("part_seq", "tool"))), lambda x: x["tool"]).alias("tools"))
+    whole = rows.join(messages.select(*own, "seq", "created", "completed"), own).join(tools, own, "left")
+    return whole.select("session_id", "seq", "message_id", "created", "completed", F.coalesce("tools", F.array().cast("array<string>")).alias("tools"), *values)
+
+
+def impact_cost(first: DataFrame, tools: list[str]) -> DataFrame:
+    """AGG-8: contexts before and after a call on average, and the overall hit rates, over the first steps of messages."""
+    e = events(first, tools)
+    out = e.agg(F.count("*").alias("calls"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("input_before", "cache_before", "input_after", "cache_after")])
+    mean = lambda when: F.when(F.col("calls") > 0, F.round((F.col(f"input_{when}") + F.col(f"cache_{when}")) / F.col("calls"), 6)).otherwise(0.0).alias(f"context_{when}")
+    rate = lambda when: hit_rate(F.col(f"cache_{when}"), F.col(f"input_{when}")).alias(f"hit_{when}")
+    return out.select("calls", mean("before"), mean("after"), rate("before"), rate("after"))
+
+
 def tools_of(names: list[str], tools: str = "tools") -> Column:
     """PRD-18: the tools of a step that are in a set."""
     return F.filter(tools, lambda t: t.isin(names))

@@ -53,15 +53,6 @@ def pruned(m: DataFrame) -> DataFrame:
     return again.unionByName(st.purge_errors(calls, 4).select("session_id", "call_id", F.lit(0).cast("long").alias("token_count")))
 
 
-def impact_cost(m: DataFrame) -> DataFrame:
-    """AGG-8: contexts before and after a call on average, and the overall hit rates."""
-    e = us.events(us.steps(m, "first"), TOOLS)
-    out = e.agg(F.count("*").alias("calls"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("input_before", "cache_before", "input_after", "cache_after")])
-    mean = lambda when: F.when(F.col("calls") > 0, F.round((F.col(f"input_{when}") + F.col(f"cache_{when}")) / F.col("calls"), 6)).otherwise(0.0).alias(f"context_{when}")
-    rate = lambda when: us.hit_rate(F.col(f"cache_{when}"), F.col(f"input_{when}")).alias(f"hit_{when}")
-    return out.select("calls", mean("before"), mean("after"), rate("before"), rate("after"))
-
-
 def _digest(m: DataFrame) -> DataFrame:
     shown = lambda p: F.concat_ws("|", p["type"], p["text"], p["input"], p["output"])
     return m.select("session_id", "message_id", F.md5(F.array_join(F.transform("parts", shown), "\n")).alias("digest"))
@@ -78,10 +69,10 @@ def summaries_in_place(m: DataFrame) -> DataFrame:
     return pt.in_place(m, hidden(m), summaries(m)).select("session_id", "seq", "message_id", "role", "agent", "model", "variant", text.alias("text"))
 
 
-def labels(m: DataFrame) -> DataFrame:
-    p = m.select("message_id", F.explode(pt.of_type("tool")).alias("p"))
-    label = lb.parameter_label(F.col("p.tool"), F.col("p.input"))
-    return p.select("message_id", label.alias("label"), lb.shorten_path(label, hs.ROOT).alias("short"))
+def call_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = lb.parameter_label(F.col("tool"), F.col("input"))
+    labelled = hs.parts(spark, sf_dir).filter("type = 'tool'").select("message_id", label.alias("label"))
+    return labelled.select("message_id", "label", lb.shorten_path(F.col("label"), hs.ROOT).alias("short"))
 
 
 def items(m: DataFrame) -> DataFrame:
@@ -103,14 +94,6 @@ def refs(m: DataFrame) -> DataFrame:
 
 
 for _name, _make in {
-    "token_stats_by_session": lambda m: us.by_session(us.steps(m)),
-    "token_stats_rollup": lambda m: us.totals(us.by_session(us.steps(m))),
-    "finish_reason_histogram": lambda m: us.by_session(us.steps(m)).select("session_id", "tool_calls", "stop", "other"),
-    "timeline_deltas": lambda m: us.timeline(us.steps(m, "last")),
-    "timeline_summary": lambda m: us.timeline_summary(us.steps(m, "last"), TOOLS),
-    "tool_impact": lambda m: us.impact_by_tool(us.steps(m, "first"), TOOLS),
-    "cost_impact": impact_cost,
-    "cache_recovery_curve": lambda m: us.recovery(us.steps(m, "first"), TOOLS),
     "impact_overview": lambda m: us.screening(m, TOOLS, 10),
     "real_user_messages": us.real_user_messages,
     "current_tokens": pt.current_tokens,
@@ -131,7 +114,6 @@ for _name, _make in {
     "sweep_since_user": lambda m: pt.sweep(pt.with_compaction(m), st.deduplicate(pt.tool_calls(pt.with_compaction(m))), None, ["compress"], ["src/k?.py"]),
     "sweep_report": lambda m: pt.sweep_report(pt.sweep(pt.with_compaction(m), st.deduplicate(pt.tool_calls(pt.with_compaction(m))), 9, ["compress", "ba*"], ["src/k?.py"])),
     "context_breakdown": lambda m: pt.breakdown(pt.with_compaction(m, hidden(m)), st.deduplicate(pt.tool_calls(pt.with_compaction(m))), hidden(m)),
-    "call_labels": labels,
     "pruned_items": items,
     "message_progress": lambda m: lb.progress_bars(m, hidden(m), m.filter(F.pmod("message_id", F.lit(17)) == 0), 20),
     "current_models": nd.current_model,
@@ -147,6 +129,21 @@ for _name, _make in {
     _over_history(_name, _make)
 
 
+def _over_rows(name: str, make: Callable[[DataFrame], DataFrame], which: str | None = None) -> None:
+    """A report over the steps of messages, from rows of parts; without ``which`` sums over all of them."""
+    QUERIES[name] = lambda spark, sf_dir: make(us.step_rows(hs.parts(spark, sf_dir), None if which is None else hs.messages(spark, sf_dir), which or "every"))
+
+
+_over_rows("token_stats_by_session", us.by_session)
+_over_rows("token_stats_rollup", lambda s: us.totals(us.by_session(s)))
+_over_rows("finish_reason_histogram", lambda s: us.by_session(s).select("session_id", "tool_calls", "stop", "other"))
+_over_rows("timeline_deltas", us.timeline, "last")
+_over_rows("timeline_summary", lambda s: us.timeline_summary(s, TOOLS), "last")
+_over_rows("tool_impact", lambda s: us.impact_by_tool(s, TOOLS), "first")
+_over_rows("cost_impact", lambda s: us.impact_cost(s, TOOLS), "first")
+_over_rows("cache_recovery_curve", lambda s: us.recovery(s, TOOLS), "first")
+
+
 def _history_commands(m: DataFrame) -> DataFrame:
     steps = [(1, "first", "m0002", "m0004", "part one"), (2, "second", "b1", "M0006 ", "then"), (3, "third", "m0008", "m0009", "last (b2) (b9)"), (4, "all", "m0001", "m0012", "(b3) {block_2} (b2)"), (5, "bad", "m0003", "m0002", "x"), (6, "bad", "m9999", "zz", "x")]
     rows = m.sparkSession.createDataFrame(steps, "cmd long, topic string, start_id string, end_id string, summary string")
@@ -220,4 +217,4 @@ def child_session_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tb.child_messages(tb.messages(spark, sf_dir), tb.sessions(spark, sf_dir)).select("session_id", "parent_session_id", "seq", "role")
 
 
-QUERIES |= {f.__name__: f for f in (history_blocks, request_context, compressed_ranges, pruned_counts, project_list, session_row_list, child_session_messages)}
+QUERIES |= {f.__name__: f for f in (call_labels, history_blocks, request_context, compressed_ranges, pruned_counts, project_list, session_row_list, child_session_messages)}
