@@ -66,7 +66,8 @@ def tool_calls(m: DataFrame, count: Count = token_count) -> DataFrame:
     m has ``compacted`` (see with_compaction).  turn is the number of step
     starts before the call.  ``count`` counts tokens.
     """
-    rows = m.filter("not compacted").select("session_id", "seq", "message_id", F.explode("parts").alias("p"))
+    told = F.filter("parts", lambda p: p["type"].isin("tool", "step-start"))
+    rows = m.filter("not compacted").select("session_id", "seq", "message_id", F.explode(told).alias("p"))
     order = W.partitionBy("session_id").orderBy("seq", "p.part_seq")
     started = F.sum(F.when(F.col("p.type") == "step-start", 1).otherwise(0))
     rows = rows.withColumns({"turn": started.over(order.rowsBetween(W.unboundedPreceding, 0)), "current_turn": started.over(W.partitionBy("session_id"))})

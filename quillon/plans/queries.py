@@ -138,7 +138,7 @@ def message_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sessions_with_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hs.history(spark, sf_dir).select("session_id", "message_id", "role", F.size("parts").cast("long").alias("n_parts"))
+    return hs.joined(spark, sf_dir).select("session_id", "message_id", "role", F.size("parts").cast("long").alias("n_parts"))
 
 
 @query
