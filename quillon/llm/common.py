@@ -198,9 +198,9 @@ def text_bytes(docs: DataFrame) -> int:
     return known if known < 1 << 60 else docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def counters(size: int) -> int:
-    """Counters for so many bytes of text, so that a list not known to be long is short."""
-    return min(MOST_COUNTERS, max(COUNTERS, 1 << (max(1, size // COUNTER_BYTES) - 1).bit_length()))
+def counters(size: int, each: int = COUNTER_BYTES) -> int:
+    """Counters for so many bytes of text, one for ``each``, so that a list not known to be long is short."""
+    return min(MOST_COUNTERS, max(COUNTERS, 1 << (max(1, size // each) - 1).bit_length()))
 
 
 def trim() -> None:

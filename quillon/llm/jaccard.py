@@ -37,6 +37,8 @@ ROW = 64
 MOST_LIGHT = 64
 #: Entries of one block of a list.
 BLOCK = 8192
+#: Bytes of text for one counter: some 5500 shingles, so a counter that is not frequent tells that its lists fit in a block.
+COUNTER_TEXT = 1 << 15
 #: Places in a prefix whose lists give chains.
 CHAIN_PLACES = 12
 #: The columns of documents.
@@ -123,6 +125,8 @@ class Order:
     def __init__(self, counts: np.ndarray):
         mean = counts.mean()
         self.edge = int(mean + 4 * mean**0.5) + 2
+        # counters of ordinary shingles say nothing about the length of a list (beyond half a terabyte, or on very short words)
+        self.coarse = self.edge > BLOCK
         over = np.maximum(counts // self.edge, 1)
         self.classes = np.where(counts > self.edge, np.floor(np.log2(over)) + 1, 0).astype(np.uint8)
         # of an occurrence, how many others its shingle has, beyond what counters share by chance
@@ -138,9 +142,12 @@ class Order:
         return (hashes[np.argsort(rank, kind="stable")] if rank.any() else hashes).view(np.int64)
 
     def parts(self, keys: np.ndarray) -> np.ndarray:
-        """Into how many parts the list of a shingle is dealt: its length is known only to be less than its counter."""
+        """Into how many parts the list of a shingle is dealt: its length is known only to be less than its counter.
+
+        One where counters are coarse: then lists are counted (see Join.dealt).
+        """
         rank = self._class(keys.view(U64)).astype(np.int64)
-        return np.maximum(1, (np.int64(self.edge) << rank) // BLOCK * ((rank > 0) | (self.edge > BLOCK)))
+        return np.maximum(1, (np.int64(self.edge) << rank) // BLOCK * ((rank > 0) & (not self.coarse)))
 
 
 def boundary(sizes: dict[int, int], others: float) -> int:
@@ -409,7 +416,7 @@ class Join:
 
     def scan(self) -> None:
         """Sizes, signatures and bitmaps of all sets, and the order of shingles."""
-        width = counters(text_bytes(self.docs))
+        width = counters(text_bytes(self.docs), COUNTER_TEXT)
         found = self.scratch.save(self.docs.mapInArrow(trimmed(_scan(width)), SETS.format(self.docs.schema["doc_id"].dataType.simpleString())), "sets", "kind")
         sets = found.filter("kind = 0")
         self.clash = self.clashes(sets)
@@ -432,9 +439,18 @@ class Join:
         twice = sets.groupBy("sig").agg(F.min("alt").alias("low"), F.max("alt").alias("high")).filter("low <> high").select("sig")
         return frozenset(r["sig"] for r in twice.collect())
 
+    def dealt(self, posts: DataFrame) -> DataFrame:
+        """Postings with the lists of more than BLOCK entries dealt into parts, by exact counts that are added up before they are shuffled."""
+        posts = self.scratch.save(posts, "postings")
+        long = posts.filter("pos >= 0").groupBy("key").count().filter(F.col("count") > BLOCK)
+        long = self.scratch.save(long.select("key", F.ceil(F.col("count") / BLOCK).cast("long").alias("parts")), "long")
+        part = F.when((F.col("pos") >= 0) & F.col("parts").isNotNull(), 1 + F.pmod("sig", "parts")).otherwise(0)
+        return join_wide(posts, long, "key", "left").select("key", part.cast("int").alias("part"), "sig", "n", "pos")
+
     def lists(self) -> None:
         order, light = self.order, self.light
-        posts = self.docs.mapInArrow(trimmed(_post(order, light, self.clash)), POSTINGS).repartition("key", "part").sortWithinPartitions("key", "part")
+        posts = self.docs.mapInArrow(trimmed(_post(order, light, self.clash)), POSTINGS)
+        posts = (self.dealt(posts) if order.coarse else posts).repartition("key", "part").sortWithinPartitions("key", "part")
         found = self.scratch.save(posts.mapInArrow(trimmed(_lists), LISTS), "lists", "kind")
         chained = found.filter("kind = 0").select(F.col("sig").alias("a"), F.col("other").alias("b"), F.col("n").alias("na"), F.col("m").alias("nb"))
         self.entries = found.filter("kind = 1").select("key", "part", "sig", "n", "pos")

@@ -165,6 +165,39 @@ def test_jaccard_judges_rows_not_ids(spark):
     assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(want)
 
 
+@pytest.mark.parametrize("size, coarse", [(1 << 30, False), (30 << 30, False), (500 << 30, False), (100 << 40, True)])
+def test_counters_never_deal_rare_lists(size, coarse):
+    width = common.counters(size, jaccard.COUNTER_TEXT)
+    order = jaccard.Order(np.full(1 << 12, size // 6 // width))  # a shingle for six bytes of text
+    assert order.coarse == coarse
+    assert (order.parts(np.arange(5000) * 977) == 1).all()
+
+
+def test_long_lists_are_counted_where_counters_are_coarse(spark, monkeypatch):
+    monkeypatch.setattr(common, "COUNTERS", 64)
+    monkeypatch.setattr(jaccard, "BLOCK", 9)
+    rng = random.Random(4)
+    word = lambda: str(rng.randrange(10**9))
+    shared = [[word() for _ in range(7)] for _ in range(3)]
+    rows = [(None, None, "en", "s"), (-1, "", "en", "s"), (-2, "one", "en", "s")]
+    for i in range(90):
+        own = [word() for _ in range(rng.randint(20, 60))]
+        text = " ".join(shared[i % 3] + own)
+        rows += [(4 * i + c, text + f" {c}" * (c > 0), "en", "s") for c in range(rng.randint(1, 3))]
+    join = jaccard.Join(table(spark, rows))
+    join.scan()
+    assert join.order.coarse
+    join.lists()
+    posts = spark.createDataFrame([tuple(r) for r in join.docs.mapInArrow(jaccard._post(join.order, join.light, join.clash), jaccard.POSTINGS).collect()], jaccard.POSTINGS)
+    length = Counter(r["key"] for r in posts.filter("pos >= 0").collect())
+    entries = join.entries.collect()
+    assert {r["key"] for r in entries if r["part"] > 0} == {k for k, n in length.items() if n > 9} != set()
+    members = Counter((r["key"], r["part"]) for r in entries)
+    assert all(members[k, p] > 1 for k, p in members if p == 0)
+    key = lambda x: tuple((v is None, v) for v in x)
+    assert sorted((tuple(r) for r in jaccard.near_duplicates(table(spark, rows)).collect()), key=key) == sorted(near_groups(rows), key=key)
+
+
 def test_cluster_blocks_find_all_links(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "CLUSTER_SHINGLES", 300)
     monkeypatch.setattr(jaccard, "BLOCK", 7)
