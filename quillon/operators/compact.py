@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.text import file_paths, path_protected, token_count, tool_protected
+from quillon.operators.derive import together
 from quillon.operators.parts import Count, ignored_user, message_tokens, of_type
 
 REF, BLOCK = r"^m(\d{4})$", r"^b([1-9]\d*)$"
@@ -330,7 +331,7 @@ def compact(commands: DataFrame, messages: DataFrame, keep_user_text: bool = Fal
     the lengths of their messages instead of texts.
     """
     names, fields = _names(BLOCKS), _names(MESSAGE)
-    both = compaction_rows(commands, messages).repartition("session_id").sortWithinPartitions("session_id", "kind", "seq", "cmd").select("session_id", "kind", *fields[1:], "cmd", *ARGUMENTS)
+    both = together(compaction_rows(commands, messages), "session_id").sortWithinPartitions("session_id", "kind", "seq", "cmd").select("session_id", "kind", *fields[1:], "cmd", *ARGUMENTS)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple | None = None

@@ -7,6 +7,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def together(rows: DataFrame, key: str) -> DataFrame:
+    """The rows with all of a key in one partition.
+
+    They are dealt by a hash of the key: a shuffle by the key itself is left out
+    where the rows (a union, a join) are said to lie by it already, and adaptive
+    execution then may still move them apart, as a Python function states no need.
+    """
+    return rows.repartition(F.xxhash64(key))
+
+
 def ignored(parts: Column) -> Column:
     """PRD-4: all parts ignored, or none there."""
     return F.forall(parts, lambda p: p["ignored"])

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.operators.derive import together
+
 
 def resolved_limit(value: Column, model_limit: Column) -> Column:
     """NDG-2: a number, or a percentage (rounded to a whole one and held to 0..100) of the model's limit; unknown limits give null."""
@@ -56,7 +58,7 @@ def spaced_anchors(candidates: DataFrame, interval: int) -> DataFrame:
             yield batch.take(pa.array(kept, pa.int64()))
 
     rows = candidates.select("session_id", F.col("seq").cast("long").alias("seq"))
-    return rows.repartition("session_id").sortWithinPartitions("session_id", "seq").mapInArrow(fold, rows.schema)
+    return together(rows, "session_id").sortWithinPartitions("session_id", "seq").mapInArrow(fold, rows.schema)
 
 
 def iteration_anchors(messages: DataFrame, threshold: int, interval: int) -> DataFrame:
