@@ -29,3 +29,7 @@ def same_as_twin(spark, name):
 
 def test_commands_meet_the_messages_of_their_session(spark, small_partitions):
     same_as_twin(spark, "compressed_ranges")
+
+
+def test_counts_of_pruned_calls_and_messages(spark, small_partitions):
+    same_as_twin(spark, "pruned_counts")
