@@ -118,23 +118,24 @@ def repeated(data: np.ndarray, starts: np.ndarray, bucket: np.ndarray, length: i
     if len(active):
         ranks = cover_ranks(words, sample(starts[active], n, period), n, block)
     done = []
-    while len(active):  # three-way partition of every tied group by its first member
+    while len(active):  # three-way partition of every tied group by its middle member
         r = rank[active]
-        first = np.concatenate([[True], r[1:] != r[:-1]])
-        pivot = starts[active][np.maximum.accumulate(np.where(first, np.arange(len(active)), 0))]
-        own = starts[active]
+        at = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        size = np.diff(np.append(at, len(active)))
+        own, pivot = starts[active], np.repeat(starts[active[at + size // 2]], size)
         d = delta[pivot % period, own % period]
         side = np.sign(ranks[own + d] - ranks[pivot + d])
-        equal = active[side == 0]
+        # ranks tell of the first block + d bytes, which differ by pair; what is left of length bytes is compared too, so that equal strings stay together
+        for k in steps(length - period, length):
+            tied = np.flatnonzero(side == 0)
+            side[tied] = np.sign(words[own[tied] + k] - words[pivot[tied] + k])
         left = split(rank, active, side.astype(np.int64) + 1, 2)
         keep = np.zeros(len(rank), bool)
-        keep[equal] = True
+        keep[active[side == 0]] = True
         done.append(left[keep[left]])
         active = left[~keep[left]]
     active = np.concatenate(done) if done else np.zeros(0, np.int64)
     active = active[np.argsort(rank[active], kind="stable")]
-    for k in steps(length - period, length):
-        active = split(rank, active, words[starts[active] + k])
     out = np.zeros(len(starts), bool)
     out[active] = True
     first = ~out

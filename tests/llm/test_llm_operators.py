@@ -512,6 +512,20 @@ def test_a_large_bucket_is_sorted_in_portions(monkeypatch):
     assert {i: s for i, s in got.items() if s} == {i: s for i, s in want.items() if s}
 
 
+def test_equal_strings_are_found_beside_strings_with_an_equal_first_part():
+    """Strings that differ in their last bytes alone, at places with all remainders."""
+    rng = random.Random(16)
+    texts = [b"b" * rng.randint(169, 230) + bytes(rng.choices(b"abc", k=rng.randint(0, 40))) for _ in range(60)]
+    texts += [t + b"c" for t in texts[:20]]
+    data = b"".join(texts)
+    ends = np.cumsum([len(t) for t in texts])
+    starts = np.concatenate([np.arange(e - len(t), e - 199) for t, e in zip(texts, ends, strict=True)])
+    seen = Counter(data[s : s + 200] for s in starts.tolist())
+    dup, first = suffixes.repeated(np.frombuffer(data + bytes(8), np.uint8), starts, np.zeros(len(starts), np.int64))
+    assert dup.tolist() == [seen[data[s : s + 200]] > 1 for s in starts.tolist()]
+    assert sorted(data[s : s + 200] for s in starts[first].tolist()) == sorted(seen)
+
+
 def test_rows_with_one_number_are_told_apart(spark, docs, monkeypatch):
     monkeypatch.setattr(repeats.Repeats, "clashes", lambda self, ids: [r["gid"] for r in ids.collect()[::2]])
     got = repeats.digests(repeats.remove_repeats(docs[1])).collect()
