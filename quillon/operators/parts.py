@@ -270,38 +270,59 @@ def sweep_report(swept: DataFrame) -> DataFrame:
     return swept.groupBy("session_id").agg(F.count(free).alias("swept"), F.coalesce(F.sum(free * F.col("token_count")), F.lit(0)).cast("long").alias("tokens"), F.count(F.when(F.col("protected"), 1)).alias("skipped"))
 
 
+def measured(m: DataFrame, count: Count | None = None) -> DataFrame:
+    """Messages with what breakdown reads of their parts in place of them: lengths, counts and the names of calls, no texts.
+
+    So nothing wide is moved when marks are joined to messages; with ``count``,
+    a tokenizer, it also counts texts here, those of calls that are not in the
+    context included.
+    """
+    texts = F.transform(of_type("text"), lambda p: utf16_length(p["text"]))
+    said = F.array_join(F.transform(of_type("text"), lambda p: p["text"]), "\n")
+    length = lambda text: F.when(text != "", utf16_length(text))
+    calls = F.transform(of_type("tool"), lambda p: F.struct(p["call_id"].alias("call_id"), (p["status"] == "completed").alias("done"), length(p["input"]).alias("given"), length(p["output"]).alias("made")))
+    zero = F.lit(0).cast("long")
+    m = m.withColumns({"_real": (F.col("role") == "user") & ~ignored_user(), "_pieces": F.size(texts), "_chars": F.aggregate(texts, zero, lambda a, x: a + x)})
+    m = m.withColumn("_said", zero if count is None else count(F.when(F.col("_real"), said)))
+    if count is None:
+        return m.withColumn("_calls", calls).drop("parts")
+    # a tokenizer cannot stand inside a lambda of an array function
+    rows = m.select("session_id", "message_id", F.posexplode(of_type("tool")).alias("at", "p"))
+    rows = rows.select("session_id", "message_id", "at", F.struct(count(F.col("p.input")).alias("given_tokens"), count(F.when(F.col("p.status") == "completed", F.col("p.output"))).alias("made_tokens")).alias("n"))
+    counted = rows.groupBy("session_id", "message_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "n"))), lambda x: x["n"]).alias("_n"))
+    both = F.zip_with("_calls", "_n", lambda c, n: c.withField("given_tokens", n["given_tokens"]).withField("made_tokens", n["made_tokens"]))
+    return m.withColumn("_calls", calls).drop("parts").join(counted, ["session_id", "message_id"], "left").withColumn("_calls", both).drop("_n")
+
+
 def breakdown(m: DataFrame, pruned: DataFrame, hidden: DataFrame, count: Count | None = None) -> DataFrame:
     """AGG-10: how a session's last token total divides into system, user, tools and, as the rest, assistant; and counts of calls.
 
-    m has ``compacted``.  Texts are never gathered: a joined text's length is
-    the sum of lengths and separators.  With ``count``, a tokenizer, the counts
-    of a session's texts, message by message and call by call, add up.
+    m has ``compacted``, and parts or what ``measured`` makes of them.  Texts
+    are never gathered: a joined text's length is the sum of lengths and
+    separators.  With ``count``, a tokenizer, the counts of a session's texts,
+    message by message and call by call, add up.
     """
     t = F.col("tokens")
+    if "parts" in m.columns:
+        m = measured(m, count)
     m = m.join(hidden.select("session_id", "message_id").distinct().withColumn("covered", F.lit(True)), ["session_id", "message_id"], "left")
-    real_user = (F.col("role") == "user") & ~ignored_user()
+    real_user = F.col("_real")
     opening = t["input"] + t["cache_read"] + t["cache_write"]
-    texts = F.transform(of_type("text"), lambda p: utf16_length(p["text"]))
     shown = real_user & ~F.col("compacted")
-    said = F.array_join(F.transform(of_type("text"), lambda p: p["text"]), "\n")
-    m = m.withColumn("_said", F.when(shown, F.lit(0).cast("long") if count is None else count(F.when(shown, said))))
-    first_said = F.min(F.when(real_user, F.struct("seq", F.coalesce("_said", F.lit(0)).alias("n"))))["n"]
+    first_said = F.min(F.when(real_user, F.struct("seq", F.when(shown, F.col("_said")).otherwise(0).alias("n"))))["n"]
     per = m.groupBy("session_id").agg(
-        F.sum("_said").alias("said"), first_said.alias("first_said"),
+        F.sum(F.when(shown, F.col("_said"))).alias("said"), first_said.alias("first_said"),
         F.min(F.when((F.col("role") == "assistant") & (opening > 0), F.struct("seq", opening.alias("n"))))["n"].alias("opening"),
-        F.sum(F.when(shown, F.aggregate(texts, F.lit(0).cast("long"), lambda a, x: a + x))).alias("chars"),
-        F.sum(F.when(shown, F.size(texts))).alias("pieces"),
-        F.min(F.when(real_user, F.struct("seq", F.when(F.col("compacted"), 0).otherwise(F.aggregate(texts, F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))))["n"].alias("first_chars"),
+        F.sum(F.when(shown, F.col("_chars"))).alias("chars"),
+        F.sum(F.when(shown, F.col("_pieces"))).alias("pieces"),
+        F.min(F.when(real_user, F.struct("seq", F.when(F.col("compacted"), 0).otherwise(F.col("_chars")).alias("n"))))["n"].alias("first_chars"),
     )
-    calls = m.select("session_id", "compacted", F.coalesce("covered", F.lit(False)).alias("covered"), F.explode(of_type("tool")).alias("p")).select("session_id", "compacted", "covered", "p.call_id", "p.status", "p.input", "p.output")
+    calls = m.select("session_id", "compacted", F.coalesce("covered", F.lit(False)).alias("covered"), F.explode("_calls").alias("p")).select("session_id", "compacted", "covered", "p.*")
     calls = calls.join(pruned.select("session_id", "call_id").distinct().withColumn("gone", F.lit(True)), ["session_id", "call_id"], "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
     open_ = ~F.col("compacted") & ~F.col("gone")
-    given, made = F.when(open_ & (F.col("input") != ""), utf16_length(F.col("input"))), F.when(open_ & (F.col("status") == "completed") & (F.col("output") != ""), utf16_length(F.col("output")))
-    if count is not None:
-        whole = count(F.when(open_, F.col("input"))), count(F.when(open_ & (F.col("status") == "completed"), F.col("output")))
-        calls = calls.withColumns({"_given": whole[0], "_made": whole[1]})
-    else:
-        calls = calls.withColumns({"_given": F.lit(0), "_made": F.lit(0)})
+    given, made = F.when(open_, F.col("given")), F.when(open_ & F.col("done"), F.col("made"))
+    tokens = {k: F.when(open_, F.col(k)) if count is not None else F.lit(0) for k in ("given_tokens", "made_tokens")}
+    calls = calls.withColumns({"_given": tokens["given_tokens"], "_made": tokens["made_tokens"]})
     cid = F.col("call_id")
     tools = calls.groupBy("session_id").agg(
         F.sum("_given").alias("given_tokens"), F.sum("_made").alias("made_tokens"), joined_length(given).alias("given"), joined_length(made).alias("made"), F.countDistinct(cid).alias("tools"), F.countDistinct(F.when(open_, cid)).alias("tools_in_context"), F.countDistinct(F.when(F.col("gone") | F.col("covered"), cid)).alias("tools_pruned")

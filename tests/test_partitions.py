@@ -33,3 +33,19 @@ def test_commands_meet_the_messages_of_their_session(spark, small_partitions):
 
 def test_counts_of_pruned_calls_and_messages(spark, small_partitions):
     same_as_twin(spark, "pruned_counts")
+
+
+def shuffled(spark, name):
+    """What the shuffles of a query carry, where no side of a join is small."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.splitlines()
+    return [lines[i + 1] for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+
+
+def test_a_breakdown_moves_no_texts_of_calls(spark):
+    assert not [x for x in shuffled(spark, "context_breakdown") if "AS parts" in x or "p#" in x and ".output" in x]
+    same_as_twin(spark, "context_breakdown")
