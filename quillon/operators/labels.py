@@ -75,7 +75,11 @@ def pruned_items(ids: DataFrame, calls: DataFrame, root: str) -> DataFrame:
 
     ids has session_id, pos and call_id; a call_id of calls is there once.
     """
-    found = ids.join(calls.select("session_id", "call_id", "tool", "parameters"), ["session_id", "call_id"], "left")
+    return item_lines(ids.join(calls.select("session_id", "call_id", "tool", "parameters"), ["session_id", "call_id"], "left"), root)
+
+
+def item_lines(found: DataFrame, root: str) -> DataFrame:
+    """STR-10: the lines of pruned_items from rows of session_id, pos, tool and parameters; tool is null where nothing is known of a call."""
     label = parameter_label(F.col("tool"), F.col("parameters"))
     line = F.when(F.col("tool").isNotNull(), F.concat(F.lit("→ "), F.col("tool"), F.when(label != "", F.concat(F.lit(": "), truncate(shorten_path(label, root), 60))).otherwise("")))
     per = found.groupBy("session_id").agg(F.sort_array(F.collect_list(F.when(line.isNotNull(), F.struct("pos", line.alias("line"))))).alias("lines"), F.count(F.when(F.col("tool").isNull(), 1)).alias("unknown"))

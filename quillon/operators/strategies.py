@@ -28,12 +28,17 @@ def may_run(enabled: bool = True, manual: bool = False, automatic: bool = True)
     return enabled and (not manual or automatic)
 
 
-def deduplicate(calls: DataFrame, protected_tools: list[str] = (), protected_paths: list[str] = (), pruned: DataFrame | None = None) -> DataFrame:
-    """PRN-1, WIN-3: all but the last call of each signature in a session, with the tokens it gives back."""
+def duplicates(calls: DataFrame, protected_tools: list[str] = (), protected_paths: list[str] = (), pruned: DataFrame | None = None) -> DataFrame:
+    """PRN-1, WIN-3: all but the last call of each signature in a session, with the columns of ``calls``."""
     c = _open(calls, list(protected_tools), list(protected_paths), pruned).withColumn("sig", signature(F.col("tool"), F.col("parameters")))
     newest = F.row_number().over(W.partitionBy("session_id", "sig").orderBy(*latest(c)))
-    tokens = F.col("token_count") if "token_count" in c.columns else token_count(F.col("parameters"))
-    return c.withColumn("rn", newest).filter("rn > 1").select("session_id", "call_id", tokens.alias("token_count"))
+    return c.withColumn("rn", newest).filter("rn > 1").drop("rn", "sig")
+
+
+def deduplicate(calls: DataFrame, protected_tools: list[str] = (), protected_paths: list[str] = (), pruned: DataFrame | None = None) -> DataFrame:
+    """PRN-1, WIN-3: the calls of duplicates, with the tokens each gives back."""
+    tokens = F.col("token_count") if "token_count" in calls.columns else token_count(F.col("parameters"))
+    return duplicates(calls, protected_tools, protected_paths, pruned).select("session_id", "call_id", tokens.alias("token_count"))
 
 
 def purge_errors(calls: DataFrame, age: int = 4, protected_tools: list[str] = (), protected_paths: list[str] = (), pruned: DataFrame | None = None) -> DataFrame:

@@ -49,3 +49,8 @@ def shuffled(spark, name):
 def test_a_breakdown_moves_no_texts_of_calls(spark):
     assert not [x for x in shuffled(spark, "context_breakdown") if "AS parts" in x or "p#" in x and ".output" in x]
     same_as_twin(spark, "context_breakdown")
+
+
+def test_pruned_calls_are_listed_without_a_join(spark):
+    assert len(shuffled(spark, "pruned_items")) <= 3
+    same_as_twin(spark, "pruned_items")
