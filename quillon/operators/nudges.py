@@ -99,16 +99,18 @@ def with_guidance(hint: str, guidance: str, close_tag: str) -> str:
 def apply_nudges(messages: DataFrame, anchors: DataFrame, texts: dict[str, str | Column], force: str = "soft") -> DataFrame:
     """NDG-4: the text of each kind at its anchors (session_id, seq, kind): context, then turn, then iteration.
 
-    Turn nudges stand only with users (strong) or with assistants (soft).
+    Turn nudges stand only with users (strong) or with assistants (soft).  Texts
+    may read further columns of anchors, which are equal within a message.
     """
-    kinds = anchors.groupBy("session_id", "seq").agg(F.collect_set("kind").alias("kinds"))
+    more = [c for c in anchors.columns if c not in ("session_id", "seq", "kind")]
+    kinds = anchors.groupBy("session_id", "seq").agg(F.collect_set("kind").alias("kinds"), *[F.first(c).alias(c) for c in more])
     m = messages.join(kinds, ["session_id", "seq"], "left").withColumn("kinds", F.coalesce("kinds", F.array().cast("array<string>")))
     said = F.col("role") == ("user" if force == "strong" else "assistant")
     for kind in ("context", "turn", "iteration"):
         hit = F.array_contains("kinds", kind) & F.col("role").isin("user", "assistant")
         hit = hit & said if kind == "turn" else hit
         m = m.withColumn("parts", F.when(hit, put_text(texts[kind] if isinstance(texts[kind], Column) else F.lit(texts[kind]))).otherwise(F.col("parts")))
-    return m.drop("kinds")
+    return m.drop("kinds", *more)
 
 
 def tag_messages(messages: DataFrame, refs: DataFrame, id_tag: str) -> DataFrame:

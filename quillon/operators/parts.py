@@ -60,19 +60,27 @@ def with_compaction(m: DataFrame, hidden: DataFrame | None = None) -> DataFrame:
     return m.join(marks, ["session_id", "message_id"], "left").withColumn("compacted", old | F.coalesce("_hidden", F.lit(False))).drop("_hidden")
 
 
+def told(m: DataFrame) -> DataFrame:
+    """Messages with what tool_calls reads of their parts in place of them, tokens counted, so that no output is moved when marks are joined."""
+    fields = lambda p: F.struct(*[p[c].alias(c) for c in ("part_seq", "type", "call_id", "tool", "status", "input")], tool_tokens(p).alias("tokens"))
+    return m.withColumn("_told", F.transform(F.filter("parts", lambda p: p["type"].isin("tool", "step-start")), fields)).drop("parts")
+
+
 def tool_calls(m: DataFrame, count: Count = token_count) -> DataFrame:
     """PRN-6, WIN-4: the tool parts with a call_id and a tool outside compacted messages, with their place, turn and the session's current turn.
 
-    m has ``compacted`` (see with_compaction).  turn is the number of step
-    starts before the call.  ``count`` counts tokens.
+    m has ``compacted`` (see with_compaction), and parts or what ``told`` makes
+    of them.  turn is the number of step starts before the call.  ``count``
+    counts tokens.
     """
-    told = F.filter("parts", lambda p: p["type"].isin("tool", "step-start"))
-    rows = m.filter("not compacted").select("session_id", "seq", "message_id", F.explode(told).alias("p"))
+    counted = "_told" in m.columns
+    said = F.col("_told") if counted else F.filter("parts", lambda p: p["type"].isin("tool", "step-start"))
+    rows = m.filter("not compacted").select("session_id", "seq", "message_id", F.explode(said).alias("p"))
     order = W.partitionBy("session_id").orderBy("seq", "p.part_seq")
     started = F.sum(F.when(F.col("p.type") == "step-start", 1).otherwise(0))
     rows = rows.withColumns({"turn": started.over(order.rowsBetween(W.unboundedPreceding, 0)), "current_turn": started.over(W.partitionBy("session_id"))})
     calls = rows.filter("p.type = 'tool' and p.call_id is not null and p.call_id <> '' and p.tool <> ''")
-    return calls.select("session_id", "seq", "message_id", "p.part_seq", "p.call_id", "p.tool", "p.status", F.col("p.input").alias("parameters"), "turn", "current_turn", tool_tokens(F.col("p"), count).alias("token_count"))
+    return calls.select("session_id", "seq", "message_id", "p.part_seq", "p.call_id", "p.tool", "p.status", F.col("p.input").alias("parameters"), "turn", "current_turn", (F.col("p.tokens") if counted else tool_tokens(F.col("p"), count)).alias("token_count"))
 
 
 def tool_ids(calls: DataFrame) -> DataFrame:

@@ -36,7 +36,8 @@ class Wording:
 
 def decide(messages: DataFrame, config: Config, pruned: DataFrame | None = None, hidden: DataFrame | None = None) -> DataFrame:
     """The calls that the strategies prune: duplicates and stale errors (session_id, call_id, token_count); calls in ``hidden`` messages are out of sight."""
-    calls = pt.eligible(pt.tool_calls(pt.with_compaction(messages, hidden)), config.protect_turns)
+    written = writer(messages.sparkSession, "decide")
+    calls = written(pt.eligible(pt.tool_calls(pt.with_compaction(pt.told(messages), hidden)), config.protect_turns), "calls")
     runs = lambda s: config.enabled and st.may_run(s.enabled, config.manual, config.automatic_strategies)
     found = [calls.filter("false").select("session_id", "call_id", "token_count")]
     if runs(config.deduplicate):
@@ -74,7 +75,7 @@ def in_force(stored: DataFrame, messages: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def hints(messages: DataFrame, active: DataFrame | None, wording: Wording) -> tuple[DataFrame, dict[str, Column]]:
-    """NDG-5, NDG-6: messages with ``_n`` and ``_names`` of their session's active blocks, and the hint of each kind with guidance."""
+    """NDG-5, NDG-6: messages (or their anchors) with ``_n`` and ``_names`` of their session's active blocks, and the hint of each kind with guidance."""
     none = F.lit(wording.no_blocks)
     if active is None:
         m = messages.withColumns({"_n": F.lit(0).cast("long"), "_names": none})
@@ -136,19 +137,21 @@ def build(
     refs = message_refs(whole.filter(~pt.ignored_user()), flag)
     whole = whole.select(*messages.columns)
     m = written(pt.prune(rw.scrub_parts(whole, wording.block_tag, wording.id_tag), pruned, hidden, summaries), "pruned")
+    stored = m  # what is decided does not depend on the results of child sessions
     refs = refs.withColumnRenamed("seq", "from_seq").join(m.select("session_id", "from_seq", "seq"), ["session_id", "from_seq"]).select("session_id", "seq", "ref")
     if children is not None and config.allow_subagents:
         outputs = with_results(m, children, pruned, wording.block_tag, wording.id_tag)
-        by = outputs.groupBy("session_id", "message_id").agg(F.map_from_entries(F.collect_list(F.struct("call_id", "output"))).alias("_new"))
+        spots = m.select("session_id", "message_id", "seq")
+        by = outputs.join(spots, ["session_id", "message_id"]).groupBy("session_id", "seq").agg(F.map_from_entries(F.collect_list(F.struct("call_id", "output"))).alias("_new"))
         new = F.transform("parts", lambda p: p.withField("output", F.coalesce(F.when(p["type"] == "tool", F.try_element_at("_new", p["call_id"])), p["output"])))
-        m = m.join(by, ["session_id", "message_id"], "left").withColumn("parts", F.when(F.col("_new").isNotNull(), new).otherwise(F.col("parts"))).drop("_new")
-        m = written(m, "with_results")
+        # by session_id and seq, as nudges and references are joined, so that messages are moved once for all three
+        m = m.join(by, ["session_id", "seq"], "left").withColumn("parts", F.when(F.col("_new").isNotNull(), new).otherwise(F.col("parts"))).drop("_new")
     c = config.compress
     if c.permission != "deny":
         if not config.manual:
             limit = F.lit(None).cast("long") if model_limit is None else model_limit
-            old = None if anchors is None else _placed(anchors, m)
-            said = written(nd.decisions(m, c.max_context, c.min_context, limit, c.model_max, c.model_min, at_least_one(c.iteration_threshold), at_least_one(c.nudge_frequency), old), "decided")
+            old = None if anchors is None else _placed(anchors, stored)
+            said = written(nd.decisions(stored, c.max_context, c.min_context, limit, c.model_max, c.model_min, at_least_one(c.iteration_threshold), at_least_one(c.nudge_frequency), old), "decided")
             places = {"context": ["context_seq"], "turn": ["turn_user_seq", "turn_assistant_seq"], "iteration": ["iteration_seq"]}
             put = [F.struct(F.lit(kind).alias("kind"), F.col(c_).alias("seq")) for kind, cols in places.items() for c_ in cols]
             new = said.select("session_id", F.explode(F.array(*put)).alias("a")).select("session_id", "a.seq", "a.kind").filter("seq is not null")
@@ -156,8 +159,8 @@ def build(
                 kept = old.join(said.select("session_id", "decision"), "session_id", "left").filter("not (coalesce(decision, '') = 'compressed') and not (coalesce(decision, '') = 'below' and kind <> 'context')")
                 new = nd.merged_anchors(kept.select("session_id", "seq", "kind"), new)
             in_use = active if active is not None or summaries is None else summaries.filter("active")
-            m, texts = hints(m, in_use, wording)
-            m = nd.apply_nudges(m, new, texts, c.nudge_force).drop("_n", "_names")
+            new, texts = hints(new, in_use, wording)
+            m = nd.apply_nudges(m, new, texts, c.nudge_force)
         m = nd.tag_messages(m, refs, wording.id_tag)
     if prompts is not None:
         m = written(m, "tagged")

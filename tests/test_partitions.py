@@ -54,3 +54,14 @@ def test_a_breakdown_moves_no_texts_of_calls(spark):
 def test_pruned_calls_are_listed_without_a_join(spark):
     assert len(shuffled(spark, "pruned_items")) <= 3
     same_as_twin(spark, "pruned_items")
+
+
+def test_a_request_decides_from_calls_without_their_outputs(spark):
+    from quillon.operators import parts as pt
+    from quillon.plans import history_queries as hq
+    from quillon.sources import history as hs
+
+    m = hs.history(spark, SF)
+    told = pt.tool_calls(pt.with_compaction(pt.told(m), hq.hidden(m)))
+    whole = pt.tool_calls(pt.with_compaction(m, hq.hidden(m)))
+    assert told.columns == whole.columns and sorted(map(tuple, told.collect())) == sorted(map(tuple, whole.collect()))
